@@ -94,6 +94,12 @@ def form_features(measures: np.ndarray) -> np.ndarray:
     return np.stack(out, 1)
 
 
+def form_names() -> np.ndarray:
+    """The hashes of all bins of all measures."""
+    bins = [np.arange(len(ends) + 1, dtype=np.uint64) + np.uint64(1 + 64 * (i + 1)) for i, ends in enumerate(FORM.values())]
+    return mix(np.concatenate(bins))
+
+
 def all_features(texts: pa.Array, form: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(row, feature hash), repeats included."""
     w = words(texts, letter_words())

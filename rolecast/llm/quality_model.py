@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .features import scored
+from .features import form_names, scored
 from .frames import cut
 from .training import adam, choose, held_out, labelled_sample, matrix, sigmoid, unlabelled_sample
 
@@ -38,7 +38,7 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float, steps: int) -> np.ndar
 
 
 def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float | None = None, ridge: float = 3e-4, steps: int = 400) -> tuple[np.ndarray, float, float]:
-    """(weights, bias, prior) by non-negative PU risk with the logistic loss."""
+    """(weights, bias, prior) by non-negative PU risk with the sigmoid loss, which is bounded."""
     one = lambda c: np.concatenate([np.log1p(c), np.ones((len(c), 1), np.float32)], 1)
     p, u = one(positive), one(unlabelled)
     if prior is None:
@@ -47,11 +47,11 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float | None = None
         prior = class_prior(p[half[0] :] @ w, u[half[1] :] @ w)
 
     def gradient(w: np.ndarray) -> np.ndarray:
-        zp, zu = p @ w.astype(np.float32), u @ w.astype(np.float32)
-        up = p.T @ (-sigmoid(-zp) / len(p)).astype(np.float32)  # gradient of R+(P)
-        down = u.T @ (sigmoid(zu) / len(u)).astype(np.float32) - prior * (p.T @ (sigmoid(zp) / len(p)).astype(np.float32))
-        negative = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
-        g = -down if negative < 0 else prior * up + down
+        sp, su = sigmoid(p @ w.astype(np.float32)), sigmoid(u @ w.astype(np.float32))
+        gp = p.T @ (sp * (1 - sp) / len(p)).astype(np.float32)  # of the mean of sigmoid(z) over P
+        down = u.T @ (su * (1 - su) / len(u)).astype(np.float32) - prior * gp
+        negative = su.mean() - prior * sp.mean()
+        g = -down if negative < 0 else down - prior * gp
         return g.astype(np.float64) + ridge * w
 
     w = adam(gradient, p.shape[1], steps, rate=0.03)
@@ -69,7 +69,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     trusted = labelled_sample(docs, labels, label, max_rows, id_col, text_col).filter("label = 1")
     web = unlabelled_sample(docs, max_rows, id_col, text_col).select(F.lit(0).alias("label"), "text")
     sample = cut(trusted.select("label", "text").unionByName(web))
-    chosen = choose(sample, features, form=True)
+    chosen = np.unique(np.concatenate([choose(sample, features, form=True), form_names()]))
     counts, y = matrix(sample, chosen, form=True)
     if y.sum() < 2 or (y == 0).sum() < 2:
         weights, bias = np.zeros(len(chosen)), -40.0
