@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .frames import table
 from .quality_model import quality_scores
+from .quality_rules import quality_verdicts
 from .simhash import simhash_components
 from .toxicity import toxicity_scores
 from .winnow import contamination
@@ -15,6 +16,10 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_verdicts(table(spark, sf_dir, "documents"))
+
+
 def op4_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -29,6 +34,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_toxicity": op2_toxicity,
+    "op3_quality_rules": op3_quality_rules,
     "op4_winnowing": op4_winnowing,
     "op7_quality_model": op7_quality_model,
     "op10_simhash": op10_simhash,
