@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from .frames import table
+from .html import main_text
 from .language import identify_language, identify_pages
 from .quality_model import quality_scores
 from .quality_rules import quality_verdicts
@@ -38,6 +39,10 @@ def op7_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(table(spark, sf_dir, "documents"))
 
@@ -49,6 +54,7 @@ QUERIES = {
     "op3_quality_rules": op3_quality_rules,
     "op4_winnowing": op4_winnowing,
     "op7_quality_model": op7_quality_model,
+    "op8_html_text": op8_html_text,
     "op10_simhash": op10_simhash,
 }
 
