@@ -181,21 +181,22 @@ def vectors(docs: DataFrame, chosen: np.ndarray, form: bool) -> DataFrame:
     return rows.mapInArrow(run, "label int, at array<int>, n array<int>")
 
 
-def scored(docs: DataFrame, id_col: str, text_col: str, chosen: np.ndarray, weights: np.ndarray, bias: float, form: bool) -> DataFrame:
-    """(id, score): logistic of the bias and the weights times log(1 + count), over every whole text."""
+def scored(docs: DataFrame, text_col: str, chosen: np.ndarray, weights: np.ndarray, bias: float, form: bool) -> DataFrame:
+    """docs with ``score``: logistic of the bias and the weights times log(1 + count), over every whole text."""
     order = np.argsort(chosen)
     chosen, weights = chosen[order], weights[order]
+    kept = [f for f in docs.schema.fields if f.name != "score"]
+    text_at = [f.name for f in kept].index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         look = Lookup(chosen)
         for batch in batches:
-            texts = batch.column(1)
+            texts = batch.column(text_at)
             for a, z in text_slices(texts):
                 doc, num, n = look.rows(texts.slice(a, z - a), form)
                 s = bias + (np.bincount(doc, weights[num] * np.log1p(n), z - a) if len(doc) else np.zeros(z - a))
                 p = 1 / (1 + np.exp(-np.clip(s, -40, 40)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, z - a), pa.array(p)], ["id", "score"])
+                yield pa.RecordBatch.from_arrays([*batch.slice(a, z - a).columns, pa.array(p)], [*(f.name for f in kept), "score"])
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, f"id {kind}, score double")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
+    return docs.select(*[F.col(f"`{f.name}`") for f in kept]).mapInArrow(run, f"{schema}, score double")

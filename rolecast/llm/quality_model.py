@@ -75,5 +75,6 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
         weights, bias = np.zeros(len(chosen)), -40.0
     else:
         weights, bias, _ = fit(counts[y == 1], counts[y == 0])
-    out = scored(docs, id_col, text_col, chosen, weights, bias, form=True).withColumnRenamed("id", id_col)
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    out = scored(rows, "text", chosen, weights, bias, form=True).withColumnRenamed("id", id_col)
     return out.select(id_col, held_out(id_col).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

@@ -7,10 +7,13 @@ from pyspark.sql import DataFrame, SparkSession
 from .frames import table
 from .html import main_text
 from .language import identify_language, identify_pages
+from .licenses import scan_licenses
 from .quality_model import quality_scores
 from .quality_rules import quality_verdicts
+from .sentencepiece_codec import token_counts
 from .simhash import simhash_components
 from .toxicity import toxicity_scores
+from .warc import audit, damaged_copy, manifest
 from .winnow import contamination
 
 
@@ -35,6 +38,14 @@ def op4_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(table(spark, sf_dir, "documents"))
+
+
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(table(spark, sf_dir, "documents"))
+
+
 def op7_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -43,6 +54,11 @@ def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return main_text(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
 
 
+def op9_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return audit(manifest(pages), manifest(damaged_copy(pages)))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(table(spark, sf_dir, "documents"))
 
@@ -53,8 +69,11 @@ QUERIES = {
     "op2_toxicity": op2_toxicity,
     "op3_quality_rules": op3_quality_rules,
     "op4_winnowing": op4_winnowing,
+    "op5_sentencepiece": op5_sentencepiece,
+    "op6_license_scan": op6_license_scan,
     "op7_quality_model": op7_quality_model,
     "op8_html_text": op8_html_text,
+    "op9_warc_fixity": op9_warc_fixity,
     "op10_simhash": op10_simhash,
 }
 

@@ -81,18 +81,31 @@ def fit(counts: np.ndarray, labels: np.ndarray, chosen: np.ndarray, penalty: flo
     return w[:-1], float(w[-1])
 
 
-def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: str = "toxic", max_rows: int = 8000, features: int = 1024, threshold: float = 0.5) -> DataFrame:
-    """id, held_out, score (0 to 1), predicted (1 if score >= threshold), one row for each row of docs.
-
-    Learns from at most ``max_rows`` labelled rows that aren't held out and from ``features`` features chosen on
-    them; scores every whole text. A null or empty text gets the score of no evidence. Without any usable label
-    the score is 0. Repeated rows are scored alike; columns other than the id and the text are never read.
-    """
+def toxicity_model(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: str = "toxic", max_rows: int = 8000, features: int = 1024) -> tuple[np.ndarray, np.ndarray, float]:
+    """(features, weights, bias) from at most ``max_rows`` labelled rows that aren't held out."""
     sample = cut(labelled_sample(docs, labels, label, max_rows, id_col, text_col))
     chosen = choose(sample, features, form=False)
-    terms = np.unique(np.concatenate(list(term_features().values())))
-    chosen = np.unique(np.concatenate([chosen, terms]))
+    chosen = np.unique(np.concatenate([chosen, *term_features().values()]))
     counts, y = matrix(sample, chosen, form=False)
-    weights, bias = fit(counts, y, chosen) if len(y) and 0 < y.mean() < 1 else (np.zeros(len(chosen)), 40.0 if len(y) and y.mean() == 1 else -40.0)
-    out = scored(docs, id_col, text_col, chosen, weights, bias, form=False).withColumnRenamed("id", id_col)
+    if len(y) and 0 < y.mean() < 1:
+        return chosen, *fit(counts, y, chosen)
+    return chosen, np.zeros(len(chosen)), 40.0 if len(y) and y.mean() == 1 else -40.0
+
+
+def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5, **training) -> DataFrame:
+    """id, held_out, score (0 to 1), predicted (1 if score >= threshold), one row for each row of docs.
+
+    Learns from a bounded sample (see ``toxicity_model``) and scores every whole text. A null or empty text gets the
+    score of no evidence. Without any usable label the score is 0, with positive ones only it is 1. Repeated
+    rows are scored alike; columns other than the id and the text are never read.
+    """
+    model = toxicity_model(docs, labels, id_col, text_col, **training)
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    out = scored(rows, "text", *model, form=False).withColumnRenamed("id", id_col)
     return out.select(id_col, held_out(id_col).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def reject_toxic(docs: DataFrame, labels: DataFrame, text_col: str = "text", threshold: float = 0.5, **training) -> DataFrame:
+    """The rows of docs, whole, whose score is below the threshold."""
+    model = toxicity_model(docs, labels, text_col=text_col, **training)
+    return scored(docs, text_col, *model, form=False).filter(F.col("score") < threshold).select(*[F.col(f"`{c}`") for c in docs.columns])
