@@ -1,10 +1,83 @@
-"""The corpus pipeline: each stage takes (spark, docs, sf_dir); its result is written and read again."""
+"""The corpus pipeline: toxicity, language, near-duplicates, benchmark leaks, tokens.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; it is written and read again as the next one's
+docs. All but the last return the columns of docs. A row is known by the hash of all its columns, so null and
+repeated ids are decided row by row; rows equal in every column share their decision, and the near-duplicate
+stage keeps one of them.
+"""
 
 from __future__ import annotations
 
-STAGES = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from rolecast.llm.frames import cut, table
+from rolecast.llm.language import identify_language
+from rolecast.llm.sentencepiece_codec import decode, encode
+from rolecast.llm.simhash import simhash_components
+from rolecast.llm.toxicity import reject_toxic
+from rolecast.llm.winnow import contamination
+
+_KEY = "__row_key"
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    return docs.withColumn(_KEY, F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns], F.lit(0)))
+
+
+def _without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
+    return docs.join(rejected.select(_KEY), _KEY, "left_anti").drop(_KEY)
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier predicts toxic go."""
+    return reject_toxic(docs, table(spark, sf_dir, "labels"))
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a language, or with one that is more likely wrong than right, go."""
+    keyed = _keyed(docs)
+    return _without(keyed, identify_language(keyed, _KEY).filter("not kept"))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each component the document of the least id stays (of equal ids or none, the one of the least key)."""
+    keyed = _keyed(docs)
+    named = keyed.select(F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("id"), F.col(_KEY).alias("key")).alias("row"), "text")
+    found = cut(simhash_components(named, "row"))
+    out = _without(keyed, found.filter("row <> component_id").select(F.col("row.key").alias(_KEY)))
+    if found.groupBy("row").count().filter("count > 1").isEmpty():
+        return out
+    return out.dropDuplicates()
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that share a window of words with a benchmark item go."""
+    keyed = _keyed(docs)
+    return _without(keyed, contamination(keyed, table(spark, sf_dir, "benchmark"), _KEY).filter("contaminated"))
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, lang, source, ids, n_tokens, and whether decoding gives the text back."""
+    back = decode(encode(docs.select("doc_id", "lang", "source", "text")))
+    return back.select("doc_id", "lang", "source", "ids", F.coalesce(F.size("ids"), F.lit(0)).alias("n_tokens"), F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip"))
+
+
+STAGES = [
+    ("toxicity", toxicity),
+    ("language_id", language_id),
+    ("near_duplicates", near_duplicates),
+    ("decontamination", decontamination),
+    ("tokens", tokens),
+]
+
+#: SQL expresses neither the classifier nor the search for the best tokens.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages over documents, each cut into the shared folder before the next."""
+    docs = table(spark, sf_dir, "documents")
+    for _, stage in STAGES[:-1]:
+        docs = cut(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)
