@@ -8,6 +8,7 @@ from .frames import table
 from .html import main_text
 from .language import identify_language, identify_pages
 from .licenses import scan_licenses
+from .oracles import ORACLES
 from .quality_model import quality_scores
 from .quality_rules import quality_verdicts
 from .sentencepiece_codec import token_counts
@@ -77,4 +78,4 @@ QUERIES = {
     "op10_simhash": op10_simhash,
 }
 
-ORACLES: dict[str, str] = {}
+__all__ = ["ORACLES", "QUERIES"]
