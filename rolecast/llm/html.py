@@ -131,7 +131,7 @@ def known_counts() -> dict[str, tuple[float, float]]:
 
 
 def learn_weights(pages: DataFrame, html_col: str = "html", max_pages: int = 5000, max_names: int = 5000, least_words: int = 200) -> dict[str, float]:
-    """Log-odds of element names from at most ``max_pages`` labelled pages, the same ones on every run.
+    """Log-odds of element names from at most ``max_pages`` different labelled pages, with their copies, the same on every run.
 
     At most ``max_names`` names with ``least_words`` words or more are kept, those with the most words.
     """
@@ -150,9 +150,10 @@ def learn_weights(pages: DataFrame, html_col: str = "html", max_pages: int = 500
             )
 
     rows = pages.select(F.col(html_col).cast("string").alias("html")).filter(F.lower("html").rlike("<(article|main)[\\s>]"))
-    key = F.xxhash64("html")
-    sample = rows.orderBy(key).limit(max_pages)
-    counts = sample.repartition(8, key).mapInArrow(run, "name string, inside long, outside long").groupBy("name").agg(F.sum("inside").alias("inside"), F.sum("outside").alias("outside"))
+    rows = rows.withColumn("key", F.xxhash64("html"))
+    keys = rows.select("key").distinct().orderBy("key").limit(max_pages)
+    sample = rows.join(F.broadcast(keys), "key").select("html")  # at most max_pages keys
+    counts = sample.mapInArrow(run, "name string, inside long, outside long").groupBy("name").agg(F.sum("inside").alias("inside"), F.sum("outside").alias("outside"))
     top = counts.filter(F.col("inside") + F.col("outside") >= least_words).orderBy((F.col("inside") + F.col("outside")).desc(), "name").limit(max_names).collect()
     return weights_of({r["name"]: (r["inside"], r["outside"]) for r in top})
 
