@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .frames import text_slices
+from .frames import map_batches, text_slices
 from .tokens import _POWERS, Words, letter_words, mix, space_words, text_bytes, words
 
 #: Bytes of a word's beginning that are features of their own, besides the word.
@@ -129,7 +129,7 @@ def counted(docs: DataFrame, form: bool) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), label, np.int32)), pa.array(names.view(np.int64)), pa.array(n)], ["label", "feature", "n"])
 
     rows = docs.select(F.col("label").cast("int").alias("label"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "label int, feature long, n long").groupBy("feature", "label").agg(F.sum("n").alias("n"))
+    return map_batches(rows, run, "label int, feature long, n long").groupBy("feature", "label").agg(F.sum("n").alias("n"))
 
 
 class Lookup:
@@ -178,7 +178,7 @@ def vectors(docs: DataFrame, chosen: np.ndarray, form: bool) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, z - a), *at], ["label", "at", "n"])
 
     rows = docs.select(F.col("label").cast("int").alias("label"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "label int, at array<int>, n array<int>")
+    return map_batches(rows, run, "label int, at array<int>, n array<int>")
 
 
 def scored(docs: DataFrame, text_col: str, chosen: np.ndarray, weights: np.ndarray, bias: float, form: bool) -> DataFrame:
@@ -199,4 +199,4 @@ def scored(docs: DataFrame, text_col: str, chosen: np.ndarray, weights: np.ndarr
                 yield pa.RecordBatch.from_arrays([*batch.slice(a, z - a).columns, pa.array(p)], [*(f.name for f in kept), "score"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
-    return docs.select(*[F.col(f"`{f.name}`") for f in kept]).mapInArrow(run, f"{schema}, score double")
+    return map_batches(docs.select(*[F.col(f"`{f.name}`") for f in kept]), run, f"{schema}, score double")

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text that a task turns into arrays at once. A longer text is still handled whole, alone.
 SLICE_BYTES = 1 << 20
+BATCH_ROWS = 1000
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -32,6 +33,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 
+def map_batches(df: DataFrame, run, schema: str) -> DataFrame:
+    """df.mapInArrow with batches of ``BATCH_ROWS`` rows at most: texts are long, and a task holds a few batches
+    on either side of the pipe."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(key, "10000")) <= BATCH_ROWS:
+        conf.set(key, str(BATCH_ROWS))
+    return df.mapInArrow(run, schema)
+
+
 def text_slices(texts: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
     """Row ranges of about ``limit`` bytes each; every text is whole in one range."""
     n = len(texts)

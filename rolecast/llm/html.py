@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .frames import map_batches
+
 #: Where pages put their main text and where they don't. Each counts as ``KNOWN`` words.
 INSIDE = ("article", "main", "p", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "pre", "table", "content", "post", "entry", "story", "body-text")
 OUTSIDE = (
@@ -153,7 +155,7 @@ def learn_weights(pages: DataFrame, html_col: str = "html", max_pages: int = 500
     rows = rows.withColumn("key", F.xxhash64("html"))
     keys = rows.select("key").distinct().orderBy("key").limit(max_pages)
     sample = rows.join(F.broadcast(keys), "key").select("html")  # at most max_pages keys
-    counts = sample.mapInArrow(run, "name string, inside long, outside long").groupBy("name").agg(F.sum("inside").alias("inside"), F.sum("outside").alias("outside"))
+    counts = map_batches(sample, run, "name string, inside long, outside long").groupBy("name").agg(F.sum("inside").alias("inside"), F.sum("outside").alias("outside"))
     top = counts.filter(F.col("inside") + F.col("outside") >= least_words).orderBy((F.col("inside") + F.col("outside")).desc(), "name").limit(max_names).collect()
     return weights_of({r["name"]: (r["inside"], r["outside"]) for r in top})
 
@@ -241,4 +243,4 @@ def main_text(pages: DataFrame, id_col: str = "page_id", html_col: str = "html",
             yield pa.RecordBatch.from_arrays([*cols, pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], [*(f.name for f in kept), "text", "n_chars"])
 
     rows = pages.select(*[F.col(f"`{f.name}`") for f in kept], F.col(html_col).cast("string").alias("__page"))
-    return rows.mapInArrow(run, f"{schema}, text string, n_chars long")
+    return map_batches(rows, run, f"{schema}, text string, n_chars long")

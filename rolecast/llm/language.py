@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .frames import cut, text_slices
+from .frames import cut, map_batches, text_slices
 from .tokens import letter_words, text_bytes
 
 BUCKETS = 1 << 14
@@ -93,7 +93,7 @@ def trigram_table(rows: DataFrame, languages: list[str]) -> np.ndarray:
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["cell", "n"])
 
-    cells = rows.filter("declared is not null").mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    cells = map_batches(rows.filter("declared is not null"), run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
     counts = np.zeros(len(languages) * BUCKETS)
     counts[cells["cell"].to_numpy()] = cells["n"].to_numpy()
     counts = counts.reshape(len(languages), BUCKETS) + 0.5
@@ -117,7 +117,7 @@ def text_evidence(rows: DataFrame, languages: list[str], table: np.ndarray) -> D
                 yield pa.RecordBatch.from_arrays([*cols, pa.array(np.bincount(doc, minlength=z - a)), pa.ListArray.from_arrays(ends, flat)], [*(k for k, _ in kinds), "n_trigrams", "evidence"])
 
     schema = ", ".join(f"`{k}` {t}" for k, t in kinds)
-    return rows.select(*(k for k, _ in kinds), "text").mapInArrow(run, f"{schema}, n_trigrams long, evidence array<double>")
+    return map_batches(rows.select(*(k for k, _ in kinds), "text"), run, f"{schema}, n_trigrams long, evidence array<double>")
 
 
 def _argmax(scores: Column, languages: list[str]) -> Column:

@@ -21,7 +21,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .features import line_counts
-from .frames import cut, text_slices
+from .frames import cut, map_batches, text_slices
 from .tokens import grams, mix, space_words, whole, words
 
 GAMMA = 1.02
@@ -70,7 +70,7 @@ def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(source_col).cast("string").alias("source"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, f"id {kind}, lang string, source string, " + ", ".join(f"{c} long" for c in _COUNTS))
+    return map_batches(rows, run, f"id {kind}, lang string, source string, " + ", ".join(f"{c} long" for c in _COUNTS))
 
 
 def with_rates(counts: DataFrame) -> DataFrame:

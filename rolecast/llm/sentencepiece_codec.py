@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .frames import text_slices
+from .frames import map_batches, text_slices
 from .tokens import Words, text_bytes
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -256,13 +256,15 @@ def decode_rows(ids: np.ndarray, bounds: np.ndarray, vocabulary: Vocabulary) ->
     return [whole[s + (skip if whole[s : s + 1] == b" " else 0) : e].decode("utf-8", "replace") for s, e in zip(cuts[:-1], cuts[1:])]
 
 
-def encode(docs: DataFrame, text_col: str = "text", ids_col: str = "ids", model: str = MODEL) -> DataFrame:
+def encode(docs: DataFrame, text_col: str = "text", ids_col: str = "ids", model: str = MODEL, decoded_col: str | None = None) -> DataFrame:
     """docs with the tokens of every whole text in ``ids_col``; null stays null, an empty text has none.
 
-    A column of that name is replaced; all others, repeats of rows included, stay as they are.
+    With ``decoded_col`` the tokens are decoded again in the same pass, for a check against the text. Columns of
+    these names are replaced; all others, repeats of rows included, stay as they are.
     """
     vocabulary = read_model(model)
-    kept = [f for f in docs.schema.fields if f.name != ids_col]
+    kept = [f for f in docs.schema.fields if f.name not in (ids_col, decoded_col)]
+    more = [] if decoded_col is None else [decoded_col]
     text_at = [f.name for f in kept].index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -272,10 +274,13 @@ def encode(docs: DataFrame, text_col: str = "text", ids_col: str = "ids", model:
                 ids, bounds = encode_rows(part.column(text_at), vocabulary)
                 null = pa.array(np.append(part.column(text_at).is_null().to_numpy(zero_copy_only=False), False))
                 offsets = pa.array(bounds.astype(np.int32), mask=null.to_numpy(zero_copy_only=False))
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.ListArray.from_arrays(offsets, pa.array(ids, pa.int32()))], [*(f.name for f in kept), ids_col])
+                new = [pa.ListArray.from_arrays(offsets, pa.array(ids, pa.int32()))]
+                if more:
+                    new.append(pa.array(decode_rows(ids, bounds, vocabulary), pa.string(), mask=null.to_numpy(zero_copy_only=False)[:-1]))
+                yield pa.RecordBatch.from_arrays([*part.columns, *new], [*(f.name for f in kept), ids_col, *more])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
-    return docs.select(*[F.col(f"`{f.name}`") for f in kept]).mapInArrow(run, f"{schema}, `{ids_col}` array<int>")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept) + f", `{ids_col}` array<int>" + "".join(f", `{c}` string" for c in more)
+    return map_batches(docs.select(*[F.col(f"`{f.name}`") for f in kept]), run, schema)
 
 
 def decode(docs: DataFrame, ids_col: str = "ids", text_col: str = "decoded", model: str = MODEL) -> DataFrame:
@@ -296,13 +301,13 @@ def decode(docs: DataFrame, ids_col: str = "ids", text_col: str = "decoded", mod
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string(), mask=null)], [*(f.name for f in kept), text_col])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
-    return docs.select(*[F.col(f"`{f.name}`") for f in kept]).mapInArrow(run, f"{schema}, `{text_col}` string")
+    return map_batches(docs.select(*[F.col(f"`{f.name}`") for f in kept]), run, f"{schema}, `{text_col}` string")
 
 
 def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = MODEL) -> DataFrame:
     """id, n_tokens, ids_hash, round_trip: encoded, decoded, and compared, for each row of docs. Null has no tokens."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    back = decode(encode(rows, "text", "ids", model), "ids", "decoded", model)
+    back = encode(rows, "text", "ids", model, "decoded")
     return back.select(
         F.col("id").alias(id_col), F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_tokens"), F.xxhash64("ids").alias("ids_hash"), F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip")
     )

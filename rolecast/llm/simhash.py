@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .frames import cut, text_slices
+from .frames import cut, map_batches, text_slices
 from .graph import components
 
 #: Fixed values of the [23, 12] Golay code: its generator polynomial x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1.
@@ -131,7 +131,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, z - a), pa.array(fp)], ["id", "fp"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"id {kind}, fp long")
+    return map_batches(docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")), run, f"id {kind}, fp long")
 
 
 def fuzzy_keys(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .frames import cut, text_slices
+from .frames import cut, map_batches, text_slices
 from .tokens import Words, grams, letter_words, whole, words
 
 WINDOW = 10
@@ -78,7 +78,7 @@ def _item_rows(window: int, gram: int):
 def item_windows(items: DataFrame, id_col: str, text_col: str, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """(item, hash, size, kind): kind 0 the windows of each item, of ``size`` words; kind 1 its fingerprints."""
     rows = items.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("string").alias("item"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(_item_rows(window, gram), "item string, hash long, size int, kind int").distinct()
+    return map_batches(rows, _item_rows(window, gram), "item string, hash long, size int, kind int").distinct()
 
 
 class Index:
@@ -202,7 +202,7 @@ def _counts() -> object:
 def _by_join(rows: DataFrame, index: DataFrame, window: int, gram: int) -> DataFrame:
     """(row, n_words, n_hit, n_items, items_sha256) by shuffled joins; rows(row, text) has unique row numbers."""
     short = sorted(r["size"] for r in index.filter((F.col("kind") == 0) & (F.col("size") < window)).select("size").distinct().collect())
-    prints = rows.mapInArrow(_doc_prints(window, gram, short), "row long, hash long, size int, at array<long>, around array<long>")
+    prints = map_batches(rows, _doc_prints(window, gram, short), "row long, hash long, size int, at array<long>, around array<long>")
     known = index.filter("kind = 1").select("hash", F.lit(window).alias("size")).unionByName(index.filter(F.col("size") < window).filter("kind = 0").select("hash", "size")).distinct()
     near = prints.join(known, ["hash", "size"], "left_semi").select("row", "size", F.explode(F.arrays_zip("at", "around")).alias("x"))
     near = near.select("row", "size", F.col("x.at").alias("at"), F.col("x.around").alias("hash")).distinct()
@@ -214,7 +214,7 @@ def _by_join(rows: DataFrame, index: DataFrame, window: int, gram: int) -> DataF
     runs = found.groupBy("row", "at").agg(F.max("size").alias("size")).withColumn("end", F.col("at") + F.col("size"))
     before = F.coalesce(F.max("end").over(W.partitionBy("row").orderBy("at").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     spans = runs.select("row", F.greatest(F.lit(0), F.col("end") - F.greatest("at", before)).alias("new")).groupBy("row").agg(F.sum("new").alias("n_hit"))
-    counts = rows.mapInArrow(_counts(), "row long, n_words long")
+    counts = map_batches(rows, _counts(), "row long, n_words long")
     out = counts.join(spans, "row", "left").join(names, "row", "left")
     items = F.coalesce("items", F.array().cast("array<string>"))
     return out.select("row", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.size(items).cast("long").alias("n_items"), F.sha2(F.array_join(items, ","), 256).alias("items_sha256"))
@@ -233,7 +233,7 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     if index.count() <= broadcast_windows:
-        out = rows.mapInArrow(_match(Index(index.toArrow()), window, gram), f"id {kind}, {RESULT}")
+        out = map_batches(rows, _match(Index(index.toArrow()), window, gram), f"id {kind}, {RESULT}")
     else:
         numbered = cut(rows.withColumn("row", F.monotonically_increasing_id()))
         out = _by_join(numbered.select("row", "text"), index, window, gram).join(numbered.select("row", "id"), "row")
