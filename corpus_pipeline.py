@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from rolecast.llm.frames import cut, table
 from rolecast.llm.language import identify_language
-from rolecast.llm.sentencepiece_codec import decode, encode
+from rolecast.llm.sentencepiece_codec import encode
 from rolecast.llm.simhash import simhash_components
 from rolecast.llm.toxicity import reject_toxic
 from rolecast.llm.winnow import contamination
@@ -59,7 +59,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, ids, n_tokens, and whether decoding gives the text back."""
-    back = decode(encode(docs.select("doc_id", "lang", "source", "text")))
+    back = encode(docs.select("doc_id", "lang", "source", "text"), decoded_col="decoded")
     return back.select("doc_id", "lang", "source", "ids", F.coalesce(F.size("ids"), F.lit(0)).alias("n_tokens"), F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip"))
 
 
