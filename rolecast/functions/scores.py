@@ -15,11 +15,12 @@ def weighted(parts: list[tuple[Column, Column | float]], default: float = 1.0) -
     weight = [w if isinstance(w, Column) else F.lit(float(w)) for _, w in parts]
     on = [F.when(w > 0, w).otherwise(0.0) for w in weight]
     total = sum(on[1:], on[0])
-    return F.when(total > 0, sum((F.when(w > 0, s * w).otherwise(0.0) for (s, _), w in zip(parts[1:], weight[1:])), F.when(weight[0] > 0, parts[0][0] * weight[0]).otherwise(0.0)) / total).otherwise(default)
+    each = [F.when(w > 0, s * w).otherwise(0.0) for (s, _), w in zip(parts, weight)]
+    return F.when(total > 0, F.try_divide(sum(each[1:], each[0]), total)).otherwise(default)
 
 
 def ratio(actual: Column, target: Column, unknown: float = 0.65) -> Column:
-    return F.when(target <= 0, 1.0).when(actual.isNull(), unknown).otherwise(F.greatest(F.lit(0.0), F.least(actual / target, F.lit(1.0))))
+    return F.when(target <= 0, 1.0).when(actual.isNull(), unknown).otherwise(F.greatest(F.lit(0.0), F.least(F.try_divide(actual, target), F.lit(1.0))))
 
 
 def rank_of(c: Column, ranks: dict[str, int]) -> Column:
@@ -36,7 +37,7 @@ def degree_rank(c: Column) -> Column:
 
 
 def level_score(candidate: Column, target: Column) -> Column:
-    return F.when(target == 0, 1.0).when(F.coalesce(candidate, F.lit(0)) == 0, 0.65).otherwise(F.least(candidate / target, F.lit(1.0)))
+    return F.when(target == 0, 1.0).when(F.coalesce(candidate, F.lit(0)) == 0, 0.65).otherwise(F.least(F.try_divide(candidate, target), F.lit(1.0)))
 
 
 def skill_score(base: Column, confidence: Column, candidate_level: Column, target_level: Column, candidate_years: Column, min_years: Column) -> Column:
@@ -75,14 +76,14 @@ def experience_score(content: Column, years: Column, min_years: Column) -> Colum
 def degree_gate(candidate: Column, target: Column) -> Column:
     """Ranks; 0 or null is unknown."""
     c, t = F.coalesce(candidate, F.lit(0)), F.coalesce(target, F.lit(0))
-    low = F.greatest(F.lit(0.2), c / t * 0.6)
+    low = F.greatest(F.lit(0.2), F.try_divide(c, t) * 0.6)
     return F.when(t == 0, 1.0).when(c == 0, F.when(t <= BACHELOR, 0.55).otherwise(0.35)).when(c < t, low).when(c == t, 0.85).otherwise(0.88)
 
 
 def preferred_degree(candidate: Column, targets: Column) -> Column:
     """``targets``: ranks of the degrees that are welcome."""
     known = F.filter(targets, lambda t: t > 0)
-    one = F.transform(known, lambda t: F.when(candidate == t, 0.8).when(candidate > t, 0.84).otherwise(F.greatest(F.lit(0.3), candidate / t * 0.65)))
+    one = F.transform(known, lambda t: F.when(candidate == t, 0.8).when(candidate > t, 0.84).otherwise(F.greatest(F.lit(0.3), F.try_divide(candidate, t) * 0.65)))
     return F.when(F.coalesce(candidate, F.lit(0)) == 0, 0.55).when(F.size(known) == 0, 1.0).otherwise(F.array_max(one))
 
 
@@ -139,8 +140,8 @@ def domain_overlap(job_terms: Column, candidate_terms: Column, job_text: Column)
     hits = F.size(F.filter(candidate_terms, lambda t: (F.length(t) >= 2) & job_text.contains(t)))
     return (
         F.when((F.size(candidate_terms) <= 0) | (F.size(job_terms) <= 0), 0.0)
-        .when(exact > 0, F.least(exact / F.least(F.size(job_terms), F.lit(4)), F.lit(1.0)))
-        .otherwise(F.least(hits / F.least(F.size(candidate_terms), F.lit(4)) * 0.8, F.lit(0.8)))
+        .when(exact > 0, F.least(F.try_divide(exact, F.least(F.size(job_terms), F.lit(4))), F.lit(1.0)))
+        .otherwise(F.least(F.try_divide(hits, F.least(F.size(candidate_terms), F.lit(4))) * 0.8, F.lit(0.8)))
     )
 
 
@@ -178,7 +179,7 @@ def _ladder(x: Column, pairs, last: float) -> Column:
 
 def title_alignment(needed: Column, matched: Column) -> Column:
     """Counts of the title's skills, and of those that are there."""
-    return F.when(F.coalesce(needed, F.lit(0)) == 0, 1.0).otherwise(matched / needed)
+    return F.when(F.coalesce(needed, F.lit(0)) == 0, 1.0).otherwise(F.try_divide(matched, needed))
 
 
 def transition_score(targets: Column, owned: Column, roles: Column) -> Column:
@@ -257,14 +258,14 @@ def penalised(base: Column, penalties: list[Column]) -> Column:
 
 
 def multiplier(total: Column, base: Column) -> Column:
-    return F.when(base > 0, r4(total / base)).otherwise(1.0)
+    return F.when(base > 0, r4(F.try_divide(total, base))).otherwise(1.0)
 
 
 def tier(has_reference: Column, job_min: Column, job_max: Column, want_min: Column, want_max: Column, cfg: MatchConfig = DEFAULT) -> Column:
     """reach, match or safety by the ratio of the midpoints of pay."""
     want, pay = (want_min + want_max) / 2, (job_min + job_max) / 2
     known = has_reference & (want > 0) & (pay > 0)
-    return F.when(known & (pay / want >= cfg.tier_reach), "reach").when(known & (pay / want <= cfg.tier_safety), "safety").otherwise("match")
+    return F.when(known & (F.try_divide(pay, want) >= cfg.tier_reach), "reach").when(known & (F.try_divide(pay, want) <= cfg.tier_safety), "safety").otherwise("match")
 
 
 def reasoning(skill: Column, experience: Column, education: Column, salary: Column, matched: Column, missing: Column) -> Column:

@@ -1,6 +1,6 @@
 """Registered queries and their SQL, by name."""
 
-from . import text_queries
+from . import match_queries, text_queries
 
-QUERIES = {**text_queries.QUERIES}
-ORACLES = {**text_queries.ORACLES}
+QUERIES = {**text_queries.QUERIES, **match_queries.QUERIES}
+ORACLES = {**text_queries.ORACLES, **match_queries.ORACLES}
