@@ -105,3 +105,8 @@ def experience_band(internship: Column, text: Column, min_years: Column, max_yea
         .when(neither, band(none_of("double"), none_of("double"), "unknown"))
         .otherwise(band(low, high, F.when(entry, "entry").when(senior, "senior").otherwise("standard")))
     )
+
+
+def match_city_list(location: Column) -> Column:
+    """City tokens of an opening's location; none without one."""
+    return F.coalesce(city_tokens(location), strings())

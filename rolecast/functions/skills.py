@@ -18,8 +18,18 @@ def alias_pairs() -> dict[str, str]:
     return out
 
 
+def _sql_text(x: str) -> str:
+    return "r'" + x + "'" if "'" not in x else '"' + x + '"'
+
+
 def alias_map() -> Column:
-    return F.create_map(*[F.lit(x) for kv in alias_pairs().items() for x in kv])
+    """One literal, parsed once: thousands of small calls to build it would cost more than using it."""
+    return F.expr("map(" + ", ".join(f"{_sql_text(k)}, {_sql_text(v)}" for k, v in alias_pairs().items()) + ")")
+
+
+def pattern_list() -> Column:
+    each = ", ".join(f"named_struct('name', {_sql_text(n)}, 'ps', array({', '.join(_sql_text(FLAGS + p) for p in ps)}))" for n, ps in SKILL_PATTERNS)
+    return F.expr(f"array({each})")
 
 
 def normalize_skill(c: Column) -> Column:
@@ -33,12 +43,13 @@ def extract_skills(text: Column) -> Column:
     Of a skill with several patterns the first that matches counts. One scan rejects most texts.
     """
     anything = FLAGS + "|".join(p for _, ps in SKILL_PATTERNS for p in ps)
-    found = []
-    for i, (name, patterns) in enumerate(SKILL_PATTERNS):
-        at = F.coalesce(*[F.nullif(F.regexp_instr(text, F.lit(FLAGS + p)), F.lit(0)) for p in patterns])
-        found.append(F.when(at.isNotNull(), F.struct(at.alias("at"), F.lit(i).alias("i"), F.lit(name).alias("name"))))
-    names = F.transform(F.array_sort(F.array_compact(F.array(*found))), lambda x: x["name"])
-    return F.when(text.rlike(anything), names).otherwise(strings())
+
+    def place(entry: Column, i: Column) -> Column:
+        hits = F.filter(F.transform(entry["ps"], lambda p: F.regexp_instr(text, p)), lambda at: at > 0)
+        return F.struct(F.try_element_at(hits, F.lit(1)).alias("at"), i.alias("i"), entry["name"].alias("name"))
+
+    found = F.filter(F.transform(pattern_list(), place), lambda x: x["at"].isNotNull())
+    return F.when(text.rlike(anything), F.transform(F.array_sort(found), lambda x: x["name"])).otherwise(strings())
 
 
 def expand_skill(value: Column, strip_plus: bool = True) -> Column:
@@ -69,4 +80,4 @@ def infer_skills(lists: list[Column], text: Column) -> Column:
 def directional_signals(values: Column) -> Column:
     """Canonical skills among the values that tell frontend, backend and mobile work apart."""
     known = strings(*sorted({*FRONTEND_SIGNALS, *BACKEND_SIGNALS, *MOBILE_SIGNALS}))
-    return F.array_intersect(F.transform(F.flatten(F.transform(values, expand_skill)), normalize_skill), known)
+    return F.array_intersect(F.transform(F.flatten(F.transform(values, lambda v: expand_skill(v))), normalize_skill), known)
