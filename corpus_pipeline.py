@@ -19,6 +19,7 @@ from rolecast.llm.toxicity import reject_toxic
 from rolecast.llm.winnow import contamination
 
 _KEY = "__row_key"
+BROADCAST_KEYS = 1_000_000
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -26,7 +27,9 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def _without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
-    return docs.join(rejected.select(_KEY), _KEY, "left_anti").drop(_KEY)
+    """docs without the rejected keys; up to ``BROADCAST_KEYS`` of them (8 bytes each) spare the texts a shuffle."""
+    keys = cut(rejected.select(_KEY).distinct())
+    return docs.join(F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys, _KEY, "left_anti").drop(_KEY)
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
