@@ -22,6 +22,16 @@ def role_categories(title: Column, summary: Column, tags: Column | None = None)
     return keyword_categories(joined(*parts), ROLE_KEYWORDS)
 
 
+def facets_of(text: Column) -> Column:
+    """struct(roles, modes, ai, internship) of a text already in lower case.
+
+    For long texts: put the lowered text into a column first, as each of some hundred look-ups reads it.
+    """
+    return F.struct(
+        keyword_categories(text, ROLE_KEYWORDS).alias("roles"), keyword_categories(text, MODE_KEYWORDS).alias("modes"), keyword_categories(text, AI_KEYWORDS).alias("ai"), F.when(contains_any(text, INTERN_KEYWORDS), True).when(text != "", False).alias("internship")
+    )
+
+
 def resume_roles(facet_roles: Column, *text: Column) -> Column:
     """Given roles, else those named in the texts; a full-stack engineer is a backend and a frontend one too."""
     given = F.transform(F.coalesce(facet_roles, strings()), F.lower)

@@ -200,11 +200,9 @@ def title_skills(spark: SparkSession, sf_dir: str) -> DataFrame:
  {sql_any("t", D.INTERN_KEYWORDS)} AS internship FROM (SELECT doc_id, lower(concat_ws(' ', source, nullif(text, ''))) AS t FROM documents)""",
 )
 def document_facets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c, none = F.col, F.lit(None).cast("string")
-    return read(spark, sf_dir, "documents").select(
-        "doc_id", show(facets.role_categories(c("source"), c("text"))).alias("roles"), show(facets.ai_capabilities(c("source"), c("text"))).alias("ai"), show(facets.work_modes(c("source"), F.lit(""), c("text"))).alias("m"),
-        facets.is_internship(c("source"), none, c("text")).alias("internship"),
-    ).select("doc_id", "roles", "ai", F.when(F.col("m") == "", "onsite").otherwise(F.col("m")).alias("modes"), "internship")
+    lowered = read(spark, sf_dir, "documents").select("doc_id", facets.joined(F.col("source"), F.col("text")).alias("t"))
+    rows = lowered.select("doc_id", facets.facets_of(F.col("t")).alias("f"))
+    return rows.select("doc_id", show(F.col("f.roles")).alias("roles"), show(F.col("f.ai")).alias("ai"), F.when(F.size("f.modes") == 0, "onsite").otherwise(show(F.col("f.modes"))).alias("modes"), F.col("f.internship").alias("internship"))
 
 
 _T = "lower(concat_ws(' ', title, summary))"
