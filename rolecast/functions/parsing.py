@@ -118,7 +118,7 @@ def parse_time(c: Column) -> Column:
 def posted(as_of: Column, *candidates: Column) -> Column:
     """struct(posted_at, posted_days_ago) of the first candidate that can be read."""
     at = F.coalesce(*[parse_time(c) for c in candidates])
-    return F.struct(at.alias("posted_at"), F.greatest(F.lit(0), F.datediff(as_of, at.cast("date"))).alias("posted_days_ago"))
+    return F.struct(at.alias("posted_at"), F.when(at.isNotNull(), F.greatest(F.lit(0), F.datediff(as_of, at.cast("date")))).alias("posted_days_ago"))
 
 
 def month_index(c: Column, as_of: Column) -> Column:

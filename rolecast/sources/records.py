@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -19,8 +20,9 @@ def read_jobs_json(spark: SparkSession, path: str, limit: int | None = None) ->
     """Openings of JSON files whose root is a list or {"jobs": [...]}; other roots raise when read. 0 or None: no limit."""
     files = spark.read.text(path, wholetext=True)
     root = F.col("value")
-    listed = F.coalesce(F.from_json(root, f"array<struct<{RAW}>>", {"mode": "PERMISSIVE"}), F.from_json(root, f"struct<jobs: array<struct<{RAW}>>>")["jobs"])
-    checked = F.when(strip(root).startswith("[") | F.get_json_object(root, "$.jobs").isNotNull(), listed).otherwise(F.raise_error(F.lit("a list of openings, or an object with one under 'jobs', is expected")))
+    is_list = strip(root).startswith("[")  # an object would be read as a list of one
+    listed = F.when(is_list, F.from_json(root, f"array<struct<{RAW}>>")).otherwise(F.from_json(root, f"struct<jobs: array<struct<{RAW}>>>")["jobs"])
+    checked = F.when(is_list | F.get_json_object(root, "$.jobs").isNotNull(), listed).otherwise(F.raise_error(F.lit("a list of openings, or an object with one under 'jobs', is expected")))
     rows = files.select(F.posexplode(checked).alias("pos", "raw")).select("pos", "raw.*")
     return rows.limit(limit) if limit and limit > 0 else rows
 
@@ -83,13 +85,27 @@ def scan_resume_files(spark: SparkSession, path: str, suffixes=("pdf", "docx", "
 
 def decode_text(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(rows with ``text``, rejects with ``error``): UTF-8, with or without a mark, else GB18030, else Latin-1."""
-    utf8 = F.regexp_replace(F.try_validate_utf8(F.col("content").cast("string")), "^﻿", "")
-    gb = F.when(~F.decode("content", "GBK").contains("�"), F.decode("content", "GBK"))
     valid = F.col("content").isNotNull() & F.is_valid_utf8(F.col("content").cast("string"))
-    rows = files.withColumn("text", F.when(valid, blank_null(utf8)).otherwise(F.coalesce(blank_null(gb), blank_null(F.decode("content", "ISO-8859-1")))))
+    plain = files.filter(valid).withColumn("text", blank_null(F.regexp_replace(F.col("content").cast("string"), "^﻿", "")))
+    rows = plain.unionByName(files.filter(~valid).withColumn("text", blank_null(_other_charsets(F.col("content")))))
     return rows.filter("text is not null"), rows.filter("text is null").drop("text").withColumn("error", F.lit("empty"))
 
 
+@F.pandas_udf(T.StringType())
+def _other_charsets(content: pd.Series) -> pd.Series:
+    """Bytes that aren't UTF-8, as GB18030 if they are that, else as Latin-1. Spark's decode knows few charsets."""
+
+    def one(data: bytes | None) -> str | None:
+        if data is None:
+            return None
+        try:
+            return data.decode("gb18030")
+        except UnicodeDecodeError:
+            return data.decode("latin-1")
+
+    return content.map(one)
+
+
 def camel(name: str) -> str:
     head, *rest = name.split("_")
     return head + "".join(p.capitalize() for p in rest)
