@@ -84,3 +84,14 @@ def changed_rows(before: DataFrame, after: DataFrame, key: str, columns: list[st
 def seed_if_empty(store: DataFrame, seeds: DataFrame, most: int = 20, order: str = "id") -> DataFrame:
     """The store, or up to ``most`` seeds where it has no rows."""
     return seeds.orderBy(order).limit(most) if store.isEmpty() else store
+
+
+def import_jobs(store: DataFrame, jobs: DataFrame, replace: bool = False, key: str = "id", ts: str = "updated_at") -> tuple[DataFrame, DataFrame]:
+    """(table to write, counts) of a batch import: upserts, or a new table with ``replace``; counts of new, updated and kept rows."""
+    new = latest(jobs, [key], ts)
+    old = store.limit(0) if replace else store
+    known = new.join(old.select(key), key, "left_semi").agg(F.count(F.lit(1)).alias("n"))
+    part = lambda df, name: df.select(F.lit(name).alias("status"), "n")
+    count = lambda df: df.agg(F.count(F.lit(1)).alias("n"))
+    counts = part(known, "updated").unionByName(part(count(new.join(old.select(key), key, "left_anti")), "new")).unionByName(part(count(delete_keys(old, new, [key])), "kept"))
+    return upsert(old, new, [key], ts), counts

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import facets, parsing
 from ..functions.text import bullet_items, collapse, compact_range, contains_any, dedupe_ci, first_list, none_of, scrub_contacts, section_text, strings, strip
 from . import tags as T
+from .maintain import changed_rows, tag_counts
 
 _ENDS = ("任职要求", "岗位要求", "职位要求", "任职资格", "福利", "职位亮点", "Requirements", "requirements", "Benefits", "benefits")
 _RANGE = r"(\d{4}[.\-/年]\d{1,2})月?\s*(?:[-–—~～]+|至|到)\s*(\d{4}[.\-/年]\d{1,2}|至今|[Pp]resent)"
@@ -171,3 +172,15 @@ def salary_label(low: Column, high: Column, months: Column | None = None) -> Col
     k = lambda x: F.bround(x / 1000, 0).cast("int")
     label = compact_range(k(low), k(high), "K")
     return label if months is None else F.when(months > 12, F.concat(label, F.lit("·"), months.cast("string"), F.lit("薪"))).otherwise(label)
+
+
+def retag(stored: DataFrame, flat: DataFrame, as_of: Column) -> tuple[DataFrame, DataFrame]:
+    """(openings whose tags, roles or text a new normalisation changes, tag counts by category before and after).
+
+    The first carries ``changed``, the names of what differs; writing it, and refreshing its vectors, is up to the caller.
+    """
+    now = normalize_jobs(flat, as_of)
+    watched = lambda df: df.select("*", F.transform("tags", lambda t: F.concat_ws(":", t["category"], t["name"])).alias("tag_names"), F.col("filter_facets.role_categories").alias("role_names"), F.col("basic_info.summary").alias("payload"))
+    changed = changed_rows(watched(stored), watched(now), "id", ["tag_names", "role_names", "payload"])
+    long = lambda df: df.select(F.explode("tags").alias("t")).select("t.category")
+    return changed.drop("tag_names", "role_names", "payload"), tag_counts(long(stored), long(now))

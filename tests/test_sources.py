@@ -47,6 +47,24 @@ def test_normalized_jobs_fit_the_schema(spark, tmp_path):
     assert again["basic_info"]["title"] == "Better title" and [s["name"] for s in again["skill_requirements"]["required"]] == ["Go"]
 
 
+def test_retag_reports_changes_only(spark, tmp_path):
+    flat = records.map_boards(records.read_jobs_json(spark, write(tmp_path / "j.json", [STANDARD, BOARD_A])))
+    stored = normalize.normalize_jobs(flat, F.lit(DAY))
+    old = stored.withColumn("tags", F.when(F.col("id") == "7", F.slice("tags", 1, 1)).otherwise(F.col("tags")))
+    changed, counts = normalize.retag(old, flat, F.lit(DAY))
+    assert [(r["id"], r["changed"]) for r in changed.collect()] == [("7", ["tag_names"])]
+    assert any(r["n_after"] > r["n_before"] for r in counts.collect())
+
+
+def test_import_counts(spark):
+    t = lambda *r: spark.createDataFrame(r, "id string, v int, u string").select("id", "v", F.col("u").cast("timestamp").alias("updated_at"))
+    store, jobs = t(("a", 1, "2026-01-01"), ("b", 1, "2026-01-01")), t(("b", 2, "2026-01-02"), ("b", 3, "2026-01-03"), ("c", 1, "2026-01-01"))
+    table, counts = maintain.import_jobs(store, jobs)
+    assert sorted((r["id"], r["v"]) for r in table.collect()) == [("a", 1), ("b", 3), ("c", 1)]
+    assert {r["status"]: r["n"] for r in counts.collect()} == {"new": 1, "updated": 1, "kept": 1}
+    assert sorted(r["id"] for r in maintain.import_jobs(store, jobs, replace=True)[0].collect()) == ["b", "c"]
+
+
 def test_dump(spark, tmp_path):
     cells = ["11"] + ["x"] * 12 + ["Java开发", "Acme", "上海", "全职", r"line one\nline two", "y", "http://x.org/1", r"\N"]
     (tmp_path / "dump.txt").write_text("COPY public.jobs (id) FROM stdin;\n" + "\t".join(cells) + "\nshort\tline\n\\.\n")
