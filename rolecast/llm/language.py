@@ -127,9 +127,10 @@ def _argmax(scores: Column, languages: list[str]) -> Column:
 def _shares(guessed: DataFrame, seen: str, languages: list[str], strength: float = 1.0) -> DataFrame:
     """(seen, array of log P(seen | language)): counts with ``strength`` spread over all values seen."""
     n = guessed.filter(F.col(seen).isNotNull()).groupBy(seen).pivot("guess", languages).count().fillna(0, languages)
-    totals = n.agg(F.count(F.lit(1)).alias("values"), *[F.sum(c).alias(f"all_{c}") for c in languages])
-    one = [F.log((F.col(c) + F.lit(strength) / F.col("values")) / (F.col(f"all_{c}") + F.lit(strength))) for c in languages]
-    return n.crossJoin(F.broadcast(totals)).select(F.col(seen).alias(f"{seen}_key"), F.array(*one).alias(f"{seen}_evidence"))  # totals: one row
+    totals = n.agg(F.count(F.lit(1)).alias("values"), *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in languages]).first()
+    spread = strength / max(1, totals["values"])
+    one = [F.log((F.col(c) + F.lit(spread)) / F.lit(totals[c] + strength)) for c in languages]
+    return n.select(F.col(seen).alias(f"{seen}_key"), F.array(*one).alias(f"{seen}_evidence"))
 
 
 def host_priors(guessed: DataFrame, languages: list[str], strength: float = 10.0) -> DataFrame:
@@ -142,9 +143,10 @@ def host_priors(guessed: DataFrame, languages: list[str], strength: float = 10.0
         return level.select(*keys, *[((F.col(c) + strength * a) / (n + strength)).alias(f"p_{c}") for c, a in zip(languages, above)])
 
     names = [f"p_{c}" for c in languages]
-    overall = smooth(by_host.agg(*sums), [F.lit(1.0 / len(languages))] * len(languages), [])
-    tops = by_host.groupBy("top").agg(*sums).crossJoin(F.broadcast(overall))  # one row
-    tops = smooth(tops, [F.col(c) for c in names], ["top"])
+    totals = by_host.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in languages]).first()
+    n_all = sum(totals)
+    overall = [(totals[c] + strength / len(languages)) / (n_all + strength) for c in languages]
+    tops = smooth(by_host.groupBy("top").agg(*sums), [F.lit(p) for p in overall], ["top"])
     domains = smooth(by_host.groupBy("domain", "top").agg(*sums).join(tops, "top"), [F.col(c) for c in names], ["domain"])
     hosts = smooth(by_host.join(domains, "domain"), [F.col(c) for c in names], ["host"])
     return hosts.select(F.col("host").alias("host_key"), F.array(*[F.log(c) for c in names]).alias("host_evidence"))

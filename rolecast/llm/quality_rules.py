@@ -121,14 +121,15 @@ def quality_verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     rates = cut(with_rates(measures(docs, id_col, text_col, lang_col, source_col)))
     box = cut(fences(sketches(rates)))
     bounds = [f"{side}_{r}" for r in RATES for side in ("low", "high")]
-    pick = lambda level: box.filter((F.col("level") == level) & ((F.col("n") >= min_group) | F.lit(level == 2))).select(
+    pick = lambda level: box.filter((F.col("level") == level) & (F.col("n") >= min_group)).select(
         F.col("lang").alias(f"l{level}"), F.col("source").alias(f"s{level}"), F.lit(True).alias(f"has{level}"), *[F.col(b).alias(f"{b}_{level}") for b in bounds]
     )
     out = rates.join(pick(0), F.col("lang").eqNullSafe(F.col("l0")) & F.col("source").eqNullSafe(F.col("s0")), "left")
     out = out.join(pick(1), F.col("lang").eqNullSafe(F.col("l1")), "left")
-    out = out.join(pick(2), F.lit(True) == F.col("has2"), "left")  # one row
+    overall = box.filter("level = 2").first()  # one row, or none if no text passes its base checks
     for b in bounds:
-        out = out.withColumn(b, F.when(F.col("has0"), F.col(f"{b}_0")).when(F.col("has1"), F.col(f"{b}_1")).otherwise(F.col(f"{b}_2")))
+        rest = F.lit(overall[b] if overall else None).cast("double")
+        out = out.withColumn(b, F.when(F.col("has0"), F.col(f"{b}_0")).when(F.col("has1"), F.col(f"{b}_1")).otherwise(rest))
     fine = ~F.col("base_failed")
     for r in RATES:
         fine &= F.coalesce(F.col(r).between(F.col(f"low_{r}"), F.col(f"high_{r}")), F.lit(True))
