@@ -58,8 +58,8 @@ def job_skill_rows(jobs: DataFrame) -> DataFrame:
     return rows.withColumn("norm", skills.normalize_skill(F.col("skill")))
 
 
-def prepare_resumes(resumes: DataFrame, as_of: Column) -> DataFrame:
-    """One row a person with all that scoring reads of them; ``owned`` are the canonical skills."""
+def prepare_resumes(resumes: DataFrame, as_of: Column, index: DataFrame | None = None) -> DataFrame:
+    """One row a person with all that scoring reads of them; ``owned`` are the canonical skills (of ``index``, if there)."""
     c, f = F.col, F.col("filter_facets")
     rows = normalize.resume_years(resumes, as_of)
     info, work, projects = c("basic_info"), F.coalesce("work_experiences", F.array()), F.coalesce("projects", F.array())
@@ -76,7 +76,7 @@ def prepare_resumes(resumes: DataFrame, as_of: Column) -> DataFrame:
         facets.resume_roles(f["role_categories"], info["current_title"], info["summary"], c("raw_text"), F.array_join(F.slice(names, 1, 16), " ")).alias("resume_roles"), _direction(c("tags")).alias("resume_tags"),
         skills.directional_signals(F.concat(F.array(F.coalesce(info["current_title"], F.lit(""))), F.slice(names, 1, 24))).alias("resume_signals"),
     )
-    owned = K.candidate_skill_index(resumes).groupBy("resume_id").agg(F.collect_set("norm").alias("owned"))
+    owned = (K.candidate_skill_index(resumes) if index is None else index).groupBy("resume_id").agg(F.collect_set("norm").alias("owned"))
     return out.join(owned, "resume_id", "left").withColumn("owned", F.coalesce("owned", text.strings()))
 
 
@@ -112,7 +112,7 @@ def score_pairs(pairs: DataFrame, jobs: DataFrame, resumes: DataFrame, wishes: D
     index, asked = K.candidate_skill_index(resumes), job_skill_rows(jobs)
     semantic = K.semantic_hits(pairs.select("resume_id", "job_id").join(asked, "job_id"), index, skill_vectors, cfg) if skill_vectors is not None else None
     skill = K.skill_scores(K.pair_skills(pairs, asked, index, semantic))
-    rows = pairs.join(prepare_jobs(jobs).withColumn("known", F.lit(True)), "job_id", "left").join(prepare_resumes(resumes, as_of), "resume_id").join(skill, ["resume_id", "job_id"], "left")
+    rows = pairs.join(prepare_jobs(jobs).withColumn("known", F.lit(True)), "job_id", "left").join(prepare_resumes(resumes, as_of, index), "resume_id").join(skill, ["resume_id", "job_id"], "left")
     none, no_int = text.strings(), F.lit(None)
     if wishes is not None:
         w = filters.normalize_filters(wishes)
