@@ -117,18 +117,23 @@ def skill_scores(rows: DataFrame) -> DataFrame:
     An optional group is its best ``min_required`` skills, padded with 0. Matched and missing are the required names in order.
     """
     key = ["resume_id", "job_id"]
-    rank = F.row_number().over(W.partitionBy(*key, "group_pos").orderBy(F.desc("score"), "pos"))
     n = F.greatest(F.coalesce("min_required", F.lit(1)), F.lit(1))
-    groups = rows.filter("kind = 'optional'").withColumn("rn", rank).withColumn("n", n).filter("rn <= n").groupBy(*key, "group_pos").agg((F.sum("score") / F.max("n")).alias("g"))
-    optional = groups.groupBy(*key).agg(F.avg("g").alias("optional"))
+    asked = F.array_sort(F.collect_list(F.when(F.col("kind") == "optional", F.struct("group_pos", (-F.col("score")).alias("order"), "pos", "score", n.alias("n")))))
     names = lambda hit: F.transform(F.array_sort(F.collect_list(F.when((F.col("kind") == "required") & (F.col("hit") == hit), F.struct("pos", "skill")))), lambda x: x["skill"])
     weight = F.when(F.coalesce("weight", F.lit(0)) == 0, 1.0).otherwise(F.col("weight").cast("double"))
-    rest = rows.groupBy(*key).agg(
+    out = rows.groupBy(*key).agg(
         F.avg(F.when(F.col("kind") == "required", F.col("score"))).alias("required"), F.avg(F.when((F.col("kind") == "required") & (F.col("pos") <= 2), F.col("score"))).alias("primary"),
         (F.sum(F.when(F.col("kind") == "bonus", F.col("score") * weight)) / F.sum(F.when(F.col("kind") == "bonus", weight))).alias("bonus"), F.count_if(F.col("kind") == "required").alias("n_required"),
-        names(True).alias("matched"), names(False).alias("missing"),
+        names(True).alias("matched"), names(False).alias("missing"), asked.alias("asked"),
     )
-    return rest.join(optional, key, "left")
+    total = lambda items: F.aggregate(items, F.lit(0.0), lambda a, x: a + x)
+
+    def group(g):
+        best = F.filter(F.filter("asked", lambda x: x["group_pos"] == g), lambda x, i: i < x["n"])
+        return F.try_divide(total(F.transform(best, lambda x: x["score"])), F.array_max(F.transform(best, lambda x: x["n"])))
+
+    groups = F.transform(F.array_distinct(F.transform("asked", lambda x: x["group_pos"])), group)
+    return out.withColumn("optional", F.when(F.size("asked") > 0, F.try_divide(total(groups), F.size(groups)))).drop("asked")
 
 
 def skill_match(required, optional, bonus, cfg: MatchConfig = DEFAULT):
