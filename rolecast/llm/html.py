@@ -9,6 +9,10 @@ The weights come from labelled pages: those whose markup names the main text (``
 each word whether it lies within. A grouped count over a bounded sample of them gives the odds of every tag
 name and of the words in class and id attributes; the counts start from fixed ones for well-known names, so
 that names which the sample never shows have weights as well.
+
+A name that is surely outside rules an element out, but a class is also used for layout and topics. So words
+such as those in ``overflow-hidden`` or ``category-legal`` don't count, nor does any class of html, body and main; and
+on the elements that hold the page's own main text a class or id rules out nothing (``text_holders``).
 """
 
 from __future__ import annotations
@@ -30,8 +34,9 @@ INSIDE = ("article", "main", "p", "h1", "h2", "h3", "h4", "h5", "h6", "blockquot
 OUTSIDE = (
     "nav", "header", "footer", "aside", "form", "script", "style", "noscript", "template", "menu", "button", "select", "option", "textarea", "input", "label", "iframe", "svg", "dialog", "title", "head",
     "ad", "ads", "adv", "advert", "adverts", "advertisement", "advertising", "sponsored", "sponsor", "promo", "promotion", "banner", "sidebar", "side", "navbar", "navigation", "navi", "menus", "topbar", "masthead", "breadcrumb", "breadcrumbs", "pagination", "pager",
-    "cookie", "cookies", "consent", "gdpr", "notice", "notices", "alert", "popup", "modal", "overlay", "disclaimer", "copyright", "legal", "comment", "comments", "reply", "replies", "respond", "disqus", "discussion", "related", "recommended", "recommendations", "share", "sharing", "social", "subscribe", "subscription", "newsletter", "signup", "login", "search", "widget", "toolbar", "hidden", "skip", "tags", "contentinfo", "complementary",
+    "cookie", "cookies", "consent", "gdpr", "notice", "notices", "alert", "popup", "modal", "overlay", "disclaimer", "copyright", "legal", "comment", "comments", "reply", "replies", "respond", "disqus", "discussion", "related", "recommended", "recommendations", "share", "sharing", "social", "subscribe", "subscription", "newsletter", "signup", "login", "search", "widget", "toolbar", "hidden", "[hidden]", "skip", "tags", "contentinfo", "complementary",
 )
+_INSIDE = frozenset(INSIDE)
 KNOWN = 3000.0
 SMOOTH = 5.0
 TAG_SCORE = -0.6
@@ -51,19 +56,28 @@ _CONTAINERS = frozenset("article main div section td".split())
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>", re.S)
 _NAMES = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-_HIDDEN = re.compile(r"\bhidden(?=[\s/=]|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
+_HIDDEN = re.compile(r"aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
+_HIDDEN_BARE = re.compile(r"(?:^|\s)hidden(?=[\s/=]|$)", re.I)
+_QUOTED = re.compile(r"\"[^\"]*\"|'[^']*'")
+#: A class of several words that begins with one of these tells layout or topic, not what an element is.
+MODIFIERS = frozenset("category cat tag topic overflow has no not with without layout template".split())
+#: Elements whose classes say nothing about whether they are main text.
+_PLAIN = frozenset("html body main".split())
 _SPLIT = re.compile(r"[^a-z0-9]+|(?<=[a-z])(?=[0-9])")
 _SPACE = re.compile(r"\s+")
 
 
 def element_names(tag: str, attributes: str) -> tuple[str, ...]:
-    """What an element is called: its tag, the words of its class, id and role, and 'hidden'."""
+    """What an element is called: its tag, the words of its class, id and role without modifiers, and '[hidden]'."""
     names = {tag}
-    if attributes:
-        for _, a, b, c in _NAMES.findall(attributes):
-            names |= set(_SPLIT.split((a or b or c).lower())) - {""}
-        if _HIDDEN.search(attributes):
-            names.add("hidden")
+    if attributes and tag not in ("html", "body"):
+        for _, a, b, c in _NAMES.findall(attributes) if tag not in _PLAIN else ():
+            for part in (a or b or c).lower().split():
+                words = [w for w in _SPLIT.split(part) if w]
+                if len(words) < 2 or not (":" in part or words[0] in MODIFIERS or words[-2:] == ["right", "sidebar"] or words[-2:] == ["left", "sidebar"]):
+                    names.update(words)
+        if "hidden" in attributes.lower() and _HIDDEN_BARE.search(_QUOTED.sub("''", attributes)) or _HIDDEN.search(attributes):
+            names.add("[hidden]")
     return tuple(sorted(names))
 
 
@@ -169,42 +183,122 @@ def weights_of(counts: dict[str, tuple[float, float]]) -> dict[str, float]:
     return {n: math.log((a + SMOOTH) / (b + SMOOTH)) for n, (a, b) in total.items()}
 
 
-def scores_at(stack: list, weights: dict[str, float], memo: dict) -> tuple[float, float, bool]:
+def scores_at(key: tuple[tuple[str, tuple[str, ...]], ...], weights: dict[str, float], memo: dict) -> tuple[float, float, bool]:
     """(score of a word, score of a tag, whether words are part of the text) between these open elements.
 
     A word has its elements' log-odds, between -1 and 1. One element that is surely outside decides: -3, or 0
     where it stands within an element that is surely main text, as what is put into an article doesn't end it.
     """
-    key = tuple(names for _, names in stack)
     if key not in memo:
-        odds = [[weights[n] for n in names if n in weights] for names in key]
+        odds = [[weights[n] for n in names if n in weights] for _, names in key]
         flat = [o for x in odds for o in x]
-        sure = next((i for i, (tag, _) in enumerate(stack) if tag in _CONTAINERS and max(odds[i], default=0.0) >= 3 and min(odds[i]) > -3), len(stack))
-        out = next((i for i, x in enumerate(odds) if min(x, default=0.0) <= -3), len(stack))
-        inner = sure < len(stack) and sure < out
+        sure = next((i for i, (tag, _) in enumerate(key) if tag in _CONTAINERS and max(odds[i], default=0.0) >= 3 and min(odds[i]) > -3), len(key))
+        out = next((i for i, x in enumerate(odds) if min(x, default=0.0) <= -3), len(key))
+        inner = sure < len(key) and sure < out
         total = sum(max(-2.0, min(2.0, o)) for o in flat) / (1 + 0.5 * len(flat))
-        if out < len(stack):
+        if out < len(key):
             word = 0.0 if inner else -3.0
         else:
             word = max(0.1 if inner else -1.0, min(1.0, 0.3 + total))
-        memo[key] = (word, TAG_SCORE * (0.05 if inner else 1.0), out == len(stack) and word > 0)
+        memo[key] = (word, TAG_SCORE * (0.05 if inner else 1.0), out == len(key) and word > 0)
     return memo[key]
 
 
+def _freed(element: tuple[str, tuple[str, ...]], weights: dict[str, float]) -> tuple[str, tuple[str, ...]]:
+    """The element without the names of its class and id that rule it out; a form may hold a whole page."""
+    tag, names = element
+    return tag, tuple(n for n in names if weights.get(n, 0.0) > -3 or n == "[hidden]" or (n == tag and tag != "form"))
+
+
+def _kind(element: tuple[str, tuple[str, ...]]) -> str:
+    """How an element may name the main text: 'main', 'article', 'other' (a class or id) or ''."""
+    tag, names = element
+    if tag in ("main", "article"):
+        return tag
+    return "other" if tag in _CONTAINERS and any(n in _INSIDE and n != tag for n in names) else ""
+
+
+def text_holders(events: list[tuple], weights: dict[str, float], memo: dict) -> dict[int, tuple[str, tuple[str, ...]]]:
+    """{id of an open element: what it is called instead} for those that hold the page's own main text.
+
+    The page's main text is its largest main; in it, or without one, its largest outermost article (its own classes come first, and one that is ruled in counts three times); without either,
+    or beside a smaller article, an element named for text that has over half of the page's words. Elements that are hidden, or within a nav,
+    aside or the like, are never it. An article and those of the same names lose the classes that rule them out if
+    one of them names text, or else, as does what holds an article, if the article has no fewer words than stand ruled
+    in elsewhere, those within a surely main element counted three times.
+    """
+
+    def suspect(key: tuple) -> bool:
+        bad = False
+        for e in key:
+            bad = bad or _freed(e, weights) != e
+            if bad and _kind(e):
+                return True
+        return False
+
+    if not any(memo[k] if (k := ("holds", key)) in memo else memo.setdefault(k, suspect(key)) for _, text, key in events if text is not None):
+        return {}
+    counted = [(len(text.split()), key) for _, text, key in events if text is not None]
+    hard = lambda e: "[hidden]" in e[1] or (e[0] != "form" and weights.get(e[0], 0.0) <= -3)
+    new: dict[int, tuple[str, tuple[str, ...]]] = {}
+
+    def largest(kind: str, within: int | None = None) -> tuple[tuple, int, int]:
+        """(path to the largest, its words, words ruled in outside all of this kind)"""
+        words, paths, rest = Counter(), {}, 0
+        for n, key in counted:
+            if within is not None and all(id(e) != within for e in key):
+                continue
+            at = next((i for i, e in enumerate(key) if _kind(e) == kind), None)
+            if at is None:
+                _, tag_score, ruled_in = scores_at(tuple(new.get(id(e), e) for e in key), weights, memo)
+                rest += n * (3 if tag_score > TAG_SCORE else 1) if ruled_in else 0
+            elif not any(map(hard, key[: at + 1])):
+                words[id(key[at])] += n
+                paths[id(key[at])] = key[: at + 1]
+        if not words:
+            return (), 0, rest
+
+        def rank(i: int) -> tuple[bool, int]:
+            own, free = paths[i][-1], scores_at(tuple(new.get(id(e), e) for e in paths[i]), weights, memo)[2]
+            named = _freed(own, weights) == own or any(n in _INSIDE and n != own[0] for n in own[1])
+            return named, words[i] * (3 if free else 1)
+
+        best = max(words, key=rank)  # the first of equals
+        return paths[best], words[best], rest
+
+    main, _, _ = largest("main")
+    new |= {id(e): _freed(e, weights) for e in main}
+    article, n, rest = largest("article", id(main[-1]) if main else None)
+    other, m, _ = largest("other") if not main else ((), 0, 0)
+    beaten = m > n and all(e is not other[-1] for e in article)
+    if article and not beaten and (n >= rest or any(x in _INSIDE for x in article[-1][1] if x != "article")):
+        same = {id(e) for _, key in counted for e in [next((x for x in key if x[0] == "article"), None)] if e and e[1] == article[-1][1]}
+        new |= {i: _freed(article[-1], weights) for i in same}
+        if n >= rest:
+            new |= {id(e): _freed(e, weights) for e in article}
+    elif 2 * m > sum(n for n, _ in counted):
+        new |= {id(e): _freed(e, weights) for e in other}
+    return new
+
+
 def extract(page: str | None, weights: dict[str, float], memo: dict | None = None) -> str:
     """The main text: blocks in page order joined by one \\n; '' for a null, empty or wordless page."""
     memo = {} if memo is None else memo
     pieces: list[str | None] = []  # text, '' where none counts, None at the edge of a block
     scores: list[float] = []
-    for tag, text, stack in tokens(page or ""):
+    events = [(tag, text, tuple(stack)) for tag, text, stack in tokens(page or "")]
+    new = text_holders(events, weights, memo)
+    if new:
+        events = [(tag, text, tuple(new.get(id(e), e) for e in key)) for tag, text, key in events]
+    for tag, text, key in events:
         if text is not None:
-            score, _, keep = scores_at(stack, weights, memo)
+            score, _, keep = scores_at(key, weights, memo)
             pieces.append(text if keep else "")
             scores.append(score * len(text.split()))
         else:
             name = tag.lstrip("/")
             pieces.append(None if name in BLOCKS else "")
-            scores.append(scores_at(stack, weights, memo)[1])
+            scores.append(scores_at(key, weights, memo)[1])
     best, best_from, best_to, total, start = 0.0, 0, 0, 0.0, 0
     for i, s in enumerate(scores):
         total += s

@@ -42,3 +42,36 @@ def test_weights_from_labelled_pages(spark):
     page = f'<article><div class="zone-a"><p>{WORDS}</p></div></article><div class="zone-b"><p>{WORDS}</p></div>'
     w = learn_weights(spark.createDataFrame([(page,)] * 20, "html string"))
     assert w["a"] > 2 and w["b"] < -2
+
+
+def test_classes_for_layout_and_topics_lose_no_page():
+    w = weights_of({})
+    text = f"<h1>Title</h1><p>{WORDS}</p>"
+    rest = '<nav><a>Home</a></nav><div class="advert">buy now</div>'
+    after = f'<div class="comments"><article class="comment"><p>Reader says {WORDS}</p></article></div><footer>end</footer>'
+    for head, tail in (
+        ('<body class="right-sidebar">' + rest + "<article>", "</article>"),
+        ('<body>' + rest + '<div class="overflow-hidden"><article>', "</article></div>"),
+        ('<body>' + rest + '<div class="overflow-hidden wide"><div class="post-content">', "</div></div>"),
+        ('<body>' + rest + '<main class="search-results">', "</main>"),
+        ('<body>' + rest + '<main class="search-results"><article class="post category-legal tag-newsletter">', "</article></main>"),
+        ('<body>' + rest + '<article class="post legal">', "</article>"),
+        ('<body>' + rest + '<form id="login"><div class="sidebar-layout social"><article>', "</article></div></form>"),
+        ('<body>' + rest + f'<div class="social wrap"><div class="entry-content"><p>{WORDS} {WORDS}</p>', "</div></div>"),
+    ):
+        got = extract(f"<html>{head}{text}{tail}{after}", w)
+        assert "Title\n" + WORDS in got and "Reader" not in got and "buy" not in got and "end" not in got, head
+
+
+def test_teasers_and_hidden_parts_stay_out():
+    w = weights_of({})
+    teasers = '<aside><article><p>teaser one of many</p></article></aside><div class="related"><article class="card"><p>teaser two of many</p></article></div>'
+    assert extract(f'<body><div class="post-content"><p>{WORDS}</p></div>{teasers}', w) == WORDS
+    assert extract(f"<body><div><p>{WORDS}</p></div>{teasers}", w) == WORDS
+    assert extract(f'<body><article><p>{WORDS}</p><div hidden>not shown</div><div aria-hidden="true">nor this</div></article><div hidden><article>{WORDS}</article></div>', w) == WORDS
+    assert extract(f'<body><article><div aria-hidden="false" class="overflow-hidden x"><p>{WORDS}</p></div></article>', w) == WORDS
+
+
+def test_lists_of_articles_with_like_classes():
+    item = f'<article class="post legal"><p>{WORDS}</p></article>'
+    assert extract(f"<body>{item * 3}", weights_of({})) == "\n".join([WORDS] * 3)
