@@ -1,7 +1,7 @@
 """Licence scans by canonical digests, with DataFrame functions only.
 
-A text is reduced to what matters for matching: lower case, words only, equivalent spellings made one, lines
-of copyright dropped, white space and line breaks made single blanks. Its digest joins the digests of known
+A text is reduced to what matters for matching: lower case, words only, equivalent spellings made one,
+statements of copyright dropped, white space and line breaks made single blanks. Its digest joins the digests of known
 licence texts, reduced by the same expression: a hash join of entire texts, no search within them. Single
 lines are looked up likewise among one-line notices, whose list is fixed and small.
 """
@@ -11,14 +11,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .license_texts import NOTICES, TEXTS
+from .license_texts import DIGESTS, NOTICES, TEXTS, UNLICENSE
 
 #: Fixed values: (spelling, what it counts as), on lower-case text, in this order.
 SPELLINGS = [("licence", "license"), ("sub-license", "sublicense"), ("non-infringement", "noninfringement"), ("organisation", "organization"), ("acknowledgement", "acknowledgment"), ("favour", "favor"), ("http://", "https://"), ("&", " and ")]
 #: Characters that are not part of words, line ends aside.
 NO_WORD = r"[^a-z0-9\n\x{80}-\x{10FFFF}]+"
-#: Canonical lines that only say whose the text is.
+#: Canonical lines that only say whose the text is, as the SQL has them; a hard wrap can give lines of a body such beginnings.
 COPYRIGHT = r"^(copyright|©|c [0-9]{4}|all rights reserved)"
+#: Words that follow 'copyright' in the body of a licence, not in a statement of whose it is.
+FOLLOWERS = "act also and any are as assignment at claims? dates? disclaimers? doctrines? except exists? for from grants? has holders? if in infringement information interests? is it laws? licen[cs](?:e|es|ed|ing|ors?) like lines? may means must names? notices? of office on or other owners? ownership patents? permissions? protections? registration resulting rights? shall similar so statements? status subsists? such terms? that those to treaty treaties under was which will with without works?"
+_FOLLOWER = rf"(?!(?:{FOLLOWERS.replace(' ', '|')}|the (?:library|program|software|work))(?: |$))"
+#: Canonical lines that are such a statement: copyright with (c) or a year, or with a holder's name in a short line.
+STATEMENT = rf"^(?:©|c [0-9]{{4}}|copyrights?(?: c(?: |$)| ?©| [0-9]{{4}})|copyrights? {_FOLLOWER}(?:\S+(?: \S+){{0,7}}$|.*\b[0-9]{{4}}\b)|all rights reserved$)"
 BROADCAST_ROWS = 100_000
 
 
@@ -32,7 +37,7 @@ def canonical_lines(text: Column) -> Column:
 
 
 def canonical_text(lines: Column) -> Column:
-    return F.array_join(F.filter(lines, lambda x: ~x.rlike(COPYRIGHT)), " ")
+    return F.array_join(F.filter(lines, lambda x: ~x.rlike(STATEMENT)), " ")
 
 
 def digest(canonical: Column) -> Column:
@@ -42,10 +47,11 @@ def digest(canonical: Column) -> Column:
 
 def known_licenses(spark: SparkSession, extra: DataFrame | None = None) -> DataFrame:
     """(digest, license_id) of the known texts and those of ``extra(license_id, text)``; the first id of equals."""
-    rows = spark.createDataFrame(TEXTS, "license_id string, text string")
+    rows = spark.createDataFrame([*TEXTS, *UNLICENSE], "license_id string, text string")
     if extra is not None:
         rows = rows.unionByName(extra.select("license_id", "text"))
-    return rows.select(digest(canonical_text(canonical_lines(F.col("text")))).alias("digest"), "license_id").filter("digest is not null").groupBy("digest").agg(F.min("license_id").alias("license_id"))
+    digests = rows.select(digest(canonical_text(canonical_lines(F.col("text")))).alias("digest"), "license_id")
+    return digests.unionByName(spark.createDataFrame(DIGESTS, "license_id string, digest string")).filter("digest is not null").groupBy("digest").agg(F.min("license_id").alias("license_id"))
 
 
 def notice_names(spark: SparkSession) -> dict[str, str]:

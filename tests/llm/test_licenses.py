@@ -1,6 +1,11 @@
+import os
+import re
+import textwrap
+
+import pytest
 from pyspark.sql import types as T
 
-from rolecast.llm.license_texts import NOTICES, TEXTS
+from rolecast.llm.license_texts import NOTICES, TEXTS, UNLICENSE
 from rolecast.llm.licenses import scan_licenses
 
 SCHEMA = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("license_id", T.StringType()), T.StructField("digest", T.StringType())])
@@ -29,3 +34,31 @@ def test_own_texts(spark):
     extra = spark.createDataFrame([("House-1", "Use it as you like.", 3)], "license_id string, text string, n int")
     out = scan_licenses(spark.createDataFrame([(1, "use it, as YOU like", "", "")], SCHEMA), extra=extra).collect()
     assert out[0]["license_id"] == "House-1"
+
+
+def wrapped(text, width):
+    return "\n\n".join(p if re.search(r"(?im)^\s*copyright (\(c\)|\[)", p) else textwrap.fill(p, width, break_long_words=False, break_on_hyphens=False) for p in re.split(r"\n\s*\n", text))
+
+
+def test_hard_wraps_change_nothing(spark):
+    head = "Copyright (c) 1998-2004 A. Holder\nCopyright The Project Authors\ncopyright jane doe\nCopyright A Rather Long List Of Holders, With Many Names, 1999\nAll rights reserved.\n\n"
+    rows = [(i, head + wrapped(t, w), n, None) for w in range(12, 101) for i, (n, t) in enumerate([*TEXTS, *UNLICENSE])]
+    assert any(line.lower().startswith("copyright notice and this permission") for _, t, *_ in rows for line in t.split("\n"))
+    names = [n for n, _ in [*TEXTS, *UNLICENSE]]
+    assert [(r["doc_id"], r["license_id"]) for r in scan_licenses(spark.createDataFrame(rows, SCHEMA)).collect() if r["license_id"] != names[r["doc_id"]]] == []
+
+
+def test_body_lines_are_not_statements(spark):
+    mit = dict(reversed(TEXTS))["MIT"]
+    rows = [(1, mit + "\ncopyright notices may be removed", None, None), (2, mit + "\nAll rights reserved except these.", None, None), (3, mit + "\nCopyright holders owe you a beer.", None, None)]
+    assert [r["license_id"] for r in scan_licenses(spark.createDataFrame(rows, SCHEMA)).collect()] == [None] * 3
+
+
+@pytest.mark.parametrize("width", [60, 72, 79])
+def test_long_licenses(spark, width):
+    folder, names = "/usr/share/common-licenses", {"Apache-2.0": "Apache-2.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2.1": "LGPL-2.1", "LGPL-3": "LGPL-3.0", "MPL-2.0": "MPL-2.0"}
+    if not all(os.path.exists(f"{folder}/{n}") for n in names):
+        pytest.skip("no licence texts on this machine")
+    texts = [open(f"{folder}/{n}", encoding="utf-8").read() for n in names]
+    rows = [(i, t, None, None) for i, x in enumerate(texts) for t in (x, wrapped(x, width))]
+    assert [r["license_id"] for r in scan_licenses(spark.createDataFrame(rows, SCHEMA)).orderBy("doc_id").collect()] == [n for n in names.values() for _ in (1, 2)]
