@@ -38,7 +38,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a language, or with one that is more likely wrong than right, go."""
+    """Documents without a language, of none that the corpus declares, of several, or of one more likely wrong than right, go."""
     keyed = _keyed(docs)
     return _without(keyed, identify_language(keyed, _KEY).filter("not kept"))
 

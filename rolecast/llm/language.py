@@ -10,10 +10,14 @@ All tables come from grouped aggregates that combine before the shuffle. The tex
 declaration, is what the other tables count, so that a wrong declaration is seen as one. Tables by host stay
 in Spark and are joined; only the trigram table and those by language come to the driver: languages are
 two- or three-letter codes, trigrams have ``BUCKETS`` buckets, so their size is bounded.
+
+The languages are those that some row declares. A text of another one, noise, or a text that mixes languages is
+told by a rival that no row declares: the better of even trigrams and an even mixture of all languages' tables.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,6 +32,8 @@ BUCKETS = 1 << 14
 #: Weight of a trigram's log-likelihood: neighbours overlap and repeat each other's evidence.
 TEMPER = 0.3
 UNKNOWN = "und"
+#: Share of texts of none of the declared languages, as it is before any text is seen.
+PRIOR_OTHER = 0.01
 
 
 def primary(code: Column) -> Column:
@@ -101,8 +107,13 @@ def trigram_table(rows: DataFrame, languages: list[str]) -> np.ndarray:
 
 
 def text_evidence(rows: DataFrame, languages: list[str], table: np.ndarray) -> DataFrame:
-    """rows with (n_trigrams, evidence): the tempered log-likelihood of each language, the text itself left out."""
+    """rows with (n_trigrams, evidence, other): the tempered log-likelihood of each language and of none, the text left out.
+
+    None is the better of even trigrams and, with two languages or more, their even mixture.
+    """
     small = table.astype(np.float32)
+    even = -np.log(BUCKETS)
+    mixed = np.log(np.exp(table).mean(0)).astype(np.float32) if len(languages) > 1 else None
     kinds = [(f.name, f.dataType.simpleString()) for f in rows.schema.fields if f.name != "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -112,12 +123,14 @@ def text_evidence(rows: DataFrame, languages: list[str], table: np.ndarray) -> D
                 doc, bucket = trigrams(texts.slice(a, z - a))
                 e = np.stack([np.bincount(doc, small[i][bucket], z - a) for i in range(len(languages))], 1) if languages else np.zeros((z - a, 0))
                 flat = pa.array(TEMPER * e.ravel())
+                n = np.bincount(doc, minlength=z - a)
+                other = even * n if mixed is None else np.maximum(even * n, np.bincount(doc, mixed[bucket], z - a))
                 ends = pa.array((np.arange(z - a + 1) * len(languages)).astype(np.int32))
                 cols = [batch.column(i).slice(a, z - a) for i in range(batch.num_columns - 1)]
-                yield pa.RecordBatch.from_arrays([*cols, pa.array(np.bincount(doc, minlength=z - a)), pa.ListArray.from_arrays(ends, flat)], [*(k for k, _ in kinds), "n_trigrams", "evidence"])
+                yield pa.RecordBatch.from_arrays([*cols, pa.array(n), pa.ListArray.from_arrays(ends, flat), pa.array(TEMPER * other)], [*(k for k, _ in kinds), "n_trigrams", "evidence", "other"])
 
     schema = ", ".join(f"`{k}` {t}" for k, t in kinds)
-    return map_batches(rows.select(*(k for k, _ in kinds), "text"), run, f"{schema}, n_trigrams long, evidence array<double>")
+    return map_batches(rows.select(*(k for k, _ in kinds), "text"), run, f"{schema}, n_trigrams long, evidence array<double>, other double")
 
 
 def _argmax(scores: Column, languages: list[str]) -> Column:
@@ -157,7 +170,8 @@ def identify_language(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     ``declared``, ``host`` and ``suffix`` are columns or expressions; None leaves that evidence out. kept is
     false for a text without a letter (language 'und', confidence 0), for a confidence below
-    ``min_confidence``, and, with ``keep``, for other languages. Null evidence says nothing. Corpora without
+    ``min_confidence``, for a text that is rather of no declared language, noise or a mixture (the confidence is among
+    the declared ones and doesn't tell), and, with ``keep``, for other languages. Null evidence says nothing. Corpora without
     any declared language give 'und' for all. Ties go to the language first in the alphabet. Repeated rows count as
     often as they stand; other columns are never read.
     """
@@ -185,8 +199,8 @@ def identify_language(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     share = 1 / F.aggregate("total", F.lit(0.0), lambda s, x: s + F.exp(x - F.col("top_score")))
     letters = F.col("n_trigrams") > 0
     language = F.when(letters, _argmax(F.col("total"), languages)).otherwise(UNKNOWN)
-    out = out.select("id", "declared", language.alias("language"), F.when(letters, F.round(share, 6)).otherwise(0.0).alias("confidence"), "n_trigrams")
-    kept = letters & (F.col("confidence") >= min_confidence)
+    out = out.select("id", "declared", language.alias("language"), F.when(letters, F.round(share, 6)).otherwise(0.0).alias("confidence"), "n_trigrams", (F.col("other") + math.log(PRIOR_OTHER) > F.array_max("evidence")).alias("none_fits"))
+    kept = letters & (F.col("confidence") >= min_confidence) & ~F.col("none_fits")
     if keep is not None:
         kept &= F.col("language").isin(*keep)
     return out.select(F.col("id").alias(id_col), "declared", "language", "confidence", "n_trigrams", kept.alias("kept"))

@@ -68,3 +68,17 @@ def test_each_stage_keeps_the_columns(spark, tmp_path):
         least[f] = min(least.get(f, 1 << 62), 1 << 62 if d is None else d)
     left = [r["doc_id"] for r in P.near_duplicates(spark, docs, str(tmp_path)).collect() if r["doc_id"] is not None]
     assert len(left) == len(set(left)) and set(left) <= set(least.values())
+
+
+def test_language_stage_rejects_other_texts(spark, tmp_path):
+    rnd = random.Random(3)
+    words = {"en": "the and of that this with from those there where which would people about through house".split(), "de": "der und nicht die ist sich auch über für wäre zwischen haben werden einen durch schon".split()}
+    say = lambda c, n=80: " ".join(rnd.choice(words[c]) for _ in range(n))
+    rows = [(i, say("de" if i % 4 == 0 else "en"), "de" if i % 4 == 0 else "en", f"s{i % 3}", 0) for i in range(2000)]
+    noise = " ".join("".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(80))
+    planted = [
+        (1000, noise, "en", "s1", 0), (1001, "это было давно и никто уже не помнит как всё началось " * 3, None, "s1", 0), (1002, "bir zamanlar küçük bir köyde yaşlı adam ile karısı yaşıyordu " * 3, "de", "s2", 0),
+        (1003, "昔々あるところにおじいさんとおばあさんが住んでいました " * 3, "en", "s0", 0), (1004, say("en", 100) + " " + say("de", 100), "en", "s1", 0),
+    ]
+    kept = P.language_id(spark, spark.createDataFrame(rows + planted, DOCS), str(tmp_path)).collect()
+    assert sorted(r["doc_id"] for r in kept) == list(range(2000))
