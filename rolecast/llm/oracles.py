@@ -79,17 +79,18 @@ FROM e LEFT JOIN k ON e.digest = k.digest"""
 
 def op9() -> str:
     raw = "'WARC/1.1' || chr(13) || chr(10) || 'WARC-Type: resource' || chr(13) || chr(10) || 'WARC-Record-ID: <urn:record:' || coalesce(CAST(page_id AS VARCHAR), '') || '>' || chr(13) || chr(10) || 'WARC-Target-URI: ' || coalesce(url, '') || chr(13) || chr(10) || 'Content-Type: text/html' || chr(13) || chr(10) || 'Content-Length: ' || strlen(coalesce(html, '')) || chr(13) || chr(10) || chr(13) || chr(10) || coalesce(html, '') || chr(13) || chr(10) || chr(13) || chr(10)"
-    copy = lambda name, source: f"""
-{name}_r AS (SELECT DISTINCT coalesce(page_id, -1) AS number, CAST(strlen({raw}) AS BIGINT) AS length, sha256({raw}) AS digest FROM {source}),
-{name}_c AS (SELECT *, CAST(floor(number / 1000.0) AS BIGINT) AS file, row_number() OVER (PARTITION BY number ORDER BY digest) AS copy FROM {name}_r),
-{name} AS (SELECT *, CAST(coalesce(sum(length) OVER (PARTITION BY file ORDER BY number, copy ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS off FROM {name}_c)"""
+    replica = lambda name, source: f"""
+{name} AS (SELECT number, digest, length, count(*) AS copies FROM (SELECT coalesce(page_id, -1) AS number, CAST(strlen({raw}) AS BIGINT) AS length, sha256({raw}) AS digest FROM {source}) GROUP BY ALL),
+{name}_at AS (SELECT number, CAST(coalesce(sum(size) OVER (PARTITION BY floor(number / 1000.0) ORDER BY number ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS off FROM (SELECT number, sum(length * copies) AS size FROM {name} GROUP BY number))"""
     return f"""
-WITH bad AS (SELECT page_id, url, CASE WHEN page_id % 101 = 7 THEN replace(html, 't', 'T') WHEN page_id % 307 = 11 THEN html[1:length(html) // 2] ELSE html END AS html FROM pages WHERE coalesce(page_id % 997 <> 3, true)),{copy("p", "pages")},{copy("q", "bad")}
-SELECT coalesce(p.number, q.number) AS number, coalesce(p.copy, q.copy) AS copy, coalesce(p.file, q.file) AS file,
-  CASE WHEN q.digest IS NULL THEN 'missing' WHEN p.digest IS NULL THEN 'extra' WHEN p.digest <> q.digest THEN 'corrupt' ELSE 'moved' END AS status,
-  p.off AS primary_offset, q.off AS replica_offset, p.length AS primary_length, q.length AS replica_length
-FROM p FULL JOIN q ON p.number = q.number AND p.copy = q.copy
-WHERE p.digest IS DISTINCT FROM q.digest OR p.off IS DISTINCT FROM q.off OR p.length IS DISTINCT FROM q.length"""
+WITH once AS (SELECT page_id, url, CASE WHEN page_id % 101 = 7 THEN replace(html, 't', 'T') WHEN page_id % 307 = 11 THEN html[1:length(html) // 2] ELSE html END AS html FROM pages WHERE coalesce(page_id % 997 <> 3, true)),
+bad AS (SELECT * FROM once UNION ALL SELECT * FROM once WHERE page_id % 503 = 9),{replica("p", "pages")},{replica("q", "bad")},
+d AS (SELECT coalesce(p.number, q.number) AS number, coalesce(p.copies, 0) - coalesce(q.copies, 0) AS gap, p.length AS pl, q.length AS ql FROM p FULL JOIN q ON p.number = q.number AND p.digest = q.digest WHERE p.copies IS DISTINCT FROM q.copies),
+n AS (SELECT number, sum(greatest(gap, 0)) = 1 AND sum(greatest(-gap, 0)) = 1 AS pair FROM d GROUP BY number),
+o AS (SELECT d.number, 'corrupt' AS status, 1 AS copies, max(CASE WHEN gap > 0 THEN pl END) AS pl, max(CASE WHEN gap < 0 THEN ql END) AS ql FROM d JOIN n ON d.number = n.number WHERE pair GROUP BY d.number
+  UNION ALL SELECT d.number, CASE WHEN gap > 0 THEN 'missing' ELSE 'extra' END, abs(gap), CASE WHEN gap > 0 THEN pl END, CASE WHEN gap < 0 THEN ql END FROM d JOIN n ON d.number = n.number WHERE NOT pair)
+SELECT o.number, CAST(floor(o.number / 1000.0) AS BIGINT) AS file, status, CAST(copies AS BIGINT) AS copies, p_at.off AS primary_offset, q_at.off AS replica_offset, pl AS primary_length, ql AS replica_length
+FROM o LEFT JOIN p_at ON o.number = p_at.number LEFT JOIN q_at ON o.number = q_at.number"""
 
 
 ORACLES = {"op3_quality_rules": op3(), "op4_winnowing": op4(), "op6_license_scan": op6(), "op9_warc_fixity": op9()}
