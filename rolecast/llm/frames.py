@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of text that a task turns into arrays at once. A longer text is still handled whole, alone.
 SLICE_BYTES = 1 << 20
@@ -17,22 +18,48 @@ BATCH_ROWS = 1000
 def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage through the folder in ``spark.checkpoint.dir``, which all executors share.
 
-    Where the setting is absent (tests on one machine), a new temporary folder is used.
+    Where the setting is absent, a new temporary folder serves a local master; on a cluster that is an error, as
+    executors could not read each other's files.
     """
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        place = df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoint-")
-        sc.setCheckpointDir(place)
+        place = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if place is None and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(place or tempfile.mkdtemp(prefix="spark-checkpoint-"))
     return df.checkpoint()
 
 
+#: A key with this share of all rows or more (and ``HOT_ROWS`` of them) is joined by broadcast; there are at most as many such keys.
+HOT_SHARE = 100_000
+HOT_ROWS = 1_000
+
+
+def fresh(name: str, taken: list[str]) -> str:
+    """The name, or it with underscores behind, so that no column of ``taken`` has it."""
+    low = {c.lower() for c in taken}
+    while name.lower() in low:
+        name += "_"
+    return name
+
+
+def join_hot(left: DataFrame, right: DataFrame, key: str, n: str, total: int) -> DataFrame:
+    """left joined with right, whose ``key`` is unique and whose column ``n`` counts the left rows of it, ``total`` in all.
+
+    Keys with many rows are joined by broadcast, as no more than ``HOT_SHARE`` of them can exist; the others, each
+    of which is small, by a shuffle. No task reads all rows of a hot key.
+    """
+    least = max(HOT_ROWS, total // HOT_SHARE)
+    hot, cold = right.filter(F.col(n) >= least).drop(n), right.filter(F.col(n) < least).drop(n)
+    few = F.broadcast(hot)
+    return left.join(few, key).unionByName(left.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold, key))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the input tables by Spark's own reader, so that any file system it knows will do."""
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-
-
 def map_batches(df: DataFrame, run, schema: str) -> DataFrame:
     """df.mapInArrow with batches of ``BATCH_ROWS`` rows at most: texts are long, and a task holds a few batches
     on either side of the pipe."""
@@ -54,9 +81,3 @@ def text_slices(texts: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int
             start, total = i + 1, 0
     if start < n:
         yield start, n
-
-
-def cores(spark: SparkSession) -> int:
-    return max(1, spark.sparkContext.defaultParallelism)
-
-

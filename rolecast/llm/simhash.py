@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .frames import cut, map_batches, text_slices
+from .frames import cut, join_hot, map_batches, text_slices
 from .graph import components
 
 #: Fixed values of the [23, 12] Golay code: its generator polynomial x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1.
@@ -268,19 +268,14 @@ def midpoints(fps: DataFrame) -> DataFrame:
     return spread.join(least.select("mid", "b"), "mid").filter("fp <> b").select(F.col("fp").alias("a"), "b").distinct()
 
 
-def link_fingerprints(fps: DataFrame, block: int = BLOCK, radius: int = RADIUS) -> DataFrame:
-    """Links (a, b) whose components are those of all fingerprints at distance ``radius`` or less, from distinct (fp)."""
-    if radius > RADIUS:
-        raise ValueError("the keys hold for four differing bits at most")
+def link_fingerprints(fps: DataFrame, block: int = BLOCK) -> DataFrame:
+    """Links (a, b) whose components are those of all fingerprints at distance ``RADIUS`` or less, from distinct (fp)."""
     keyed = fps.select("fp").mapInArrow(_key_rows, "key long, fp long")
     dealt = keyed.repartition("key").sortWithinPartitions("key")
-    found = cut(dealt.mapInArrow(_linker(block, radius), "a long, b long"))
+    found = cut(dealt.mapInArrow(_linker(block, RADIUS), "a long, b long"))
     links = found.filter("b is not null")
     large = found.filter("b is null").select(F.col("a").alias("fp")).distinct()
-    if not large.isEmpty():
-        more = midpoints(large)
-        links = links.unionByName(more if radius == RADIUS else more.filter(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius))
-    return links
+    return links if large.isEmpty() else links.unionByName(midpoints(large))
 
 
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, seed: int = 42, block: int = BLOCK) -> DataFrame:
@@ -289,14 +284,18 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     One row per row of ``docs``, repeated rows included; other columns are ignored. A null or empty text
     has fingerprint zero and links like any other. A row of null id takes part, but gives no component its
     id; a component of null ids only has a null component_id. An empty table gives no rows.
+
+    A fingerprint with many texts, and a component with many fingerprints, are no groups (``join_hot``).
     """
     prints = cut(fingerprints(docs, id_col, text_col, width, seed))
-    least = prints.groupBy("fp").agg(F.min("id").alias("least"))
-    least = cut(least)
-    roots = components(link_fingerprints(least))
-    named = least.join(roots, least["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    names = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_fp = named.join(names, "root").select("fp", "component_id")
-    return prints.join(by_fp, "fp").select(
+    least = cut(prints.groupBy("fp").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n")))
+    rows, nodes = least.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
+    roots = cut(components(link_fingerprints(least, block)).select(F.col("node").alias("fp"), "root"))
+    linked = least.join(roots, "fp")
+    names = linked.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("m"))
+    named = join_hot(linked, names, "root", "m", nodes).select("fp", "component_id", "n")
+    alone = least.join(roots, "fp", "left_anti").select("fp", F.col("least").alias("component_id"), "n")
+    by_fp = cut(named.unionByName(alone))
+    return join_hot(prints, by_fp, "fp", "n", rows).select(
         F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
