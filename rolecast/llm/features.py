@@ -181,11 +181,11 @@ def vectors(docs: DataFrame, chosen: np.ndarray, form: bool) -> DataFrame:
     return map_batches(rows, run, "label int, at array<int>, n array<int>")
 
 
-def scored(docs: DataFrame, text_col: str, chosen: np.ndarray, weights: np.ndarray, bias: float, form: bool) -> DataFrame:
-    """docs with ``score``: logistic of the bias and the weights times log(1 + count), over every whole text."""
+def scored(docs: DataFrame, text_col: str, chosen: np.ndarray, weights: np.ndarray, bias: float, form: bool, score_col: str = "score") -> DataFrame:
+    """docs with ``score_col``, which no column of docs may be called: logistic of the bias and the weights times log(1 + count), over every whole text."""
     order = np.argsort(chosen)
     chosen, weights = chosen[order], weights[order]
-    kept = [f for f in docs.schema.fields if f.name != "score"]
+    kept = docs.schema.fields
     text_at = [f.name for f in kept].index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -196,7 +196,7 @@ def scored(docs: DataFrame, text_col: str, chosen: np.ndarray, weights: np.ndarr
                 doc, num, n = look.rows(texts.slice(a, z - a), form)
                 s = bias + (np.bincount(doc, weights[num] * np.log1p(n), z - a) if len(doc) else np.zeros(z - a))
                 p = 1 / (1 + np.exp(-np.clip(s, -40, 40)))
-                yield pa.RecordBatch.from_arrays([*batch.slice(a, z - a).columns, pa.array(p)], [*(f.name for f in kept), "score"])
+                yield pa.RecordBatch.from_arrays([*batch.slice(a, z - a).columns, pa.array(p)], [*(f.name for f in kept), score_col])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
-    return map_batches(docs.select(*[F.col(f"`{f.name}`") for f in kept]), run, f"{schema}, score double")
+    return map_batches(docs.select(*[F.col(f"`{f.name}`") for f in kept]), run, f"{schema}, `{score_col}` double")

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .features import Lookup, all_features, scored
-from .frames import cut
+from .frames import cut, fresh
 from .training import adam, choose, held_out, labelled_sample, matrix, sigmoid
 
 #: Identity terms by kind; terms of one kind are swapped for each other.
@@ -36,35 +36,34 @@ def term_features() -> dict[str, np.ndarray]:
     return {t: np.unique(h[row == i]) for i, t in enumerate(names)}
 
 
-def swaps(counts: np.ndarray, look: Lookup) -> np.ndarray:
-    """Differences of feature values between texts and their copies with one identity term swapped.
+def swaps(counts: np.ndarray, look: Lookup) -> tuple[np.ndarray, int]:
+    """(sum of d d^T, number of d), where d is the difference between a text and its copy with one identity term swapped.
 
-    A text that has a term gives one row for each such term and each of a few targets; each pair of terms of
-    one kind, and each term and a neutral one, give a row as in an otherwise empty text.
+    Every text of the sample that has a term gives a d for each such term and each of a few targets, all occurrences
+    swapped; each pair of terms of one kind, and each term and a neutral one, give a d as in an otherwise empty text.
     """
     number = {t: look.find(h)[1] for t, h in term_features().items()}
-    rows = []
-
-    def vector(t: str) -> np.ndarray:
-        v = np.zeros(counts.shape[1], np.float32)
-        v[number[t]] = 1
-        return v
-
+    total, n = np.zeros((counts.shape[1], counts.shape[1])), 0
     for kind in IDENTITY_TERMS.values():
         for i, a in enumerate(kind):
-            targets = (kind[(i + 1) % len(kind)], kind[(i + 2) % len(kind)], NEUTRAL_TERMS[i % len(NEUTRAL_TERMS)])
-            rows += [np.log1p(vector(a)) - np.log1p(vector(b)) for b in targets]
+            has = np.zeros((1, counts.shape[1]), np.float32)
+            has[0, number[a]] = 1
             if len(number[a]):
-                has = counts[(counts[:, number[a]] > 0).all(1)][:200]
-                for b in targets:
-                    rows += [np.log1p(x) - np.log1p(np.maximum(x - vector(a), 0) + vector(b)) for x in has]
-    rows = [r for r in rows if r.any()]
-    return np.stack(rows) if rows else np.zeros((0, counts.shape[1]), np.float32)
+                has = np.concatenate([has, counts[(counts[:, number[a]] > 0).all(1)]])
+            times = has[:, number[a]].min(1, keepdims=True) if len(number[a]) else np.ones((1, 1), np.float32)  # the whole word is its rarest feature
+            for b in (kind[(i + 1) % len(kind)], kind[(i + 2) % len(kind)], NEUTRAL_TERMS[i % len(NEUTRAL_TERMS)]):
+                at = np.union1d(number[a], number[b])
+                new = has[:, at] + times * (np.isin(at, number[b]).astype(np.float32) - np.isin(at, number[a]))
+                d = np.log1p(has[:, at]) - np.log1p(new)
+                total[np.ix_(at, at)] += d.T @ d
+                n += int(d.any(1).sum())
+    return total, n
 
 
 def fit(counts: np.ndarray, labels: np.ndarray, chosen: np.ndarray, penalty: float = 3.0, ridge: float = 1e-3, steps: int = 250) -> tuple[np.ndarray, float]:
     """(weights, bias). Classes weigh alike by half: rare toxic texts count more, yet the prior still shows."""
-    x, d = np.log1p(counts), swaps(counts, Lookup(chosen))
+    x, (d, n) = np.log1p(counts), swaps(counts, Lookup(chosen))
+    d = (penalty / max(1, n) * d).astype(np.float32)
     share = min(max(labels.mean(), 1e-3), 1 - 1e-3)
     weight = np.where(labels == 1, np.sqrt(0.5 / share), np.sqrt(0.5 / (1 - share)))
     weight /= weight.sum()
@@ -72,17 +71,14 @@ def fit(counts: np.ndarray, labels: np.ndarray, chosen: np.ndarray, penalty: flo
     def gradient(w: np.ndarray) -> np.ndarray:
         r = (weight * (sigmoid(x @ w[:-1].astype(np.float32) + w[-1]) - labels)).astype(np.float32)
         g = np.append(x.T @ r, r.sum()).astype(np.float64)
-        g[:-1] += ridge * w[:-1]
-        if len(d):
-            g[:-1] += penalty * (d.T @ (d @ w[:-1].astype(np.float32))) / len(d)
-        return g
+        return g + np.append(ridge * w[:-1] + d @ w[:-1].astype(np.float32), 0.0)
 
     w = adam(gradient, x.shape[1] + 1, steps)
     return w[:-1], float(w[-1])
 
 
 def toxicity_model(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: str = "toxic", max_rows: int = 8000, features: int = 1024) -> tuple[np.ndarray, np.ndarray, float]:
-    """(features, weights, bias) from at most ``max_rows`` labelled rows that aren't held out."""
+    """(features, weights, bias) from at most ``max_rows`` labelled ids that aren't held out, a text each."""
     sample = cut(labelled_sample(docs, labels, label, max_rows, id_col, text_col))
     chosen = choose(sample, features, form=False)
     chosen = np.unique(np.concatenate([chosen, *term_features().values()]))
@@ -108,4 +104,5 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
 def reject_toxic(docs: DataFrame, labels: DataFrame, text_col: str = "text", threshold: float = 0.5, **training) -> DataFrame:
     """The rows of docs, whole, whose score is below the threshold."""
     model = toxicity_model(docs, labels, text_col=text_col, **training)
-    return scored(docs, text_col, *model, form=False).filter(F.col("score") < threshold).select(*[F.col(f"`{c}`") for c in docs.columns])
+    score = fresh("score", docs.columns)
+    return scored(docs, text_col, *model, form=False, score_col=score).filter(F.col(score) < threshold).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -14,10 +14,16 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == 0, F.lit(True))
 
 
+def _one_text(rows: DataFrame, ids: DataFrame, *more: str) -> DataFrame:
+    """(sample_id, text, more) of the ids in both: of an id that stands several times, the text of the least hash."""
+    found = rows.join(F.broadcast(ids), "sample_id")  # ids: at most max_rows
+    return found.groupBy("sample_id", *more).agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, max_rows: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(label, text) of at most ``max_rows`` labelled rows that aren't held out, the same ones on every run.
+    """(sample_id, label, text) of at most ``max_rows`` labelled ids that aren't held out, one row each, the same ones on every run.
 
-    Ids with contradicting labels, and null labels, are left out; an id that stands twice in docs counts twice.
+    Ids with contradicting labels, and null labels, are left out.
     """
     known = (
         labels.filter(F.col(label).isNotNull() & ~held_out(id_col))
@@ -28,16 +34,14 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, max_rows: in
         .limit(max_rows)
         .select("sample_id", "label")
     )
-    rows = docs.select(F.col(id_col).alias("sample_id"), F.col(text_col).alias("text"))
-    return rows.join(F.broadcast(known), "sample_id").select("label", "text")  # at most max_rows ids and labels
+    return _one_text(docs.select(F.col(id_col).alias("sample_id"), F.col(text_col).cast("string").alias("text")), known, "label")
 
 
 def unlabelled_sample(docs: DataFrame, max_rows: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(text) of at most ``max_rows`` rows that aren't held out, whatever their labels."""
+    """(sample_id, text) of at most ``max_rows`` ids that aren't held out, one row each, whatever their labels."""
     ids = docs.filter(~held_out(id_col)).select(F.col(id_col).alias("sample_id")).distinct()
     ids = ids.orderBy(F.xxhash64("sample_id", F.lit(7)), "sample_id").limit(max_rows)
-    rows = docs.select(F.col(id_col).alias("sample_id"), F.col(text_col).alias("text"))
-    return rows.join(F.broadcast(ids), "sample_id").select("text")
+    return _one_text(docs.select(F.col(id_col).alias("sample_id"), F.col(text_col).cast("string").alias("text")), ids)
 
 
 def choose(sample: DataFrame, most: int, form: bool, least_texts: int = 3) -> np.ndarray:

@@ -81,7 +81,54 @@ def test_class_prior():
     rnd = np.random.default_rng(2)
     p = rnd.normal(3, 1, 4000)
     u = np.concatenate([rnd.normal(3, 1, 2800), rnd.normal(-3, 1, 1200)])
-    assert abs(quality_model.class_prior(p, u) - 0.7) < 0.06
+    bins = [np.bincount(quality_model.bin_of(training.sigmoid(x)), minlength=quality_model.BINS) for x in (p, u)]
+    assert abs(quality_model.class_prior(*bins) - 0.7) < 0.06
+
+
+def test_swaps_against_a_loop():
+    """Every text of the sample with a term, all occurrences swapped; held against texts swapped as words."""
+    terms = toxicity.term_features()
+    chosen = np.unique(np.concatenate(list(terms.values())))
+    look = features.Lookup(chosen)
+
+    def vector(text):
+        v = np.zeros(len(chosen), np.float64)
+        _, num, n = look.rows(pa.array([text]), form=False)
+        v[num] = n
+        return v
+
+    texts = ["muslim and muslim said", "women met gay men", "no term", "old old old"] * 80
+    total, n = toxicity.swaps(np.stack([vector(t) for t in texts]).astype(np.float32), look)
+    want, count = np.zeros_like(total), 0
+    for kind in toxicity.IDENTITY_TERMS.values():
+        for i, a in enumerate(kind):
+            for b in (kind[(i + 1) % len(kind)], kind[(i + 2) % len(kind)], toxicity.NEUTRAL_TERMS[i % len(toxicity.NEUTRAL_TERMS)]):
+                for t in [a, *(t for t in texts if a in t.split())]:
+                    d = np.log1p(vector(t)) - np.log1p(vector(" ".join(b if w == a else w for w in t.split())))
+                    want += np.outer(d, d)
+                    count += 1
+    assert n == count and np.allclose(total, want, atol=1e-3)
+
+
+def test_risk_against_its_definition():
+    """The fit's weights have a smaller non-negative PU risk, computed plainly, than others nearby."""
+    rnd = np.random.default_rng(5)
+    p, u = rnd.poisson(2, (300, 3)), np.concatenate([rnd.poisson(2, (300, 3)), rnd.poisson(0.3, (300, 3))])
+    w, bias = quality_model.fit(p.astype(np.float32), u.astype(np.float32), 0.5, ridge=0.0)
+
+    def risk(w, bias):
+        sig = lambda x: np.array([1 / (1 + np.exp(-(sum(a * np.log1p(c) for a, c in zip(w, row)) + bias))) for row in x])
+        return 0.5 * (1 - sig(p)).mean() + max(0.0, sig(u).mean() - 0.5 * sig(p).mean())
+
+    assert all(risk(w, bias) <= risk(w + d, bias + e) + 0.01 for d, e in ((0.3, 0), (-0.3, 0), (0, 0.5), (0, -0.5), (0.2, -0.4)))
+
+
+def test_repeated_ids_do_not_grow_the_sample(spark):
+    docs = spark.createDataFrame([(1, f"text {i}") for i in range(500)] + [(2, "a"), (3, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0), (3, 0)], "doc_id long, toxic int")
+    ids = {r["sample_id"] for r in training.labelled_sample(docs, labels, "toxic", 10).collect()}
+    assert training.labelled_sample(docs, labels, "toxic", 10).count() == len(ids) <= 3
+    assert training.unlabelled_sample(docs, 10).count() <= 3
 
 
 def test_features_are_the_words(spark):
