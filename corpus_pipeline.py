@@ -11,25 +11,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rolecast.llm.frames import cut, table
+from rolecast.llm.frames import cut, fresh, table
 from rolecast.llm.language import identify_language
 from rolecast.llm.sentencepiece_codec import encode
 from rolecast.llm.simhash import simhash_components
 from rolecast.llm.toxicity import reject_toxic
 from rolecast.llm.winnow import contamination
 
-_KEY = "__row_key"
 BROADCAST_KEYS = 1_000_000
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.withColumn(_KEY, F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns], F.lit(0)))
+def _keyed(docs: DataFrame) -> tuple[DataFrame, str]:
+    """docs with the hash of each row's columns, and that column's name, which no column of docs has."""
+    key = fresh("__row_key", docs.columns)
+    plain = [F.to_json(F.struct(F.col(f"`{f.name}`"))) if "map<" in f.dataType.simpleString() else F.col(f"`{f.name}`") for f in docs.schema.fields]
+    return docs.withColumn(key, F.xxhash64(*plain, F.lit(0))), key
 
 
-def _without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
+def _without(docs: DataFrame, rejected: DataFrame, key: str) -> DataFrame:
     """docs without the rejected keys; up to ``BROADCAST_KEYS`` of them (8 bytes each) spare the texts a shuffle."""
-    keys = cut(rejected.select(_KEY).distinct())
-    return docs.join(F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys, _KEY, "left_anti").drop(_KEY)
+    keys = cut(rejected.select(key).distinct())
+    return docs.join(F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys, key, "left_anti")
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,25 +41,25 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a language, of none that the corpus declares, of several, or of one more likely wrong than right, go."""
-    keyed = _keyed(docs)
-    return _without(keyed, identify_language(keyed, _KEY).filter("not kept"))
+    keyed, key = _keyed(docs)
+    return _without(keyed, identify_language(keyed, key).filter("not kept"), key).drop(key)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component the document of the least id stays (of equal ids or none, the one of the least key)."""
-    keyed = _keyed(docs)
-    named = keyed.select(F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("id"), F.col(_KEY).alias("key")).alias("row"), "text")
+    keyed, key = _keyed(docs)
+    named = keyed.select(F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("id"), F.col(key).alias("key")).alias("row"), "text")
     found = cut(simhash_components(named, "row"))
-    out = _without(keyed, found.filter("row <> component_id").select(F.col("row.key").alias(_KEY)))
-    if found.groupBy("row").count().filter("count > 1").isEmpty():
-        return out
-    return out.dropDuplicates()
+    out = _without(keyed, found.filter("row <> component_id").select(F.col("row.key").alias(key)), key)
+    if not found.groupBy("row").count().filter("count > 1").isEmpty():
+        out = out.dropDuplicates([key]).select(*[F.col(f"`{c}`").alias(c) for c in out.columns])  # columns of their own, not those of docs
+    return out.drop(key)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that share a window of words with a benchmark item go."""
-    keyed = _keyed(docs)
-    return _without(keyed, contamination(keyed, table(spark, sf_dir, "benchmark"), _KEY).filter("contaminated"))
+    keyed, key = _keyed(docs)
+    return _without(keyed, contamination(keyed, table(spark, sf_dir, "benchmark"), key).filter("contaminated"), key).drop(key)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
