@@ -8,8 +8,8 @@
 
 All tables come from grouped aggregates that combine before the shuffle. The text's own first guess, not the
 declaration, is what the other tables count, so that a wrong declaration is seen as one. Tables by host stay
-in Spark and are joined; only the trigram table and those by language come to the driver: languages are
-two- or three-letter codes, trigrams have ``BUCKETS`` buckets, so their size is bounded.
+in Spark and are joined; only the trigram table and those by language come to the driver: at most
+``MAX_LANGUAGES`` languages, the most declared ones, have tables, and trigrams ``BUCKETS`` buckets, so their size is bounded.
 
 The languages are those that some row declares. A text of another one, noise, or a text that mixes languages is
 told by a rival that no row declares: the better of even trigrams and an even mixture of all languages' tables.
@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .frames import cut, map_batches, text_slices
+from .frames import cut, join_hot, map_batches, text_slices
 from .tokens import letter_words, text_bytes
 
 BUCKETS = 1 << 14
@@ -34,6 +34,8 @@ TEMPER = 0.3
 UNKNOWN = "und"
 #: Share of texts of none of the declared languages, as it is before any text is seen.
 PRIOR_OTHER = 0.01
+#: Languages that get a table, those declared most; it has BUCKETS cells each, 8 bytes a cell.
+MAX_LANGUAGES = 128
 
 
 def primary(code: Column) -> Column:
@@ -47,8 +49,8 @@ def host_of(url: Column) -> Column:
 
 
 def domain_of(host: Column) -> Column:
-    """The last two labels of a host name."""
-    return F.regexp_extract(host, r"([^.]+\.[^.]+)$|^([^.]+)$", 0)
+    """The last two labels of a host name, or three where the last is a country's and the one before a class such as co or ac."""
+    return F.regexp_extract(host, r"([^.]+\.(?:co|com|net|org|ac|edu|gov|or|ne|go|gob|gouv)\.[a-z]{2}|[^.]+\.[^.]+)$|^([^.]+)$", 0)
 
 
 def suffix_of(url: Column) -> Column:
@@ -147,8 +149,8 @@ def _shares(guessed: DataFrame, seen: str, languages: list[str], strength: float
 
 
 def host_priors(guessed: DataFrame, languages: list[str], strength: float = 10.0) -> DataFrame:
-    """(host, array of log P(language | host)), each level smoothed by ``strength`` counts of the one above."""
-    by_host = guessed.groupBy("host", "domain", "top").pivot("guess", languages).count().fillna(0, languages)
+    """(host, texts, array of log P(language | host)), each level smoothed by ``strength`` counts of the one above."""
+    by_host = guessed.groupBy("host", "domain", "top").pivot("guess", languages).count().fillna(0, languages).withColumn("texts", sum((F.col(c) for c in languages), F.lit(0)))
     sums = [F.sum(c).alias(c) for c in languages]
 
     def smooth(level: DataFrame, above: list[Column], keys: list[str]) -> DataFrame:
@@ -161,17 +163,18 @@ def host_priors(guessed: DataFrame, languages: list[str], strength: float = 10.0
     overall = [(totals[c] + strength / len(languages)) / (n_all + strength) for c in languages]
     tops = smooth(by_host.groupBy("top").agg(*sums), [F.lit(p) for p in overall], ["top"])
     domains = smooth(by_host.groupBy("domain", "top").agg(*sums).join(tops, "top"), [F.col(c) for c in names], ["domain"])
-    hosts = smooth(by_host.join(domains, "domain"), [F.col(c) for c in names], ["host"])
-    return hosts.select(F.col("host").alias("host_key"), F.array(*[F.log(c) for c in names]).alias("host_evidence"))
+    hosts = smooth(by_host.join(domains, "domain"), [F.col(c) for c in names], ["host", "texts"])
+    return hosts.select("host", "texts", F.array(*[F.log(c) for c in names]).alias("host_evidence"))
 
 
-def identify_language(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", declared: str | Column | None = "lang", host: str | Column | None = "source", suffix: Column | None = None, min_confidence: float = 0.5, keep: tuple[str, ...] | None = None) -> DataFrame:
+def identify_language(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", declared: str | Column | None = "lang", host: str | Column | None = "source", suffix: Column | None = None, min_confidence: float = 0.5, keep: tuple[str, ...] | None = None, max_languages: int = MAX_LANGUAGES) -> DataFrame:
     """id, declared, language, confidence (6 digits), n_trigrams, kept: one row for each row of docs.
 
     ``declared``, ``host`` and ``suffix`` are columns or expressions; None leaves that evidence out. kept is
     false for a text without a letter (language 'und', confidence 0), for a confidence below
     ``min_confidence``, for a text that is rather of no declared language, noise or a mixture (the confidence is among
-    the declared ones and doesn't tell), and, with ``keep``, for other languages. Null evidence says nothing. Corpora without
+    the declared ones and doesn't tell), and, with ``keep``, for other languages. Null evidence says nothing. At most ``max_languages`` languages, those
+    that most rows declare, are told apart; the rarer ones are no declared language. Corpora without
     any declared language give 'und' for all. Ties go to the language first in the alphabet. Repeated rows count as
     often as they stand; other columns are never read.
     """
@@ -180,7 +183,8 @@ def identify_language(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     rows = docs.select(
         F.col(id_col).alias("id"), primary(col(declared)).alias("declared"), F.coalesce(F.lower(col(host).cast("string")), F.lit("")).alias("host"), col(suffix).alias("suffix"), F.col(text_col).cast("string").alias("text")
     )
-    languages = sorted(r["declared"] for r in rows.select("declared").filter("declared is not null").distinct().collect())  # 18,252 codes at most
+    most = rows.filter("declared is not null").groupBy("declared").count().orderBy(F.desc("count"), "declared").limit(max_languages)
+    languages = sorted(r["declared"] for r in most.collect())
     if not languages:
         return rows.select(F.col("id").alias(id_col), "declared", F.lit(UNKNOWN).alias("language"), F.lit(0.0).alias("confidence"), F.lit(0).cast("long").alias("n_trigrams"), F.lit(False).alias("kept"))
     table = trigram_table(rows.select("declared", "text"), languages)
@@ -188,7 +192,10 @@ def identify_language(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     guessed = seen.filter("n_trigrams > 0").select(
         "host", domain_of(F.col("host")).alias("domain"), F.regexp_extract("host", r"([^.]+)$", 1).alias("top"), "declared", "suffix", _argmax(F.col("evidence"), languages).alias("guess")
     )
-    out = seen.join(host_priors(guessed, languages), F.col("host") == F.col("host_key"), "left")
+    priors = cut(host_priors(guessed, languages))
+    texts = priors.agg(F.sum("texts")).first()[0] or 0
+    no_text = seen.filter("n_trigrams = 0").withColumn("host_evidence", F.lit(None).cast("array<double>"))  # nothing is concluded from their host
+    out = join_hot(seen.filter("n_trigrams > 0"), priors, "host", "texts", texts).unionByName(no_text)
     for name in ("declared", "suffix"):
         out = out.join(_shares(guessed, name, languages), F.col(name) == F.col(f"{name}_key"), "left")
     zero = F.array_repeat(F.lit(0.0), len(languages))

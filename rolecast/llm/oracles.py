@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from .license_texts import NOTICES, TEXTS
 from .licenses import COPYRIGHT, SPELLINGS
-from .quality_rules import GAMMA, MIN_GROUP, RATES
+from .quality_rules import GAMMA, RATES, STRENGTH
 
 _ASCII_LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -32,9 +32,9 @@ FROM d LEFT JOIN cov ON d.rid = cov.rid LEFT JOIN names ON d.rid = names.rid"""
 
 def op3() -> str:
     rates = " UNION ALL ".join(f"SELECT lang, source, '{r}' AS rate, {r} AS x FROM r WHERE NOT base_failed" for r in RATES)
-    slack = "CASE rate " + " ".join(f"WHEN '{r}' THEN {s}E0" for r, s in RATES.items()) + " END"
-    sides = ", ".join(f"max(CASE WHEN rate = '{r}' THEN q1 - 3 * (q3 - q1) - {s}E0 END) AS low_{r}, max(CASE WHEN rate = '{r}' THEN q3 + 3 * (q3 - q1) + {s}E0 END) AS high_{r}" for r, s in RATES.items())
-    fine = " AND ".join(f"coalesce(r.{r} BETWEEN coalesce(g.low_{r}, l.low_{r}, o.low_{r}) AND coalesce(g.high_{r}, l.high_{r}, o.high_{r}), true)" for r in RATES)
+    sides = ", ".join(f"max(CASE WHEN rate = '{r}' THEN q1 - (3 * (q3 - q1) + {s}E0) END) AS low_{r}, max(CASE WHEN rate = '{r}' THEN q3 + (3 * (q3 - q1) + {s}E0) END) AS high_{r}" for r, s in RATES.items())
+    drawn = lambda q, n, above: f"({n}.n * {n}.{q} + {STRENGTH}::DOUBLE * {above}.{q}) / ({n}.n + {STRENGTH}::DOUBLE) AS {q}"
+    fine = " AND ".join(f"coalesce(r.{r} BETWEEN f.low_{r} AND f.high_{r}, true)" for r in RATES)
     word = r"[^\x20\x09-\x0D]"
     return f"""
 WITH d AS (SELECT doc_id, lang, source, row_number() OVER () AS rid, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{word}+') AS w FROM documents),
@@ -53,10 +53,11 @@ s AS (SELECT 0 AS level, lang, source, rate, bucket, count(*) AS n FROM b GROUP
 u AS (SELECT *, sum(n) OVER (PARTITION BY level, lang, source, rate ORDER BY bucket) AS upto, sum(n) OVER (PARTITION BY level, lang, source, rate) AS total,
   CASE WHEN bucket = -1000000 THEN 0 ELSE 2 * pow({GAMMA}::DOUBLE, bucket) / ({GAMMA}::DOUBLE + 1) END AS v FROM s),
 q AS (SELECT level, lang, source, rate, max(total) AS n, min(CASE WHEN upto >= total * 0.25 THEN v END) AS q1, min(CASE WHEN upto >= total * 0.75 THEN v END) AS q3 FROM u GROUP BY ALL),
-f AS (SELECT level, lang, source, max(n) AS n, {sides} FROM q GROUP BY ALL)
+ql AS (SELECT a.lang, a.rate, {drawn("q1", "a", "o")}, {drawn("q3", "a", "o")} FROM q a JOIN q o ON a.level = 1 AND o.level = 2 AND a.rate = o.rate),
+qg AS (SELECT g.lang, g.source, g.rate, {drawn("q1", "g", "l")}, {drawn("q3", "g", "l")} FROM q g JOIN ql l ON g.level = 0 AND g.lang IS NOT DISTINCT FROM l.lang AND g.rate = l.rate),
+f AS (SELECT lang, source, {sides} FROM qg GROUP BY lang, source)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND {fine} AS kept
-FROM r LEFT JOIN f g ON g.level = 0 AND g.n >= {MIN_GROUP} AND g.lang IS NOT DISTINCT FROM r.lang AND g.source IS NOT DISTINCT FROM r.source
-LEFT JOIN f l ON l.level = 1 AND l.n >= {MIN_GROUP} AND l.lang IS NOT DISTINCT FROM r.lang LEFT JOIN f o ON o.level = 2"""
+FROM r LEFT JOIN f ON f.lang IS NOT DISTINCT FROM r.lang AND f.source IS NOT DISTINCT FROM r.source"""
 
 
 def op6() -> str:

@@ -3,8 +3,9 @@
 Measures of every whole text are counted in one pass. A sketch of a measure is a histogram over buckets
 whose bounds grow by ``GAMMA``: any quantile is known within about one per cent, and two sketches merge by
 adding counts. So a grouped count, combined before the shuffle, makes the sketches of all (language, source)
-groups, of the languages, and of everything, without a group ever being in one place. A group with fewer than
-``min_group`` texts uses its language's sketch, and a small language the overall one.
+groups, of the languages, and of everything, without a group ever being in one place. A group's quartiles are
+drawn towards its language's, and those towards the overall ones, as if ``strength`` texts of the wider group were in it: so
+a small group borrows its thresholds and a large one has its own, without a step between.
 
 A text is kept if its base checks hold and each rate lies within the fences of its group: from
 q25 - 3 (q75 - q25) - slack to q75 + 3 (q75 - q25) + slack.
@@ -21,11 +22,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .features import line_counts
-from .frames import cut, map_batches, text_slices
+from .frames import cut, join_hot, map_batches, text_slices
 from .tokens import grams, mix, space_words, whole, words
 
 GAMMA = 1.02
-MIN_GROUP = 200
+#: Texts of the wider group that count into a narrower one.
+STRENGTH = 200.0
 REPEAT_WINDOW = 8
 #: Rates that get fences, and the slack that a rate may have beyond them.
 RATES = {"mean_word": 1.0, "symbols": 0.1, "dup_lines": 0.05, "repeats": 0.1}
@@ -96,41 +98,43 @@ def sketches(rates: DataFrame) -> DataFrame:
     )
 
 
-def fences(sketch: DataFrame) -> DataFrame:
-    """(level, lang, source, n, and low_ and high_ of each rate) from the merged sketches."""
+def quartiles(sketch: DataFrame) -> DataFrame:
+    """(level, lang, source, rate, n, q1, q3) from the merged sketches."""
     group = W.partitionBy("level", "lang", "source", "rate")
     upto = group.orderBy("bucket").rowsBetween(W.unboundedPreceding, 0)
     value = F.when(F.col("bucket") == -1_000_000, F.lit(0.0)).otherwise(F.lit(2.0) * F.pow(F.lit(GAMMA), F.col("bucket")) / F.lit(GAMMA + 1))
     ranked = sketch.withColumns({"upto": F.sum("n").over(upto), "total": F.sum("n").over(group), "value": value})
     at = lambda q: F.min(F.when(F.col("upto") >= F.col("total") * q, F.col("value")))
-    box = ranked.groupBy("level", "lang", "source", "rate").agg(F.first("total").alias("n"), at(0.25).alias("q1"), at(0.75).alias("q3"))
+    return ranked.groupBy("level", "lang", "source", "rate").agg(F.first("total").alias("n"), at(0.25).alias("q1"), at(0.75).alias("q3"))
+
+
+def fences(box: DataFrame, strength: float = STRENGTH) -> DataFrame:
+    """(lang, source, texts, and low_ and high_ of each rate) of each language and source."""
+    level = lambda i, *keys: box.filter(F.col("level") == i).select(*keys, "rate", *[F.col(c).alias(f"{c}_{i}") for c in ("n", "q1", "q3")])
+    drawn = lambda q, i, above: (F.col(f"n_{i}") * F.col(f"{q}_{i}") + F.lit(strength) * above) / (F.col(f"n_{i}") + F.lit(strength))
+    langs = level(1, F.col("lang").alias("l")).join(F.broadcast(level(2)), "rate")  # one row a rate
+    langs = langs.select("l", "rate", *[drawn(q, 1, F.col(f"{q}_2")).alias(f"{q}_lang") for q in ("q1", "q3")])
+    groups = level(0, "lang", "source").join(langs.withColumnRenamed("rate", "r"), F.col("lang").eqNullSafe(F.col("l")) & (F.col("rate") == F.col("r")))
+    groups = groups.select("lang", "source", "rate", F.col("n_0").alias("n"), *[drawn(q, 0, F.col(f"{q}_lang")).alias(q) for q in ("q1", "q3")])
     slack = F.element_at(F.create_map(*[F.lit(x) for kv in RATES.items() for x in kv]), F.col("rate"))
     reach = 3 * (F.col("q3") - F.col("q1")) + slack
-    box = box.withColumns({"low": F.col("q1") - reach, "high": F.col("q3") + reach})
-    return box.groupBy("level", "lang", "source").agg(
-        F.max("n").alias("n"), *[F.max(F.when(F.col("rate") == r, F.col(side))).alias(f"{side}_{r}") for r in RATES for side in ("low", "high")]
-    )
+    groups = groups.withColumns({"low": F.col("q1") - reach, "high": F.col("q3") + reach})
+    return groups.groupBy("lang", "source").agg(F.max("n").alias("texts"), *[F.max(F.when(F.col("rate") == r, F.col(side))).alias(f"{side}_{r}") for r in RATES for side in ("low", "high")])
 
 
-def quality_verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", min_group: int = MIN_GROUP) -> DataFrame:
+def quality_verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", strength: float = STRENGTH) -> DataFrame:
     """id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept: a row for each of docs.
 
     Null or empty texts have no words and fail. Null languages and sources are groups of their own. Repeated
     rows count as often as they stand; other columns are never read. An empty table gives no rows.
     """
     rates = cut(with_rates(measures(docs, id_col, text_col, lang_col, source_col)))
-    box = cut(fences(sketches(rates)))
-    bounds = [f"{side}_{r}" for r in RATES for side in ("low", "high")]
-    pick = lambda level: box.filter((F.col("level") == level) & (F.col("n") >= min_group)).select(
-        F.col("lang").alias(f"l{level}"), F.col("source").alias(f"s{level}"), F.lit(True).alias(f"has{level}"), *[F.col(b).alias(f"{b}_{level}") for b in bounds]
-    )
-    out = rates.join(pick(0), F.col("lang").eqNullSafe(F.col("l0")) & F.col("source").eqNullSafe(F.col("s0")), "left")
-    out = out.join(pick(1), F.col("lang").eqNullSafe(F.col("l1")), "left")
-    overall = box.filter("level = 2").first()  # one row, or none if no text passes its base checks
-    for b in bounds:
-        rest = F.lit(overall[b] if overall else None).cast("double")
-        out = out.withColumn(b, F.when(F.col("has0"), F.col(f"{b}_0")).when(F.col("has1"), F.col(f"{b}_1")).otherwise(rest))
-    fine = ~F.col("base_failed")
+    # A group's name as one string, so that null and any text are told apart and a hot group can be joined by broadcast.
+    name = F.to_json(F.struct("lang", "source"))
+    box = cut(fences(quartiles(sketches(rates)), strength).withColumn("name", name))
+    fine = F.lit(True)
     for r in RATES:
         fine &= F.coalesce(F.col(r).between(F.col(f"low_{r}"), F.col(f"high_{r}")), F.lit(True))
-    return out.select(F.col("id").alias(id_col), *_COUNTS, "base_failed", fine.alias("kept"))
+    passed = join_hot(rates.filter(~F.col("base_failed")).withColumn("name", name), box.drop("lang", "source"), "name", "texts", box.agg(F.sum("texts")).first()[0] or 0)
+    verdicts = passed.select("id", *_COUNTS, "base_failed", fine.alias("kept")).unionByName(rates.filter("base_failed").select("id", *_COUNTS, "base_failed", F.lit(False).alias("kept")))
+    return verdicts.withColumnRenamed("id", id_col)

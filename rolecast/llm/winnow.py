@@ -89,7 +89,7 @@ class Index:
         h, item = rows["hash"].to_numpy().view(np.uint64), rows["item"].to_numpy(zero_copy_only=False)
         self.prints = np.unique(h[kind == 1])
         win = kind == 0
-        self.ids, number = np.unique(item[win].astype(str), return_inverse=True) if win.any() else (np.zeros(0, str), np.zeros(0, np.int64))
+        self.ids, number = np.unique(item[win], return_inverse=True)  # Python strings, however long some are
         self.by_size = {}
         for s in np.unique(size[win]):
             one = size[win] == s

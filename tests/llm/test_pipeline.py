@@ -62,6 +62,12 @@ def test_each_stage_keeps_the_columns(spark, tmp_path):
         assert kept.exceptAll(docs).isEmpty(), name
         empty = stage(spark, docs.limit(0), str(tmp_path))
         assert empty.isEmpty() and empty.columns == docs.columns
+    clash = docs.limit(60).selectExpr("*", "'a' as score", "1 as __row_key", "2 as row", "map('k', text) as m", "cast(null as string) as nothing").persist()
+    for name, stage in P.STAGES[:-1]:
+        kept = stage(spark, clash, str(tmp_path))
+        assert kept.columns == clash.columns, name
+        if not kept.isEmpty():
+            assert {(r["score"], r["__row_key"], r["row"], r["nothing"]) for r in kept.collect()} == {("a", 1, 2, None)}, name
     least = {}
     for d, t, *_ in rows:
         f = S.text_fingerprint(t)

@@ -23,7 +23,7 @@ def counts(text):
     return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text or "")), dup, len(hit)
 
 
-def brute(rows, min_group):
+def brute(rows, strength):
     data = []
     for d, t, lang, source in rows:
         c = counts(t)
@@ -31,24 +31,22 @@ def brute(rows, min_group):
         failed = c[0] < 20 or 100 * c[4] > 30 * c[0]
         data.append((d, lang, source, c, failed, (c[1] / n, c[2] / n, c[3] / n, c[4] / n)))
 
-    def box(members, r):
+    def quartiles(members, r):
         xs = sorted(int(np.ceil(np.log(m[5][r]) / np.log(Q.GAMMA))) if m[5][r] > 0 else -1_000_000 for m in members)
         val = lambda b: 0.0 if b == -1_000_000 else 2 * Q.GAMMA**b / (Q.GAMMA + 1)
-        q1, q3 = (val(xs[int(np.ceil(q * len(xs))) - 1]) for q in (0.25, 0.75))
+        return [val(xs[int(np.ceil(q * len(xs))) - 1]) for q in (0.25, 0.75)]
+
+    def drawn(members, r, above):
+        return [(len(members) * q + strength * a) / (len(members) + strength) for q, a in zip(quartiles(members, r), above)]
+
+    def box(m, r):
+        by_lang = drawn([x for x in ok if x[1] == m[1]], r, quartiles(ok, r))
+        q1, q3 = drawn([x for x in ok if x[1:3] == m[1:3]], r, by_lang)
         reach = 3 * (q3 - q1) + list(Q.RATES.values())[r]
         return q1 - reach, q3 + reach
 
     ok = [m for m in data if not m[4]]
-    out = []
-    for m in data:
-        group = [x for x in ok if x[1:3] == m[1:3]]
-        if len(group) < min_group:
-            group = [x for x in ok if x[1] == m[1]]
-        if len(group) < min_group:
-            group = ok
-        kept = not m[4] and all(box(group, r)[0] <= m[5][r] <= box(group, r)[1] for r in range(4))
-        out.append((m[0], *m[3], m[4], kept))
-    return sorted(out, key=str)
+    return sorted([(m[0], *m[3], m[4], not m[4] and all(box(m, r)[0] <= m[5][r] <= box(m, r)[1] for r in range(4))) for m in data], key=str)
 
 
 def cases():
@@ -67,7 +65,7 @@ def cases():
 def test_against_plain_counting(spark):
     rows = cases()
     df = spark.createDataFrame([(*r, "clash", 1) for r in rows], SCHEMA).repartition(3)
-    out = Q.quality_verdicts(df, min_group=30)
+    out = Q.quality_verdicts(df, strength=30.0)
     assert out.columns == ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
     got = sorted(map(tuple, out.collect()), key=str)
     assert got == brute(rows, 30)

@@ -70,3 +70,13 @@ def test_empty_tables(spark):
     out = contamination(spark.createDataFrame([(1, "a b", "c")], DOCS), none).collect()
     assert [tuple(r) for r in out] == brute([(1, "a b")], [])
     assert contamination(spark.createDataFrame([], DOCS), spark.createDataFrame(items, ITEMS)).collect() == []
+
+
+def test_long_item_ids_take_no_more_than_their_bytes():
+    import pyarrow as pa
+
+    ids = [f"i{i}" for i in range(1000)] + ["x" * 200_000]
+    from rolecast.llm.winnow import Index
+
+    index = Index(pa.table({"item": ids, "hash": list(range(1001)), "size": pa.array([10] * 1001, pa.int32()), "kind": pa.array([0] * 1001, pa.int32())}))
+    assert index.ids.dtype == object and list(index.ids) == sorted(ids)
