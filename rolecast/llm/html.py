@@ -6,13 +6,18 @@ the greatest sum. Inside it, words whose own score is not positive (an advert be
 list) are left out, and blocks become lines.
 
 The weights come from labelled pages: those whose markup names the main text (``article`` or ``main``) say of
-each word whether it lies within. A grouped count over a bounded sample of them gives the odds of every tag
-name and of the words in class and id attributes; the counts start from fixed ones for well-known names, so
-that names which the sample never shows have weights as well.
+each word whether it lies within. A grouped count over a bounded sample of them gives the odds of every tag and of
+every word in class and id attributes (written ``.word``); the counts start from fixed ones for well-known names, so that
+names which the sample never shows have weights as well. The fixed counts are large where pages put parts into their
+article that aren't its text (adverts, comments, forms), as such labels can't tell; the names that may mean a topic as well
+(``SOFT``) have small ones, which the sample overrules and which decide nothing alone.
 
 A name that is surely outside rules an element out, but a class is also used for layout and topics. So words
 such as those in ``overflow-hidden`` or ``category-legal`` don't count, nor does any class of html, body and main; and
 on the elements that hold the page's own main text a class or id rules out nothing (``text_holders``).
+
+Elements are nodes with their parent's number; what a word scores is carried down from parent to child, and tags are found
+by position, so time is linear in the page however deep it is and whatever its quotes.
 """
 
 from __future__ import annotations
@@ -22,22 +27,25 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .frames import map_batches
+from .frames import fresh, map_batches
 
-#: Where pages put their main text and where they don't. Each counts as ``KNOWN`` words.
-INSIDE = ("article", "main", "p", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "pre", "table", "content", "post", "entry", "story", "body-text")
-OUTSIDE = (
-    "nav", "header", "footer", "aside", "form", "script", "style", "noscript", "template", "menu", "button", "select", "option", "textarea", "input", "label", "iframe", "svg", "dialog", "title", "head",
-    "ad", "ads", "adv", "advert", "adverts", "advertisement", "advertising", "sponsored", "sponsor", "promo", "promotion", "banner", "sidebar", "side", "navbar", "navigation", "navi", "menus", "topbar", "masthead", "breadcrumb", "breadcrumbs", "pagination", "pager",
-    "cookie", "cookies", "consent", "gdpr", "notice", "notices", "alert", "popup", "modal", "overlay", "disclaimer", "copyright", "legal", "comment", "comments", "reply", "replies", "respond", "disqus", "discussion", "related", "recommended", "recommendations", "share", "sharing", "social", "subscribe", "subscription", "newsletter", "signup", "login", "search", "widget", "toolbar", "hidden", "[hidden]", "skip", "tags", "contentinfo", "complementary",
+#: Tags and words of classes where pages put their main text and where they don't. Each counts as ``KNOWN`` words, or ``SOFT_KNOWN``.
+INSIDE_TAGS = ("article", "main", "p", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "pre", "table")
+INSIDE_WORDS = ("article", "main", "content", "post", "entry", "story", "body-text")
+OUTSIDE_TAGS = ("nav", "header", "footer", "aside", "form", "script", "style", "noscript", "template", "menu", "button", "select", "option", "textarea", "input", "label", "iframe", "svg", "dialog", "title", "head")
+OUTSIDE_WORDS = (
+    "nav", "header", "footer", "aside", "menu", "ad", "ads", "adv", "advert", "adverts", "advertisement", "advertising", "sponsored", "sponsor", "promo", "promotion", "banner", "sidebar", "side", "navbar", "navigation", "navi", "menus", "topbar", "masthead", "breadcrumb", "breadcrumbs", "pagination", "pager",
+    "cookie", "cookies", "consent", "gdpr", "notice", "notices", "popup", "modal", "overlay", "disclaimer", "copyright", "comment", "comments", "reply", "replies", "respond", "disqus", "related", "recommended", "recommendations", "share", "sharing", "social", "subscribe", "subscription", "newsletter", "signup", "login", "widget", "toolbar", "hidden", "[hidden]", "contentinfo", "complementary",
 )
-_INSIDE = frozenset(INSIDE)
+SOFT = ("legal", "search", "skip", "tags", "alert", "discussion", "label", "form", "title", "button")
 KNOWN = 3000.0
+SOFT_KNOWN = 60.0
 SMOOTH = 5.0
 TAG_SCORE = -0.6
 #: Elements that never hold content, and elements whose content is not markup.
@@ -53,8 +61,13 @@ _P_CLOSERS = BLOCKS - {"br"}
 _SECTIONS = frozenset("article main section nav aside header footer body html div form table ul ol dl".split())
 
 _CONTAINERS = frozenset("article main div section td".split())
+_INSIDE = frozenset("." + w for w in INSIDE_WORDS)
+_INLINE = frozenset("p b i em strong span a li td".split())
+#: Where that many names are nested, counting begins anew within, lest a page of ever new names takes the square of its size.
+MOST_NAMES = 1000
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>", re.S)
+_TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)")
+_STOP = re.compile(r"[>\"']")
 _NAMES = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _HIDDEN = re.compile(r"aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
 _HIDDEN_BARE = re.compile(r"(?:^|\s)hidden(?=[\s/=]|$)", re.I)
@@ -68,82 +81,170 @@ _SPACE = re.compile(r"\s+")
 
 
 def element_names(tag: str, attributes: str) -> tuple[str, ...]:
-    """What an element is called: its tag, the words of its class, id and role without modifiers, and '[hidden]'."""
+    """What an element is called: its tag, the words of its class, id and role without modifiers, each as ``.word``, and '[hidden]'."""
     names = {tag}
     if attributes and tag not in ("html", "body"):
         for _, a, b, c in _NAMES.findall(attributes) if tag not in _PLAIN else ():
             for part in (a or b or c).lower().split():
                 words = [w for w in _SPLIT.split(part) if w]
                 if len(words) < 2 or not (":" in part or words[0] in MODIFIERS or words[-2:] == ["right", "sidebar"] or words[-2:] == ["left", "sidebar"]):
-                    names.update(words)
+                    names.update("." + w for w in words)
         if "hidden" in attributes.lower() and _HIDDEN_BARE.search(_QUOTED.sub("''", attributes)) or _HIDDEN.search(attributes):
             names.add("[hidden]")
     return tuple(sorted(names))
 
 
-def tokens(page: str) -> Iterator[tuple[str | None, str | None, list]]:
-    """(tag or None, text or None, open elements) in page order. The list is live: read it at once.
+def tags(page: str) -> Iterator[tuple[int, int, str, str, str]]:
+    """(begin, end, '/' or '', name or '', attributes) of every tag, comment and the like (without a name), in page order.
 
-    End tags close up to their element and are ignored without one; p, li, td and the like close as browsers
-    close them; comments, doctypes and the content of raw elements give no words; an unclosed comment or raw
-    element takes the rest of the page.
+    A tag ends at the first > outside quotes; if there is none, its quotes don't count. An unclosed comment takes the rest.
     """
-    stack: list[tuple[str, tuple[str, ...]]] = []
-    at, end = 0, len(page)
-    while at < end:
-        m = _TOKEN.search(page, at)
-        stop = m.start() if m else end
-        if stop > at:
-            yield None, page[at:stop], stack
-        if not m:
-            return
-        at = m.end()
-        close, tag, attributes = (m[1], m[2], m[3]) if m[2] else (m[4], m[5], m[6])
-        if not tag:
+    at, last = 0, page.rfind(">")
+    dead: set[int] = set()  # places from where, quotes counted, no > follows
+    while (at := page.find("<", at)) >= 0:
+        if page.startswith("<!--", at):
+            end = page.find("-->", at + 4)
+            end = len(page) if end < 0 else end + 3
+            yield at, end, "", "", ""
+            at = end
+            continue
+        if at > last:  # no tag can end any more, but a comment may begin
+            at = page.find("<!--", at)
+            if at < 0:
+                return
             continue
-        tag = tag.lower()
-        if close:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    del stack[i:]
-                    break
-                if tag in ("p", "b", "i", "em", "strong", "span", "a", "li", "td") and stack[i][0] in _SECTIONS:
-                    break
-            yield "/" + tag, None, stack
+        if page[at + 1 : at + 2] in ("!", "?"):
+            end = page.find(">", at) + 1
+            yield at, end, "", "", ""
+            at = end
             continue
-        if tag in RAW and not attributes.endswith("/"):
-            done = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
-            at = done.end() if done else end
-            yield tag, None, stack
+        m = _TAG.match(page, at)
+        if not m:
+            at += 1
             continue
-        gone = _CLOSES.get(tag, set()) | ({"p"} if tag in _P_CLOSERS else set())
-        if gone:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] in gone:
-                    del stack[i:]
-                    break
-                if stack[i][0] in _SECTIONS:
-                    break
-        if tag not in VOID and not attributes.endswith("/"):
-            stack.append((tag, element_names(tag, attributes)))
-        yield tag, None, stack
+        here, seen, end = m.end(), [], -1
+        while here not in dead:
+            seen.append(here)
+            stop = _STOP.search(page, here)
+            if not stop:
+                break
+            if stop[0] == ">":
+                end = stop.end()
+                break
+            here = page.find(stop[0], stop.end()) + 1
+            if not here:
+                break
+        if end < 0:
+            dead.update(seen)
+            end = page.find(">", m.end()) + 1
+        yield at, end, m[1], m[2].lower(), page[m.end() : end - 1]
+        at = end
+
+
+class Page:
+    """Elements in page order (their parents, tags and names), and what there is to read: (tag or None, text or None, element).
+
+    End tags close up to their element and are ignored without one; p, li, td and the like close as browsers
+    close them; comments, doctypes and the content of raw elements give no words; an unclosed comment or raw
+    element takes the rest of the page. Element -1 is the page itself.
+    """
+
+    def __init__(self, page: str) -> None:
+        self.parent: list[int] = []
+        self.tag: list[str] = []
+        self.names: list[tuple[str, ...]] = []
+        self.events: list[tuple[str | None, str | None, int]] = []
+        stack: list[int] = []
+        open_at: dict[str, list[int]] = {}  # places in the stack by tag
+        sections: list[int] = []
+
+        def cut_to(n: int) -> None:
+            while len(stack) > n:
+                tag = self.tag[stack.pop()]
+                open_at[tag].pop()
+                if tag in _SECTIONS:
+                    sections.pop()
+
+        top = lambda: stack[-1] if stack else -1
+        at = 0
+        for begin, end, close, tag, attributes in tags(page):
+            if begin < at:  # within a raw element
+                continue
+            if begin > at:
+                self.events.append((None, page[at:begin], top()))
+            at = end
+            if not tag:
+                continue
+            if close:
+                found = open_at.get(tag)
+                if found and not (tag in _INLINE and sections and sections[-1] > found[-1]):
+                    cut_to(found[-1])
+                self.events.append(("/" + tag, None, top()))
+                continue
+            if tag in RAW and not attributes.endswith("/"):
+                done = _raw_end(tag).search(page, at)
+                at = done.end() if done else len(page)
+                self.events.append((tag, None, top()))
+                continue
+            gone = _CLOSES.get(tag, ()) or (("p",) if tag in _P_CLOSERS else ())
+            last = max((open_at[t][-1] for t in gone if open_at.get(t)), default=-1)
+            if last >= 0 and not (sections and sections[-1] > last):
+                cut_to(last)
+            if tag not in VOID and not attributes.endswith("/"):
+                self.parent.append(top())
+                self.tag.append(tag)
+                self.names.append(element_names(tag, attributes))
+                open_at.setdefault(tag, []).append(len(stack))
+                if tag in _SECTIONS:
+                    sections.append(len(stack))
+                stack.append(len(self.parent) - 1)
+            self.events.append((tag, None, top()))
+        if at < len(page):
+            self.events.append((None, page[at:], top()))
+
+    def path(self, i: int) -> list[int]:
+        out = []
+        while i >= 0:
+            out.append(i)
+            i = self.parent[i]
+        return out[::-1]
+
+
+@lru_cache
+def _raw_end(tag: str) -> re.Pattern:
+    return re.compile(rf"</{tag}\s*>", re.I)
 
 
 def label_counts(page: str) -> tuple[Counter, Counter] | None:
-    """(words inside, words outside) by the names of the elements around them, of a page that names its main text."""
-    inside, outside, labelled = Counter(), Counter(), False
-    for tag, text, stack in tokens(page):
-        if tag in ("article", "main"):
-            labelled = True
-        if text is not None and (n := len(text.split())):
-            into = inside if any(t in ("article", "main") for t, _ in stack) else outside
-            for name in {x for _, names in stack for x in names} - {"html", "body"}:
-                into[name] += n
-    return (inside, outside) if labelled else None
+    """(words inside, words outside) by the names of the elements around them, of a page that names its main text.
+
+    Words are counted at their element and then handed up: an element's own names count all words within it, once.
+    """
+    p = Page(page)
+    if not any(t in ("article", "main") for t in p.tag):
+        return None
+    n = len(p.tag)
+    inside, words, seen = [False] * n, [0] * n, [frozenset()] * n
+    for i in range(n):
+        up = p.parent[i]
+        inside[i] = p.tag[i] in ("article", "main") or (up >= 0 and inside[up])
+        around = seen[up] if up >= 0 and len(seen[up]) < MOST_NAMES else frozenset()
+        seen[i] = around.union(p.names[i])
+    for _, text, i in p.events:
+        if text is not None and i >= 0:
+            words[i] += len(text.split())
+    into = (Counter(), Counter())
+    for i in range(n):
+        if words[i]:
+            for name in seen[i] - {"html", "body"}:
+                into[0 if inside[i] else 1][name] += words[i]
+    return into
 
 
 def known_counts() -> dict[str, tuple[float, float]]:
-    return {n: (KNOWN, 0.0) for n in INSIDE} | {n: (0.0, KNOWN) for n in OUTSIDE}
+    inside = [*INSIDE_TAGS, *("." + w for w in INSIDE_WORDS)]
+    outside = [*OUTSIDE_TAGS, *(w if w[0] == "[" else "." + w for w in OUTSIDE_WORDS)]
+    return {n: (KNOWN, 0.0) for n in inside} | {n: (0.0, KNOWN) for n in outside} | {"." + n: (0.0, SOFT_KNOWN) for n in SOFT}
 
 
 def learn_weights(pages: DataFrame, html_col: str = "html", max_pages: int = 5000, max_names: int = 5000, least_words: int = 200) -> dict[str, float]:
@@ -178,48 +279,66 @@ def weights_of(counts: dict[str, tuple[float, float]]) -> dict[str, float]:
     total = known_counts()
     for name, (a, b) in counts.items():
         known = total.get(name, (0.0, 0.0))
-        # A name that is known to be outside stays so where pages put such parts into their article.
-        total[name] = known if known[1] else (a + known[0], b + known[1])
+        # Labels can't tell of a name that is surely outside where pages put such parts into their article.
+        total[name] = known if known[1] >= KNOWN else (a + known[0], b + known[1])
     return {n: math.log((a + SMOOTH) / (b + SMOOTH)) for n, (a, b) in total.items()}
 
 
-def scores_at(key: tuple[tuple[str, tuple[str, ...]], ...], weights: dict[str, float], memo: dict) -> tuple[float, float, bool]:
-    """(score of a word, score of a tag, whether words are part of the text) between these open elements.
+class Scores:
+    """What stands between which elements, carried down from parent to child.
 
     A word has its elements' log-odds, between -1 and 1. One element that is surely outside decides: -3, or 0
     where it stands within an element that is surely main text, as what is put into an article doesn't end it.
     """
-    if key not in memo:
-        odds = [[weights[n] for n in names if n in weights] for _, names in key]
-        flat = [o for x in odds for o in x]
-        sure = next((i for i, (tag, _) in enumerate(key) if tag in _CONTAINERS and max(odds[i], default=0.0) >= 3 and min(odds[i]) > -3), len(key))
-        out = next((i for i, x in enumerate(odds) if min(x, default=0.0) <= -3), len(key))
-        inner = sure < len(key) and sure < out
-        total = sum(max(-2.0, min(2.0, o)) for o in flat) / (1 + 0.5 * len(flat))
-        if out < len(key):
-            word = 0.0 if inner else -3.0
+
+    def __init__(self, page: Page, weights: dict[str, float], memo: dict, names: dict[int, tuple[str, ...]] | None = None) -> None:
+        """``names`` are what some elements are called instead."""
+        n = len(page.tag)
+        total, count, self.sure, self.out = [0.0] * n, [0] * n, [False] * n, [False] * n
+        self.word, self.tag, self.keep = [0.0] * n, [0.0] * n, [False] * n
+        for i in range(n):
+            mine = page.names[i] if not names else names.get(i, page.names[i])
+            key = (page.tag[i], mine)
+            if key not in memo:
+                odds = [weights[x] for x in mine if x in weights]
+                least = min(odds, default=0.0)
+                memo[key] = (sum(max(-2.0, min(2.0, o)) for o in odds), len(odds), page.tag[i] in _CONTAINERS and max(odds, default=0.0) >= 3 and least > -3, least <= -3)
+            t, c, sure, out = memo[key]
+            up = page.parent[i]
+            if up >= 0:
+                t, c = t + total[up], c + count[up]
+                sure, out = self.sure[up] or (sure and not self.out[up]), out or self.out[up]
+            total[i], count[i], self.sure[i], self.out[i] = t, c, sure, out
+            self.word[i], self.tag[i], self.keep[i] = self._of(t, c, sure, out)
+        self.bare = self._of(0.0, 0, False, False)
+
+    @staticmethod
+    def _of(total: float, count: int, sure: bool, out: bool) -> tuple[float, float, bool]:
+        """(score of a word, score of a tag, whether words are part of the text)"""
+        if out:
+            word = 0.0 if sure else -3.0
         else:
-            word = max(0.1 if inner else -1.0, min(1.0, 0.3 + total))
-        memo[key] = (word, TAG_SCORE * (0.05 if inner else 1.0), out == len(key) and word > 0)
-    return memo[key]
+            word = max(0.1 if sure else -1.0, min(1.0, 0.3 + total / (1 + 0.5 * count)))
+        return word, TAG_SCORE * (0.05 if sure else 1.0), not out and word > 0
+
+    def at(self, i: int) -> tuple[float, float, bool]:
+        return (self.word[i], self.tag[i], self.keep[i]) if i >= 0 else self.bare
 
 
-def _freed(element: tuple[str, tuple[str, ...]], weights: dict[str, float]) -> tuple[str, tuple[str, ...]]:
-    """The element without the names of its class and id that rule it out; a form may hold a whole page."""
-    tag, names = element
-    return tag, tuple(n for n in names if weights.get(n, 0.0) > -3 or n == "[hidden]" or (n == tag and tag != "form"))
+def _freed(tag: str, names: tuple[str, ...], weights: dict[str, float]) -> tuple[str, ...]:
+    """The names without those of class and id that rule an element out; a form may hold a whole page."""
+    return tuple(n for n in names if weights.get(n, 0.0) > -3 or n == "[hidden]" or (n == tag and tag != "form"))
 
 
-def _kind(element: tuple[str, tuple[str, ...]]) -> str:
+def _kind(tag: str, names: tuple[str, ...]) -> str:
     """How an element may name the main text: 'main', 'article', 'other' (a class or id) or ''."""
-    tag, names = element
     if tag in ("main", "article"):
         return tag
-    return "other" if tag in _CONTAINERS and any(n in _INSIDE and n != tag for n in names) else ""
+    return "other" if tag in _CONTAINERS and any(n in _INSIDE for n in names) else ""
 
 
-def text_holders(events: list[tuple], weights: dict[str, float], memo: dict) -> dict[int, tuple[str, tuple[str, ...]]]:
-    """{id of an open element: what it is called instead} for those that hold the page's own main text.
+def text_holders(page: Page, weights: dict[str, float], memo: dict) -> dict[int, tuple[str, ...]]:
+    """{element: what it is called instead} for those that hold the page's own main text.
 
     The page's main text is its largest main; in it, or without one, its largest outermost article (its own classes come first, and one that is ruled in counts three times); without either,
     or beside a smaller article, an element named for text that has over half of the page's words. Elements that are hidden, or within a nav,
@@ -227,87 +346,95 @@ def text_holders(events: list[tuple], weights: dict[str, float], memo: dict) ->
     one of them names text, or else, as does what holds an article, if the article has no fewer words than stand ruled
     in elsewhere, those within a surely main element counted three times.
     """
-
-    def suspect(key: tuple) -> bool:
-        bad = False
-        for e in key:
-            bad = bad or _freed(e, weights) != e
-            if bad and _kind(e):
-                return True
-        return False
-
-    if not any(memo[k] if (k := ("holds", key)) in memo else memo.setdefault(k, suspect(key)) for _, text, key in events if text is not None):
+    n = len(page.tag)
+    free, kind = [()] * n, [""] * n
+    bad, suspect, hard = [False] * n, [False] * n, [False] * n
+    for i in range(n):
+        key = ("free", page.tag[i], page.names[i])
+        if key not in memo:
+            memo[key] = (_freed(page.tag[i], page.names[i], weights), _kind(page.tag[i], page.names[i]))
+        free[i], kind[i] = memo[key]
+        up = page.parent[i]
+        bad[i] = free[i] != page.names[i] or (up >= 0 and bad[up])
+        suspect[i] = (bad[i] and kind[i] != "") or (up >= 0 and suspect[up])
+        hard[i] = "[hidden]" in page.names[i] or (page.tag[i] != "form" and weights.get(page.tag[i], 0.0) <= -3) or (up >= 0 and hard[up])
+    counted = [(len(text.split()), i) for _, text, i in page.events if text is not None]
+    if not any(i >= 0 and suspect[i] for _, i in counted):
         return {}
-    counted = [(len(text.split()), key) for _, text, key in events if text is not None]
-    hard = lambda e: "[hidden]" in e[1] or (e[0] != "form" and weights.get(e[0], 0.0) <= -3)
-    new: dict[int, tuple[str, tuple[str, ...]]] = {}
-
-    def largest(kind: str, within: int | None = None) -> tuple[tuple, int, int]:
-        """(path to the largest, its words, words ruled in outside all of this kind)"""
-        words, paths, rest = Counter(), {}, 0
-        for n, key in counted:
-            if within is not None and all(id(e) != within for e in key):
+    new: dict[int, tuple[str, ...]] = {}
+
+    def largest(name: str, within: int | None = None) -> tuple[list[int], int, int, list[int]]:
+        """(path to the largest, its words, words ruled in outside all of this kind, the first of this kind around each element)"""
+        scores = Scores(page, weights, memo, new)
+        words, rest, first, under = Counter(), 0, [-1] * n, [within is None] * n
+        for i in range(n):
+            up = page.parent[i]
+            first[i] = first[up] if up >= 0 and first[up] >= 0 else i if kind[i] == name else -1
+            under[i] = under[i] or i == within or (up >= 0 and under[up])
+        for many, i in counted:
+            if not (under[i] if i >= 0 else within is None):
                 continue
-            at = next((i for i, e in enumerate(key) if _kind(e) == kind), None)
-            if at is None:
-                _, tag_score, ruled_in = scores_at(tuple(new.get(id(e), e) for e in key), weights, memo)
-                rest += n * (3 if tag_score > TAG_SCORE else 1) if ruled_in else 0
-            elif not any(map(hard, key[: at + 1])):
-                words[id(key[at])] += n
-                paths[id(key[at])] = key[: at + 1]
+            own = first[i] if i >= 0 else -1
+            if own < 0:
+                _, tag_score, ruled_in = scores.at(i)
+                rest += many * (3 if tag_score > TAG_SCORE else 1) if ruled_in else 0
+            elif not hard[own]:
+                words[own] += many
         if not words:
-            return (), 0, rest
+            return [], 0, rest, first
 
         def rank(i: int) -> tuple[bool, int]:
-            own, free = paths[i][-1], scores_at(tuple(new.get(id(e), e) for e in paths[i]), weights, memo)[2]
-            named = _freed(own, weights) == own or any(n in _INSIDE and n != own[0] for n in own[1])
-            return named, words[i] * (3 if free else 1)
+            named = free[i] == page.names[i] or any(x in _INSIDE for x in page.names[i])
+            return named, words[i] * (3 if scores.keep[i] else 1)
 
         best = max(words, key=rank)  # the first of equals
-        return paths[best], words[best], rest
-
-    main, _, _ = largest("main")
-    new |= {id(e): _freed(e, weights) for e in main}
-    article, n, rest = largest("article", id(main[-1]) if main else None)
-    other, m, _ = largest("other") if not main else ((), 0, 0)
-    beaten = m > n and all(e is not other[-1] for e in article)
-    if article and not beaten and (n >= rest or any(x in _INSIDE for x in article[-1][1] if x != "article")):
-        same = {id(e) for _, key in counted for e in [next((x for x in key if x[0] == "article"), None)] if e and e[1] == article[-1][1]}
-        new |= {i: _freed(article[-1], weights) for i in same}
-        if n >= rest:
-            new |= {id(e): _freed(e, weights) for e in article}
-    elif 2 * m > sum(n for n, _ in counted):
-        new |= {id(e): _freed(e, weights) for e in other}
+        return page.path(best), words[best], rest, first
+
+    main, _, _, _ = largest("main")
+    new |= {i: free[i] for i in main}
+    article, words, rest, first = largest("article", main[-1] if main else None)
+    other, m, _, _ = largest("other") if not main else ([], 0, 0, [])
+    beaten = m > words and other[-1] not in article
+    if article and not beaten and (words >= rest or any(x in _INSIDE for x in page.names[article[-1]])):
+        like = page.names[article[-1]]
+        new |= {i: free[i] for i in {first[i] for _, i in counted if i >= 0} if i >= 0 and page.names[i] == like}
+        if words >= rest:
+            new |= {i: free[i] for i in article}
+    elif 2 * m > sum(many for many, _ in counted):
+        new |= {i: free[i] for i in other}
     return new
 
 
+def best_run(scores: list[float]) -> tuple[int, int]:
+    """[from, to) of the contiguous run with the greatest sum, the first of equals; empty if no sum is above 0."""
+    best, best_from, best_to, total, start = 0.0, 0, 0, 0.0, 0
+    for i, s in enumerate(scores):
+        total += s
+        if total > best:
+            best, best_from, best_to = total, start, i + 1
+        if total <= 0:
+            total, start = 0.0, i + 1
+    return best_from, best_to
+
+
 def extract(page: str | None, weights: dict[str, float], memo: dict | None = None) -> str:
     """The main text: blocks in page order joined by one \\n; '' for a null, empty or wordless page."""
     memo = {} if memo is None else memo
+    p = Page(page or "")
+    marks = Scores(p, weights, memo, text_holders(p, weights, memo))
     pieces: list[str | None] = []  # text, '' where none counts, None at the edge of a block
     scores: list[float] = []
-    events = [(tag, text, tuple(stack)) for tag, text, stack in tokens(page or "")]
-    new = text_holders(events, weights, memo)
-    if new:
-        events = [(tag, text, tuple(new.get(id(e), e) for e in key)) for tag, text, key in events]
-    for tag, text, key in events:
+    for tag, text, i in p.events:
+        word, edge, keep = marks.at(i)
         if text is not None:
-            score, _, keep = scores_at(key, weights, memo)
             pieces.append(text if keep else "")
-            scores.append(score * len(text.split()))
+            scores.append(word * len(text.split()))
         else:
-            name = tag.lstrip("/")
-            pieces.append(None if name in BLOCKS else "")
-            scores.append(scores_at(key, weights, memo)[1])
-    best, best_from, best_to, total, start = 0.0, 0, 0, 0.0, 0
-    for i, s in enumerate(scores):
-        total += s
-        if total > best:
-            best, best_from, best_to = total, start, i + 1
-        if total <= 0:
-            total, start = 0.0, i + 1
+            pieces.append(None if tag.lstrip("/") in BLOCKS else "")
+            scores.append(edge)
+    a, z = best_run(scores)
     lines, line = [], []
-    for text in [*pieces[best_from:best_to], None]:
+    for text in [*pieces[a:z], None]:
         if text is None:
             if joined := _SPACE.sub(" ", entities.unescape("".join(line))).strip():
                 lines.append(joined)
@@ -331,10 +458,10 @@ def main_text(pages: DataFrame, id_col: str = "page_id", html_col: str = "html",
         memo: dict = {}
         for batch in batches:
             texts = [extract(p.as_py(), learned, memo) for p in batch.column(batch.num_columns - 1)]
-            if len(memo) > 20_000:
+            if len(memo) > 50_000:
                 memo.clear()
             cols = [batch.column(i) for i in range(batch.num_columns - 1)]
             yield pa.RecordBatch.from_arrays([*cols, pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], [*(f.name for f in kept), "text", "n_chars"])
 
-    rows = pages.select(*[F.col(f"`{f.name}`") for f in kept], F.col(html_col).cast("string").alias("__page"))
+    rows = pages.select(*[F.col(f"`{f.name}`") for f in kept], F.col(html_col).cast("string").alias(fresh("__page", pages.columns)))
     return map_batches(rows, run, f"{schema}, text string, n_chars long")

@@ -1,6 +1,10 @@
+import random
+import time
+
+import pytest
 from pyspark.sql import types as T
 
-from rolecast.llm.html import extract, learn_weights, main_text, weights_of
+from rolecast.llm.html import best_run, extract, label_counts, learn_weights, main_text, tags, weights_of
 
 SCHEMA = T.StructType([T.StructField(c, T.StringType()) for c in ("url", "html", "text")]).add("page_id", T.LongType())
 WORDS = " ".join(f"word{i}" for i in range(30))
@@ -41,7 +45,7 @@ def test_table(spark):
 def test_weights_from_labelled_pages(spark):
     page = f'<article><div class="zone-a"><p>{WORDS}</p></div></article><div class="zone-b"><p>{WORDS}</p></div>'
     w = learn_weights(spark.createDataFrame([(page,)] * 20, "html string"))
-    assert w["a"] > 2 and w["b"] < -2
+    assert w[".a"] > 2 and w[".b"] < -2
 
 
 def test_classes_for_layout_and_topics_lose_no_page():
@@ -75,3 +79,66 @@ def test_teasers_and_hidden_parts_stay_out():
 def test_lists_of_articles_with_like_classes():
     item = f'<article class="post legal"><p>{WORDS}</p></article>'
     assert extract(f"<body>{item * 3}", weights_of({})) == "\n".join([WORDS] * 3)
+
+
+@pytest.mark.parametrize("article", ['<h1 class="entry-title">Head</h1>', '<h1>Head</h1><section class="legal">', '<h1>Head</h1><p class="label-text">', '<h1>Head</h1><div class="search">', '<h1 class="title">Head</h1><div class="topic-form">'])
+@pytest.mark.parametrize("holder", ["article", "main"])
+def test_names_that_may_be_topics_drop_nothing(article, holder):
+    assert extract(f'<body><nav>Home</nav><{holder}>{article}<p>{WORDS}</p></{holder}><div class="comments">no</div>', weights_of({})) == f"Head\n{WORDS}"
+
+
+def test_counts_overrule_soft_names():
+    page = f'<body><div class="search"><p>{WORDS}</p></div>'
+    counts = {".search": (5000, 0)}
+    assert weights_of({})[".search"] < 0 < weights_of(counts)[".search"]
+    assert extract(page, weights_of(counts)) == WORDS
+
+
+def test_best_run_against_all_runs():
+    rnd = random.Random(7)
+    for _ in range(300):
+        scores = [rnd.choice((-3, -1, -0.5, 0, 0.25, 1, 2)) for _ in range(rnd.randrange(12))]
+        sums = [(sum(scores[a:z]), a, z) for a in range(len(scores)) for z in range(a + 1, len(scores) + 1)]
+        best = max((s for s, _, _ in sums), default=0)
+        a, z = best_run(scores)
+        assert sum(scores[a:z]) == max(best, 0)
+
+
+def test_tags_against_a_scan():
+    """Where a tag ends, by reading on from every < one character after another."""
+
+    def plain(page):
+        at = 0
+        while at < len(page):
+            if page[at] != "<" or not page[at + 1 : at + 2].isalpha():
+                at += 1
+                continue
+            quote, end = "", -1
+            for i in range(at + 1, len(page)):
+                if quote:
+                    quote = "" if page[i] == quote else quote
+                elif page[i] in "'\"":
+                    quote = page[i]
+                elif page[i] == ">":
+                    end = i + 1
+                    break
+            if end < 0:
+                end = page.find(">", at) + 1
+            if not end:
+                return
+            yield at, end
+            at = end
+
+    rnd = random.Random(11)
+    for _ in range(3000):
+        page = "".join(rnd.choice(("<a", "<b ", ">", "'", '"', "x", " ")) for _ in range(rnd.randrange(14)))
+        assert [(a, z) for a, z, _, name, _ in tags(page) if name] == list(plain(page)), page
+
+
+def test_hostile_pages_take_linear_time():
+    w = weights_of({})
+    for page in ("<div>" * 50_000 + "x", "<a '" * 50_000, "<a '><b \">" * 30_000, "<font>" * 50_000 + "</i>" * 50_000, "<ul><li>" * 30_000, "<!" * 50_000, "".join(f"<div class=c{i}>" for i in range(20_000))):
+        began = time.time()
+        extract(page, w)
+        label_counts("<article>" + page)
+        assert time.time() - began < 20, page[:20]
