@@ -2,13 +2,17 @@
 
 At each byte the automaton moves once; its output links give every piece that ends there, and each relaxes the
 best score of the prefix that ends there. A character that no piece spells alone costs more than any piece
-and becomes byte tokens. The result is the segmentation of the greatest sum of the model's piece scores (the
-one found first among equals: the longest last piece). A vocabulary trained by merges is read that way too: its
-scores are ranks, so its ids here need not be those of a replay of its merges.
+and becomes byte tokens. How pieces score depends on the model:
 
-The arithmetic runs over all distinct stretches of a slice of texts at once, one byte position after another.
-Stretches end where no piece can reach across: before a space after something else (unless some piece does
-cross there, in which case a text is one stretch), and around characters of no piece.
+* of a unigram model the greatest sum of the pieces' scores wins (the one found first among equals: the longest last piece);
+* the scores of a model trained by merges (BPE) are ranks, whose sum means nothing. There a piece may follow another only if
+  the merges, replayed over both, leave the two as they are; all else scores minus infinity. A row of pieces is what the merges give
+  for a text if and only if each two neighbours are, so exactly one piece can end the best path at each place, and the ids are those
+  of the library. Which pieces may be neighbours follows from when each was merged (``Neighbours``) and is kept for each pair met.
+
+The arithmetic runs over all distinct stretches of a slice of texts at once, one byte position after another; the few
+that are much longer than the rest are read one by one. Stretches end where no piece can reach across: before a space after
+something else (unless some piece does cross there, in which case a text is one stretch), and around characters of no piece.
 
 As in the library, a text gets a space in front and spaces are part of pieces. U+2581 in a text is not taken
 for a space but spelled in bytes, so decoding gives back every text exactly.
@@ -16,7 +20,9 @@ for a space but spelled in bytes, so decoding gives back every text exactly.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -34,13 +40,31 @@ _AUTOMATA: dict[int, "Automaton"] = {}
 
 
 class Vocabulary:
-    """Pieces as bytes (a blank for the space mark), their scores, and the tokens of single bytes."""
-
-    def __init__(self, pieces: list[tuple[bytes, float]], ids: list[int], byte_ids: list[int], size: int, blank_first: bool) -> None:
-        self.pieces, self.ids, self.byte_ids, self.size, self.blank_first = pieces, ids, byte_ids, size, blank_first
-        self.key = hash((tuple(pieces), tuple(ids), tuple(byte_ids)))
-
-
+    """Pieces as bytes (a blank for the space mark), their scores, and the tokens of single bytes. Of a model trained by merges
+    ``halves`` has of each piece the two that are merged into it last, itself twice for a character, -1 where the merges never give it."""
+
+    def __init__(self, pieces: list[tuple[bytes, float]], ids: list[int], byte_ids: list[int], size: int, blank_first: bool, halves: np.ndarray | None = None) -> None:
+        self.pieces, self.ids, self.byte_ids, self.size, self.blank_first, self.halves = pieces, ids, byte_ids, size, blank_first, halves
+        self.key = hash((tuple(pieces), tuple(ids), tuple(byte_ids), halves is None))
+
+
+def merged(symbols: list[bytes], score: dict[bytes, float]) -> tuple[list[bytes], tuple[bytes, bytes] | None]:
+    """(what is left, the last two that were merged): neighbours are merged while they form a piece, the best score first,
+    the leftmost of equals."""
+    last = None
+    while True:
+        best, at = None, -1
+        for i in range(len(symbols) - 1):
+            s = score.get(symbols[i] + symbols[i + 1])
+            if s is not None and (best is None or s > best):
+                best, at = s, i
+        if best is None:
+            return symbols, last
+        last = (symbols[at], symbols[at + 1])
+        symbols = [*symbols[:at], last[0] + last[1], *symbols[at + 2 :]]
+
+
+@lru_cache(maxsize=4)
 def read_model(path: str = MODEL) -> Vocabulary:
     """From a .model file with byte pieces; read on the driver, sent with the tasks (half a megabyte)."""
     from sentencepiece import sentencepiece_model_pb2 as proto
@@ -59,7 +83,105 @@ def read_model(path: str = MODEL) -> Vocabulary:
             byte_ids[int(p.piece[3:5], 16)] = i
     if min(byte_ids) < 0:
         raise ValueError("the model has no token for some byte")
-    return Vocabulary(pieces, ids, byte_ids, len(model.pieces), model.normalizer_spec.add_dummy_prefix)
+    kinds = proto.TrainerSpec.ModelType
+    if model.trainer_spec.model_type not in (kinds.UNIGRAM, kinds.BPE):
+        raise ValueError("the model is neither of merges nor of a unigram")
+    halves = piece_halves(pieces) if model.trainer_spec.model_type == kinds.BPE else None
+    return Vocabulary(pieces, ids, byte_ids, len(model.pieces), model.normalizer_spec.add_dummy_prefix, halves)
+
+
+def piece_halves(pieces: list[tuple[bytes, float]]) -> np.ndarray:
+    score, number = dict(pieces), {t: n for n, (t, _) in enumerate(pieces)}
+    out = np.full((len(pieces), 2), -1, np.int32)
+    for n, (text, _) in enumerate(pieces):
+        chars = [c.encode() for c in text.decode()]
+        left, last = merged(chars, score)
+        if len(chars) == 1:
+            out[n] = n
+        elif len(left) == 1 and last[0] in number and last[1] in number:
+            out[n] = number[last[0]], number[last[1]]
+    return out
+
+
+class Neighbours:
+    """Which pieces may follow each other, for a model of merges.
+
+    In time, by rank of score, the pieces x and y are built from their characters. What ends x at some time is a
+    node of its right edge (x, its right half, that one's right half, ...), alive from its own merge until that of the node above;
+    what begins y is one of y's left edge. If two such that are alive together form a piece, and its turn comes while they are, the merges don't leave
+    x and y apart. Of equal turns the leftmost is first.
+    """
+
+    def __init__(self, vocabulary: Vocabulary) -> None:
+        halves, n = vocabulary.halves, len(vocabulary.pieces)
+        self.n = np.int64(n)
+        score = np.array([s for _, s in vocabulary.pieces])
+        rank = np.unique(-score, return_inverse=True)[1].astype(np.int64)
+        self.usable = halves[:, 0] >= 0
+        char = halves[:, 0] == np.arange(n)
+        birth = np.where(char, -1, rank)
+        number = {t: i for i, (t, _) in enumerate(vocabulary.pieces)}
+        joins = [(number[t[:k]], number[t[k:]], rank[i]) for i, (t, _) in enumerate(vocabulary.pieces) for k in range(1, len(t)) if t[:k] in number and t[k:] in number]
+        joins = np.array(joins, np.int64).reshape(-1, 3)
+        order = np.argsort(joins[:, 0] * n + joins[:, 1], kind="stable")
+        self.join, self.turn = (joins[:, 0] * n + joins[:, 1])[order], joins[order, 2]
+        self.edges = [self._edge(halves, birth, char, side) for side in (1, 0)]
+        self.known, self.fine = np.zeros(0, np.int64), np.zeros(0, bool)
+        self.memo: dict[int, bool] = {}
+        self.turns: dict[int, int] = {}
+        self.paths: dict[tuple[int, int], list[tuple[int, int, int]]] = {}
+
+    def _edge(self, halves: np.ndarray, birth: np.ndarray, char: np.ndarray, side: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(nodes, births, deaths) of each piece's right or left edge, from the whole piece down; -1 fills up."""
+        node, death = np.where(self.usable, np.arange(len(halves)), -1), np.full(len(halves), 1 << 40)
+        nodes, births, deaths = [], [], []
+        while (node >= 0).any():
+            nodes.append(node)
+            births.append(np.where(node >= 0, birth[node], 0))
+            deaths.append(death)
+            death = births[-1]
+            node = np.where((node >= 0) & ~char[node], halves[node, side], -1)
+        return tuple(np.stack(x, 1) if x else np.zeros((len(halves), 0), np.int64) for x in (nodes, births, deaths))
+
+    def compute(self, pairs: np.ndarray) -> np.ndarray:
+        x, y = pairs // self.n, pairs % self.n
+        (r, rb, rd), (l, lb, ld) = ([e[i] for e in edge] for edge, i in zip(self.edges, (x, y)))
+        key = np.where((r[:, :, None] >= 0) & (l[:, None, :] >= 0), r[:, :, None] * self.n + l[:, None, :], -1)
+        at = np.minimum(np.searchsorted(self.join, key), max(0, len(self.join) - 1))
+        hit = self.join[at] == key if len(self.join) else np.zeros(key.shape, bool)
+        turn = self.turn[at] if len(self.join) else key
+        now = np.maximum(turn, np.maximum(rb[:, :, None], lb[:, None, :]))
+        met = hit & (now < rd[:, :, None]) & ((now < ld[:, None, :]) | (turn == ld[:, None, :]))
+        return self.usable[x] & self.usable[y] & ~met.any((1, 2))
+
+    def ok(self, pairs: np.ndarray) -> np.ndarray:
+        """Whether the pieces of x * n + y may follow each other."""
+        at = np.minimum(np.searchsorted(self.known, pairs), max(0, len(self.known) - 1))
+        hit = self.known[at] == pairs if len(self.known) else np.zeros(len(pairs), bool)
+        if not hit.all():
+            new = np.unique(pairs[~hit])
+            place = np.searchsorted(self.known, new)
+            fine = np.concatenate([self.compute(new[i : i + 4096]) for i in range(0, len(new), 4096)])
+            self.known, self.fine = np.insert(self.known, place, new), np.insert(self.fine, place, fine)
+            at = np.searchsorted(self.known, pairs)
+        return self.fine[at]
+
+    def one(self, x: int, y: int) -> bool:
+        """The same for one pair."""
+        key = x * int(self.n) + y
+        if key not in self.memo:
+            if not self.turns:
+                self.turns = dict(zip(self.join.tolist(), self.turn.tolist()))
+            self.memo[key] = bool(self.usable[x] and self.usable[y]) and not any(
+                turn is not None and (now := max(turn, rb, lb)) < rd and (now < ld or turn == ld)
+                for r, rb, rd in self._path(0, x) for l, lb, ld in self._path(1, y) for turn in (self.turns.get(r * int(self.n) + l),)
+            )
+        return self.memo[key]
+
+    def _path(self, side: int, x: int) -> list[tuple[int, int, int]]:
+        if (side, x) not in self.paths:
+            self.paths[side, x] = [row for row in zip(*(e[x].tolist() for e in self.edges[side])) if row[0] >= 0]
+        return self.paths[side, x]
 
 
 class Automaton:
@@ -112,6 +234,19 @@ class Automaton:
         self.alone = ~used
         self.alone[0x80:] = False  # part of a longer character, which may well have pieces
         self.crossing = any(b" " in t.lstrip(b" ") for t, _ in vocabulary.pieces)
+        self.neighbours = None if vocabulary.halves is None else Neighbours(vocabulary)
+        self.endings: dict[int, list[tuple[int, int, float]]] = {}
+
+    def ends(self, state: int) -> list[tuple[int, int, float]]:
+        """(piece, length, score) of the pieces that end in a state, the longest first."""
+        if state not in self.endings:
+            out, at = [], int(self.first[state])
+            while at > 0:
+                p = int(self.piece[at])
+                out.append((p, int(self.length[p]), float(self.score[p])))
+                at = int(self.link[at])
+            self.endings[state] = out
+        return self.endings[state]
 
 
 def automaton(vocabulary: Vocabulary) -> Automaton:
@@ -148,9 +283,56 @@ def stretches(data: np.ndarray, bounds: np.ndarray, a: Automaton) -> Words:
     return Words(data, bounds, start, end, np.zeros(0, np.int64), first, data.astype(np.uint16) + 1)
 
 
+#: Stretches longer than the rest that are read one by one, and the bytes that they have at least.
+FEW, LONG = 64, 300
+
+
 def viterbi(data: np.ndarray, start: np.ndarray, end: np.ndarray, a: Automaton) -> tuple[np.ndarray, np.ndarray]:
     """(ids, bounds): the tokens of each stretch data[start:end], one after another."""
     size = end - start
+    longer = max(LONG, int(np.partition(size, -FEW)[-FEW]) if len(size) > FEW else 0)
+    alone, rest = np.flatnonzero(size > longer), np.flatnonzero(size <= longer)
+    ids, bounds = _lanes(data, start[rest], end[rest], a)
+    if not len(alone):
+        return ids, bounds
+    found = [_one(data[start[i] : end[i]].tobytes(), a) for i in alone]
+    where = np.empty(len(size), np.int64)
+    where[rest], where[alone] = np.arange(len(rest)), len(rest) + np.arange(len(alone))
+    return gather(np.concatenate([ids, *found]), np.concatenate([bounds, bounds[-1] + np.cumsum([len(x) for x in found])]), where)
+
+
+def _one(text: bytes, a: Automaton) -> np.ndarray:
+    """The tokens of one stretch, byte by byte."""
+    n, goto, ends, near = len(text), a.goto, a.ends, a.neighbours
+    best, back, width = [-math.inf] * (n + 1), [-1] * (n + 1), [0] * (n + 1)
+    best[0] = 0.0
+    state = char = 0
+    for t, byte in enumerate(text):
+        if byte & 0xC0 != 0x80:
+            char = t
+        state = int(goto[state, byte])
+        top, piece, broad, single = -math.inf, -1, 0, False
+        for p, k, s in ends(state):
+            single = single or k == t + 1 - char
+            at = t + 1 - k
+            if best[at] + s > top and (near is None or (near.usable[p] and (back[at] < 0 or near.one(back[at], p)))):
+                top, piece, broad = best[at] + s, p, k
+                if near is not None:
+                    single = True
+                    break
+        if not single and (t + 1 == n or text[t + 1] & 0xC0 != 0x80) and best[char] + a.unknown > top:
+            top, piece, broad = best[char] + a.unknown, -1, t + 1 - char
+        best[t + 1], back[t + 1], width[t + 1] = top, piece, broad
+    out: list[int] = []
+    while n:
+        out += [int(a.ids[back[n]])] if back[n] >= 0 else [int(a.byte_ids[b]) for b in reversed(text[n - width[n] : n])]
+        n -= width[n]
+    return np.array(out[::-1], np.int32)
+
+
+def _lanes(data: np.ndarray, start: np.ndarray, end: np.ndarray, a: Automaton) -> tuple[np.ndarray, np.ndarray]:
+    """The same for many stretches at once."""
+    size = end - start
     order = np.argsort(-size, kind="stable")
     start, size = start[order], size[order]
     off = np.concatenate([[0], np.cumsum(size + 1)])
@@ -179,11 +361,19 @@ def viterbi(data: np.ndarray, start: np.ndarray, end: np.ndarray, a: Automaton)
             at, out = at[some], out[some]
             p = a.piece[out]
             n = a.length[p]
+            single[at] |= n == t + 1 - char[at]
             s = best[place[at] - n] + a.score[p]
             more = s > top[at]
+            if a.neighbours is not None:
+                before = back[place[at] - n]
+                more &= a.neighbours.usable[p]
+                both = np.flatnonzero(more & (before >= 0))
+                more[both] = a.neighbours.ok(before[both] * a.neighbours.n + p[both])
             top[at[more]], piece[at[more]], broad[at[more]] = s[more], p[more], n[more]
-            single[at] |= n == t + 1 - char[at]
             out = a.link[out]
+            if a.neighbours is not None:  # no other piece can end here
+                single[at[more]] = True
+                at, out = at[~more], out[~more]
         n = (t + 1 - char[lane]).astype(np.int32)
         s = best[place - n] + a.unknown
         use = last & ~single & (s > top)

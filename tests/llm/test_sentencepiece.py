@@ -1,5 +1,7 @@
 import random
+import time
 
+import numpy as np
 import pyarrow as pa
 import pytest
 import sentencepiece
@@ -13,49 +15,37 @@ TEXTS = ["Hello world", " lead", "two  blanks   three", "tail ", "\n\tline\nnext
 
 
 def plain(text, vocabulary):
-    """Best sum of scores by the textbook recurrence over characters."""
-    score = dict(vocabulary.pieces)
-    low = min(score.values()) - 10
-    t = (" " + text) if text else ""
-    best = [(0.0, None)] + [None] * len(t)
-    for e in range(1, len(t) + 1):
-        for s in range(max(0, e - 16), e):
-            b = t[s:e].encode()
-            v = score.get(b) if "▁" not in t[s:e] else None
-            if v is None and s == e - 1:
-                v = low
-            if v is not None and (best[e] is None or best[s][0] + v > best[e][0]):
-                best[e] = (best[s][0] + v, s)
-    return best[-1][0]
-
-
-def total(ids, vocabulary):
-    score = {i: s for i, (_, s) in zip(vocabulary.ids, vocabulary.pieces)}
-    data = [i for i in ids]
-    low, out, k = min(score.values()) - 10, 0.0, 0
-    byte = {i: b for b, i in enumerate(vocabulary.byte_ids)}
-    while k < len(data):
-        if data[k] in score:
-            out += score[data[k]]
-            k += 1
-        else:
-            b = byte[data[k]]
-            k += 1 if b < 0x80 else 2 if b < 0xE0 else 3 if b < 0xF0 else 4
-            out += low
-    return out
-
-
-def test_best_score_and_round_trip():
-    v = C.read_model()
+    """The merges replayed over the characters; characters of no piece as bytes."""
+    score = {t: s for t, s in vocabulary.pieces}
+    number = {t: i for (t, _), i in zip(vocabulary.pieces, vocabulary.ids)}
+    symbols = [c.encode() for c in (" " + text if text else "")]
+    left, _ = C.merged(symbols, score) if len(symbols) < 400 else (None, None)
+    return left and [i for x in left for i in ([number[x]] if x in number else [vocabulary.byte_ids[b] for b in x])]
+
+
+def random_texts(n):
     rnd = random.Random(8)
-    texts = TEXTS + ["".join(rnd.choice("abcdehilnorst  é\n.,語") for _ in range(rnd.choice((3, 20, 60)))) for _ in range(80)]
+    return ["".join(rnd.choice("abcdehilnorst  é\n.,語🜚aa") for _ in range(rnd.choice((3, 20, 60)))) for _ in range(n)]
+
+
+def test_merges_and_round_trip():
+    v = C.read_model()
+    texts = TEXTS + random_texts(150)
     ids, bounds = C.encode_rows(pa.array(texts), v)
     assert C.decode_rows(ids, bounds, v) == [t or "" for t in texts]
     for i, t in enumerate(texts):
-        assert total(ids[bounds[i] : bounds[i + 1]].tolist(), v) == pytest.approx(plain(t or "", v), rel=1e-12)
+        if (want := plain(t or "", v)) is not None:
+            assert ids[bounds[i] : bounds[i + 1]].tolist() == want, t
 
 
 def test_ids_of_the_library():
+    library = sentencepiece.SentencePieceProcessor(model_file=C.MODEL)
+    texts = [t or "" for t in TEXTS if "▁" not in (t or "")] + random_texts(1000) + ["aaaaaaa" * 40, " " * 70 + "x" + " " * 33, "日本語" * 90]
+    ids, bounds = C.encode_rows(pa.array(texts), C.read_model())
+    assert [ids[bounds[i] : bounds[i + 1]].tolist() for i in range(len(texts))] == library.encode(texts)
+
+
+def test_unigram_models_by_sums():
     """The library's own lattice search over the same pieces, where no pieces of blanks are in play."""
     model = proto.ModelProto()
     with open(C.MODEL, "rb") as f:
@@ -63,8 +53,32 @@ def test_ids_of_the_library():
     model.trainer_spec.model_type = 1
     library = sentencepiece.SentencePieceProcessor(model_proto=model.SerializeToString())
     texts = ["Hello world, this is a test.", "thndble to aneren", "Straße und naïve éçole", "日本語 z", "ein\nZeilenende"]
-    ids, bounds = C.encode_rows(pa.array(texts), C.read_model())
+    v = C.read_model()
+    unigram = C.Vocabulary(v.pieces, v.ids, v.byte_ids, v.size, v.blank_first)
+    ids, bounds = C.encode_rows(pa.array(texts), unigram)
     assert [ids[bounds[i] : bounds[i + 1]].tolist() for i in range(len(texts))] == library.encode(texts)
+    data, ends = C.text_bytes(pa.array([" thndbletoaneren"]))
+    a = C.Automaton(unigram)
+    assert C._one(data.tobytes(), a).tolist() == C._lanes(data, ends[:-1], ends[1:], a)[0].tolist()
+
+
+def test_neighbours_by_replay():
+    v = C.read_model()
+    near, score = C.automaton(v).neighbours, dict(v.pieces)
+    rnd = random.Random(2)
+    for _ in range(3000):
+        x, y = (rnd.randrange(len(v.pieces)) for _ in "xy")
+        a, b = v.pieces[x][0], v.pieces[y][0]
+        left, _ = C.merged([c.encode() for c in (a + b).decode()], score)
+        assert near.one(x, y) == bool(near.compute(np.array([x * near.n + y]))[0]) == (left == [a, b])
+
+
+@pytest.mark.parametrize("text", ["ab" * 80_000, "語" * 50_000, "".join(random.Random(4).choice("abcdefghij") for _ in range(50_000))])
+def test_long_stretches_without_blanks(text):
+    began = time.time()
+    ids, _ = C.encode_rows(pa.array([text]), C.read_model())
+    assert time.time() - began < 8
+    assert ids.tolist() == sentencepiece.SentencePieceProcessor(model_file=C.MODEL).encode(text)
 
 
 def test_tables(spark):
