@@ -89,10 +89,13 @@ def merkle_tree(records: DataFrame, depth: int | None = None, fanout: int = FANO
     return [*levels[1:], cut(_up(levels[-1], F.lit(0).cast("long")))]
 
 
-def _children(level: DataFrame, bad: DataFrame, few: bool, name: str, restart: bool) -> DataFrame:
+def _children(level: DataFrame, bad: DataFrame | None, few: bool, name: str, restart: bool) -> DataFrame:
     """(node, h, offset) of the children of the bad nodes in one replica; only these nodes of the level are read on."""
-    mine = bad.select("node", F.lit(0).cast("long").alias("base") if restart else F.col(name).alias("base"))
-    rows = level.select("node", "children").join(F.broadcast(mine) if few else mine, "node")
+    if bad is None:  # below the root
+        rows = level.select("children", F.lit(0).cast("long").alias("base"))
+    else:
+        mine = bad.select("node", F.lit(0).cast("long").alias("base") if restart else F.col(name).alias("base"))
+        rows = level.select("node", "children").join(F.broadcast(mine) if few else mine, "node")
     each = rows.select("base", F.explode("children").alias("c"))
     return each.select(F.col("c.node").alias("node"), F.col("c.h").alias(f"h_{name}"), (F.coalesce("base", F.lit(0)) + F.col("c.offset")).alias(name))
 
@@ -103,11 +106,9 @@ def differing_numbers(a: list[DataFrame], b: list[DataFrame]) -> DataFrame | Non
     roots = [level[-1].select("h").collect() for level in (a, b)]  # one row each at most
     if roots[0] == roots[1]:
         return None
-    spark = a[0].sparkSession
-    zero = F.lit(0).cast("long")
-    bad = spark.range(1).select(zero.alias("node"), zero.alias("a"), zero.alias("b"))
+    bad = None
     for i in range(len(a) - 1, -1, -1):
-        few = bad.count() <= BROADCAST_NODES
+        few = bad is not None and bad.count() <= BROADCAST_NODES
         restart = i == FILE_LEVEL - 1  # the nodes of this level are files
         x, y = (_children(side[i], bad, few, name, restart) for side, name in ((a, "a"), (b, "b")))
         both = x.join(y, "node", "full")
