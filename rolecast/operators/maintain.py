@@ -3,14 +3,33 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
+def first_by(rows: DataFrame, keys: list[str], order: list) -> DataFrame:
+    """The first row of each key in the given order, by an aggregate that combines before the shuffle: a key with any share of all rows
+    is never sorted in one task. Columns are those of rows."""
+    parts = F.struct(*[_ascending(o, i) for i, o in enumerate(order)])
+    whole = F.struct(*[F.col(f"`{c}`") for c in rows.columns])
+    return rows.groupBy(*keys).agg(F.min_by(whole, parts).alias("__first")).select("__first.*")
+
+
+def _ascending(order: Column | str | tuple, i: int) -> Column:
+    """A key of the order for ``min``: a column, or (column, 'desc') for numbers and times, the latter with nulls last."""
+    if not isinstance(order, tuple):
+        return (F.col(order) if isinstance(order, str) else order).alias(f"k{i}")
+    c = F.col(order[0]) if isinstance(order[0], str) else order[0]
+    return F.struct(c.isNull().alias("none"), (-c).alias("value")).alias(f"k{i}")
+
+
 def latest(rows: DataFrame, keys: list[str], ts: str = "updated_at", tie: list | None = None) -> DataFrame:
     """The newest row of each key."""
-    order = [F.desc(ts), *(tie or [])]
-    return rows.withColumn("rn", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).filter("rn = 1").drop("rn")
+    when = F.col(ts)
+    if rows.schema[ts].dataType.typeName() in ("timestamp", "timestamp_ntz"):
+        when = F.unix_micros(when.cast("timestamp"))
+    elif rows.schema[ts].dataType.typeName() == "date":
+        when = F.unix_date(when)
+    return first_by(rows, keys, [(when, "desc"), *(tie or [])])
 
 
 def upsert(target: DataFrame, updates: DataFrame, keys: list[str], ts: str = "updated_at", tie: list | None = None) -> DataFrame:
@@ -45,21 +64,22 @@ def store_counts(stores: dict[str, DataFrame]) -> DataFrame:
 
 def first_of_content(files: DataFrame, content: Column, order: list) -> DataFrame:
     """Each different content once: the first in the given order; ``content_sha1`` is its key."""
-    rows = files.withColumn("content_sha1", F.sha1(content))
-    return rows.withColumn("rn", F.row_number().over(W.partitionBy("content_sha1").orderBy(*order))).filter("rn = 1").drop("rn")
+    return first_by(files.withColumn("content_sha1", F.sha1(content)), ["content_sha1"], order)
 
 
 def import_status(files: DataFrame, known_names: DataFrame, max_bytes: int = 800_000) -> DataFrame:
     """files(name, size, text) with ``content_sha1``, an id from it, and ``status``: existing, large, empty, duplicate or imported.
 
-    Of equal contents among the files left, the first by size and name is imported.
+    Of equal contents among the files left, the first by size and name is imported; names are unique.
     """
     rows = files.join(known_names.select("name").distinct().withColumn("known", F.lit(True)), "name", "left")
     rows = rows.withColumn("content_sha1", F.sha1(F.coalesce("text", F.lit(""))))
     open_ = F.col("known").isNull() & (F.col("size") <= max_bytes) & (F.trim(F.coalesce("text", F.lit(""))) != "")
-    rows = rows.withColumn("open", open_).withColumn("rn", F.row_number().over(W.partitionBy("content_sha1", "open").orderBy("size", F.lower("name"), "name")))
-    status = F.when(F.col("known"), "existing").when(F.col("size") > max_bytes, "large").when(~F.col("open"), "empty").when(F.col("rn") > 1, "duplicate").otherwise("imported")
-    return rows.withColumns({"status": status, "id": F.concat(F.lit("resume-"), F.substring("content_sha1", 1, 12))}).drop("known", "open", "rn")
+    rows = rows.withColumn("open", open_)
+    firsts = rows.filter("open").groupBy("content_sha1").agg(F.min(F.struct("size", F.lower("name").alias("low"), "name")).alias("f")).select(F.col("f.name").alias("name"), F.lit(True).alias("is_first"))
+    rows = rows.join(firsts, "name", "left")
+    status = F.when(F.col("known"), "existing").when(F.col("size") > max_bytes, "large").when(~F.col("open"), "empty").when(F.col("is_first").isNull(), "duplicate").otherwise("imported")
+    return rows.withColumns({"status": status, "id": F.concat(F.lit("resume-"), F.substring("content_sha1", 1, 12))}).drop("known", "open", "is_first")
 
 
 def import_counts(statuses: DataFrame) -> DataFrame:

@@ -22,12 +22,19 @@ def payload_text(summary: Column, skills: Column, keywords: Column) -> Column:
 
 
 def cosine(a: Column, b: Column) -> Column:
-    """Cosine over the common length, added left to right; 0 where a length is 0; six digits."""
-    n = F.least(F.size(a), F.size(b))
-    x, y = F.slice(a, 1, n), F.slice(b, 1, n)
-    dot = lambda u, v: F.aggregate(F.zip_with(u, v, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, z: s + z)
-    size = F.sqrt(dot(x, x)) * F.sqrt(dot(y, y))
-    return F.when(size > 0, F.round(dot(x, y) / size, 6)).otherwise(0.0)
+    """The product over the common length by the sizes of both whole vectors, added left to right; 0 where a size is 0; six digits."""
+    size = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
+    return F.when(size > 0, F.round(dot(a, b) / size, 6)).otherwise(0.0)
+
+
+def dot(a: Column, b: Column) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda p, q: F.coalesce(p.cast("double") * q.cast("double"), F.lit(0.0))), F.lit(0.0), lambda s, z: s + z)
+
+
+def unit_vector(v: Column) -> Column:
+    """The vector by its size; null if that is 0. For cosines of many pairs: once a side, then ``dot``."""
+    size = F.sqrt(dot(v, v))
+    return F.when(size > 0, F.transform(v, lambda x: x.cast("double") / size))
 
 
 def recall_size(k: Column, job_count: Column, active: Column, cfg: MatchConfig = DEFAULT) -> Column:
@@ -41,10 +48,38 @@ def recall_size(k: Column, job_count: Column, active: Column, cfg: MatchConfig =
     return F.when(job_count > 0, F.least(n, job_count)).otherwise(n)
 
 
+def unit(column: pd.Series, dim: int) -> np.ndarray:
+    """Rows of length one, zeros behind shorter ones; null and zero vectors are zeros."""
+    m = np.zeros((len(column), dim))
+    for i, v in enumerate(column):
+        if v is not None:
+            v = np.nan_to_num(np.asarray(v, float))
+            m[i, : len(v)] = v
+    norm = np.sqrt((m * m).sum(1, keepdims=True))
+    return np.divide(m, norm, out=np.zeros_like(m), where=norm > 0)
+
+
+def nearest(left: pd.DataFrame, right: pd.DataFrame, n: int, query_id: str, item_id: str) -> pd.DataFrame:
+    """The n best of right(id, v), sorted by id, for each of left(id, v)."""
+    if left.empty or right.empty:
+        return pd.DataFrame({query_id: left["id"].iloc[:0], item_id: right["id"].iloc[:0], "score": pd.Series([], dtype=float)})
+    dim = max(max((len(v) for v in x["v"] if v is not None), default=0) for x in (left, right))
+    right = right.sort_values("id", kind="stable").reset_index(drop=True)
+    a, b = unit(left["v"], dim), unit(right["v"], dim)
+    out = []
+    for s in range(0, len(a), 512):
+        score = np.round(a[s : s + 512] @ b.T, 6)
+        order = np.argsort(-score, axis=1, kind="stable")[:, :n]
+        rows = np.repeat(np.arange(len(score)), order.shape[1])
+        out.append(pd.DataFrame({query_id: left["id"].to_numpy()[s + rows], item_id: right["id"].to_numpy()[order.ravel()], "score": score[rows, order.ravel()]}))
+    return pd.concat(out)
+
+
 def top_n(queries: DataFrame, items: DataFrame, n: int, query_id: str = "resume_id", item_id: str = "job_id", vector: str = "vector", block: int = 4096) -> DataFrame:
     """(query_id, item_id, score, recall_rank): the n nearest items of each query by cosine, ties by id.
 
-    Vectors of other lengths than the first of their block are compared over the common length.
+    Shorter vectors count as if zeros followed: the product is over the common length, sizes are of whole vectors. This is the
+    exact way, whose work is the product of both sides; ``indexed_top_n`` looks at a part of them.
     """
     qn = max(1, -(-queries.count() // block))
     tn = max(1, -(-items.count() // block))
@@ -52,34 +87,70 @@ def top_n(queries: DataFrame, items: DataFrame, n: int, query_id: str = "resume_
     q = queries.select(F.col(query_id).alias("id"), F.col(vector).cast("array<double>").alias("v"), F.pmod(F.xxhash64(query_id), F.lit(qn)).alias("qb")).withColumn("tb", F.explode(F.sequence(F.lit(0), F.lit(tn - 1))))
     t = items.select(F.col(item_id).alias("id"), F.col(vector).cast("array<double>").alias("v"), F.pmod(F.xxhash64(item_id), F.lit(tn)).alias("tb")).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(qn - 1))))
 
-    def unit(column: pd.Series, dim: int) -> np.ndarray:
-        m = np.zeros((len(column), dim))
-        for i, v in enumerate(column):
-            if v is not None:
-                v = np.nan_to_num(np.asarray(v, float))[:dim]
-                m[i, : len(v)] = v
-        norm = np.sqrt((m * m).sum(1, keepdims=True))
-        return np.divide(m, norm, out=np.zeros_like(m), where=norm > 0)
-
     def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if left.empty or right.empty:
-            return pd.DataFrame({query_id: [], item_id: [], "score": []})
-        dim = min(max((len(v) for v in x["v"] if v is not None), default=0) for x in (left, right))
-        right = right.sort_values("id", kind="stable").reset_index(drop=True)
-        a, b = unit(left["v"], dim), unit(right["v"], dim)
-        out = []
-        for s in range(0, len(a), 512):
-            score = np.round(a[s : s + 512] @ b.T, 6)
-            order = np.argsort(-score, axis=1, kind="stable")[:, :n]
-            rows = np.repeat(np.arange(len(score)), order.shape[1])
-            out.append(pd.DataFrame({query_id: left["id"].to_numpy()[s + rows], item_id: right["id"].to_numpy()[order.ravel()], "score": score[rows, order.ravel()]}))
-        return pd.concat(out)
+        return nearest(left, right, n, query_id, item_id)
 
     found = q.groupBy("qb", "tb").cogroup(t.groupBy("qb", "tb")).applyInPandas(best, f"`{query_id}` {kind_q}, `{item_id}` {kind_t}, score double")
     rank = F.row_number().over(W.partitionBy(query_id).orderBy(F.desc("score"), item_id))
     return found.withColumn("recall_rank", rank).filter(F.col("recall_rank") <= n)
 
 
+def centroids(items: DataFrame, vector: str, cells: int, sample: int = 20_000, rounds: int = 8, key: str = "job_id") -> np.ndarray:
+    """``cells`` unit vectors by spherical k-means over at most ``sample`` items, those of the least hash of their id; the same on every run."""
+    rows = items.filter(F.col(vector).isNotNull()).select(F.xxhash64(key).alias("h"), key, F.col(vector).cast("array<double>").alias("v")).orderBy("h", key).limit(sample).toPandas()
+    if rows.empty:
+        return np.zeros((1, 1))
+    x = unit(rows["v"], max(map(len, rows["v"])))
+    c = x[:: max(1, len(x) // cells)][:cells].copy()
+    for _ in range(rounds):
+        near = np.argmax(x @ c.T, 1)
+        total = np.zeros_like(c)
+        np.add.at(total, near, x)
+        size = np.linalg.norm(total, axis=1, keepdims=True)
+        c = np.where(size > 0, np.divide(total, size, out=np.zeros_like(total), where=size > 0), c)
+    return c
+
+
+def indexed_top_n(queries: DataFrame, items: DataFrame, n: int, query_id: str = "resume_id", item_id: str = "job_id", vector: str = "vector", cells: int | None = None, probes: float = 0.4, block: int = 4096) -> DataFrame:
+    """The same from an index: items are dealt to the cell of their nearest centroid, queries look into the nearest ``probes`` of all cells.
+
+    Every item is in the index; only its centroids come from a bounded sample (``centroids``). ``cells`` is the square root of the number of
+    items unless given. A cell with more than ``block`` items, and a cell's queries, are split over tasks. A miss is an item
+    whose cell isn't looked into; scores and the order of those found are exact.
+    """
+    total = items.count()
+    cells = cells or max(1, int(total**0.5))
+    c = centroids(items, vector, cells, key=item_id)
+    look = max(1, int(np.ceil(probes * len(c))))
+    kind_q, kind_t = queries.schema[query_id].dataType.simpleString(), items.schema[item_id].dataType.simpleString()
+
+    def deal(many: int):
+        def run(batches):
+            for rows in batches:
+                x = unit(rows["v"], max(c.shape[1], max((len(v) for v in rows["v"] if v is not None), default=0)))[:, : c.shape[1]]
+                near = np.argsort(-(x @ c.T), axis=1, kind="stable")[:, :many]
+                yield pd.DataFrame({"id": np.repeat(rows["id"].to_numpy(), near.shape[1]), "v": rows["v"].repeat(near.shape[1]).to_numpy(), "cell": near.ravel()})
+
+        return run
+
+    side = lambda df, key, kind, many: df.select(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("v")).mapInPandas(deal(many), f"id {kind}, v array<double>, cell long")
+    t = side(items, item_id, kind_t, 1)
+    sizes = t.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("parts"))  # as many rows as cells
+    t = t.join(F.broadcast(sizes), "cell").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts"))).drop("parts")
+    turns = max(1, -(-queries.count() // block))
+    q = side(queries, query_id, kind_q, look).join(F.broadcast(sizes), "cell").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).cast("long")).drop("parts")
+    q = q.withColumn("turn", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(turns)))
+    t = t.withColumn("turn", F.explode(F.sequence(F.lit(0), F.lit(turns - 1))).cast("long"))
+
+    def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        return nearest(left, right, n, query_id, item_id)
+
+    keys = ("cell", "part", "turn")
+    found = q.groupBy(*keys).cogroup(t.groupBy(*keys)).applyInPandas(best, f"`{query_id}` {kind_q}, `{item_id}` {kind_t}, score double")
+    rank = F.row_number().over(W.partitionBy(query_id).orderBy(F.desc("score"), item_id))
+    return found.withColumn("recall_rank", rank).filter(F.col("recall_rank") <= n)
+
+
 def candidate_pool(ranked: DataFrame, desired: int, k: int, recall: Column, query_id: str = "resume_id") -> DataFrame:
     """Of (query, recall_rank, passed): the first ``desired`` that pass, and the recall that was needed for them.
 

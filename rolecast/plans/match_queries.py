@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 from ..config import MatchConfig
 from ..functions import facets, text
 from ..functions import scores as S
-from ..functions.dictionaries import BACKEND_TARGETS, BRIDGES, CITY_REGIONS, CLOSE_CITIES, FRONTEND_TARGETS, TITLE_SKILL_PATTERNS
+from ..functions.dictionaries import BACKEND_TARGETS, BRIDGES, CITY_REGIONS, CLOSE_CITIES, FRONTEND_TARGETS, LEAD_KEYWORDS, SPECIALIZED_KEYWORDS, TITLE_SKILL_PATTERNS
+from ..functions.skills import title_skills
 from ..operators import filters, gaps, ranking, recall
 from ..operators import skills as K
+from .store_queries import DOMAIN_OVERLAP, domain_sides
 from .bindings import CITIES, ROLES, bind, quoted, sql_any, sql_categories, with_ctes
 
 QUERIES: dict = {}
@@ -44,11 +46,15 @@ def pairs_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     jobs = bind(spark, sf_dir, "fx_jobs").withColumnRenamed("city_key", "job_city").withColumnRenamed("role", "job_role")
     people = bind(spark, sf_dir, "fx_resumes").withColumnRenamed("city_key", "own_city").withColumnRenamed("role", "own_role")
     wishes = bind(spark, sf_dir, "fx_wishes")
-    return bind(spark, sf_dir, "fx_pairs").join(jobs, "job_id").join(people, "resume_id").join(wishes, "resume_id").withColumn("has_salary", ~F.col("salary_negotiable") & (F.col("salary_max") > 0))
+    rows = bind(spark, sf_dir, "fx_pairs").join(jobs, "job_id").join(people, "resume_id").join(wishes, "resume_id").withColumn("has_salary", ~F.col("salary_negotiable") & (F.col("salary_max") > 0))
+    mine = F.col("resume_id") % 3
+    own_tags = F.when(mine == 0, text.strings("cold", "widget", "misc")).when(mine == 1, text.strings("cold", "widget")).otherwise(text.strings())
+    return rows.withColumns({"campus": F.col("job_id") % 23 == 5, "job_tags": F.concat(F.split("title", " "), F.array("job_role")), "resume_tags": own_tags})
 
 
 PAIR_CTES = ["fx_jobs", "fx_resumes", "fx_wishes", "fx_pairs"]
 PAIR_SQL = """(SELECT p.resume_id, p.job_id, p.vector, p.recall_rank, j.title, j.company, j.city_key AS job_city, j.is_internship, j.salary_min, j.salary_max, j.min_years, j.max_years, j.min_degree_rank, j.posted_days_ago, j.role AS job_role, j.work_mode,
+ (j.job_id % 23 = 5) AS campus, list_append(string_split(j.title, ' '), j.role) AS job_tags, CASE r.resume_id % 3 WHEN 0 THEN ['cold', 'widget', 'misc'] WHEN 1 THEN ['cold', 'widget'] ELSE [] END AS resume_tags,
  r.city_key AS own_city, r.years, r.exp_min, r.exp_max, r.degree_rank, r.role AS own_role, w.want_role, w.want_mode, w.want_internship, w.want_days, w.want_min_years, w.want_max_years, (NOT j.salary_negotiable AND j.salary_max > 0) AS has_salary
  FROM fx_pairs p JOIN fx_jobs j ON p.job_id = j.job_id JOIN fx_resumes r ON p.resume_id = r.resume_id JOIN fx_wishes w ON p.resume_id = w.resume_id)"""
 
@@ -65,7 +71,8 @@ REASON = f"""CASE WHEN want_role IS NOT NULL AND want_role <> job_role THEN 'use
  WHEN want_internship = 'intern' AND NOT is_internship THEN 'user_internship_filtered' WHEN want_internship = 'fulltime' AND is_internship THEN 'user_fulltime_filtered'
  WHEN want_days IS NOT NULL AND posted_days_ago > want_days THEN 'user_post_time_filtered' WHEN coalesce(coalesce(max_years, min_years) < want_min_years, false) OR coalesce(min_years > want_max_years, false) THEN 'user_experience_filtered'
  WHEN {GATE} < 0.5 THEN 'education_below_threshold' WHEN has_salary AND exp_min > 0 AND exp_min > salary_max * 1.5 THEN 'salary_far_above_budget'
- WHEN years >= 3 AND is_internship THEN 'overqualified_entry_level'
+ WHEN len(list_distinct(resume_tags)) >= 3 AND len(list_distinct(job_tags)) >= 3 AND NOT list_has_any(resume_tags, job_tags) AND own_role <> job_role THEN 'direction_mismatch'
+ WHEN years >= 3 AND (is_internship OR campus) THEN 'overqualified_entry_level'
  WHEN (own_role = 'frontend_engineer' AND job_role IN ('backend_engineer', 'fullstack_engineer')) OR (job_role = 'algorithm_engineer' AND own_role <> 'algorithm_engineer')
   OR (job_role = 'data_engineer' AND own_role NOT IN ('data_engineer', 'backend_engineer', 'fullstack_engineer')) THEN 'role_mismatch' ELSE 'passed' END"""
 
@@ -75,8 +82,8 @@ def reasoned(spark: SparkSession, sf_dir: str) -> DataFrame:
     one = lambda x: F.when(x.isNotNull(), F.array(x)).otherwise(text.strings())
     rows = pairs_of(spark, sf_dir).withColumns(
         {
-            "want_roles": one(c("want_role")), "want_modes": one(c("want_mode")), "roles": F.array("job_role"), "modes": F.array("work_mode"), "campus": F.lit(False), "gate": S.degree_gate(c("degree_rank"), c("min_degree_rank")),
-            "want_min": c("exp_min"), "resume_roles": own_roles(c("own_role")), "resume_tags": text.strings(), "job_tags": text.strings(), "aligned": F.lit(True),
+            "want_roles": one(c("want_role")), "want_modes": one(c("want_mode")), "roles": F.array("job_role"), "modes": F.array("work_mode"), "gate": S.degree_gate(c("degree_rank"), c("min_degree_rank")),
+            "want_min": c("exp_min"), "resume_roles": own_roles(c("own_role")), "aligned": c("own_role") == c("job_role"),
         }
     )
     return filters.with_filter_reason(rows)
@@ -89,12 +96,15 @@ def filter_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "filter_funnel",
-    with_ctes(PAIR_CTES, f"""WITH x AS (SELECT resume_id, CASE WHEN reason = 'passed' THEN 'matched' ELSE 'filtered' END AS status, reason AS filter_reason FROM (SELECT *, {REASON} AS reason FROM {PAIR_SQL}))
+    with_ctes(PAIR_CTES, f"""WITH x AS (SELECT p.resume_id, CASE WHEN r.reason IS NULL THEN 'job_missing' WHEN r.reason = 'passed' THEN 'matched' ELSE 'filtered' END AS status, coalesce(r.reason, 'none') AS filter_reason
+ FROM fx_pairs p LEFT JOIN (SELECT *, {REASON} AS reason FROM {PAIR_SQL} WHERE job_id % 37 <> 4) r ON p.resume_id = r.resume_id AND p.job_id = r.job_id)
  SELECT resume_id, status, filter_reason, count(*) AS n FROM x GROUP BY ALL UNION ALL SELECT resume_id, NULL, NULL, count(*) FROM x GROUP BY resume_id"""),
 )
 def filter_funnel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = reasoned(spark, sf_dir).select("resume_id", F.when(F.col("filter_reason") == "passed", "matched").otherwise("filtered").alias("status"), "filter_reason")
-    return gaps.funnel(rows)
+    stored = reasoned(spark, sf_dir).filter("job_id % 37 <> 4").select("resume_id", "job_id", "filter_reason")
+    rows = bind(spark, sf_dir, "fx_pairs").join(stored, ["resume_id", "job_id"], "left")
+    status = F.when(F.col("filter_reason").isNull(), "job_missing").when(F.col("filter_reason") == "passed", "matched").otherwise("filtered")
+    return gaps.funnel(rows.select("resume_id", status.alias("status"), F.coalesce("filter_reason", F.lit("none")).alias("filter_reason")))
 
 
 @query(
@@ -158,20 +168,21 @@ def location_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _SENIOR = "(min_years >= 5)"
 _ENTRY = "(is_internship OR coalesce(max_years <= 2, false) OR coalesce(min_years <= 1 AND max_years <= 3, false))"
-BAND = f"""(SELECT *, CASE WHEN is_internship THEN 'internship' WHEN {_ENTRY} THEN 'entry' WHEN {_SENIOR} THEN 'senior' ELSE 'standard' END AS tag, CASE WHEN is_internship THEN 0 ELSE min_years END::DOUBLE AS low,
- CASE WHEN is_internship THEN 1 ELSE coalesce(max_years, min_years + CASE WHEN {_SENIOR} THEN 6 ELSE 4 END) END::DOUBLE AS high FROM {LOCATED})"""
+BAND = f"""(SELECT *, CASE WHEN is_internship THEN 'internship' WHEN campus THEN 'campus' WHEN {_ENTRY} THEN 'entry' WHEN {_SENIOR} THEN 'senior' ELSE 'standard' END AS tag, CASE WHEN is_internship OR campus THEN 0 ELSE min_years END::DOUBLE AS low,
+ CASE WHEN is_internship THEN 1 WHEN campus THEN 2 ELSE coalesce(max_years, min_years + CASE WHEN {_SENIOR} THEN 6 ELSE 4 END) END::DOUBLE AS high FROM {LOCATED})"""
 FIT = """CASE WHEN years <= 0 THEN CASE WHEN tag IN ('internship', 'campus', 'entry') THEN 0.55 ELSE 0.7 END WHEN tag = 'internship' THEN CASE WHEN years <= 1 THEN 1 WHEN years <= 2 THEN 0.72 WHEN years <= 3 THEN 0.45 ELSE 0.08 END
+ WHEN tag = 'campus' THEN CASE WHEN years <= 2 THEN 1 WHEN years <= 3 THEN 0.65 WHEN years <= 5 THEN 0.35 ELSE 0.12 END
  WHEN years BETWEEN low AND high THEN 1 WHEN years < low THEN greatest(0.18, least(years / greatest(low, 1), 1) * 0.92)
  WHEN tag = 'entry' THEN CASE WHEN years - high >= 5 THEN 0.18 WHEN years - high >= 3 THEN 0.32 WHEN years - high >= 1.5 THEN 0.55 ELSE 0.75 END
  WHEN tag = 'senior' THEN CASE WHEN years - high <= 2 THEN 0.92 WHEN years - high <= 4 THEN 0.82 ELSE 0.72 END
  ELSE CASE WHEN years - high <= 2 THEN 0.88 WHEN years - high <= 4 THEN 0.74 WHEN years - high <= 6 THEN 0.62 ELSE 0.5 END END::DOUBLE"""
-LEVEL_PENALTY = """CASE WHEN fit >= 0.85 THEN 1 WHEN tag = 'internship' THEN CASE WHEN fit >= 0.55 THEN 0.72 WHEN fit >= 0.35 THEN 0.48 ELSE 0.22 END
+LEVEL_PENALTY = """CASE WHEN fit >= 0.85 THEN 1 WHEN tag IN ('internship', 'campus') THEN CASE WHEN fit >= 0.55 THEN 0.72 WHEN fit >= 0.35 THEN 0.48 ELSE 0.22 END
  WHEN tag = 'entry' THEN CASE WHEN fit >= 0.7 THEN 0.9 WHEN fit >= 0.55 THEN 0.72 WHEN fit >= 0.35 THEN 0.58 ELSE 0.44 END ELSE CASE WHEN fit >= 0.65 THEN 0.88 WHEN fit >= 0.45 THEN 0.74 ELSE 0.6 END END::DOUBLE"""
 
 
 def levelled(rows: DataFrame) -> DataFrame:
     c = F.col
-    out = rows.withColumn("band", facets.experience_band(c("is_internship"), F.lit(""), c("min_years"), c("max_years"))).withColumns({"tag": c("band.tag"), "low": c("band.low"), "high": c("band.high")})
+    out = rows.withColumn("band", facets.experience_band(c("is_internship"), F.when(c("campus"), "campus").otherwise(""), c("min_years"), c("max_years"))).withColumns({"tag": c("band.tag"), "low": c("band.low"), "high": c("band.high")})
     out = out.withColumn("fit", S.level_fit(c("years"), c("low"), c("high"), c("tag")))
     return out.withColumn("level_penalty", S.level_penalty(c("fit"), c("tag")))
 
@@ -243,16 +254,23 @@ TITLED = f"""(SELECT *, CASE WHEN t = '' THEN 1 ELSE len(list_filter(string_spli
 TITLE_CTES = ["fx_pairs", "fx_resumes", "fx_text"]
 
 
-def titled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from ..functions.skills import title_skills
-
+def title_sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Openings with the skills that their titles name, and people with those that they own."""
     c = F.col
     jobs = bind(spark, sf_dir, "fx_text").select("job_id", "title", "summary").withColumn("targets", title_skills(c("title")))
     owned = F.array_compact(F.array(*[F.when((c("resume_id") + i) % 5 == 0, F.lit(s)) for i, s in enumerate(_OWNED)]))
-    people = bind(spark, sf_dir, "fx_resumes").select("resume_id", "role", owned.alias("owned"))
+    return jobs, bind(spark, sf_dir, "fx_resumes").select("resume_id", "role", owned.alias("owned"))
+
+
+def titles_of(targets, owned, role) -> dict:
+    matched = F.size(F.array_intersect(targets, owned))
+    return {"alignment": S.title_alignment(F.size(targets), matched).cast("double"), "transition": S.transition_score(targets, owned, own_roles(role))}
+
+
+def titled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    jobs, people = title_sides(spark, sf_dir)
     rows = bind(spark, sf_dir, "fx_pairs").join(jobs, "job_id").join(people, "resume_id")
-    matched = F.size(F.array_intersect("targets", "owned"))
-    return rows.withColumns({"alignment": S.title_alignment(F.size("targets"), matched).cast("double"), "transition": S.transition_score(c("targets"), c("owned"), own_roles(c("role")))})
+    return rows.withColumns(titles_of(F.col("targets"), F.col("owned"), F.col("role")))
 
 
 @query("title_alignment", with_ctes(TITLE_CTES, f"SELECT resume_id, job_id, {r4('alignment', 6)} AS alignment, transition FROM {TITLED}"))
@@ -284,31 +302,63 @@ def title_penalties(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # The full score, rank, tier: the flagship.
 _UNDERPAY = "CASE WHEN NOT has_salary OR exp_min <= 0 OR salary_max >= exp_min OR work_mode = 'remote' THEN 1 WHEN salary_max / exp_min::DOUBLE < 0.8 AND location < 1 THEN 0.72 WHEN salary_max / exp_min::DOUBLE < 0.8 THEN 0.86 WHEN salary_max / exp_min::DOUBLE < 0.9 AND location < 0.7 THEN 0.88 ELSE 1 END::DOUBLE"
-_HARD = "CASE WHEN primary_score < 0.35 THEN 0.7 ELSE 1 END * CASE WHEN required < 0.45 THEN 0.82 ELSE 1 END::DOUBLE"
+_HARD = f"({r4('0.6 + 0.4 * ' + _E)}) * CASE WHEN primary_score < 0.35 THEN 0.7 ELSE 1 END * CASE WHEN required < 0.45 THEN 0.82 ELSE 1 END::DOUBLE"
+_HOT = sql_any("lower(concat_ws(' ', post, body))", SPECIALIZED_KEYWORDS)
+_SPECIAL = f"CASE WHEN NOT {_HOT} THEN 1 WHEN {_E} >= 0.65 AND domain >= 0.55 THEN 1 WHEN {_E} >= 0.5 AND domain >= 0.45 THEN 0.92 WHEN transition >= 0.45 AND domain >= 0.35 THEN 0.88 WHEN {_E} > 0 AND domain >= 0.5 THEN 0.85 ELSE 0.72 END::DOUBLE"
+_LEAD = f"CASE WHEN NOT {sql_any('lower(post)', LEAD_KEYWORDS)} OR alignment >= 1 THEN 1 WHEN transition >= 0.75 AND location >= 1 AND salary >= 0.9 THEN 1 WHEN location < 1 AND salary < 0.9 THEN 0.72 WHEN location < 0.7 OR salary < 0.8 THEN 0.82 ELSE 0.9 END::DOUBLE"
+_CAP = f"CASE WHEN alignment > 0 OR transition >= 0.35 OR coalesce(required, 0.5) > 0.15 OR skill > 0.18 THEN t5 ELSE least(t5, CASE WHEN job_role IN ('algorithm_engineer', 'data_engineer') THEN 0.08 WHEN {_HOT} THEN 0.1 ELSE 0.12 END) END::DOUBLE"
+_ADJUSTED = f"CASE WHEN alignment = 0 THEN greatest(least(skill0 * 0.25, 0.1), {r4('transition * 0.6')}) WHEN alignment < 0.5 THEN {r4('skill0 * (0.5 + alignment)')} ELSE skill0 END::DOUBLE"
+# Requirements that the openings have by their key: degrees that are welcome, fields of study that are required or welcome.
+_HAS_EDU = "(min_degree_rank > 0 OR job_id % 3 = 0 OR job_id % 5 < 2)"
+_PREFERRED = f"CASE WHEN degree_rank = 0 THEN 0.55 WHEN degree_rank = 3 THEN 0.8 WHEN degree_rank > 3 THEN 0.84 ELSE greatest(0.3, degree_rank / 3.0E0 * 0.65) END::DOUBLE"
+_MAJOR = "CASE resume_id % 3 WHEN 0 THEN 0.85 WHEN 1 THEN 0.72 ELSE {0} END::DOUBLE"
+_EDUCATION = f"""CASE WHEN NOT {_HAS_EDU} THEN 1 ELSE (CASE WHEN min_degree_rank > 0 THEN gate * 0.5 ELSE 0 END + CASE WHEN job_id % 3 = 0 THEN {_PREFERRED} * 0.2 ELSE 0 END + CASE WHEN job_id % 5 = 0 THEN {_MAJOR.format(0)} * 0.2 ELSE 0 END + CASE WHEN job_id % 5 = 1 THEN {_MAJOR.format(0.45)} * 0.1 ELSE 0 END)
+ / (CASE WHEN min_degree_rank > 0 THEN 0.5E0 ELSE 0E0 END + CASE WHEN job_id % 3 = 0 THEN 0.2E0 ELSE 0E0 END + CASE WHEN job_id % 5 = 0 THEN 0.2E0 ELSE 0E0 END + CASE WHEN job_id % 5 = 1 THEN 0.1E0 ELSE 0E0 END) END::DOUBLE"""
 _BASE_TOTAL = r4(
-    "(vector * 0.2 + skill * 0.25 + experience * 0.15 + CASE WHEN min_degree_rank > 0 THEN gate * 0.05 ELSE 0 END + 0.5 * 0.1 + location * 0.15 + CASE WHEN has_salary THEN salary * 0.1 ELSE 0 END)"
-    " / (0.2 + 0.25 + 0.15 + CASE WHEN min_degree_rank > 0 THEN 0.05 ELSE 0 END + 0.1 + 0.15 + CASE WHEN has_salary THEN 0.1 ELSE 0 END)"
+    f"(vector * 0.2 + skill * 0.25 + experience * 0.15 + CASE WHEN {_HAS_EDU} THEN education * 0.05 ELSE 0 END + domain * 0.1 + location * 0.15 + CASE WHEN has_salary THEN salary * 0.1 ELSE 0 END)"
+    f" / (0.2 + 0.25 + 0.15 + CASE WHEN {_HAS_EDU} THEN 0.05 ELSE 0 END + 0.1 + 0.15 + CASE WHEN has_salary THEN 0.1 ELSE 0 END)"
 )
-FULL_CTES = [*PAIR_CTES, "fx_skill_index", "fx_job_skill"]
+FULL_CTES = [*PAIR_CTES, "fx_skill_index", "fx_job_skill", "fx_text", "fx_people", "fx_vec"]
+#: The cosine of the domain vectors of a person and an opening, and what their terms share.
+_DOMAIN = f"""(SELECT d.resume_id, d.job_id, CASE WHEN d.o = 0 THEN greatest(greatest(0, s), 0.5) ELSE greatest(d.o, greatest(0, s)) END::DOUBLE AS domain FROM (SELECT d.*, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS s
+ FROM {DOMAIN_OVERLAP} d JOIN fx_vec a ON a.vec_id = d.resume_id % 500 JOIN fx_vec b ON b.vec_id = d.job_id * 7 % 500) d)"""
 SCORED = f"""(WITH f AS (SELECT *, {FIT} AS fit, {SALARY} AS salary, {GATE} AS gate, {TIER} AS tier, {REASON} AS reason, {_UNDERPAY} AS underpay, CASE WHEN min_years <= 0 THEN 1 ELSE least(years / min_years::DOUBLE, 1) END::DOUBLE AS experience FROM {BAND}),
- s AS (SELECT *, {MATCH} AS skill FROM {SKILLS}),
- a AS (SELECT f.*, s.skill, s.required, s.primary_score, s.matched, s.missing, {LEVEL_PENALTY} AS level_penalty FROM f JOIN s ON f.resume_id = s.resume_id AND f.job_id = s.job_id),
- b AS (SELECT *, {_BASE_TOTAL} AS base FROM a)
- SELECT *, {r4("(" + r4("(" + r4(f"base * ({_HARD})") + ") * level_penalty") + ") * underpay")} AS total FROM b)"""
+ s AS (SELECT *, {MATCH} AS skill0 FROM {SKILLS}), t AS (SELECT resume_id, job_id, alignment, transition, title AS post, summary AS body FROM {TITLED}), d AS {_DOMAIN},
+ a AS (SELECT f.*, s.skill0, s.required, s.primary_score, s.matched, s.missing, {LEVEL_PENALTY} AS level_penalty, t.alignment, t.transition, t.post, t.body, d.domain
+  FROM f JOIN s ON f.resume_id = s.resume_id AND f.job_id = s.job_id JOIN t ON f.resume_id = t.resume_id AND f.job_id = t.job_id JOIN d ON f.resume_id = d.resume_id AND f.job_id = d.job_id),
+ e AS (SELECT *, {_ADJUSTED} AS skill, {_EDUCATION} AS education FROM a), b AS (SELECT *, {_BASE_TOTAL} AS base FROM e),
+ p AS (SELECT *, {r4("(" + r4("(" + r4("(" + r4("(" + r4(f"base * ({_HARD})") + f") * ({_SPECIAL})") + ") * level_penalty") + ") * underpay") + f") * ({_LEAD})")} AS t5 FROM b)
+ SELECT *, {r4(_CAP)} AS total FROM p)"""
 
 
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs that passed or not, with every component, the penalties and the total."""
+    """Pairs that passed or not, with every component, the five penalties, the cap and the total."""
     c = F.col
     rows = reasoned(spark, sf_dir)
     rows = rows.withColumn("location", S.location_score(c("work_mode") == "remote", text.match_cities(city_of(c("own_city"))), text.match_cities(city_of(c("job_city")))))
-    rows = levelled(rows).join(skilled(spark, sf_dir), ["resume_id", "job_id"])
+    rows = levelled(rows).join(skilled(spark, sf_dir).withColumnRenamed("skill", "skill0"), ["resume_id", "job_id"])
+    jobs, people = title_sides(spark, sf_dir)
+    rows = rows.join(jobs.withColumnsRenamed({"title": "post", "summary": "body"}), "job_id").join(people.drop("role"), "resume_id")
+    job_terms, person_terms = domain_sides(spark, sf_dir)
+    vec = bind(spark, sf_dir, "fx_vec").select("vec_id", recall.unit_vector(c("embedding")).alias("v"))
+    rows = rows.join(job_terms, "job_id").join(person_terms, "resume_id")
+    rows = rows.join(vec.withColumnsRenamed({"vec_id": "a_id", "v": "a"}), c("resume_id") % 500 == c("a_id")).join(vec.withColumnsRenamed({"vec_id": "b_id", "v": "b"}), c("job_id") * 7 % 500 == c("b_id"))
+    rows = rows.withColumns({**titles_of(c("targets"), c("owned"), c("own_role")), "domain": S.domain_score(S.domain_overlap(c("job_terms"), c("terms"), c("txt")), F.round(recall.dot(c("a"), c("b")), 6))}).drop("a", "b", "txt", "job_terms", "terms")
     pay = (c("has_salary"), c("salary_min"), c("salary_max"), c("exp_min"), c("exp_max"))
-    rows = rows.withColumns({"salary": S.salary_score(*pay), "tier": S.tier(*pay), "experience": S.ratio(c("years").cast("double"), c("min_years").cast("double"), 0.7)})
-    rows = rows.withColumn("base", S.base_total(c("vector"), c("skill"), c("experience"), c("gate"), c("min_degree_rank") > 0, F.lit(0.5), c("location"), c("salary"), c("has_salary")))
-    hard = S.hard_skill_penalty(F.lit(1.0), F.lit(0.0), c("primary"), c("required"))
-    underpay = S.underpay_penalty(c("has_salary"), c("salary_max"), c("exp_min"), c("work_mode") == "remote", c("location"))
-    return rows.withColumn("total", S.penalised(c("base"), [hard, c("level_penalty"), underpay])).withColumn("multiplier", S.multiplier(c("total"), c("base")))
+    majors = F.when(c("resume_id") % 3 == 0, F.array(F.lit("Computer Science"))).when(c("resume_id") % 3 == 1, F.array(F.lit("Applied Computer Science"))).otherwise(F.array(F.lit("History")))
+    has = {"min": c("min_degree_rank") > 0, "prefer": c("job_id") % 3 == 0, "required": c("job_id") % 5 == 0, "welcome": c("job_id") % 5 == 1}
+    field = lambda strict: S.major_score(majors, text.strings("computer science"), strict)
+    education = S.education_score(c("gate"), has["min"], S.preferred_degree(c("degree_rank"), F.array(F.lit(3), F.lit(0))), has["prefer"], field(True), has["required"], field(False), has["welcome"])
+    rows = rows.withColumns({"salary": S.salary_score(*pay), "tier": S.tier(*pay), "experience": S.ratio(c("years").cast("double"), c("min_years").cast("double"), 0.7), "skill": S.adjusted_skill_match(c("skill0"), c("alignment"), c("transition")), "education": education})
+    has_education = has["min"] | has["prefer"] | has["required"] | has["welcome"]
+    rows = rows.withColumn("base", S.base_total(c("vector"), c("skill"), c("experience"), c("education"), has_education, c("domain"), c("location"), c("salary"), c("has_salary")))
+    words = facets.joined(c("post"), c("body"))
+    penalties = [
+        S.hard_skill_penalty(c("alignment"), c("transition"), c("primary"), c("required")), S.specialized_penalty(words, c("domain"), c("alignment"), c("transition")), c("level_penalty"),
+        S.underpay_penalty(c("has_salary"), c("salary_max"), c("exp_min"), c("work_mode") == "remote", c("location")), S.lead_penalty(c("post"), c("alignment"), c("transition"), c("location"), c("salary")),
+    ]
+    capped = S.capped_total(S.penalised(c("base"), penalties), c("skill"), F.coalesce("required", F.lit(0.5)), c("alignment"), c("transition"), F.array("job_role"), words)
+    return rows.withColumn("total", text.r4(capped)).withColumn("multiplier", S.multiplier(c("total"), c("base")))
 
 
 @query(
@@ -347,11 +397,11 @@ def job_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gaps.job_gaps(rows).select("resume_id", "job_id", "years_gap", "skill_status", "years_status", "salary_status", "insight")
 
 
-@query("match_reasons", with_ctes(FULL_CTES, f"""SELECT resume_id, job_id, concat(coalesce(nullif(array_to_string(list_filter([CASE WHEN skill >= 0.8 THEN 'strong skill alignment' END, CASE WHEN experience >= 0.75 THEN 'experience matches well' END, CASE WHEN gate >= 0.8 THEN 'education fits' END, CASE WHEN salary >= 0.85 THEN 'salary expectations overlap' END], lambda x: x IS NOT NULL)[1:2], '; '), ''), 'overall structured fit is reasonable'),
+@query("match_reasons", with_ctes(FULL_CTES, f"""SELECT resume_id, job_id, concat(coalesce(nullif(array_to_string(list_filter([CASE WHEN skill >= 0.8 THEN 'strong skill alignment' END, CASE WHEN experience >= 0.75 THEN 'experience matches well' END, CASE WHEN education >= 0.8 THEN 'education fits' END, CASE WHEN salary >= 0.85 THEN 'salary expectations overlap' END], lambda x: x IS NOT NULL)[1:2], '; '), ''), 'overall structured fit is reasonable'),
  '; matched ', coalesce(nullif(replace(matched, ',', ' / '), ''), 'core skills'), '; still missing ', coalesce(nullif(replace(missing, ',', ' / '), ''), 'no obvious gaps'), '.') AS reasoning FROM {SCORED}"""))
 def match_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = F.col
-    return scored(spark, sf_dir).select("resume_id", "job_id", S.reasoning(c("skill"), c("experience"), c("gate"), c("salary"), c("matched"), c("missing")).alias("reasoning"))
+    return scored(spark, sf_dir).select("resume_id", "job_id", S.reasoning(c("skill"), c("experience"), c("education"), c("salary"), c("matched"), c("missing")).alias("reasoning"))
 
 
 @query("result_pages", with_ctes(FULL_CTES, f"""SELECT resume_id, job_id, rank, total > 8 AS has_next FROM (SELECT resume_id, job_id, CAST(row_number() OVER (PARTITION BY resume_id ORDER BY total DESC, recall_rank) AS INT) AS rank, count(*) OVER (PARTITION BY resume_id) AS total FROM {SCORED} WHERE reason = 'passed') WHERE rank <= 8"""))
@@ -403,17 +453,16 @@ def candidate_pools(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "semantic_skills",
-    with_ctes(["fx_skill_index", "fx_job_skill", "fx_vec", "fx_pairs"], f"""WITH w AS (SELECT norm, row_number() OVER (ORDER BY norm) - 1 AS vec_id FROM (SELECT DISTINCT skill AS norm FROM fx_job_skill)), v AS (SELECT norm, embedding::DOUBLE[] AS e FROM w JOIN fx_vec USING (vec_id)),
+    with_ctes(["fx_skill_index", "fx_job_skill", "fx_vec", "fx_pairs"], f"""WITH w AS (SELECT norm, (unicode(norm) * 31 + unicode(substr(norm, 2, 1)) * 7 + length(norm)) % 500 AS vec_id FROM (SELECT DISTINCT skill AS norm FROM fx_job_skill)), v AS (SELECT norm, embedding::DOUBLE[] AS e FROM w JOIN fx_vec USING (vec_id)),
  ask AS (SELECT DISTINCT p.resume_id, s.skill AS norm FROM fx_pairs p JOIN fx_job_skill s ON p.job_id = s.job_id ANTI JOIN fx_skill_index i ON p.resume_id = i.resume_id AND s.skill = i.norm),
  n AS (SELECT a.norm, b.norm AS owned_norm, round(list_cosine_similarity(a.e, b.e), 6) AS sim FROM v a, v b)
  SELECT resume_id, norm, owned_norm, {r4("greatest(0.55, least(0.55 + (sim - 0.1) * 2.5, 0.85))", 6)} AS base FROM (SELECT ask.resume_id, ask.norm, i.norm AS owned_norm, sim, row_number() OVER (PARTITION BY ask.resume_id, ask.norm ORDER BY sim DESC, i.norm) AS rn
  FROM ask JOIN fx_skill_index i ON ask.resume_id = i.resume_id JOIN n ON n.norm = ask.norm AND n.owned_norm = i.norm WHERE sim >= 0.1) WHERE rn = 1"""),
 )
 def semantic_skills(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window as W
-
     asked = bind(spark, sf_dir, "fx_pairs").join(job_skill(spark, sf_dir), "job_id").select("resume_id", "norm")
-    words = job_skill(spark, sf_dir).select("norm").distinct().withColumn("vec_id", F.row_number().over(W.orderBy("norm")) - 1)  # a fixed vocabulary
+    number = F.ascii("norm") * 31 + F.ascii(F.substring("norm", 2, 1)) * 7 + F.length("norm")
+    words = job_skill(spark, sf_dir).select("norm").distinct().withColumn("vec_id", number % 500)
     vectors = words.join(bind(spark, sf_dir, "fx_vec"), "vec_id").select("norm", F.col("embedding").alias("vector"))
     hits = K.semantic_hits(asked, bind(spark, sf_dir, "fx_skill_index"), vectors, MatchConfig(semantic_min=0.1))
     return hits.select("resume_id", "norm", "owned_norm", text.r4(F.col("base"), 6).alias("base"))

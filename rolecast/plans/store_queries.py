@@ -237,17 +237,26 @@ def experience_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("resume_id", "job_id", text.r4(S.experience_score(S.term_hit(c("term"), c("terms"), c("raw")), c("years"), c("need")), 6).alias("score"))
 
 
-@query(
-    "domain_scores",
-    with_ctes(["fx_pairs", "fx_people", "fx_text"], """SELECT resume_id, job_id, round(o + 1e-9, 6) AS overlap, round(CASE WHEN o = 0 THEN greatest(vector, 0.5) ELSE greatest(o, vector) END + 1e-9, 6) AS domain FROM
- (SELECT resume_id, job_id, vector, CASE WHEN e > 0 THEN least(e / least(len(a), 4)::DOUBLE, 1) ELSE least(len(list_filter(b, lambda t: length(t) >= 2 AND contains(txt, t))) / least(len(b), 4)::DOUBLE * 0.8, 0.8) END AS o
+DOMAIN_OVERLAP = """(SELECT resume_id, job_id, vector, CASE WHEN e > 0 THEN least(e / least(len(a), 4)::DOUBLE, 1) ELSE least(len(list_filter(b, lambda t: length(t) >= 2 AND contains(txt, t))) / least(len(b), 4)::DOUBLE * 0.8, 0.8) END AS o
  FROM (SELECT *, len(list_intersect(a, b)) AS e FROM (SELECT p.resume_id, p.job_id, p.vector, list_distinct(string_split(lower(x.part_name), ' ') || [lower(x.company)]) AS a, list_distinct(string_split(lower(r.summary), ' ') || [CASE WHEN r.resume_id % 4 = 0 THEN lower(x2.w) ELSE 'zz' END]) AS b, lower(concat(x.title, ' ', x.summary)) AS txt
- FROM fx_pairs p JOIN fx_people r ON p.resume_id = r.resume_id JOIN fx_text x ON p.job_id = x.job_id JOIN (SELECT c_custkey, lower(c_mktsegment) AS w FROM customer) x2 ON x2.c_custkey = r.resume_id)))"""),
-)
-def domain_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+ FROM fx_pairs p JOIN fx_people r ON p.resume_id = r.resume_id JOIN fx_text x ON p.job_id = x.job_id JOIN (SELECT c_custkey, lower(c_mktsegment) AS w FROM customer) x2 ON x2.c_custkey = r.resume_id)))"""
+
+
+def domain_sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Openings with their domain terms and text, and people with theirs."""
     c = F.col
     words = read(spark, sf_dir, "customer").select(c("c_custkey").alias("resume_id"), F.lower("c_mktsegment").alias("w"))
     people = bind(spark, sf_dir, "fx_people").join(words, "resume_id").select("resume_id", F.array_distinct(F.concat(F.split(F.lower("summary"), " "), F.array(F.when(c("resume_id") % 4 == 0, c("w")).otherwise("zz")))).alias("terms"))
     jobs = bind(spark, sf_dir, "fx_text").select("job_id", F.array_distinct(F.concat(F.split(F.lower("part_name"), " "), F.array(F.lower("company")))).alias("job_terms"), F.lower(F.concat("title", F.lit(" "), "summary")).alias("txt"))
+    return jobs, people
+
+
+@query(
+    "domain_scores",
+    with_ctes(["fx_pairs", "fx_people", "fx_text"], f"""SELECT resume_id, job_id, round(o + 1e-9, 6) AS overlap, round(CASE WHEN o = 0 THEN greatest(vector, 0.5) ELSE greatest(o, vector) END + 1e-9, 6) AS domain FROM {DOMAIN_OVERLAP}"""),
+)
+def domain_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = F.col
+    jobs, people = domain_sides(spark, sf_dir)
     rows = bind(spark, sf_dir, "fx_pairs").join(people, "resume_id").join(jobs, "job_id").withColumn("overlap", S.domain_overlap(c("job_terms"), c("terms"), c("txt")))
     return rows.select("resume_id", "job_id", text.r4(c("overlap"), 6).alias("overlap"), text.r4(S.domain_score(c("overlap"), c("vector")), 6).alias("domain"))

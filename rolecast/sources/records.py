@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -75,12 +74,15 @@ def read_jobs_dump(spark: SparkSession, path: str, least: int = 20, types=("全
 
 
 def scan_resume_files(spark: SparkSession, path: str, suffixes=("pdf", "docx", "doc", "txt", "md"), skip=("readme", "template", "sample")) -> DataFrame:
-    """(path, name, size, content, pos) of files with a known suffix and no skipped word in the name, small ones first."""
+    """(path, name, size, content) of files with a known suffix and no skipped word in the name.
+
+    The order of an import, small ones first, is that of size, lower-case name and path; nothing here is sorted, lest all files' bytes
+    go through one task.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     name = F.element_at(F.split("path", "/"), -1)
     rows = files.select("path", name.alias("name"), F.col("length").alias("size"), "content")
-    rows = rows.filter(F.lower(F.element_at(F.split("name", r"\."), -1)).isin(*suffixes) & ~F.lower("name").rlike("|".join(skip)))
-    return rows.withColumn("pos", F.row_number().over(W.orderBy("size", F.lower("name"), "path")))  # names of files, a bounded list
+    return rows.filter(F.lower(F.element_at(F.split("name", r"\."), -1)).isin(*suffixes) & ~F.lower("name").rlike("|".join(skip)))
 
 
 def decode_text(files: DataFrame) -> tuple[DataFrame, DataFrame]:
