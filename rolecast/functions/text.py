@@ -119,11 +119,6 @@ def keyword_categories(text: Column, words: dict) -> Column:
     return F.array_compact(F.array(*[F.when(contains_any(text, w), F.lit(k)) for k, w in words.items()]))
 
 
-def keyword_hits(text: Column, words) -> Column:
-    """How many of the words the text contains."""
-    return sum((F.when(text.contains(w), 1).otherwise(0) for w in words), F.lit(0))
-
-
 def fuzzy_hits(terms: Column, text: Column) -> Column:
     return F.size(F.filter(terms, lambda t: (F.length(t) >= 2) & text.contains(t)))
 

@@ -45,6 +45,16 @@ def repair_order(listed: DataFrame, candidates: DataFrame, by: str = "resume_id"
     return rows.select(by, item, order.alias("position"), F.col("pos").isNull().alias("appended"))
 
 
+def against_algorithm(algorithm: DataFrame, external: DataFrame, by: str = "resume_id", item: str = "job_id") -> DataFrame:
+    """(by, item, rank_a, rank_b) of the items that both have: the algorithm's order and that of external scores.
+
+    algorithm and external: (by, item, rank). Ranks are counted anew among the common items, so that ``spearman`` holds.
+    """
+    rows = algorithm.select(by, item, F.col("rank").alias("a")).join(external.select(by, item, F.col("rank").alias("b")), [by, item])
+    place = lambda order: F.row_number().over(W.partitionBy(by).orderBy(order, item))
+    return rows.select(by, item, place("a").alias("rank_a"), place("b").alias("rank_b"))
+
+
 def validate_scores(df: DataFrame, payload: str = "payload") -> DataFrame:
     """df with ``score`` (0 to 100, one digit) and the parts that are valid, from a JSON payload; else null."""
     p = F.from_json(payload, "score string, skill string, experience string, domain string, location string, education string, salary string")

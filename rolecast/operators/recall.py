@@ -111,12 +111,13 @@ def centroids(items: DataFrame, vector: str, cells: int, sample: int = 20_000, r
     return c
 
 
-def indexed_top_n(queries: DataFrame, items: DataFrame, n: int, query_id: str = "resume_id", item_id: str = "job_id", vector: str = "vector", cells: int | None = None, probes: float = 0.4, block: int = 4096) -> DataFrame:
+def indexed_top_n(queries: DataFrame, items: DataFrame, n: int, query_id: str = "resume_id", item_id: str = "job_id", vector: str = "vector", cells: int | None = None, probes: float = 0.7, block: int = 4096) -> DataFrame:
     """The same from an index: items are dealt to the cell of their nearest centroid, queries look into the nearest ``probes`` of all cells.
 
     Every item is in the index; only its centroids come from a bounded sample (``centroids``). ``cells`` is the square root of the number of
     items unless given. A cell with more than ``block`` items, and a cell's queries, are split over tasks. A miss is an item
-    whose cell isn't looked into; scores and the order of those found are exact.
+    whose cell isn't looked into; scores and the order of those found are exact. The more alike the vectors are in groups, the fewer probes
+    do: of vectors without any groups (``embeddings``) 0.6 of the cells find nine of ten of the nearest 15.
     """
     total = items.count()
     cells = cells or max(1, int(total**0.5))
@@ -138,9 +139,9 @@ def indexed_top_n(queries: DataFrame, items: DataFrame, n: int, query_id: str =
     sizes = t.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("parts"))  # as many rows as cells
     t = t.join(F.broadcast(sizes), "cell").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts"))).drop("parts")
     turns = max(1, -(-queries.count() // block))
-    q = side(queries, query_id, kind_q, look).join(F.broadcast(sizes), "cell").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).cast("long")).drop("parts")
-    q = q.withColumn("turn", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(turns)))
-    t = t.withColumn("turn", F.explode(F.sequence(F.lit(0), F.lit(turns - 1))).cast("long"))
+    q = side(queries, query_id, kind_q, look).join(F.broadcast(sizes), "cell").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts").cast("long") - 1))).drop("parts")
+    q = q.withColumn("turn", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(turns).cast("long")))
+    t = t.withColumn("turn", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(turns - 1).cast("long"))))
 
     def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         return nearest(left, right, n, query_id, item_id)

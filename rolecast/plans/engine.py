@@ -9,7 +9,7 @@ from ..config import DEFAULT, MatchConfig
 from ..functions import facets, skills, text
 from ..functions import scores as S
 from ..functions.dictionaries import BRIDGES
-from ..operators import filters, normalize, ranking
+from ..operators import filters, normalize, ranking, recall
 from ..operators import skills as K
 
 
@@ -103,16 +103,24 @@ def experience_match(cfg: MatchConfig) -> Column:
     )
 
 
-def score_pairs(pairs: DataFrame, jobs: DataFrame, resumes: DataFrame, wishes: DataFrame | None, as_of: Column, cfg: MatchConfig = DEFAULT, skill_vectors: DataFrame | None = None) -> DataFrame:
+def score_pairs(pairs: DataFrame, jobs: DataFrame, resumes: DataFrame, wishes: DataFrame | None, as_of: Column, cfg: MatchConfig = DEFAULT, skill_vectors: DataFrame | None = None, domain_vectors: DataFrame | None = None) -> DataFrame:
     """pairs(resume_id, job_id, vector, recall_rank) with reason, components, penalties, total, matched and missing skills.
 
-    A pair whose opening isn't stored keeps its row, with status 'job_missing'.
+    A pair whose opening isn't stored keeps its row, with status 'job_missing'. ``skill_vectors``: (norm, vector); ``domain_vectors``: (namespace
+    'jobs' or 'resumes', item_id, vector) of the domain texts, whose cosine counts where shared terms say less.
     """
     c = F.col
     index, asked = K.candidate_skill_index(resumes), job_skill_rows(jobs)
     semantic = K.semantic_hits(pairs.select("resume_id", "job_id").join(asked, "job_id"), index, skill_vectors, cfg) if skill_vectors is not None else None
     skill = K.skill_scores(K.pair_skills(pairs, asked, index, semantic))
     rows = pairs.join(prepare_jobs(jobs).withColumn("known", F.lit(True)), "job_id", "left").join(prepare_resumes(resumes, as_of, index), "resume_id").join(skill, ["resume_id", "job_id"], "left")
+    if domain_vectors is not None:
+        for space, key in (("jobs", "job_id"), ("resumes", "resume_id")):
+            side = domain_vectors.filter(c("namespace") == space).select(c("item_id").alias(key), recall.unit_vector(c("vector")).alias(f"{space}_vector"))
+            rows = rows.join(side, key, "left")
+        similarity = F.round(recall.dot(c("jobs_vector"), c("resumes_vector")), 6)
+    else:
+        similarity = F.lit(None).cast("double")
     none, no_int = text.strings(), F.lit(None)
     if wishes is not None:
         w = filters.normalize_filters(wishes)
@@ -127,7 +135,7 @@ def score_pairs(pairs: DataFrame, jobs: DataFrame, resumes: DataFrame, wishes: D
         {
             "band": facets.experience_band(c("is_internship"), c("searched"), c("min_years"), c("max_years")), "skill0": K.skill_match(c("required"), c("optional"), c("bonus"), cfg), "transition": S.transition_score(c("targets"), c("owned"), c("resume_roles")),
             "alignment": S.title_alignment(c("title_needed"), F.size(F.array_intersect("title_skills", "owned"))), "experience": experience_match(cfg), "location": S.location_score(remote, c("wanted"), c("places")),
-            "salary": S.salary_score(c("has_salary"), c("salary_min"), c("salary_max"), c("want_min"), c("want_max")), "domain": S.domain_score(S.domain_overlap(c("job_terms"), c("terms"), c("job_text")), F.lit(None).cast("double")),
+            "salary": S.salary_score(c("has_salary"), c("salary_min"), c("salary_max"), c("want_min"), c("want_max")), "domain": S.domain_score(S.domain_overlap(c("job_terms"), c("terms"), c("job_text")), similarity),
         }
     )
     has_prefer, has_required, has_welcome = F.size("prefer_ranks") > 0, F.size("required_majors") > 0, F.size("preferred_majors") > 0
@@ -144,9 +152,9 @@ def score_pairs(pairs: DataFrame, jobs: DataFrame, resumes: DataFrame, wishes: D
     return rows.withColumns({"penalty_multiplier": S.multiplier(c("total"), c("base_total")), "tier": S.tier(c("has_salary"), c("salary_min"), c("salary_max"), c("want_min"), c("want_max"), cfg)})
 
 
-def recommend(pairs: DataFrame, jobs: DataFrame, resumes: DataFrame, wishes: DataFrame | None, as_of: Column, k: int, cfg: MatchConfig = DEFAULT, skill_vectors: DataFrame | None = None) -> DataFrame:
+def recommend(pairs: DataFrame, jobs: DataFrame, resumes: DataFrame, wishes: DataFrame | None, as_of: Column, k: int, cfg: MatchConfig = DEFAULT, skill_vectors: DataFrame | None = None, domain_vectors: DataFrame | None = None) -> DataFrame:
     """The k diversified best openings of each person, in order, with their reasons."""
-    rows = ranking.rank_total(score_pairs(pairs, jobs, resumes, wishes, as_of, cfg, skill_vectors).filter("status = 'matched'"))
+    rows = ranking.rank_total(score_pairs(pairs, jobs, resumes, wishes, as_of, cfg, skill_vectors, domain_vectors).filter("status = 'matched'"))
     c = F.col
     rows = rows.withColumns({"template": text.template_signature(c("company"), c("title"), F.coalesce("job_summary", F.lit(""))), "generic": ranking.generic_penalty(c("job_text"))})
     chosen = ranking.diversify(rows.select("resume_id", "job_id", "total", "rank", F.lower(F.trim("company")).alias("company"), F.lower(F.trim("title")).alias("title"), "template", "generic"), k)

@@ -431,6 +431,15 @@ def vector_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recall.top_n(people, jobs, 15)
 
 
+@query("indexed_recall")
+def indexed_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from an index; held against ``vector_recall`` in the tests."""
+    v = bind(spark, sf_dir, "fx_vec")
+    people = v.filter("namespace = 'resumes'").select(F.col("vec_id").alias("resume_id"), F.col("embedding").alias("vector"))
+    jobs = v.filter("namespace = 'jobs'").select(F.col("vec_id").alias("job_id"), F.col("embedding").alias("vector"))
+    return recall.indexed_top_n(people, jobs, 15)
+
+
 @query("recall_sizes", """SELECT c_custkey AS resume_id, CAST(CASE WHEN pool > 0 THEN least(n, pool) ELSE n END AS INT) AS recall_n FROM (SELECT c_custkey, pool, CASE WHEN active THEN greatest(k * s, k * greatest(2 * s, 8)) ELSE k * s END AS n FROM
  (SELECT c_custkey, c_custkey % 12 + 1 AS k, c_custkey % 3 = 0 AS active, c_custkey * 7 % 2500 AS pool, CASE WHEN c_custkey * 7 % 2500 <= 50 THEN 3 WHEN c_custkey * 7 % 2500 <= 200 THEN 5 WHEN c_custkey * 7 % 2500 <= 1000 THEN 8 ELSE 10 END AS s FROM customer))""")
 def recall_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -159,3 +159,40 @@ def test_recall_blocks_agree_with_brute_force(spark):
     want = sorted((i, int(j), n + 1) for i in range(23) for n, j in enumerate(sorted(range(57), key=lambda j: (-sim[i, j], j))[:6]))
     assert sorted((r["resume_id"], r["job_id"], r["recall_rank"]) for r in recall.top_n(qs, ts, 6, block=10).collect()) == want
     assert recall.top_n(qs.limit(0), ts, 6).collect() == []
+
+
+def test_cosine_of_unequal_lengths(spark):
+    """The product over the common length by the sizes of whole vectors, the same in both ways of recall."""
+    import numpy as np
+
+    a, items = [3.0, 4.0], {1: [3.0, 4.0, 12.0], 2: [5.0], 3: [], 4: [0.0, 1.0]}
+    want = {i: (sum(x * y for x, y in zip(a, v)) / (np.linalg.norm(a) * np.linalg.norm(v)) if any(v) else 0.0) for i, v in items.items()}
+    qs = spark.createDataFrame([(7, a)], "resume_id long, vector array<double>")
+    ts = spark.createDataFrame(list(items.items()), "job_id long, vector array<double>")
+    for rows in (recall.top_n(qs, ts, 9), recall.top_n(qs, ts, 9, block=1), recall.indexed_top_n(qs, ts, 9, probes=1.0, block=2)):
+        assert {r["job_id"]: r["score"] for r in rows.collect()} == pytest.approx(want, abs=1e-6)
+    pairs = qs.crossJoin(ts.withColumnRenamed("vector", "other"))
+    assert {r["job_id"]: r["c"] for r in pairs.select("job_id", recall.cosine(F.col("vector"), F.col("other")).alias("c")).collect()} == pytest.approx(want, abs=1e-6)
+
+
+def test_index_finds_nine_of_ten(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    q, t = rng.normal(size=(60, 16)), rng.normal(size=(900, 16))
+    qs = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(q)], "resume_id long, vector array<double>")
+    ts = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(t)], "job_id long, vector array<double>")
+    keys = lambda df: {(r["resume_id"], r["job_id"]) for r in df.collect()}
+    exact, found = keys(recall.top_n(qs, ts, 15)), keys(recall.indexed_top_n(qs, ts, 15, block=64))
+    assert len(exact & found) >= 0.9 * len(exact)
+    assert keys(recall.indexed_top_n(qs, ts, 15, probes=1.0, block=64)) == exact
+    assert recall.indexed_top_n(qs.limit(0), ts, 6).collect() == [] == recall.indexed_top_n(qs, ts.limit(0), 6).collect()
+
+
+def test_domain_vectors_count(spark, tables):
+    """Where domain terms don't meet, the cosine of the domain vectors decides."""
+    one = tables[0].filter("resume_id = 'degree'")
+    vectors = spark.createDataFrame([("resumes", "degree", [1.0, 0.0]), ("jobs", "degree-0", [0.8, 0.6])], "namespace string, item_id string, vector array<double>")
+    args = (one, *tables[1:4], F.lit(DAY))
+    plain, near = engine.score_pairs(*args).first(), engine.score_pairs(*args, domain_vectors=vectors).first()
+    assert plain["domain"] == 0.5 and near["domain"] == pytest.approx(0.8) and near["total"] > plain["total"]

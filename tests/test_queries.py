@@ -51,4 +51,18 @@ def test_query(spark, duck, name):
 
 def test_names():
     assert set(plans.ORACLES) <= set(plans.QUERIES)
-    assert set(plans.QUERIES) - set(plans.ORACLES) == {"diversified"}
+    assert set(plans.QUERIES) - set(plans.ORACLES) == {"diversified", "indexed_recall"}
+
+
+def test_index_against_exact_recall(spark, duck):
+    keys = lambda name: {(r["resume_id"], r["job_id"]) for r in plans.QUERIES[name](spark, DATA).collect()}
+    exact = keys("vector_recall")
+    assert len(exact & keys("indexed_recall")) >= 0.9 * len(exact)
+
+
+def test_fixed_values():
+    """Values that the SQL shares with the operators, pinned by hand."""
+    from rolecast.functions import dictionaries as D
+
+    assert D.BRIDGES["vue"] and D.DEGREE_RANK["bachelor"] == 3 and D.BACHELOR == 3
+    assert "大模型" in D.SPECIALIZED_KEYWORDS and "架构师" in D.LEAD_KEYWORDS and D.MAJOR_CITIES[:2] == ("北京", "上海")

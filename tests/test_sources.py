@@ -137,12 +137,15 @@ def test_stream_of_upserts(spark, tmp_path):
     def load():
         stream = S.stream_of_files(spark, src, schema, "parquet")
         S.stream_upserts(stream, target, marks, ["id"], prepare=lambda b: S.fresh(b, F.lit(DAY))).awaitTermination()
-        return sorted((r["id"], r["v"], r["posted_days_ago"]) for r in S.current(spark, target).collect())
+        return sorted((r["id"], r["v"], r["posted_days_ago"]) for r in S.current(spark, target, ["id"]).collect())
 
     rows(("a", 1, "2026-01-01", "2026-01-30"), ("b", 1, "2026-01-01", None)).coalesce(1).write.parquet(src)
     assert load() == [("a", 1, 1), ("b", 1, None)]
     rows(("a", 2, "2026-01-02", "2026-01-21"), ("a", 3, "2026-01-03", "2026-01-21"), ("c", 1, "2026-01-01", None)).coalesce(1).write.mode("append").parquet(src)
     assert load() == [("a", 3, 10), ("b", 1, None), ("c", 1, None)]
+    assert len(S.parts(spark, target)) == 2
+    S.compact(spark, target, ["id"])
+    assert len(S.parts(spark, target)) == 1
     assert load() == [("a", 3, 10), ("b", 1, None), ("c", 1, None)]
 
 
