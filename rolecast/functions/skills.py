@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -18,18 +20,14 @@ def alias_pairs() -> dict[str, str]:
     return out
 
 
-def _sql_text(x: str) -> str:
-    return "r'" + x + "'" if "'" not in x else '"' + x + '"'
-
-
 def alias_map() -> Column:
-    """One literal, parsed once: thousands of small calls to build it would cost more than using it."""
-    return F.expr("map(" + ", ".join(f"{_sql_text(k)}, {_sql_text(v)}" for k, v in alias_pairs().items()) + ")")
+    """A constant of two nodes, folded into one when the plan is made: thousands of nodes would cost each step of planning."""
+    return F.from_json(F.lit(json.dumps(alias_pairs(), ensure_ascii=False)), "map<string, string>")
 
 
 def pattern_list() -> Column:
-    each = ", ".join(f"named_struct('name', {_sql_text(n)}, 'ps', array({', '.join(_sql_text(FLAGS + p) for p in ps)}))" for n, ps in SKILL_PATTERNS)
-    return F.expr(f"array({each})")
+    each = [{"name": n, "ps": [FLAGS + p for p in ps]} for n, ps in SKILL_PATTERNS]
+    return F.from_json(F.lit(json.dumps(each, ensure_ascii=False)), "array<struct<name: string, ps: array<string>>>")
 
 
 def normalize_skill(c: Column) -> Column:

@@ -189,10 +189,9 @@ def test_index_finds_nine_of_ten(spark):
     assert recall.indexed_top_n(qs.limit(0), ts, 6).collect() == [] == recall.indexed_top_n(qs, ts.limit(0), 6).collect()
 
 
-def test_domain_vectors_count(spark, tables):
+def test_domain_vectors_count(spark, tables, scored):
     """Where domain terms don't meet, the cosine of the domain vectors decides."""
     one = tables[0].filter("resume_id = 'degree'")
     vectors = spark.createDataFrame([("resumes", "degree", [1.0, 0.0]), ("jobs", "degree-0", [0.8, 0.6])], "namespace string, item_id string, vector array<double>")
-    args = (one, *tables[1:4], F.lit(DAY))
-    plain, near = engine.score_pairs(*args).first(), engine.score_pairs(*args, domain_vectors=vectors).first()
+    plain, near = scored["degree"]["0"], engine.score_pairs(one, *tables[1:4], F.lit(DAY), domain_vectors=vectors).first()
     assert plain["domain"] == 0.5 and near["domain"] == pytest.approx(0.8) and near["total"] > plain["total"]
