@@ -34,7 +34,7 @@ from .frames import map_batches, text_slices
 from .tokens import Words, text_bytes
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-SLICE = 3 << 20
+SLICE = 1 << 20
 _SPACE = "▁"
 _AUTOMATA: dict[int, "Automaton"] = {}
 

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .features import counted, vectors
+from .frames import cut, map_batches
 
 
 def held_out(id_col: str = "doc_id") -> Column:
@@ -14,10 +18,47 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == 0, F.lit(True))
 
 
-def _one_text(rows: DataFrame, ids: DataFrame, *more: str) -> DataFrame:
-    """(sample_id, text, more) of the ids in both: of an id that stands several times, the text of the least hash."""
-    found = rows.join(F.broadcast(ids), "sample_id")  # ids: at most max_rows
-    return found.groupBy("sample_id", *more).agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+#: Bytes of texts that a task holds before it hands on the best of each id so far.
+HELD_BYTES = 16 << 20
+
+
+def _best_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of (sample_id, label, hash, text): of each id the text of the least hash among those that this task holds at once."""
+    best: dict = {}
+
+    def out() -> pa.RecordBatch:
+        rows = [(i, *row) for i, row in best.items()]
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], ["sample_id", "label", "hash", "text"])
+
+    kinds, held = [], 0
+    for batch in batches:
+        kinds = [batch.column(0).type, pa.int32(), pa.int64(), pa.string()]
+        ids, labels, hashes = (batch.column(i).to_pylist() for i in range(3))
+        for i, label, h, text in zip(ids, labels, hashes, batch.column(3)):
+            if i not in best or h < best[i][1]:
+                text = text.as_py()
+                held += len(text or "") - (len(best[i][2] or "") if i in best else 0)
+                best[i] = (label, h, text)
+        if held > HELD_BYTES:
+            yield out()
+            best, held = {}, 0
+    if best:
+        yield out()
+
+
+def _one_text(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """(sample_id, label, text) of the ids(sample_id, label) in both: of an id that stands several times, the text of the least hash.
+
+    A task hands on the best of its own rows, so an id however often it stands is a row for each task; the few rows left, whose
+    number is known, are put in order by their hash without their texts.
+    """
+    found = rows.join(F.broadcast(ids), "sample_id").select("sample_id", "label", F.xxhash64("text").alias("hash"), "text")  # ids: at most max_rows
+    kind = found.schema["sample_id"].dataType.simpleString()
+    some = cut(map_batches(found, _best_texts, f"sample_id {kind}, label int, hash long, text string"))
+    least = some.groupBy("sample_id").agg(F.min(F.col("hash")).alias("hash"))
+    once = some.select("sample_id", "hash", "label", "text").withColumn("row", F.monotonically_increasing_id())
+    first = once.join(F.broadcast(least), ["sample_id", "hash"]).groupBy("sample_id").agg(F.min("row").alias("row"))
+    return once.join(F.broadcast(first), ["sample_id", "row"]).select("sample_id", "label", "text")
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, max_rows: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -32,15 +73,15 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, max_rows: in
         .filter("label = other")
         .orderBy(F.xxhash64("sample_id"), "sample_id")
         .limit(max_rows)
-        .select("sample_id", "label")
+        .select("sample_id", F.col("label").cast("int").alias("label"))
     )
-    return _one_text(docs.select(F.col(id_col).alias("sample_id"), F.col(text_col).cast("string").alias("text")), known, "label")
+    return _one_text(docs.select(F.col(id_col).alias("sample_id"), F.col(text_col).cast("string").alias("text")), known)
 
 
 def unlabelled_sample(docs: DataFrame, max_rows: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(sample_id, text) of at most ``max_rows`` ids that aren't held out, one row each, whatever their labels."""
     ids = docs.filter(~held_out(id_col)).select(F.col(id_col).alias("sample_id")).distinct()
-    ids = ids.orderBy(F.xxhash64("sample_id", F.lit(7)), "sample_id").limit(max_rows)
+    ids = ids.orderBy(F.xxhash64("sample_id", F.lit(7)), "sample_id").limit(max_rows).withColumn("label", F.lit(0))
     return _one_text(docs.select(F.col(id_col).alias("sample_id"), F.col(text_col).cast("string").alias("text")), ids)
 
 
