@@ -55,6 +55,23 @@ def join_hot(left: DataFrame, right: DataFrame, key: str, n: str, total: int) ->
     return left.join(few, key).unionByName(left.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold, key))
 
 
+def join_salted(left: DataFrame, right: DataFrame, keys: list[str], spread: list[str], how: str = "inner") -> DataFrame:
+    """left joined with right on ``keys``, where neither need be unique and left may have any number of rows of a key.
+
+    A key of many left rows is dealt by the hash of the columns ``spread`` into shares of about the same size, and
+    right's rows of it are repeated for each share. Shares of all keys together are no more than twice ``HOT_SHARE``.
+    """
+    total = left.count()
+    least = max(HOT_ROWS, total // HOT_SHARE)
+    n, share = fresh("__n", left.columns + right.columns), fresh("__share", left.columns + right.columns)
+    hot = left.groupBy(*keys).agg(F.count(F.lit(1)).alias(n)).filter(F.col(n) >= least)
+    hot = F.broadcast(cut(hot.select(*keys, F.ceil(F.col(n) / least).cast("long").alias(n))))
+    shares = F.coalesce(F.col(n), F.lit(1).cast("long"))
+    dealt = left.join(hot, keys, "left").withColumn(share, F.pmod(F.xxhash64(*spread), shares)).drop(n)
+    repeated = right.join(hot, keys, "left").withColumn(share, F.explode(F.sequence(F.lit(0).cast("long"), shares - 1))).drop(n)
+    return dealt.join(repeated, [*keys, share], how).drop(share)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the input tables by Spark's own reader, so that any file system it knows will do."""
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .frames import cut, map_batches, text_slices
+from .frames import cut, join_salted, map_batches, text_slices
 from .tokens import Words, grams, letter_words, whole, words
 
 WINDOW = 10
@@ -160,8 +160,11 @@ def _match(index: Index, window: int, gram: int):
     return run
 
 
-def _doc_prints(window: int, gram: int, short: list[int]):
-    """(row, words, hash, size, kind, at, around): fingerprints with the windows around them, and short runs."""
+def _doc_prints(window: int, gram: int, short: dict[int, np.ndarray | None]):
+    """(row, hash, size, at, around): fingerprints with the windows around them, and runs of the sizes of short items.
+
+    ``short`` has the sorted hashes that items have of a size, or None where all runs of that size go on.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -181,8 +184,11 @@ def _doc_prints(window: int, gram: int, short: list[int]):
                 hs = pa.ListArray.from_arrays(pa.array(ends), pa.array(big[near[fine]].view(np.int64) if len(big) else np.zeros(0, np.int64)))
                 cols = [row.take(pa.array(w.doc[kept])), pa.array(g[kept].view(np.int64)), pa.array(np.full(len(kept), window, np.int32)), at, hs]
                 yield pa.RecordBatch.from_arrays(cols, ["row", "hash", "size", "at", "around"])
-                for size in short:
+                for size, values in short.items():
                     p, x = run_hashes(w, size)
+                    if values is not None:
+                        met = _member(values, x)
+                        p, x = p[met], x[met]
                     one = np.arange(len(p) + 1, dtype=np.int32)
                     cols = [row.take(pa.array(w.doc[p])), pa.array(x.view(np.int64)), pa.array(np.full(len(p), size, np.int32)), pa.ListArray.from_arrays(pa.array(one), pa.array(p - w.first[w.doc[p]])), pa.ListArray.from_arrays(pa.array(one), pa.array(x.view(np.int64)))]
                     yield pa.RecordBatch.from_arrays(cols, ["row", "hash", "size", "at", "around"])
@@ -199,14 +205,23 @@ def _counts() -> object:
     return run
 
 
-def _by_join(rows: DataFrame, index: DataFrame, window: int, gram: int) -> DataFrame:
-    """(row, n_words, n_hit, n_items, items_sha256) by shuffled joins; rows(row, text) has unique row numbers."""
-    short = sorted(r["size"] for r in index.filter((F.col("kind") == 0) & (F.col("size") < window)).select("size").distinct().collect())
-    prints = map_batches(rows, _doc_prints(window, gram, short), "row long, hash long, size int, at array<long>, around array<long>")
-    known = index.filter("kind = 1").select("hash", F.lit(window).alias("size")).unionByName(index.filter(F.col("size") < window).filter("kind = 0").select("hash", "size")).distinct()
-    near = prints.join(known, ["hash", "size"], "left_semi").select("row", "size", F.explode(F.arrays_zip("at", "around")).alias("x"))
-    near = near.select("row", "size", F.col("x.at").alias("at"), F.col("x.around").alias("hash")).distinct()
-    found = near.join(index.filter("kind = 0").select("item", "hash", "size"), ["hash", "size"])
+def _by_join(rows: DataFrame, index: DataFrame, window: int, gram: int, most: int) -> DataFrame:
+    """(row, n_words, n_hit, n_items, items_sha256) by shuffled joins; rows(row, text) has unique row numbers.
+
+    Up to ``most`` windows of short items go to the tasks, which then send on only runs that are one of them.
+    Passages that very many documents share are dealt in shares (``join_salted``).
+    """
+    brief = index.filter((F.col("kind") == 0) & (F.col("size") < window)).select("hash", "size").distinct()
+    short = {r["size"]: None for r in brief.select("size").distinct().collect()}  # fewer than window
+    if brief.count() <= most:
+        few = brief.toArrow()
+        sizes, hashes = few["size"].to_numpy(), few["hash"].to_numpy().view(np.uint64)
+        short = {size: np.sort(hashes[sizes == size]) for size in short}
+    prints = cut(map_batches(rows, _doc_prints(window, gram, short), "row long, hash long, size int, at array<long>, around array<long>"))
+    known = index.filter("kind = 1").select("hash", F.lit(window).alias("size")).unionByName(brief).distinct()
+    near = join_salted(prints, known, ["hash", "size"], ["row", "at"], "left_semi").select("row", "size", F.explode(F.arrays_zip("at", "around")).alias("x"))
+    near = cut(near.select("row", "size", F.col("x.at").alias("at"), F.col("x.around").alias("hash")).distinct())
+    found = join_salted(near, index.filter("kind = 0").select("item", "hash", "size"), ["hash", "size"], ["row", "at"])
     names = found.select("row", "item").distinct().groupBy("row").agg(F.sort_array(F.collect_list("item")).alias("items"))
     # Words covered: the runs of one document in order of place; each adds what reaches beyond those before.
     from pyspark.sql import Window as W
@@ -236,5 +251,5 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
         out = map_batches(rows, _match(Index(index.toArrow()), window, gram), f"id {kind}, {RESULT}")
     else:
         numbered = cut(rows.withColumn("row", F.monotonically_increasing_id()))
-        out = _by_join(numbered.select("row", "text"), index, window, gram).join(numbered.select("row", "id"), "row")
+        out = _by_join(numbered.select("row", "text"), index, window, gram, broadcast_windows).join(numbered.select("row", "id"), "row")
     return out.select(F.col("id").alias(id_col), "n_words", "n_hit", "n_items", "items_sha256", (F.col("n_hit") > 0).alias("contaminated"))

@@ -55,7 +55,7 @@ def cases():
     return docs + docs[:2], items
 
 
-@pytest.mark.parametrize("broadcast_windows", [10_000, 1])
+@pytest.mark.parametrize("broadcast_windows", [10_000, 10, 1])
 def test_against_all_windows(spark, broadcast_windows):
     docs, items = cases()
     d = spark.createDataFrame([(a, b, "clash") for a, b in docs], DOCS).repartition(3)
@@ -64,6 +64,17 @@ def test_against_all_windows(spark, broadcast_windows):
     assert sorted(map(tuple, out.collect()), key=str) == brute(docs, items)
 
 
+def test_passage_of_most_documents(spark, monkeypatch):
+    """With shares of ten rows, the joins of the shuffled path give what they give without any."""
+    from rolecast.llm import frames
+
+    monkeypatch.setattr(frames, "HOT_ROWS", 10)
+    docs, items = cases()
+    docs = docs + [(1000 + k, items[0][1] + " w%d" % k) for k in range(200)]
+    out = contamination(spark.createDataFrame([(a, b, "clash") for a, b in docs], DOCS).repartition(3), spark.createDataFrame(items, ITEMS), broadcast_windows=1)
+    assert sorted(map(tuple, out.collect()), key=str) == brute(docs, items)
+
+
 def test_empty_tables(spark):
     docs, items = cases()
     none = spark.createDataFrame([], ITEMS)
