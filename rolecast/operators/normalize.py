@@ -12,6 +12,9 @@ from . import tags as T
 from .maintain import changed_rows, tag_counts
 
 _ENDS = ("任职要求", "岗位要求", "职位要求", "任职资格", "福利", "职位亮点", "Requirements", "requirements", "Benefits", "benefits")
+#: What opens and what closes the part of a resume that tells of work.
+_WORK_STARTS = ("工作经历", "工作经验")
+_WORK_ENDS = ("项目经历", "项目经验", "教育经历", "教育背景", "技能", "自我评价")
 _RANGE = r"(\d{4}[.\-/年]\d{1,2})月?\s*(?:[-–—~～]+|至|到)\s*(\d{4}[.\-/年]\d{1,2}|至今|[Pp]resent)"
 _COMPANY = r"([^\s|,，]*(?:公司|集团|科技|网络|银行|Inc\.?|Ltd\.?|Corp\.?|Technologies))"
 _TITLE = r"([^\s|,，]*(?:工程师|开发|经理|架构师|主管|总监|实习生|[Ee]ngineer|[Dd]eveloper|[Mm]anager|[Aa]rchitect|[Ii]ntern))"
@@ -86,30 +89,46 @@ def resume_years(df: DataFrame, as_of: Column) -> DataFrame:
 
 
 def work_from_text(resumes: DataFrame, id_col: str = "id", text_col: str = "raw_text") -> DataFrame:
-    """(id, pos, company_name, title, start_date, end_date) of lines with a range of months, dates as YYYY.MM."""
-    lines = resumes.select(F.col(id_col).alias("id"), F.posexplode(F.split(F.col(text_col), "\n")).alias("pos", "line")).filter(F.col("line").rlike(_RANGE))
+    """(id, pos, company_name, title, start_date, end_date) of lines with a range of months, dates as YYYY.MM.
+
+    Read is the part on work where the text has one, else all of it; lines that name neither company nor title are left out.
+    """
+    text = F.coalesce(*[section_text(F.col(text_col), m, _WORK_ENDS) for m in _WORK_STARTS], F.col(text_col))
+    lines = resumes.select(F.col(id_col).alias("id"), F.posexplode(F.split(text, "\n")).alias("pos", "line")).filter(F.col("line").rlike(_RANGE))
     month = lambda i: F.regexp_replace(parsing.group(F.col("line"), _RANGE, i), r"^(\d{4})[.\-/年](\d)$", "$1.0$2")
     dot = lambda x: F.regexp_replace(F.regexp_replace(x, r"^(\d{4})[.\-/年](\d{2})$", "$1.$2"), r"^[Pp]resent$", "至今")
     rest = strip(F.regexp_replace("line", _RANGE, " "))
     company = parsing.group(rest, _COMPANY, 1)
     title = parsing.group(F.replace(rest, F.coalesce(company, F.lit("\u0000")), F.lit(" ")), _TITLE, 1)
-    return lines.select("id", "pos", company.alias("company_name"), title.alias("title"), dot(month(1)).alias("start_date"), dot(month(2)).alias("end_date"))
+    return lines.select("id", "pos", company.alias("company_name"), title.alias("title"), dot(month(1)).alias("start_date"), dot(month(2)).alias("end_date")).filter("company_name is not null or title is not null")
 
 
 def merge_work(extracted: DataFrame, inferred: DataFrame, as_of: Column, order: str = "present_first") -> DataFrame:
-    """One work history a person from two: rows of one date key fill each other, the fuller one leading; then in order of time.
+    """One work history a person from two: rows of one date key fill each other, the stored one leading; then in order of time.
 
-    Both: (id, pos, company_name, title, start_date, end_date). Ongoing work comes first, then the latest end;
-    ``order='literal'`` puts undated rows first and ongoing work last.
+    Both: (id, pos, company_name, title, start_date, end_date); blank is null. A stored row without dates, company or title is filled
+    by the read row in the same place. Read rows of other dates are added. Of rows with the same dates the one with most of company and
+    title stays, of equals the first; undated ones all stay. Ongoing work comes first, then the latest end; ``order='literal'``
+    puts undated rows first and ongoing work last.
     """
     fields = ("company_name", "title", "start_date", "end_date")
-    rows = extracted.select("id", "pos", *fields, F.lit(0).alias("source")).unionByName(inferred.select("id", "pos", *fields, F.lit(1).alias("source")))
-    key = F.when(F.col("start_date").isNotNull(), F.concat_ws("|", "start_date", F.coalesce("end_date", F.lit("")))).otherwise(F.concat(F.lit("#"), F.col("source").cast("string"), F.lit("/"), F.col("pos").cast("string")))
-    score = sum((F.when(F.col(n).isNotNull(), w).otherwise(0) for n, w in zip(fields, (2, 2, 1, 1))), F.lit(0))
-    rows = rows.withColumns({"key": key, "score": score})
-    best = F.struct(-F.col("score"), "source", "pos")
-    one = lambda n: F.min(F.when(F.col(n).isNotNull(), F.struct((-F.col("score")).alias("s"), "source", "pos", F.col(n).alias("v"))))["v"].alias(n)
-    merged = rows.groupBy("id", "key").agg(F.min(best).alias("b"), *[one(n) for n in fields])
+    key = F.when(F.coalesce("start_date", "end_date").isNotNull(), F.concat(F.coalesce("start_date", F.lit("")), F.lit("|"), F.coalesce("end_date", F.lit(""))))
+    place = F.row_number().over(W.partitionBy("id").orderBy("pos"))
+    clean = lambda df: df.select("id", "pos", *[F.nullif(strip(F.col(n)), F.lit("")).alias(n) for n in fields]).withColumns({"key": key, "place": place})
+    own, read, whole = clean(extracted), clean(inferred), F.struct(*fields)
+    by_key = read.groupBy("id", "key").agg(F.max_by(whole, F.col("pos")).alias("same_dates"))
+    by_place = read.select("id", F.col("place").alias("blank_place"), whole.alias("same_place"))
+    nameless = F.col("company_name").isNull() & F.col("title").isNull()
+    other = F.coalesce("same_dates", "same_place")
+    filled = own.withColumn("blank_place", F.when(F.col("key").isNull() & nameless, F.col("place"))).join(by_key, ["id", "key"], "left").join(by_place, ["id", "blank_place"], "left")
+    values = {n: F.coalesce(n, other[n]) for n in fields}  # a row without a name has no dates of its own or the other's
+    filled = filled.select("id", "pos", *[v.alias(n) for n, v in values.items()]).withColumns({"key": key, "source": F.lit(0)})
+    added = read.join(filled.select("id", "key").distinct(), ["id", "key"], "left_anti").withColumn("source", F.lit(1))
+    rows = filled.unionByName(added.select(*filled.columns))
+    score = sum((F.when(F.col(n).isNotNull(), 2).otherwise(0) for n in fields[:2]), F.lit(0))
+    name = F.coalesce("key", F.concat(F.lit("#"), F.col("source").cast("string"), F.lit("/"), F.col("pos").cast("string")))
+    first = F.struct((-score).alias("score"), "source", "pos")
+    merged = rows.withColumns({"name": name, "b": first}).groupBy("id", "name").agg(F.min_by(whole, F.col("b")).alias("w"), F.min("b").alias("b")).select("id", "b", "w.*")
     end = F.coalesce(parsing.month_index(F.col("end_date"), as_of), parsing.month_index(F.col("start_date"), as_of))
     now = F.coalesce(F.col("end_date").contains("至今"), F.lit(False))
     by = [now.desc(), end.desc_nulls_last(), "b"] if order == "present_first" else [end.desc_nulls_first(), now.asc(), "b"]

@@ -105,6 +105,40 @@ def test_work_history(spark):
     assert normalize.repaired_history(df, stored, F.lit(DAY)).count() == 1
 
 
+def test_work_merge_against_lists(spark):
+    """Filling by dates and by place, adding, and one row of equal dates, against a plain loop."""
+    kind = "id string, pos int, company_name string, title string, start_date string, end_date string"
+    own = [("a", 0, None, None, None, None), ("a", 1, "X", None, "2020.01", "2021.01"), ("a", 2, "Y", "dev", "2020.01", "2021.01"), ("a", 3, "", " ", "2018.01", None), ("a", 4, "Z", None, None, None), ("a", 5, None, None, None, None), ("b", 0, None, None, None, None)]
+    read = [("a", 0, "P", "boss", "2022.01", "至今"), ("a", 3, "Q", "test", "2018.01", None), ("a", 5, "R", None, "2015.01", "2016.01"), ("c", 1, "S", None, "2010.01", "2011.01"), ("c", 2, "S", "T", "2010.01", "2011.01")]
+
+    def plain(who):
+        mine, found = [list(r[2:]) for r in own if r[0] == who], [list(r[2:]) for r in read if r[0] == who]
+        mine = [[v.strip() or None if v else None for v in r] for r in mine]
+        dates = {tuple(r[2:]): r for r in found}
+        out = []
+        for i, r in enumerate(mine):
+            f = dates.get(tuple(r[2:])) if any(r[2:]) else found[i] if not any(r[:2]) and i < len(found) else None
+            out.append([x or y for x, y in zip(r, f)] if f else r)
+        out += [f for f in found if f[2:] not in [r[2:] for r in out]]
+        best, undated = {}, [r for r in out if not any(r[2:])]
+        for r in out:
+            k = tuple(r[2:])
+            if any(k) and (k not in best or sum(map(bool, r[:2])) > sum(map(bool, best[k][:2]))):
+                best[k] = r
+        return sorted(map(str, [*best.values(), *undated]))
+
+    merged = normalize.merge_work(spark.createDataFrame(own, kind), spark.createDataFrame(read, kind), F.lit(DAY)).collect()
+    for who in "abc":
+        assert sorted(str(list(r)[2:]) for r in merged if r["id"] == who) == plain(who)
+
+
+def test_work_section(spark):
+    text = "教育背景\n2001.09-2005.06 某学校\n工作经历\n2020.3-2022.05 星辰科技有限公司\n2019.01-2019.12 nothing named\n项目经历\n2018.01-2018.06 开发"
+    df = spark.createDataFrame([("r", text), ("s", "2018.01-2018.06 开发"), ("t", None), ("u", "")], "id string, raw_text string")
+    rows = normalize.work_from_text(df).collect()
+    assert sorted((r["id"], r["company_name"], r["title"]) for r in rows) == [("r", "星辰科技有限公司", None), ("s", None, "开发")]
+
+
 def test_resume_defaults(spark):
     raw = {"id": "r", "basic_info": {"summary": "电话 13812345678 负责人", "current_city": "上海"}, "skills": [{"name": "Go", "years": 4}], "raw_text": "意向城市：北京\nremote LLM", "work_experiences": [{"company_name": "Acme", "title": "Backend Engineer", "start_date": "2020.01", "end_date": "2023.01"}]}
     from pyspark.sql import types as T
