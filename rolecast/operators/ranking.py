@@ -49,25 +49,29 @@ def diversify(pairs: DataFrame, k: int, by: str = "resume_id") -> DataFrame:
     """k rows for each person, one after another: the best total less what repeats those already taken.
 
     pairs: (by, job_id, total, rank, company, title, template, generic); ``rank`` is the order that decides ties. Fold
-    over a person's recalled candidates, a bounded list; each step looks at all candidates once.
+    over a person's recalled candidates, a bounded list: every open candidate counts what it shares with those taken, so
+    a step looks at the open ones once, whatever the number taken.
     """
     item = F.struct("rank", "total", "company", "title", "template", F.coalesce("generic", F.lit(0.0)).alias("generic"), "job_id")
     rows = pairs.groupBy(by).agg(F.array_sort(F.collect_list(item)).alias("items"))
+    shared = {"companies": ("company",), "titles": ("title",), "templates": ("template",), "both": ("company", "title")}
 
-    def score(taken: Column, x: Column) -> Column:
-        same = lambda *fields: F.size(F.filter(taken, lambda t: _all(t, x, fields)))
-        companies, templates = same("company"), same("template")
-        return (
-            x["total"] - F.when(same("company", "title") > 0, 0.05).otherwise(0.0) - companies * 0.04 - F.when(companies >= 3, 0.15).otherwise(0.0) - same("title") * 0.015 - templates * 0.08 - x["generic"]
-        )
+    def score(o: Column) -> Column:
+        x = o["item"]
+        return x["total"] - F.when(o["both"] > 0, 0.05).otherwise(0.0) - o["companies"] * 0.04 - F.when(o["companies"] >= 3, 0.15).otherwise(0.0) - o["titles"] * 0.015 - o["templates"] * 0.08 - x["generic"]
 
-    def step(taken: Column, i: Column) -> Column:
-        open_ = F.filter("items", lambda x: ~F.exists(taken, lambda t: t["rank"] == x["rank"]))
-        best = F.array_max(F.transform(open_, lambda x: F.struct(F.round(score(taken, x), 9).alias("score"), (-x["rank"]).alias("order"), x.alias("item"))))
-        return F.when(F.size(open_) > 0, F.concat(taken, F.array(best["item"]))).otherwise(taken)
+    def step(state: Column, i: Column) -> Column:
+        best = F.array_max(F.transform(state["open"], lambda o: F.struct(F.round(score(o), 9).alias("score"), (-o["item"]["rank"]).alias("order"), o["item"].alias("item"))))
 
-    start = F.filter("items", lambda x: F.lit(False))
-    taken = F.aggregate(F.sequence(F.lit(1), F.lit(k)), start, step)
+        def take(t: Column) -> Column:
+            left = F.filter(state["open"], lambda o: o["item"]["rank"] != t["item"]["rank"])
+            counted = lambda o: F.struct(o["item"].alias("item"), *[(o[n] + F.when(_all(t["item"], o["item"], f), 1).otherwise(0)).alias(n) for n, f in shared.items()])
+            return F.struct(F.transform(left, counted).alias("open"), F.concat(state["taken"], F.array(t["item"])).alias("taken"))
+
+        return F.when(F.size(state["open"]) > 0, F.element_at(F.transform(F.array(best), take), 1)).otherwise(state)
+
+    start = F.struct(F.transform("items", lambda x: F.struct(x.alias("item"), *[F.lit(0).alias(n) for n in shared])).alias("open"), F.filter("items", lambda x: F.lit(False)).alias("taken"))
+    taken = F.aggregate(F.sequence(F.lit(1), F.lit(k)), start, step)["taken"]
     return rows.select(by, F.posexplode(taken).alias("pos", "x")).select(by, (F.col("pos") + 1).alias("position"), "x.job_id", "x.total", "x.company", "x.title", "x.template")
 
 

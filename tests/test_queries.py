@@ -51,7 +51,7 @@ def test_query(spark, duck, name):
 
 def test_names():
     assert set(plans.ORACLES) <= set(plans.QUERIES)
-    assert set(plans.QUERIES) - set(plans.ORACLES) == {"diversified", "indexed_recall"}
+    assert set(plans.QUERIES) - set(plans.ORACLES) == {"indexed_recall"}
 
 
 def test_index_against_exact_recall(spark, duck):
