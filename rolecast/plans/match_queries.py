@@ -42,9 +42,9 @@ def city_of(key) -> object:
 
 
 def pairs_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """fx_pairs with both sides' columns; sides are joined by key, never crossed."""
-    jobs = bind(spark, sf_dir, "fx_jobs").withColumnRenamed("city_key", "job_city").withColumnRenamed("role", "job_role")
-    people = bind(spark, sf_dir, "fx_resumes").withColumnRenamed("city_key", "own_city").withColumnRenamed("role", "own_role")
+    """fx_pairs with both sides' columns, cities matched once a side; sides are joined by key, never crossed."""
+    jobs = bind(spark, sf_dir, "fx_jobs").withColumn("places", text.match_cities(city_of(F.col("city_key")))).withColumnRenamed("city_key", "job_city").withColumnRenamed("role", "job_role")
+    people = bind(spark, sf_dir, "fx_resumes").withColumn("wanted", text.match_cities(city_of(F.col("city_key")))).withColumnRenamed("city_key", "own_city").withColumnRenamed("role", "own_role")
     wishes = bind(spark, sf_dir, "fx_wishes")
     rows = bind(spark, sf_dir, "fx_pairs").join(jobs, "job_id").join(people, "resume_id").join(wishes, "resume_id").withColumn("has_salary", ~F.col("salary_negotiable") & (F.col("salary_max") > 0))
     mine = F.col("resume_id") % 3
@@ -158,7 +158,7 @@ LOCATED = _location_sql()
 
 def located(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = F.col
-    return pairs_of(spark, sf_dir).withColumn("location", S.location_score(c("work_mode") == "remote", text.match_cities(city_of(c("own_city"))), text.match_cities(city_of(c("job_city")))))
+    return pairs_of(spark, sf_dir).withColumn("location", S.location_score(c("work_mode") == "remote", c("wanted"), c("places")))
 
 
 @query("location_scores", with_ctes(PAIR_CTES, f"SELECT resume_id, job_id, location FROM {LOCATED}"))
@@ -335,7 +335,7 @@ def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs that passed or not, with every component, the five penalties, the cap and the total."""
     c = F.col
     rows = reasoned(spark, sf_dir)
-    rows = rows.withColumn("location", S.location_score(c("work_mode") == "remote", text.match_cities(city_of(c("own_city"))), text.match_cities(city_of(c("job_city")))))
+    rows = rows.withColumn("location", S.location_score(c("work_mode") == "remote", c("wanted"), c("places")))
     rows = levelled(rows).join(skilled(spark, sf_dir).withColumnRenamed("skill", "skill0"), ["resume_id", "job_id"])
     jobs, people = title_sides(spark, sf_dir)
     rows = rows.join(jobs.withColumnsRenamed({"title": "post", "summary": "body"}), "job_id").join(people.drop("role"), "resume_id")
