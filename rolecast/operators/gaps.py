@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def missing_skills(matches: DataFrame) -> DataFrame:
-    """(resume_id, missing): skills lacking over the top matches, each once, in order of first appearance."""
-    each = matches.select("resume_id", "rank", F.posexplode("missing").alias("pos", "skill"))
-    first = each.groupBy("resume_id", F.lower("skill").alias("k")).agg(F.min(F.struct("rank", "pos", "skill")).alias("f"))
-    return first.groupBy("resume_id").agg(F.transform(F.array_sort(F.collect_list("f")), lambda x: x["skill"]).alias("missing"))
+def missing_skills(lists: Column) -> Column:
+    """The skills of lists of lacking skills, each once whatever its case, in order of first appearance; nulls are none."""
+    every = F.array_compact(F.flatten(F.transform(lists, lambda x: F.coalesce(x, F.array().cast("array<string>")))))
+    lower = F.transform(every, lambda x: F.lower(x))
+    return F.filter(every, lambda x, i: F.array_position(lower, F.lower(x)) == i + 1)
 
 
 def gap_report(matches: DataFrame, resumes: DataFrame) -> DataFrame:
@@ -18,10 +18,10 @@ def gap_report(matches: DataFrame, resumes: DataFrame) -> DataFrame:
 
     matches: (resume_id, rank, title, salary_max, job_years, missing); resumes: (resume_id, want_max, years).
     """
-    per = matches.groupBy("resume_id").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("rank", "title"))), lambda x: x["title"]).alias("baseline_roles"), F.avg("salary_max").alias("pay"), F.avg("job_years").alias("job_years")
-    )
-    out = resumes.join(per, "resume_id", "left").join(missing_skills(matches), "resume_id", "left")
+    tops = F.array_sort(F.collect_list(F.struct("rank", "title", "missing")))
+    per = matches.groupBy("resume_id").agg(tops.alias("tops"), F.avg("salary_max").alias("pay"), F.avg("job_years").alias("job_years"))
+    per = per.withColumns({"baseline_roles": F.transform("tops", lambda x: x["title"]), "missing": missing_skills(F.transform("tops", lambda x: x["missing"]))}).drop("tops")
+    out = resumes.join(per, "resume_id", "left")
     gap = lambda a, b: F.when(a.isNull() | b.isNull(), 0).otherwise(F.greatest(F.lit(0), F.bround(a - b, 0).cast("int")))
     none = F.array().cast("array<string>")
     return out.select(
