@@ -94,4 +94,44 @@ SELECT o.number, CAST(floor(o.number / 1000.0) AS BIGINT) AS file, status, CAST(
 FROM o LEFT JOIN p_at ON o.number = p_at.number LEFT JOIN q_at ON o.number = q_at.number"""
 
 
-ORACLES = {"op3_quality_rules": op3(), "op4_winnowing": op4(), "op6_license_scan": op6(), "op9_warc_fixity": op9()}
+def op11() -> str:
+    blanks = r"[\x20\x09-\x0D]"
+    return f"""
+WITH d AS (SELECT doc_id, length(coalesce(text, '')) AS n, regexp_replace(coalesce(text, ''), '{blanks}', '', 'g') AS t, row_number() OVER () AS rid FROM documents),
+w AS (SELECT doc_id, t, count(*) OVER (PARTITION BY t) AS group_size, first_value(doc_id) OVER o AS keep_id, first_value(rid) OVER o AS keep_row, rid FROM d WINDOW o AS (PARTITION BY t ORDER BY n DESC, doc_id NULLS LAST, rid))
+SELECT doc_id, keep_id, CAST(group_size AS BIGINT) AS group_size, rid = keep_row AS kept, sha256(t) AS text_sha256 FROM w"""
+
+
+def op12() -> str:
+    lower = _ASCII_LOWER.format("coalesce(text, '')")
+    share = lambda n, total, v: f"1 + (1000000000::HUGEINT * ({n} + 1)) // ({total} + {v})"
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS rid, coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all({lower}, '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+t AS (SELECT rid, lang, source, unnest(w) AS term FROM d),
+k AS (SELECT lang, term, count(*) AS total FROM t GROUP BY lang, term HAVING count(DISTINCT rid) >= 3),
+v AS (SELECT lang, count(*) AS v, sum(total) AS lang_size FROM k GROUP BY lang),
+c AS (SELECT t.lang, t.source, t.term, count(*) AS n FROM t JOIN k ON t.lang = k.lang AND t.term = k.term GROUP BY ALL),
+g AS (SELECT DISTINCT lang, source FROM d),
+s AS (SELECT g.lang, g.source, coalesce(sum(n), 0) AS size FROM g LEFT JOIN c ON g.lang = c.lang AND g.source = c.source GROUP BY ALL),
+p AS (SELECT s.lang, s.source, k.term, coalesce(c.n, 0) AS n, {share("coalesce(c.n, 0)", "s.size", "v.v")} AS p, {share("k.total", "v.lang_size", "v.v")} AS q
+  FROM s JOIN k ON s.lang = k.lang JOIN v ON v.lang = s.lang LEFT JOIN c ON c.lang = s.lang AND c.source = s.source AND c.term = k.term),
+pairs AS (SELECT a.lang, a.source, b.source AS item FROM s a JOIN s b ON a.lang = b.lang AND a.source <> b.source),
+f AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+x AS (SELECT pairs.lang, pairs.source, 'pair' AS part, pairs.item, coalesce(value, 0) AS value FROM pairs LEFT JOIN f ON f.lang = pairs.lang AND f.source = pairs.source AND f.item = pairs.item
+  UNION ALL SELECT lang, source, 'term', term, (p - q) * (p - q) // q FROM p WHERE n > 0 AND p > q),
+r AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item)) AS rank FROM x)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INT) AS rank FROM r WHERE part = 'pair' OR rank <= 200"""
+
+
+def op13() -> str:
+    return """
+WITH e AS (SELECT row_number() OVER () AS rid, vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.id AS anchor_id, b.id, a.label = b.label AS same, CAST(list_inner_product(a.v, b.v) AS BIGINT) AS score FROM e a JOIN e b ON a.id <> b.id WHERE a.id % 100 = 0),
+p AS (SELECT *, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) AS place FROM s WHERE same),
+n AS (SELECT p.anchor_id, p.id AS positive_id, s.id AS negative_id, p.score AS positive_score, s.score AS negative_score, row_number() OVER (PARTITION BY p.anchor_id, p.id ORDER BY s.score DESC, s.id) AS rank
+  FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.same AND 80 * p.score <= 100 * s.score AND 100 * s.score <= 100 * p.score WHERE place <= 5)
+SELECT anchor_id, positive_id, CAST(rank AS INT) AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 5"""
+
+
+ORACLES = {"op3_quality_rules": op3(), "op4_winnowing": op4(), "op6_license_scan": op6(), "op9_warc_fixity": op9(), "op11_exact_dedup": op11(), "op12_source_divergence": op12(), "op13_hard_negatives": op13()}

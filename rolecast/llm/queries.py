@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from .divergence import source_divergence
+from .exact_dedup import exact_groups
 from .frames import table
+from .hard_negatives import hard_negatives, quantised, usable
 from .html import main_text
 from .language import identify_language, identify_pages
 from .licenses import scan_licenses
@@ -64,6 +68,23 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(table(spark, sf_dir, "documents"))
 
 
+def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_groups(table(spark, sf_dir, "documents"), digest_all=True)
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence(table(spark, sf_dir, "documents"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every hundredth vector is an anchor; labels of every seventh are wrong, as labels are."""
+    rows = table(spark, sf_dir, "embeddings").filter(F.col("label").isNotNull() & usable(F.col("embedding")))
+    label = F.col("label").cast("long")
+    label = F.when(F.col("vec_id") % 7 == 0, F.pmod(label + 1, F.lit(10))).otherwise(label)
+    items = rows.select(F.col("vec_id").alias("id"), label.alias("label"), quantised(F.col("embedding")).alias("v"))
+    return hard_negatives(items, items.filter("id % 100 = 0"))
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "language_id_pages": language_id_pages,
@@ -76,6 +97,9 @@ QUERIES = {
     "op8_html_text": op8_html_text,
     "op9_warc_fixity": op9_warc_fixity,
     "op10_simhash": op10_simhash,
+    "op11_exact_dedup": op11_exact_dedup,
+    "op12_source_divergence": op12_source_divergence,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 
 __all__ = ["ORACLES", "QUERIES"]
