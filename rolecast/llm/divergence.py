@@ -26,9 +26,10 @@ from .frames import cut, join_hot, map_batches
 TERM = re.compile(rb"[A-Za-z\x80-\xff]+")
 NOT_TERM = re.compile(rb"[^A-Za-z\x80-\xff]")
 SCALE = 1_000_000_000
-#: Entries of a task's counts, and nodes of its tree, before they are handed on.
-ENTRIES = 200_000
+#: Entries of a task's counts, and nodes of its tree, before they are handed on; rows handed on at once.
+ENTRIES = 500_000
 NODES = 200_000
+HANDED = 50_000
 PIECE = 1 << 20
 
 
@@ -45,17 +46,18 @@ def _pieces(data: bytes) -> Iterator[bytes]:
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(lang, source, term, n, docs) of a task's texts; a row without term says that the group occurs."""
+    """(lang, source, term, n, docs) of a task's texts."""
     counts: dict[tuple[str, str], tuple[Counter, Counter]] = {}
 
-    def rows() -> pa.RecordBatch:
-        out: list[tuple] = []
+    def rows() -> Iterator[pa.RecordBatch]:
+        names = ["lang", "source", "term", "n", "docs"]
         for (lang, source), (n, docs) in counts.items():
-            out.append((lang, source, None, 0, 0))
-            out.extend((lang, source, term.decode(), k, docs[term]) for term, k in n.items())
+            terms = list(n)
+            for at in range(0, len(terms), HANDED):
+                some = terms[at : at + HANDED]
+                values = [pa.array(map(c.__getitem__, some), pa.int64(), size=len(some)) for c in (n, docs)]
+                yield pa.RecordBatch.from_arrays([pa.repeat(lang, len(some)), pa.repeat(source, len(some)), pa.array(some, pa.binary()).cast(pa.string()), *values], names)
         counts.clear()
-        kinds = (pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64())
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], ["lang", "source", "term", "n", "docs"])
 
     for batch in batches:
         for i in range(batch.num_rows):
@@ -67,9 +69,8 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 seen.update(terms)
             docs.update(seen)
         if sum(len(n) for n, _ in counts.values()) > ENTRIES:
-            yield rows()
-    if counts:
-        yield rows()
+            yield from rows()
+    yield from rows()
 
 
 def _share(n: Column, total: Column, terms: Column) -> Column:
@@ -90,9 +91,10 @@ def term_rows(docs: DataFrame, least: int = 3) -> tuple[DataFrame, DataFrame]:
     """(kept terms: lang, term, total, row of (source, n)) and (lang, source) of all groups. Null text, lang and source are ''."""
     whole = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c)
     found = map_batches(docs.select(whole("lang"), whole("source"), whole("text")), _count, "lang string, source string, term string, n long, docs long")
-    sums = cut(found.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs")))
-    by_term = sums.filter("term is not null").groupBy("lang", "term").agg(F.sum("docs").alias("docs"), F.sum("n").alias("total"), F.collect_list(F.struct("source", "n")).alias("row"))
-    return cut(by_term.filter(F.col("docs") >= least).drop("docs")), sums.filter("term is null").select("lang", "source")
+    found = found.repartition("lang", "term")  # tasks have summed; both groupings below need no other exchange
+    sums = found.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    by_term = sums.groupBy("lang", "term").agg(F.sum("docs").alias("docs"), F.sum("n").alias("total"), F.collect_list(F.struct("source", "n")).alias("row"))
+    return cut(by_term.filter(F.col("docs") >= least).drop("docs")), docs.select(whole("lang"), whole("source")).distinct()
 
 
 def _insert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

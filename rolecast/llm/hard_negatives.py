@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from .frames import cut, join_hot
 
 #: Items of a tile, anchors of a turn, items of a leaf, slabs a cut, tiles a cut of the upper levels.
-BLOCK, TURN, LEAF, SLABS, FANOUT = 1024, 1024, 16, 4, 32
+BLOCK, TURN, LEAF, SLABS, FANOUT = 1024, 1024, 64, 4, 32
 #: Rows from which the order of the coordinates is taken; it changes how tight the boxes are, never the result.
 SAMPLE = 10_000
 NO_ID = np.iinfo(np.int64).max
@@ -94,6 +94,7 @@ def search(tree: Tree, anchor: np.ndarray, anchor_id, label, same: bool, goals:
     wanted = lambda i: tree.label_low[i] <= label <= tree.label_high[i] if same else not (tree.label_low[i] == tree.label_high[i] == label)
     useful = lambda i: wanted(i) and any(upper[i] >= g.floor and lower[i] <= g.high for g in goals)
     queue = [(-upper[0], 0)] if useful(0) else []
+    most = max(g.high for g in goals)
     while queue:
         bound, node = heapq.heappop(queue)
         if -bound < min(g.floor for g in goals):
@@ -104,10 +105,11 @@ def search(tree: Tree, anchor: np.ndarray, anchor_id, label, same: bool, goals:
                     heapq.heappush(queue, (-upper[c], c))
             continue
         a, b = tree.span[node]
-        take = np.flatnonzero((tree.labels[a:b] == label) & (tree.nulls[a:b] | (tree.ids[a:b] != anchor_id)) if same else tree.labels[a:b] != label)
-        if len(take):
-            score = tree.vectors[a:b][take] @ anchor
-            rows = [(-int(s), bool(n), int(i)) for s, n, i in zip(score, tree.nulls[a:b][take], tree.ids[a:b][take])]
+        score = tree.vectors[a:b] @ anchor
+        inside = (score >= min(g.floor for g in goals)) & (score <= most)
+        inside &= (tree.labels[a:b] == label) & (tree.nulls[a:b] | (tree.ids[a:b] != anchor_id)) if same else tree.labels[a:b] != label
+        if len(take := np.flatnonzero(inside)):
+            rows = [(-int(score[i]), bool(tree.nulls[a + i]), int(tree.ids[a + i])) for i in take]
             for g in goals:
                 g.add(rows)
 
@@ -164,7 +166,7 @@ def tiled(items: DataFrame, block: int = BLOCK, fanout: int = FANOUT) -> tuple[D
     sample = items.select(F.xxhash64("id", "v").alias("h"), "v").orderBy("h").limit(SAMPLE).toPandas()["v"]
     width = max((len(v) for v in sample), default=0)
     spread = np.argsort(-_matrix(sample, width, False).std(axis=0), kind="stable")[:levels] if width else np.zeros(0, int)
-    now = items.withColumn("tile", F.lit(0).cast("long"))
+    now = items.withColumn("tile", F.col("salt") * 0)  # no literal, lest the first join be one without a key
     for c in [int(x) for x in spread] if blocks > 1 else []:
         x = F.coalesce(F.get("v", F.lit(c)), F.lit(0))
         edges = now.groupBy("tile").agg(F.percentile_approx(x, [i / each for i in range(1, each)], 1000).alias("edges"), F.count(F.lit(1)).alias("n"))
