@@ -1,12 +1,15 @@
 """Recall of the nearest openings by vector similarity, and what is needed around it.
 
-The openings are searched in blocks by all people's vectors: both sides are dealt over blocks, each pair of
-blocks is one matrix product in a task, which keeps its best N per person; the best of those are the answer.
-Work is the product of both sides, memory two blocks, and the exchange N rows a person and block.
+Two exact ways. ``top_n`` deals both sides over blocks; each pair of blocks is one matrix product in a task, which keeps
+its best N per person. Work is the product of both sides, memory two blocks. ``pruned_top_n`` deals the openings to cells
+with a radius and reads only cells that the triangle inequality on angles doesn't rule out; the more alike the vectors
+are in groups, the fewer these are.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass, replace
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -15,6 +18,12 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULT, MatchConfig
 from ..functions.text import payload_hash
+from ..storage import staged
+
+#: Cells of an index at most, and items from which their centres are taken.
+MOST_CELLS, CENTRE_SAMPLE = 2_048, 20_000
+#: Scores are compared as rounded to six digits, and angles have errors near zero: a cell whose bound is that close is read.
+MARGIN = 2e-6
 
 
 def payload_text(summary: Column, skills: Column, keywords: Column) -> Column:
@@ -79,13 +88,16 @@ def top_n(queries: DataFrame, items: DataFrame, n: int, query_id: str = "resume_
     """(query_id, item_id, score, recall_rank): the n nearest items of each query by cosine, ties by id.
 
     Shorter vectors count as if zeros followed: the product is over the common length, sizes are of whole vectors. This is the
-    exact way, whose work is the product of both sides; ``indexed_top_n`` looks at a part of them.
+    exact way, whose work is the product of both sides; ``pruned_top_n`` gives the same from a part of the pairs. All four
+    block numbers are of one type, as keys of different types would be shuffled apart.
     """
+    number = lambda key, many: F.pmod(F.xxhash64(key), F.lit(many).cast("long"))
+    every = lambda many: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(many - 1).cast("long")))
     qn = max(1, -(-queries.count() // block))
     tn = max(1, -(-items.count() // block))
     kind_q, kind_t = queries.schema[query_id].dataType.simpleString(), items.schema[item_id].dataType.simpleString()
-    q = queries.select(F.col(query_id).alias("id"), F.col(vector).cast("array<double>").alias("v"), F.pmod(F.xxhash64(query_id), F.lit(qn)).alias("qb")).withColumn("tb", F.explode(F.sequence(F.lit(0), F.lit(tn - 1))))
-    t = items.select(F.col(item_id).alias("id"), F.col(vector).cast("array<double>").alias("v"), F.pmod(F.xxhash64(item_id), F.lit(tn)).alias("tb")).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(qn - 1))))
+    q = queries.select(F.col(query_id).alias("id"), F.col(vector).cast("array<double>").alias("v"), number(query_id, qn).alias("qb")).withColumn("tb", every(tn))
+    t = items.select(F.col(item_id).alias("id"), F.col(vector).cast("array<double>").alias("v"), number(item_id, tn).alias("tb")).withColumn("qb", every(qn))
 
     def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         return nearest(left, right, n, query_id, item_id)
@@ -95,7 +107,7 @@ def top_n(queries: DataFrame, items: DataFrame, n: int, query_id: str = "resume_
     return found.withColumn("recall_rank", rank).filter(F.col("recall_rank") <= n)
 
 
-def centroids(items: DataFrame, vector: str, cells: int, sample: int = 20_000, rounds: int = 8, key: str = "job_id") -> np.ndarray:
+def centroids(items: DataFrame, vector: str, cells: int, sample: int = CENTRE_SAMPLE, rounds: int = 8, key: str = "job_id") -> np.ndarray:
     """``cells`` unit vectors by spherical k-means over at most ``sample`` items, those of the least hash of their id; the same on every run."""
     rows = items.filter(F.col(vector).isNotNull()).select(F.xxhash64(key).alias("h"), key, F.col(vector).cast("array<double>").alias("v")).orderBy("h", key).limit(sample).toPandas()
     if rows.empty:
@@ -111,45 +123,108 @@ def centroids(items: DataFrame, vector: str, cells: int, sample: int = 20_000, r
     return c
 
 
-def indexed_top_n(queries: DataFrame, items: DataFrame, n: int, query_id: str = "resume_id", item_id: str = "job_id", vector: str = "vector", cells: int | None = None, probes: float = 0.7, block: int = 4096) -> DataFrame:
-    """The same from an index: items are dealt to the cell of their nearest centroid, queries look into the nearest ``probes`` of all cells.
+@dataclass
+class Cells:
+    """items(id, v, cell), and of each cell its centre (a unit vector), how many items it has, and the largest angle to one.
 
-    Every item is in the index; only its centroids come from a bounded sample (``centroids``). ``cells`` is the square root of the number of
-    items unless given. A cell with more than ``block`` items, and a cell's queries, are split over tasks. A miss is an item
-    whose cell isn't looked into; scores and the order of those found are exact. The more alike the vectors are in groups, the fewer probes
-    do: of vectors without any groups (``embeddings``) 0.6 of the cells find nine of ten of the nearest 15.
+    The last cell is that of zero vectors, whose score is 0 with everything.
     """
-    total = items.count()
-    cells = cells or max(1, int(total**0.5))
-    c = centroids(items, vector, cells, key=item_id)
-    look = max(1, int(np.ceil(probes * len(c))))
-    kind_q, kind_t = queries.schema[query_id].dataType.simpleString(), items.schema[item_id].dataType.simpleString()
 
-    def deal(many: int):
+    items: DataFrame
+    kind: str
+    centres: np.ndarray
+    sizes: np.ndarray
+    radii: np.ndarray
+
+    def angles(self, vectors: pd.Series) -> tuple[np.ndarray, np.ndarray]:
+        """Angles of vectors to all centres, and which of the vectors aren't zero."""
+        width = self.centres.shape[1]
+        x = unit(vectors, max(width, max((len(v) for v in vectors if v is not None), default=0)))
+        return np.arccos(np.clip(x[:, :width] @ self.centres.T, -1.0, 1.0)), x.any(1)
+
+    def bounds(self, vectors: pd.Series) -> np.ndarray:
+        """No item of a cell scores more than this with the vector: the cosine of its angle to the centre less the radius."""
+        angles, some = self.angles(vectors)
+        bound = np.cos(np.maximum(0.0, angles - self.radii[:-1])) * some[:, None]
+        return np.where(self.sizes > 0, np.hstack([bound, np.zeros((len(bound), 1))]), -np.inf)
+
+
+def cells_of(items: DataFrame, item_id: str = "job_id", vector: str = "vector", cells: int | None = None) -> Cells:
+    """The index of items: every item in the cell of its nearest centre, dealt once and staged.
+
+    ``cells`` is the square root of their number unless given, up to ``MOST_CELLS``; centres come from at most ``CENTRE_SAMPLE`` items, which
+    changes how much is read, never what is found. What comes to the driver are three numbers a cell.
+    """
+    kind = items.schema[item_id].dataType.simpleString()
+    centres = centroids(items, vector, cells or min(MOST_CELLS, max(1, int(items.count() ** 0.5))), key=item_id)
+    index = Cells(items, kind, centres, np.zeros(len(centres) + 1), np.zeros(len(centres) + 1))
+
+    def deal(batches):
+        for rows in batches:
+            angles, some = index.angles(rows["v"])
+            near = angles.argmin(1)
+            yield pd.DataFrame({"id": rows["id"], "v": rows["v"], "cell": np.where(some, near, len(centres)), "angle": angles[np.arange(len(near)), near]})
+
+    plain = items.select(F.col(item_id).alias("id"), F.col(vector).cast("array<double>").alias("v"))
+    index.items = None  # lest the tasks be sent a DataFrame
+    dealt = staged(plain.mapInPandas(deal, f"id {kind}, v array<double>, cell long, angle double"))
+    for r in dealt.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("angle").alias("radius")).collect():
+        index.sizes[r["cell"]], index.radii[r["cell"]] = r["n"], r["radius"]
+    return replace(index, items=dealt.drop("angle"))
+
+
+def pruned_top_n(queries: DataFrame, items: DataFrame | Cells, n: int, query_id: str = "resume_id", item_id: str = "job_id", vector: str = "vector", cells: int | None = None, block: int = 4096, report: dict | None = None) -> DataFrame:
+    """The rows of ``top_n``, from as few cells as bounds allow. ``items`` may be an index already made (``cells_of``).
+
+    A first round reads, for each query, the most promising cells that have ``n`` items together; the n-th best score there is a floor for the
+    second, which reads the cells whose bound reaches that floor. No other cell can hold a better item or an equal one. A cell of many
+    items, and many queries of one cell, are split over tasks. ``report`` gets the number of pairs computed and of all pairs.
+    """
+    index = items if isinstance(items, Cells) else cells_of(items, item_id, vector, cells)
+    look, rows = replace(index, items=None), index.items
+    kind = queries.schema[query_id].dataType.simpleString()
+    plain = queries.select(F.col(query_id).alias("id"), F.col(vector).cast("array<double>").alias("v"))
+
+    def chosen(first: bool):
+        """A task's queries with the cells to read: the first round's, or those that the floor adds."""
+
         def run(batches):
-            for rows in batches:
-                x = unit(rows["v"], max(c.shape[1], max((len(v) for v in rows["v"] if v is not None), default=0)))[:, : c.shape[1]]
-                near = np.argsort(-(x @ c.T), axis=1, kind="stable")[:, :many]
-                yield pd.DataFrame({"id": np.repeat(rows["id"].to_numpy(), near.shape[1]), "v": rows["v"].repeat(near.shape[1]).to_numpy(), "cell": near.ravel()})
+            for q in batches:
+                bound = look.bounds(q["v"])
+                order = np.argsort(-bound, axis=1, kind="stable")
+                before = np.cumsum(look.sizes[order], axis=1) - look.sizes[order]
+                home = np.zeros_like(bound, dtype=bool)
+                np.put_along_axis(home, order, before < n, axis=1)
+                read = home if first else ~home & (bound >= q["floor"].to_numpy()[:, None] - MARGIN)
+                who, cell = np.nonzero(read & (look.sizes > 0))
+                yield pd.DataFrame({"id": q["id"].to_numpy()[who], "v": q["v"].to_numpy()[who], "cell": cell})
 
         return run
 
-    side = lambda df, key, kind, many: df.select(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("v")).mapInPandas(deal(many), f"id {kind}, v array<double>, cell long")
-    t = side(items, item_id, kind_t, 1)
-    sizes = t.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("parts"))  # as many rows as cells
-    t = t.join(F.broadcast(sizes), "cell").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts"))).drop("parts")
-    turns = max(1, -(-queries.count() // block))
-    q = side(queries, query_id, kind_q, look).join(F.broadcast(sizes), "cell").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts").cast("long") - 1))).drop("parts")
-    q = q.withColumn("turn", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(turns).cast("long")))
-    t = t.withColumn("turn", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(turns - 1).cast("long"))))
-
     def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         return nearest(left, right, n, query_id, item_id)
 
-    keys = ("cell", "part", "turn")
-    found = q.groupBy(*keys).cogroup(t.groupBy(*keys)).applyInPandas(best, f"`{query_id}` {kind_q}, `{item_id}` {kind_t}, score double")
-    rank = F.row_number().over(W.partitionBy(query_id).orderBy(F.desc("score"), item_id))
-    return found.withColumn("recall_rank", rank).filter(F.col("recall_rank") <= n)
+    def searched(q: DataFrame, first: bool) -> DataFrame:
+        asked = staged(q.mapInPandas(chosen(first), f"id {kind}, v array<double>, cell long"))
+        turns = asked.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()  # a row a cell
+        if report is not None:
+            report["pairs"] = report.get("pairs", 0) + int(sum(r["n"] * look.sizes[r["cell"]] for r in turns))
+        split = [(r["cell"], -(-r["n"] // block), int(-(-look.sizes[r["cell"]] // block))) for r in turns]
+        split = F.broadcast(q.sparkSession.createDataFrame(split, "cell long, turns long, parts long"))
+        each = lambda name: F.explode(F.sequence(F.lit(0).cast("long"), F.col(name) - 1))
+        own = lambda name, salt: F.pmod(F.xxhash64("id", F.lit(salt)), F.col(name))
+        left = asked.join(split, "cell").withColumn("turn", own("turns", 1)).withColumn("part", each("parts")).drop("turns", "parts")
+        right = rows.join(split, "cell").withColumn("part", own("parts", 2)).withColumn("turn", each("turns")).drop("turns", "parts")
+        keys = ("cell", "part", "turn")
+        return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(best, f"`{query_id}` {kind}, `{item_id}` {index.kind}, score double")
+
+    first = staged(searched(plain, True))
+    place = F.row_number().over(W.partitionBy(query_id).orderBy(F.desc("score"), item_id))
+    floor = first.withColumn("place", place).filter(F.col("place") == n).select(F.col(query_id).alias("id"), F.col("score").alias("floor"))
+    second = searched(plain.join(floor, "id"), False)  # who hasn't n items after the first round has read all cells
+    if report is not None:
+        report["all"] = queries.count() * int(look.sizes.sum())
+    return first.unionByName(second).withColumn("recall_rank", place).filter(F.col("recall_rank") <= n)
 
 
 def candidate_pool(ranked: DataFrame, desired: int, k: int, recall: Column, query_id: str = "resume_id") -> DataFrame:

@@ -437,25 +437,26 @@ def diversified(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # Recall by vectors.
-@query(
-    "vector_recall",
-    with_ctes(["fx_vec"], """SELECT resume_id, job_id, score, CAST(row_number() OVER (PARTITION BY resume_id ORDER BY score DESC, job_id) AS INT) AS recall_rank FROM
- (SELECT a.vec_id AS resume_id, b.vec_id AS job_id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS score FROM fx_vec a JOIN fx_vec b ON a.namespace = 'resumes' AND b.namespace = 'jobs') QUALIFY recall_rank <= 15"""),
-)
-def vector_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+RECALL_SQL = with_ctes(["fx_vec"], """SELECT resume_id, job_id, score, CAST(row_number() OVER (PARTITION BY resume_id ORDER BY score DESC, job_id) AS INT) AS recall_rank FROM
+ (SELECT a.vec_id AS resume_id, b.vec_id AS job_id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS score FROM fx_vec a JOIN fx_vec b ON a.namespace = 'resumes' AND b.namespace = 'jobs') QUALIFY recall_rank <= 15""")
+
+
+def _vectors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(people, jobs) with their vectors."""
     v = bind(spark, sf_dir, "fx_vec")
-    people = v.filter("namespace = 'resumes'").select(F.col("vec_id").alias("resume_id"), F.col("embedding").alias("vector"))
-    jobs = v.filter("namespace = 'jobs'").select(F.col("vec_id").alias("job_id"), F.col("embedding").alias("vector"))
-    return recall.top_n(people, jobs, 15)
+    side = lambda name, key: v.filter(F.col("namespace") == name).select(F.col("vec_id").alias(key), F.col("embedding").alias("vector"))
+    return side("resumes", "resume_id"), side("jobs", "job_id")
 
 
-@query("indexed_recall")
+@query("vector_recall", RECALL_SQL)
+def vector_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return recall.top_n(*_vectors(spark, sf_dir), 15)
+
+
+@query("indexed_recall", RECALL_SQL)
 def indexed_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same from an index; held against ``vector_recall`` in the tests."""
-    v = bind(spark, sf_dir, "fx_vec")
-    people = v.filter("namespace = 'resumes'").select(F.col("vec_id").alias("resume_id"), F.col("embedding").alias("vector"))
-    jobs = v.filter("namespace = 'jobs'").select(F.col("vec_id").alias("job_id"), F.col("embedding").alias("vector"))
-    return recall.indexed_top_n(people, jobs, 15)
+    """The same rows from the cells that bounds don't rule out."""
+    return recall.pruned_top_n(*_vectors(spark, sf_dir), 15)
 
 
 @query("recall_sizes", """SELECT c_custkey AS resume_id, CAST(CASE WHEN pool > 0 THEN least(n, pool) ELSE n END AS INT) AS recall_n FROM (SELECT c_custkey, pool, CASE WHEN active THEN greatest(k * s, k * greatest(2 * s, 8)) ELSE k * s END AS n FROM

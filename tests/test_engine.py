@@ -169,24 +169,66 @@ def test_cosine_of_unequal_lengths(spark):
     want = {i: (sum(x * y for x, y in zip(a, v)) / (np.linalg.norm(a) * np.linalg.norm(v)) if any(v) else 0.0) for i, v in items.items()}
     qs = spark.createDataFrame([(7, a)], "resume_id long, vector array<double>")
     ts = spark.createDataFrame(list(items.items()), "job_id long, vector array<double>")
-    for rows in (recall.top_n(qs, ts, 9), recall.top_n(qs, ts, 9, block=1), recall.indexed_top_n(qs, ts, 9, probes=1.0, block=2)):
+    for rows in (recall.top_n(qs, ts, 9), recall.top_n(qs, ts, 9, block=1), recall.pruned_top_n(qs, ts, 9, block=2)):
         assert {r["job_id"]: r["score"] for r in rows.collect()} == pytest.approx(want, abs=1e-6)
     pairs = qs.crossJoin(ts.withColumnRenamed("vector", "other"))
     assert {r["job_id"]: r["c"] for r in pairs.select("job_id", recall.cosine(F.col("vector"), F.col("other")).alias("c")).collect()} == pytest.approx(want, abs=1e-6)
 
 
-def test_index_finds_nine_of_ten(spark):
+def vectors(spark, q, t):
+    side = lambda x, name: spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], f"{name} long, vector array<double>")
+    return side(q, "resume_id"), side(t, "job_id")
+
+
+ranked = lambda rows: sorted((r["resume_id"], r["recall_rank"], r["job_id"], r["score"]) for r in rows.collect())
+
+
+@pytest.mark.parametrize("partitions", ["8", "200"])
+def test_recall_is_whole_without_coalescing(spark, partitions):
+    """10,000 items and 500 queries in many blocks: no row may depend on where shuffles put a block."""
+    import numpy as np
+
+    rng = np.random.default_rng(6)
+    q, t = rng.normal(size=(500, 16)), rng.normal(size=(10_000, 16))
+    qs, ts = vectors(spark, q, t)
+    score = np.round((q / np.linalg.norm(q, axis=1)[:, None]) @ (t / np.linalg.norm(t, axis=1)[:, None]).T, 6)
+    want = sorted((i, r + 1, int(j)) for i in range(500) for r, j in enumerate(np.argsort(-score[i], kind="stable")[:15]))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    try:
+        for rows in (recall.top_n(qs, ts, 15, block=1000), recall.pruned_top_n(qs, ts, 15, block=1000)):
+            assert [r[:3] for r in ranked(rows)] == want
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_pruned_recall_reads_few_pairs_of_grouped_vectors(spark):
     import numpy as np
 
     rng = np.random.default_rng(5)
-    q, t = rng.normal(size=(60, 16)), rng.normal(size=(900, 16))
-    qs = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(q)], "resume_id long, vector array<double>")
-    ts = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(t)], "job_id long, vector array<double>")
-    keys = lambda df: {(r["resume_id"], r["job_id"]) for r in df.collect()}
-    exact, found = keys(recall.top_n(qs, ts, 15)), keys(recall.indexed_top_n(qs, ts, 15, block=64))
-    assert len(exact & found) >= 0.9 * len(exact)
-    assert keys(recall.indexed_top_n(qs, ts, 15, probes=1.0, block=64)) == exact
-    assert recall.indexed_top_n(qs.limit(0), ts, 6).collect() == [] == recall.indexed_top_n(qs, ts.limit(0), 6).collect()
+    centres = rng.normal(size=(40, 16)) * 3
+    q, t = centres[rng.integers(0, 40, 80)] + 0.3 * rng.normal(size=(80, 16)), centres[rng.integers(0, 40, 4000)] + 0.3 * rng.normal(size=(4000, 16))
+    t[:50] = t[0]  # ties, over cells' parts
+    t[50] = 0
+    qs, ts = vectors(spark, q, t)
+    report = {}
+    found = recall.pruned_top_n(qs, ts, 15, block=64, report=report)
+    assert ranked(found) == ranked(recall.top_n(qs, ts, 15))
+    assert report["all"] == 80 * 4000 and report["pairs"] < 0.3 * report["all"], report
+    index = recall.cells_of(ts)
+    assert index.sizes.sum() == 4000 and index.sizes[-1] == 1
+    assert ranked(recall.pruned_top_n(qs, index, 15)) == ranked(found)
+
+
+def test_pruned_recall_of_odd_vectors(spark):
+    """Zero and null vectors, fewer items than asked for, other lengths, empty sides."""
+    qs = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 0.0]), (3, None), (4, [-1.0, -1.0, 5.0])], "resume_id long, vector array<double>")
+    ts = spark.createDataFrame([(1, [1.0, 1.0]), (2, None), (3, [-1.0]), (4, []), (5, [0.0, 0.0, 1.0])], "job_id long, vector array<double>")
+    for n in (1, 3, 9):
+        assert ranked(recall.pruned_top_n(qs, ts, n, block=1)) == ranked(recall.top_n(qs, ts, n))
+    assert recall.pruned_top_n(qs.limit(0), ts, 6).collect() == [] == recall.pruned_top_n(qs, ts.limit(0), 6).collect()
 
 
 def test_domain_vectors_count(spark, tables, scored):
