@@ -14,7 +14,10 @@ article that aren't its text (adverts, comments, forms), as such labels can't te
 
 A name that is surely outside rules an element out, but a class is also used for layout and topics. So words
 such as those in ``overflow-hidden`` or ``category-legal`` don't count, nor does any class of html, body and main; and
-on the elements that hold the page's own main text a class or id rules out nothing (``text_holders``).
+on the elements that hold the page's own main text a class or id rules out nothing (``text_holders``). Within surely main
+text single words of classes decide nothing at all: there a class rules an element out only if it is made up of names for
+what isn't text (``class_mark``), and never words in a line, a paragraph, a heading, a list item or a listing, but for
+adverts and the like. A header there that holds a heading, as articles have it, is text; other headers are not.
 
 Elements are nodes with their parent's number; what a word scores is carried down from parent to child, and tags are found
 by position, so time is linear in the page however deep it is and whatever its quotes.
@@ -27,7 +30,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -43,6 +46,13 @@ OUTSIDE_WORDS = (
     "nav", "header", "footer", "aside", "menu", "ad", "ads", "adv", "advert", "adverts", "advertisement", "advertising", "sponsored", "sponsor", "promo", "promotion", "banner", "sidebar", "side", "navbar", "navigation", "navi", "menus", "topbar", "masthead", "breadcrumb", "breadcrumbs", "pagination", "pager",
     "cookie", "cookies", "consent", "gdpr", "notice", "notices", "popup", "modal", "overlay", "disclaimer", "copyright", "comment", "comments", "reply", "replies", "respond", "disqus", "related", "recommended", "recommendations", "share", "sharing", "social", "subscribe", "subscription", "newsletter", "signup", "login", "widget", "toolbar", "hidden", "[hidden]", "contentinfo", "complementary",
 )
+#: Of these, what is an advert or an offer wherever it stands, and what as often tells layout.
+ADVERTS = frozenset("ad ads adv advert adverts advertisement advertising sponsored sponsor promo promotion cookie cookies consent gdpr newsletter subscribe subscription signup login breadcrumb breadcrumbs pagination pager disqus".split())
+LAYOUT = frozenset("header footer side menu menus hidden overlay copyright masthead topbar".split())
+#: Words beside them in a class that is a name for such a part.
+PARTS = frozenset("box list wrap wrapper container block section area item items bar unit slot link links button buttons form message inner outer left right top bottom center group grid row col column panel card cards post posts article articles story stories content text body title heading icons icon js wp sticky fixed mobile desktop new".split())
+#: Elements of running text: their classes name how they look.
+RUNNING = frozenset("p h1 h2 h3 h4 h5 h6 pre code li dd dt td th tr table tbody blockquote figure figcaption span a b i em strong small sub sup u s mark abbr cite q kbd samp var time data ins del dfn font tt label picture video audio address".split())
 SOFT = ("legal", "search", "skip", "tags", "alert", "discussion", "label", "form", "title", "button")
 KNOWN = 3000.0
 SOFT_KNOWN = 60.0
@@ -66,6 +76,9 @@ _INLINE = frozenset("p b i em strong span a li td".split())
 #: Where that many names are nested, counting begins anew within, lest a page of ever new names takes the square of its size.
 MOST_NAMES = 1000
 
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+_PHRASES = RUNNING - frozenset("p li dd dt td th tr table tbody figure figcaption blockquote".split())
+
 _TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)")
 _STOP = re.compile(r"[>\"']")
 _NAMES = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
@@ -94,6 +107,24 @@ def element_names(tag: str, attributes: str) -> tuple[str, ...]:
     return tuple(sorted(names))
 
 
+_OUT_WORDS = frozenset(OUTSIDE_WORDS)
+
+
+def class_mark(attributes: str) -> str:
+    """What classes, id and role name as a whole: 'advert', 'part' (comments, shares, ...), 'layout' or ''.
+
+    ``share-buttons`` is a name of a part, ``share-price`` and ``side-by-side`` are not, as "price" and "by" belong to no such name.
+    """
+    marks = set()
+    for _, a, b, c in _NAMES.findall(attributes):
+        for part in (a or b or c).lower().split():
+            words = [w for w in _SPLIT.split(part) if w]
+            named = [w for w in words if w in _OUT_WORDS]
+            if named and all(w in _OUT_WORDS or w in PARTS or w.isdigit() for w in words):
+                marks.add("advert" if not ADVERTS.isdisjoint(named) else "layout" if LAYOUT.issuperset(named) else "part")
+    return min(marks, default="", key=("advert", "part", "layout").index)
+
+
 def tags(page: str) -> Iterator[tuple[int, int, str, str, str]]:
     """(begin, end, '/' or '', name or '', attributes) of every tag, comment and the like (without a name), in page order.
 
@@ -153,6 +184,7 @@ class Page:
         self.parent: list[int] = []
         self.tag: list[str] = []
         self.names: list[tuple[str, ...]] = []
+        self.marks: list[str] = []
         self.events: list[tuple[str | None, str | None, int]] = []
         stack: list[int] = []
         open_at: dict[str, list[int]] = {}  # places in the stack by tag
@@ -194,6 +226,7 @@ class Page:
                 self.parent.append(top())
                 self.tag.append(tag)
                 self.names.append(element_names(tag, attributes))
+                self.marks.append(class_mark(attributes) if attributes else "")
                 open_at.setdefault(tag, []).append(len(stack))
                 if tag in _SECTIONS:
                     sections.append(len(stack))
@@ -202,6 +235,41 @@ class Page:
         if at < len(page):
             self.events.append((None, page[at:], top()))
 
+    @cached_property
+    def within(self) -> tuple[list[int], list[int], list[bool]]:
+        """Of each element: words in it, words in links in it, whether a heading is in it."""
+        n = len(self.tag)
+        words, linked, heading = [0] * n, [0] * n, [t in _HEADINGS for t in self.tag]
+        in_link = [False] * n
+        for i in range(n):
+            in_link[i] = self.tag[i] == "a" or (self.parent[i] >= 0 and in_link[self.parent[i]])
+        for _, text, i in self.events:
+            if text is not None and i >= 0:
+                many = len(text.split())
+                words[i] += many
+                linked[i] += many if in_link[i] else 0
+        for i in range(n - 1, -1, -1):
+            if (up := self.parent[i]) >= 0:
+                words[up] += words[i]
+                linked[up] += linked[i]
+                heading[up] = heading[up] or heading[i]
+        return words, linked, heading
+
+    def mostly_links(self, i: int) -> bool:
+        words, linked, _ = self.within
+        return 2 * linked[i] >= max(1, words[i])
+
+    def ruled_out_within(self, i: int, weights: dict[str, float], names: tuple[str, ...], mark: str) -> bool:
+        """Whether an element within surely main text isn't part of it."""
+        tag = self.tag[i]
+        if tag == "header" and "[hidden]" not in names and self.within[2][i]:
+            return self.mostly_links(i)
+        if min(weights.get(tag, 0.0), weights.get("[hidden]", 0.0) if "[hidden]" in names else 0.0) <= -3 and tag not in RUNNING or "[hidden]" in names:
+            return True
+        if mark == "advert":
+            return tag not in _PHRASES
+        return tag not in RUNNING and (mark == "part" or (mark == "layout" and self.mostly_links(i)))
+
     def path(self, i: int) -> list[int]:
         out = []
         while i >= 0:
@@ -305,6 +373,8 @@ class Scores:
                 memo[key] = (sum(max(-2.0, min(2.0, o)) for o in odds), len(odds), page.tag[i] in _CONTAINERS and max(odds, default=0.0) >= 3 and least > -3, least <= -3)
             t, c, sure, out = memo[key]
             up = page.parent[i]
+            if up >= 0 and self.sure[up]:
+                out = page.ruled_out_within(i, weights, mine, "" if names and i in names else page.marks[i])
             if up >= 0:
                 t, c = t + total[up], c + count[up]
                 sure, out = self.sure[up] or (sure and not self.out[up]), out or self.out[up]
@@ -448,6 +518,7 @@ def main_text(pages: DataFrame, id_col: str = "page_id", html_col: str = "html",
     """pages with two more columns, ``text`` and ``n_chars`` (code points), one row for each row.
 
     Columns of these names are replaced. A null or empty page, or one without main text, has the text ''.
+    The page's headers aren't text; a header within the article is if it holds a heading and is not mostly links.
     Weights are learned from the pages themselves unless given; without labelled pages the known names rule.
     """
     learned = learn_weights(pages, html_col) if weights is None else weights

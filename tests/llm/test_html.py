@@ -4,6 +4,7 @@ import time
 import pytest
 from pyspark.sql import types as T
 
+from rolecast.llm import html as H
 from rolecast.llm.html import best_run, extract, label_counts, learn_weights, main_text, tags, weights_of
 
 SCHEMA = T.StructType([T.StructField(c, T.StringType()) for c in ("url", "html", "text")]).add("page_id", T.LongType())
@@ -142,3 +143,41 @@ def test_hostile_pages_take_linear_time():
         extract(page, w)
         label_counts("<article>" + page)
         assert time.time() - began < 20, page[:20]
+
+
+ARTICLE = "<html><body><nav><a href=x>Home</a></nav><article><h1>Title of it</h1><p>First words of the article as they stand here.</p>{}<p>Last words of the article as they stand here.</p></article><footer>All rights</footer></body></html>"
+INSIDE = [
+    ('<pre><span class="hljs-comment"># note</span> x = 1</pre>', "# note x = 1"),
+    ('<p class="share-price">The price rose by two</p>', "The price rose by two"),
+    ('<h2 class="section-header">Second part</h2>', "Second part"),
+    ('<div class="side-by-side"><p>Left words</p></div>', "Left words"),
+    ('<p class="menu-item">Soup of the day</p>', "Soup of the day"),
+    ('<blockquote class="comment">She said so</blockquote>', "She said so"),
+    ('<p class="notice">Mind the step</p>', "Mind the step"),
+    ('<ul><li class="share">A share of it</li></ul>', "A share of it"),
+    ('<div class="header-text">How it began</div>', "How it began"),
+    ('<p>with <span class="hidden">plain</span> words</p>', "with plain words"),
+    ("<header><h2>Own head</h2><p>by someone</p></header>", "Own head\nby someone"),
+]
+OUTSIDE = [
+    '<div class="comments"><p>Nice read</p></div>', '<section id="comments-list"><ol><li class="comment">First!</li></ol></section>', '<div class="share-buttons"><a href=x>Tell</a></div>', '<div class="ad-slot-3">Buy now</div>',
+    '<p class="advert">Buy now</p>', '<aside class="x">By the way</aside>', '<div class="related-posts"><a href=x>More</a></div>', '<div class="newsletter-signup">Your address</div>', '<form><p>Name</p></form>', "<div hidden>unseen</div>",
+    '<div class="menu"><a href=x>One</a> <a href=y>Two</a></div>', "<header><a href=x>Home</a> <a href=y>News</a></header>", '<div class="cookie-notice">We use them</div>', '<p style="display:none">unseen</p>', "<nav><a href=x>On</a></nav>",
+]
+
+
+@pytest.mark.parametrize(("part", "text"), INSIDE)
+def test_class_words_within_an_article_decide_nothing_alone(part, text):
+    weights = H.weights_of({})
+    assert H.extract(ARTICLE.format(part), weights) == f"Title of it\nFirst words of the article as they stand here.\n{text}\nLast words of the article as they stand here."
+
+
+@pytest.mark.parametrize("part", OUTSIDE)
+def test_parts_within_an_article_that_are_no_text(part):
+    weights = H.weights_of({})
+    assert H.extract(ARTICLE.format(part), weights) == "Title of it\nFirst words of the article as they stand here.\nLast words of the article as they stand here."
+
+
+def test_class_marks():
+    marks = {'class="share-price"': "", 'class="share-buttons"': "part", 'class="x side"': "layout", 'id=ad-3': "advert", 'class="side-by-side"': "", "role=contentinfo": "part", 'href="ad"': ""}
+    assert {a: H.class_mark(a) for a in marks} == marks
