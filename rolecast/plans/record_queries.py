@@ -11,7 +11,8 @@ from ..functions import facets, parsing, text
 from ..functions.skills import expand_skill, infer_skills
 from ..operators import evaluate, maintain, nested, normalize, ranking, tags
 from ..operators import skills as K
-from ..sources import records
+from ..sources import dumps, records
+from ..storage import new_folder
 from .bindings import bind, read, with_ctes
 
 QUERIES: dict = {}
@@ -264,3 +265,22 @@ def person_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
     payload = F.to_json(F.struct(F.struct(F.lit("Java后端开发").alias("current_title")).alias("basic_info"), F.when(c("resume_id") % 2 == 0, F.struct(F.array(F.lit("stored_role")).alias("role_categories"))).alias("filter_facets")))
     rows = records.from_payload(bind(spark, sf_dir, "fx_people").select("resume_id", payload.alias("payload")), schemas.RESUME)
     return rows.select("resume_id", F.coalesce(F.try_element_at(text.first_list(c("filter_facets.role_categories"), facets.role_categories(c("basic_info.current_title"), c("basic_info.summary"))), F.lit(1))).alias("role"))
+
+
+#: Notes with all that a dump escapes, and a row that looks like a header; the octal and hex escapes are put in by hand on the way.
+_NOTE = "CASE c_custkey % 8 WHEN 0 THEN concat('C:{b}new{b}tab ', c_name) WHEN 1 THEN concat('two', {chr}(10), 'lines', {chr}(9), c_name) WHEN 2 THEN NULL WHEN 3 THEN '' WHEN 4 THEN 'COPY part (p) FROM stdin;' WHEN 5 THEN concat({chr}(13), {chr}(8), {chr}(12), {chr}(11)) WHEN 6 THEN '{b}.' ELSE concat('简历 ', c_mktsegment) END"
+
+
+@query("dump_tables", f"""SELECT 'people' AS "table", c_custkey AS id, {_NOTE.format(b=chr(92), chr='chr')} AS note, CAST(c_acctbal AS DOUBLE) AS amount FROM customer
+ UNION ALL SELECT 'items', p_partkey, concat('A', p_name, chr(92)), NULL FROM part""")
+def dump_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two tables written as dumps, and both read back by their headers; escapes by number are written for the second."""
+    path = new_folder(spark, "dump")
+    people = spark.sql(f"SELECT c_custkey AS id, {_NOTE.format(b=chr(92) * 2, chr='char')} AS note, c_acctbal AS amount FROM {{t}}", t=read(spark, sf_dir, "customer"))
+    items = read(spark, sf_dir, "part").select(F.col("p_name").alias("note"), F.col("p_partkey").alias("id"))
+    dumps.write_dump({"people": people, "items": items}, path)
+    numbered = spark.read.text(f"{path}/items").select(F.when(F.col("value").rlike("^(COPY|.\\.$|$)"), F.col("value")).otherwise(F.concat(F.lit("\\101"), F.regexp_replace("value", "\t", "\\\\x5C\t"))))
+    numbered.write.text(f"{path}/numbered")
+    found = dumps.read_dump_table(spark, f"{path}/people", "people", {"id": "bigint", "note": "string", "amount": "double"}).select(F.lit("people").alias("table"), "id", "note", "amount")
+    other = dumps.read_dump_table(spark, f"{path}/numbered", "items", {"id": "bigint", "note": "string", "amount": "double"}).select(F.lit("items").alias("table"), "id", "note", "amount")
+    return found.unionByName(other)

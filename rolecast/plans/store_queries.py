@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from ..functions import scores as S
 from ..functions import text
 from ..operators import evaluate, maintain, ranking, recall, tags
+from ..operators.snapshots import SnapshotTable
 from ..sources import records
+from ..storage import new_folder
 from .bindings import bind, read, with_ctes
 
 QUERIES: dict = {}
@@ -260,3 +262,18 @@ def domain_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     jobs, people = domain_sides(spark, sf_dir)
     rows = bind(spark, sf_dir, "fx_pairs").join(people, "resume_id").join(jobs, "job_id").withColumn("overlap", S.domain_overlap(c("job_terms"), c("terms"), c("txt")))
     return rows.select("resume_id", "job_id", text.r4(c("overlap"), 6).alias("overlap"), text.r4(S.domain_score(c("overlap"), c("vector")), 6).alias("domain"))
+
+
+@query(
+    "snapshot_batches",
+    """SELECT id, value, updated_at FROM (SELECT o_custkey AS id, o_totalprice AS value, o_orderdate AS updated_at, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey % 4 DESC, o_orderkey) AS place FROM orders) WHERE place = 1""",
+)
+def snapshot_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as four batches, of which older rows come late and the second comes again; a compaction lies between."""
+    orders = read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("id"), F.col("o_totalprice").alias("value"), F.col("o_orderdate").alias("updated_at"), "o_orderkey")
+    table = SnapshotTable(spark, new_folder(spark, "orders"), ["id"], buckets=8)
+    for batch in (0, 1, 1, 2, 3):
+        table.commit(orders.filter(F.col("o_orderkey") % 4 == batch), batch, tie=["o_orderkey"])
+        if batch == 2:
+            table.compact(buckets=4)
+    return table.read().select("id", "value", "updated_at")

@@ -58,21 +58,6 @@ def map_boards(raw: DataFrame) -> DataFrame:
     )
 
 
-def read_jobs_dump(spark: SparkSession, path: str, least: int = 20, types=("全职", "实习", "校招", "兼职", "fulltime", "intern")) -> DataFrame:
-    r"""Rows of a tab-separated dump of one table: lines of ``least`` fields or more with a job type among them.
-
-    \N is null, backslash escapes are undone; fields after the job type are counted from the right, as the number of
-    columns before it varies: (…, title, company, location, job_type, …, url, posted_at).
-    """
-    line = spark.read.text(path).filter(~F.col("value").startswith("COPY ") & (F.col("value") != r"\."))
-    clean = lambda x: F.when(x != r"\N", F.replace(F.replace(F.replace(x, F.lit(r"\n"), F.lit("\n")), F.lit(r"\t"), F.lit("\t")), F.lit("\\\\"), F.lit("\\")))
-    cells = line.select(F.transform(F.split("value", "\t", -1), clean).alias("f")).filter(F.size("f") >= least)
-    at = F.array_max(F.transform(F.array(*[F.lit(t) for t in types]), lambda t: F.array_position("f", t)))
-    rows = cells.withColumn("at", at).filter("at > 3")
-    get = lambda n: F.try_element_at("f", (F.col("at") + n).cast("int"))
-    return rows.select(F.element_at("f", 1).alias("id"), get(-3).alias("title"), get(-2).alias("company"), get(-1).alias("location"), get(0).alias("job_type"), get(1).alias("description"), F.try_element_at("f", F.lit(-2)).alias("url"), F.try_element_at("f", F.lit(-1)).alias("posted_at"))
-
-
 def scan_resume_files(spark: SparkSession, path: str, suffixes=("pdf", "docx", "doc", "txt", "md"), skip=("readme", "template", "sample")) -> DataFrame:
     """(path, name, size, content) of files with a known suffix and no skipped word in the name.
 

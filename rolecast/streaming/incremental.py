@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.parsing import posted
-from ..operators.maintain import first_by, latest
+from ..operators.snapshots import SnapshotTable
 
 
 def stream_of_files(spark: SparkSession, path: str, schema: str, kind: str = "json") -> DataFrame:
@@ -26,55 +26,14 @@ def without_repeats(rows: DataFrame, content: str, ts: str, delay: str = "1 day"
     return rows.withColumn("content_sha1", F.sha1(F.col(content))).withWatermark(ts, delay).dropDuplicatesWithinWatermark(["content_sha1"])
 
 
-def stream_upserts(rows: DataFrame, target: str, checkpoint: str, keys: list[str], ts: str = "updated_at", prepare: Callable[[DataFrame], DataFrame] | None = None, once: bool = True) -> StreamingQuery:
-    """Each micro-batch, prepared, into the table at ``target``: its newest row of a key replaces the one before.
+def stream_upserts(rows: DataFrame, table: SnapshotTable, checkpoint: str, prepare: Callable[[DataFrame], DataFrame] | None = None, once: bool = True) -> StreamingQuery:
+    """Each micro-batch, prepared, into the table: of each key the newest row by the table's time stamp stays, in whatever order they come.
 
-    Only the batch's own rows are written, as a part of the table with the batch's number; a batch that runs again writes the same part,
-    so a lost executor or a restart changes nothing. ``current`` reads the table, ``compact`` makes one part of many.
+    A batch that runs again after a failure has its number in the table's manifest already and changes nothing.
     """
 
     def load(batch: DataFrame, number: int) -> None:
-        updates = prepare(batch) if prepare else batch
-        latest(updates, keys, ts).write.mode("overwrite").parquet(f"{target}/batch={number:012d}")
+        table.commit(prepare(batch) if prepare else batch, batch=number)
 
     writer = rows.writeStream.foreachBatch(load).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()
-
-
-def _files(spark: SparkSession, target: str):
-    """(the table's file system, its path class)"""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    return path(target).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
-
-
-def parts(spark: SparkSession, target: str) -> list[str]:
-    """The finished parts that make up the table: the newest base, if there is one, and the batches after it, in order."""
-    fs, path = _files(spark, target)
-    if not fs.exists(path(target)):
-        return []
-    names = [s.getPath().getName() for s in fs.listStatus(path(target))]
-    done = [n for n in names if n.startswith(("batch=", "base=")) and fs.exists(path(f"{target}/{n}/_SUCCESS"))]
-    number = lambda n: int(n.split("=")[1])
-    base = max((n for n in done if n.startswith("base=")), default=None)
-    return [*([base] if base else []), *sorted(n for n in done if n.startswith("batch=") and (base is None or number(n) > number(base)))]
-
-
-def current(spark: SparkSession, target: str, keys: list[str]) -> DataFrame | None:
-    """The table as it is: of each key the row of the last part that has it. None if there is no part yet."""
-    out = None
-    for i, name in enumerate(parts(spark, target)):
-        one = spark.read.parquet(f"{target}/{name}").withColumn("__part", F.lit(i))
-        out = one if out is None else out.unionByName(one, allowMissingColumns=True)
-    return out and first_by(out, keys, [("__part", "desc")]).drop("__part")
-
-
-def compact(spark: SparkSession, target: str, keys: list[str]) -> None:
-    """One base instead of all parts so far; what it replaces is removed once it is whole. Not while a stream writes or others read."""
-    old = parts(spark, target)
-    if len(old) < 2:
-        return
-    base = f"base={old[-1].split('=')[1]}"
-    current(spark, target, keys).write.mode("overwrite").parquet(f"{target}/{base}")
-    fs, path = _files(spark, target)
-    for name in old:
-        fs.delete(path(f"{target}/{name}"), True)

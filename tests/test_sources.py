@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from rolecast import schemas
 from rolecast.operators import maintain, normalize, recall
 from rolecast.sources import records
+from rolecast.operators.snapshots import SnapshotTable
+from rolecast.sources import dumps
 from rolecast.streaming import incremental as S
 
 DAY = datetime.date(2026, 1, 31)
@@ -65,11 +67,47 @@ def test_import_counts(spark):
     assert sorted(r["id"] for r in maintain.import_jobs(store, jobs, replace=True)[0].collect()) == ["b", "c"]
 
 
-def test_dump(spark, tmp_path):
-    cells = ["11"] + ["x"] * 12 + ["Java开发", "Acme", "上海", "全职", r"line one\nline two", "y", "http://x.org/1", r"\N"]
-    (tmp_path / "dump.txt").write_text("COPY public.jobs (id) FROM stdin;\n" + "\t".join(cells) + "\nshort\tline\n\\.\n")
-    row = records.read_jobs_dump(spark, str(tmp_path / "dump.txt")).collect()
-    assert len(row) == 1 and (row[0]["title"], row[0]["location"], row[0]["description"], row[0]["posted_at"]) == ("Java开发", "上海", "line one\nline two", None)
+def test_unescape(spark):
+    cases = {r"C:\\new\\tab \101\r": "C:\\new\\tab A\r", r"a\nb\tc\bd\fe\vf": "a\nb\tc\bd\fe\vf", "\\x41\\x4g": "A\x04g", r"\q\.": "q.", "end\\": "end\\", r"\\101": r"\101", r"\1018\60": "A80", "简\\\\历": "简\\历", "": "", "\\\\\\n": "\\\n"}
+    df = spark.createDataFrame(list(cases.items()), "a string, b string")
+    assert df.select(dumps.unescape(F.col("a")).alias("x"), "b").filter("not x <=> b").collect() == []
+    back = df.select(dumps.field(dumps.escape(F.col("b"))).alias("x"), "b").filter("not x <=> b")
+    assert back.collect() == [] and spark.range(1).select(dumps.escape(F.lit(None).cast("string")).alias("x")).first()["x"] == r"\N"
+
+
+def test_dump_of_many_tables(spark, tmp_path):
+    """Blocks are known by their places: rows that look like headers, text between blocks, an unclosed last block, columns by header; in tiny splits too."""
+    rows = [f"{i}\tname {i}\t{i / 2}" for i in range(400)]
+    text = ["-- dump", "7\tnot a row\t1", "COPY public.a (id, name, amount) FROM stdin;", *rows[:150], "COPY public.b (id, name) FROM stdin;", "", *rows[150:], "\\.", "8\tneither\t1", "\\.", 'COPY public.b (amount, "id") FROM stdin;', *[f"{i}.5\t{i}" for i in range(300)], "\\.", "COPY public.c (id) FROM stdin;", "1", "\\N"]
+    (tmp_path / "one.sql").write_text("\n".join(text))
+    (tmp_path / "two.sql").write_text("COPY public.a (name, id) FROM stdin;\nzzz\t9999\n\\.\n")
+    kind = {"id": "int", "name": "string", "amount": "double"}
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    for size in (before, "700"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        read = lambda t: sorted(map(tuple, dumps.read_dump_table(spark, str(tmp_path), t, kind).collect()), key=str)
+        try:
+            assert read("public.a") == sorted([*((i, f"name {i}", i / 2) for i in range(400)), (None, None, None), (9999, "zzz", None)], key=str)  # the header among the rows is one of them
+            assert read("public.b") == sorted(((i, None, i + 0.5) for i in range(300)), key=str)
+            assert read("public.c") == [(1, None, None), (None, None, None)]
+            assert dumps.read_dump(spark, str(tmp_path), broadcast_blocks=0).count() == 704
+        finally:
+            spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_jobs_of_a_dump(spark, tmp_path):
+    tail = ["[1]", "[2]", "[3]"]
+    a = ["11", "j11", "org", "Java开发", r"line one\nline two", "more", "Acme", "上海", "全职", "f", "10000", "20000", "12", "14", r"\N", r"\N", "CNY", "Sum", '["do this"]', '["good"]', *tail, "3.5", "本科", "2026-01-02 03:04:05.1+08", "2026-01-03 00:00:00+08", "board", "t"]
+    b = ["12", r"\N", "org", "Go", "Beta", "北京", "intern", "t", r"\N", r"\N", r"\N", r"\N", "200", "day", r"\N", r"\N", *tail, "0", "硕士2026-01-02 03:04:05+08", r"\N", "x", "f"]
+    short, typeless = ["short", "line"], ["13", *["x"] * 25]
+    (tmp_path / "dump.sql").write_text("COPY talent.jobs (id) FROM stdin;\n" + "\n".join("\t".join(r) for r in (a, b, short, typeless)) + "\n\\.\nCOPY other (id) FROM stdin;\n" + "\t".join(a) + "\n\\.\n")
+    got = {r["id"]: r for r in dumps.read_jobs_dump(spark, str(tmp_path), "talent.jobs").collect()}
+    assert sorted(got) == ["11", "12"]
+    x, y = got["11"], got["12"]
+    assert (x["title"], x["description"], x["company"], x["location"], x["job_type"]) == ("Java开发", "line one\nline two\n\nmore", "Acme", "上海", "全职")
+    assert (x["salary_min"], x["salary_months_max"], x["responsibilities"], x["highlights"], x["experience_years"], x["min_degree"], x["created_at"], x["jd_quality_passed"]) == (10000, 14, ["do this"], ["good"], 3.5, "bachelor", "2026-01-02 03:04:05.1+08", True)
+    assert x["summary"] == "Sum\n\nline one\nline two\n\nmore"
+    assert (y["title"], y["company"], y["location"], y["job_type"], y["intern_salary_amount"], y["salary_negotiable"], y["min_degree"], y["created_at"], y["job_id"]) == ("Go", "Beta", "北京", "intern", 200, True, "master", "2026-01-02 03:04:05+08", None)
 
 
 def test_resume_files(spark, tmp_path):
@@ -163,24 +201,58 @@ def test_seed_only_when_empty(spark):
     assert maintain.seed_if_empty(seeds.limit(0), seeds).count() == 20 and maintain.seed_if_empty(spark.range(1), seeds).count() == 1
 
 
+def stored(table):
+    return sorted((r["id"], r["v"]) for r in table.read().collect())
+
+
 def test_stream_of_upserts(spark, tmp_path):
     src, target, marks = (str(tmp_path / n) for n in ("in", "table", "marks"))
     schema = "id string, v int, updated_at timestamp, posted_at string"
     rows = lambda *r: spark.createDataFrame(r, "id string, v int, t string, posted_at string").withColumn("updated_at", F.col("t").cast("timestamp")).select("id", "v", "updated_at", "posted_at")
+    table = SnapshotTable(spark, target, ["id"], buckets=4)
 
     def load():
         stream = S.stream_of_files(spark, src, schema, "parquet")
-        S.stream_upserts(stream, target, marks, ["id"], prepare=lambda b: S.fresh(b, F.lit(DAY))).awaitTermination()
-        return sorted((r["id"], r["v"], r["posted_days_ago"]) for r in S.current(spark, target, ["id"]).collect())
+        S.stream_upserts(stream, table, marks, prepare=lambda b: S.fresh(b, F.lit(DAY))).awaitTermination()
+        return sorted((r["id"], r["v"], r["posted_days_ago"]) for r in table.read().collect())
 
     rows(("a", 1, "2026-01-01", "2026-01-30"), ("b", 1, "2026-01-01", None)).coalesce(1).write.parquet(src)
     assert load() == [("a", 1, 1), ("b", 1, None)]
     rows(("a", 2, "2026-01-02", "2026-01-21"), ("a", 3, "2026-01-03", "2026-01-21"), ("c", 1, "2026-01-01", None)).coalesce(1).write.mode("append").parquet(src)
     assert load() == [("a", 3, 10), ("b", 1, None), ("c", 1, None)]
-    assert len(S.parts(spark, target)) == 2
-    S.compact(spark, target, ["id"])
-    assert len(S.parts(spark, target)) == 1
-    assert load() == [("a", 3, 10), ("b", 1, None), ("c", 1, None)]
+    rows(("a", 9, "2025-12-31", None), ("b", 2, "2026-01-01", None)).coalesce(1).write.mode("append").parquet(src)  # the first is late, the second as new as what is there
+    assert load() == [("a", 3, 10), ("b", 2, None), ("c", 1, None)]
+    assert table.versions() == [1, 2, 3]
+
+
+def test_snapshots(spark, tmp_path):
+    rows = lambda *r: spark.createDataFrame(r, "id string, v int, t string").select("id", "v", F.col("t").cast("timestamp").alias("updated_at"))
+    table = SnapshotTable(spark, str(tmp_path / "t"), ["id"], buckets=8)
+    assert table.read() is None and table.versions() == [] and table.compact() is None
+    assert table.commit(rows(*[(f"k{i}", i, "2026-01-01") for i in range(40)]), batch=0) == 1
+    live = table.manifest()["live"]
+    assert table.commit(rows(("k3", 100, "2026-02-01"), ("k4", -1, "2025-01-01"), ("new", 1, "2026-01-01")), batch=1) == 2
+    assert table.commit(rows(("k3", 7, "2027-01-01")), batch=1) is None  # a repeat of batch 1
+    assert table.commit(rows(("x", 1, "2026-01-01")).filter("v > 1")) is None
+    want = sorted([*((f"k{i}", i) for i in range(40) if i != 3), ("k3", 100), ("new", 1)])
+    assert stored(table) == want
+    touched = [b for b, at in table.manifest()["live"].items() if live.get(b) != at]
+    assert 1 <= len(touched) <= 3  # other buckets' files are the same
+
+    held = table.read()  # a reader, while the table is compacted and changed
+    assert table.compact(buckets=3) == 3 and table.manifest()["buckets"] == 3
+    table.commit(rows(("k5", 55, "2026-03-01")).withColumn("more", F.lit("x")))
+    assert sorted((r["id"], r["v"]) for r in held.collect()) == want
+    assert sorted((r["id"], r["v"]) for r in table.read(2).collect()) == want and table.read(1).count() == 40
+    assert {r["id"]: r["more"] for r in table.read().collect() if r["id"] in ("k5", "k6")} == {"k5": "x", "k6": None}
+    now = stored(table)
+    assert table.vacuum(keep=1) >= 2 and table.versions() == [4] and stored(table) == now
+
+    other = SnapshotTable(spark, str(tmp_path / "t"), ["id"])
+    other.manifest = lambda version=None, m=table.manifest(): m | {"version": 3}  # as read before commit 4
+    with pytest.raises(RuntimeError, match="another commit"):
+        other.commit(rows(("k1", 1, "2028-01-01")))
+    assert stored(table) == now
 
 
 def test_stream_drops_repeats(spark, tmp_path):
