@@ -173,60 +173,113 @@ def cells_of(items: DataFrame, item_id: str = "job_id", vector: str = "vector",
     return replace(index, items=dealt.drop("angle"))
 
 
+def _asked(queries: DataFrame, index: Cells, kind: str, choose) -> DataFrame:
+    """queries(id, v, ...) with the cells to read: ``choose`` takes bounds and a batch and tells which."""
+    look = replace(index, items=None)
+
+    def run(batches):
+        for q in batches:
+            bound = look.bounds(q["v"])
+            who, cell = np.nonzero(choose(bound, q, look.sizes) & (look.sizes > 0))
+            yield pd.DataFrame({"id": q["id"].to_numpy()[who], "v": q["v"].to_numpy()[who], "cell": cell})
+
+    return staged(queries.mapInPandas(run, f"id {kind}, v array<double>, cell long"))
+
+
+def _met(asked: DataFrame, index: Cells, find, schema: str, block: int, report: dict | None) -> DataFrame:
+    """``find`` of the queries and items of each cell, in blocks: many items or queries of one cell are split over tasks."""
+    turns = asked.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()  # a row a cell
+    if report is not None:
+        report["pairs"] = report.get("pairs", 0) + int(sum(r["n"] * index.sizes[r["cell"]] for r in turns))
+    split = [(r["cell"], -(-r["n"] // block), int(-(-index.sizes[r["cell"]] // block))) for r in turns]
+    split = F.broadcast(asked.sparkSession.createDataFrame(split, "cell long, turns long, parts long"))
+    each = lambda name: F.explode(F.sequence(F.lit(0).cast("long"), F.col(name) - 1))
+    own = lambda name, salt: F.pmod(F.xxhash64("id", F.lit(salt)), F.col(name))
+    left = asked.join(split, "cell").withColumn("turn", own("turns", 1)).withColumn("part", each("parts")).drop("turns", "parts")
+    right = index.items.join(split, "cell").withColumn("part", own("parts", 2)).withColumn("turn", each("turns")).drop("turns", "parts")
+    keys = ("cell", "part", "turn")
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(find, schema)
+
+
 def pruned_top_n(queries: DataFrame, items: DataFrame | Cells, n: int, query_id: str = "resume_id", item_id: str = "job_id", vector: str = "vector", cells: int | None = None, block: int = 4096, report: dict | None = None) -> DataFrame:
     """The rows of ``top_n``, from as few cells as bounds allow. ``items`` may be an index already made (``cells_of``).
 
     A first round reads, for each query, the most promising cells that have ``n`` items together; the n-th best score there is a floor for the
-    second, which reads the cells whose bound reaches that floor. No other cell can hold a better item or an equal one. A cell of many
-    items, and many queries of one cell, are split over tasks. ``report`` gets the number of pairs computed and of all pairs.
+    second, which reads the cells whose bound reaches that floor. No other cell can hold a better item or an equal one. ``report`` gets
+    the number of pairs computed and of all pairs.
     """
     index = items if isinstance(items, Cells) else cells_of(items, item_id, vector, cells)
-    look, rows = replace(index, items=None), index.items
     kind = queries.schema[query_id].dataType.simpleString()
     plain = queries.select(F.col(query_id).alias("id"), F.col(vector).cast("array<double>").alias("v"))
+    schema = f"`{query_id}` {kind}, `{item_id}` {index.kind}, score double"
 
-    def chosen(first: bool):
-        """A task's queries with the cells to read: the first round's, or those that the floor adds."""
+    def home(bound: np.ndarray, q: pd.DataFrame, sizes: np.ndarray) -> np.ndarray:
+        order = np.argsort(-bound, axis=1, kind="stable")
+        before = np.cumsum(sizes[order], axis=1) - sizes[order]
+        out = np.zeros_like(bound, dtype=bool)
+        np.put_along_axis(out, order, before < n, axis=1)
+        return out
 
-        def run(batches):
-            for q in batches:
-                bound = look.bounds(q["v"])
-                order = np.argsort(-bound, axis=1, kind="stable")
-                before = np.cumsum(look.sizes[order], axis=1) - look.sizes[order]
-                home = np.zeros_like(bound, dtype=bool)
-                np.put_along_axis(home, order, before < n, axis=1)
-                read = home if first else ~home & (bound >= q["floor"].to_numpy()[:, None] - MARGIN)
-                who, cell = np.nonzero(read & (look.sizes > 0))
-                yield pd.DataFrame({"id": q["id"].to_numpy()[who], "v": q["v"].to_numpy()[who], "cell": cell})
-
-        return run
+    def rest(bound: np.ndarray, q: pd.DataFrame, sizes: np.ndarray) -> np.ndarray:
+        return ~home(bound, q, sizes) & (bound >= q["floor"].to_numpy()[:, None] - MARGIN)
 
     def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         return nearest(left, right, n, query_id, item_id)
 
-    def searched(q: DataFrame, first: bool) -> DataFrame:
-        asked = staged(q.mapInPandas(chosen(first), f"id {kind}, v array<double>, cell long"))
-        turns = asked.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()  # a row a cell
-        if report is not None:
-            report["pairs"] = report.get("pairs", 0) + int(sum(r["n"] * look.sizes[r["cell"]] for r in turns))
-        split = [(r["cell"], -(-r["n"] // block), int(-(-look.sizes[r["cell"]] // block))) for r in turns]
-        split = F.broadcast(q.sparkSession.createDataFrame(split, "cell long, turns long, parts long"))
-        each = lambda name: F.explode(F.sequence(F.lit(0).cast("long"), F.col(name) - 1))
-        own = lambda name, salt: F.pmod(F.xxhash64("id", F.lit(salt)), F.col(name))
-        left = asked.join(split, "cell").withColumn("turn", own("turns", 1)).withColumn("part", each("parts")).drop("turns", "parts")
-        right = rows.join(split, "cell").withColumn("part", own("parts", 2)).withColumn("turn", each("turns")).drop("turns", "parts")
-        keys = ("cell", "part", "turn")
-        return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(best, f"`{query_id}` {kind}, `{item_id}` {index.kind}, score double")
-
-    first = staged(searched(plain, True))
+    first = staged(_met(_asked(plain, index, kind, home), index, best, schema, block, report))
     place = F.row_number().over(W.partitionBy(query_id).orderBy(F.desc("score"), item_id))
     floor = first.withColumn("place", place).filter(F.col("place") == n).select(F.col(query_id).alias("id"), F.col("score").alias("floor"))
-    second = searched(plain.join(floor, "id"), False)  # who hasn't n items after the first round has read all cells
+    second = _met(_asked(plain.join(floor, "id"), index, kind, rest), index, best, schema, block, report)  # who hasn't n items yet has read all cells
     if report is not None:
-        report["all"] = queries.count() * int(look.sizes.sum())
+        report["all"] = queries.count() * int(index.sizes.sum())
     return first.unionByName(second).withColumn("recall_rank", place).filter(F.col("recall_rank") <= n)
 
 
+def alike(left: pd.DataFrame, right: pd.DataFrame, least: float, left_id: str, right_id: str) -> pd.DataFrame:
+    """Pairs of left(id, v) and right(id, v) whose cosine is ``least`` or more.
+
+    The first quarter of the coordinates is multiplied for all pairs; what the rest can add is no more than the product of the rests'
+    sizes, so pairs that stay below even with that are never multiplied out.
+    """
+    dim = max((len(v) for x in (left["v"], right["v"]) for v in x if v is not None), default=0)
+    a, b = unit(left["v"], dim), unit(right["v"], dim)
+    head = max(1, dim // 4)
+    rest_a, rest_b = np.linalg.norm(a[:, head:], axis=1), np.linalg.norm(b[:, head:], axis=1)
+    out = []
+    for s in range(0, len(a), 512):
+        part = a[s : s + 512]
+        i, j = np.nonzero(part[:, :head] @ b[:, :head].T + np.outer(rest_a[s : s + 512], rest_b) >= least - MARGIN)
+        for at in range(0, len(i), 100_000):
+            x, y = i[at : at + 100_000], j[at : at + 100_000]
+            score = np.round(np.einsum("ij,ij->i", part[x], b[y]), 6)
+            good = score >= least
+            out.append(pd.DataFrame({left_id: left["id"].to_numpy()[s + x[good]], right_id: right["id"].to_numpy()[y[good]], "score": score[good]}))
+    return pd.concat(out) if out else pd.DataFrame({left_id: left["id"].iloc[:0], right_id: right["id"].iloc[:0], "score": pd.Series([], dtype=float)})
+
+
+def similar_pairs(queries: DataFrame, items: DataFrame | Cells, least: float, query_id: str, item_id: str, vector: str = "vector", cells: int | None = None, block: int = 4096, report: dict | None = None) -> DataFrame:
+    """(query_id, item_id, score) of all pairs whose cosine, to six digits, is ``least`` (above 0) or more: a similarity join.
+
+    Only cells whose bound reaches ``least`` are read, and in them only pairs that may reach it are multiplied out (``alike``). Null, empty
+    and zero vectors are like nothing.
+    """
+    if least <= 0:
+        raise ValueError("a similarity join needs a threshold above 0")
+    index = items if isinstance(items, Cells) else cells_of(items, item_id, vector, cells)
+    kind = queries.schema[query_id].dataType.simpleString()
+    plain = queries.select(F.col(query_id).alias("id"), F.col(vector).cast("array<double>").alias("v"))
+
+    def near(bound: np.ndarray, q: pd.DataFrame, sizes: np.ndarray) -> np.ndarray:
+        return bound >= least - MARGIN
+
+    def find(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        return alike(left, right, least, query_id, item_id)
+
+    if report is not None:
+        report["all"] = queries.count() * int(index.sizes.sum())
+    return _met(_asked(plain, index, kind, near), index, find, f"`{query_id}` {kind}, `{item_id}` {index.kind}, score double", block, report)
+
+
 def candidate_pool(ranked: DataFrame, desired: int, k: int, recall: Column, query_id: str = "resume_id") -> DataFrame:
     """Of (query, recall_rank, passed): the first ``desired`` that pass, and the recall that was needed for them.
 

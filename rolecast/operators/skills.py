@@ -11,7 +11,8 @@ from ..functions import scores as S
 from ..functions.dictionaries import FRONTEND_FRAMEWORKS, FRONTEND_SIGNALS, GIT_PLATFORMS
 from ..functions.skills import expand_skill, extract_skills, normalize_skill
 from ..functions.text import clean_text, dedupe_ci, is_placeholder, strip
-from .recall import cosine
+from ..storage import staged
+from .recall import similar_pairs
 
 
 def expanded(rows: DataFrame) -> DataFrame:
@@ -77,17 +78,18 @@ def topics(keywords, experience_names, tags) -> object:
 def semantic_hits(asked: DataFrame, owned: DataFrame, vectors: DataFrame, cfg: MatchConfig = DEFAULT) -> DataFrame:
     """(resume_id, norm, base, owned_norm): for asked skills a person lacks, the nearest skill that they have.
 
-    Only different pairs of terms are compared, and each once, however many people share them; terms without a vector
-    match nothing. Ties go to the name first in order.
+    Terms are compared once, however many people share them: a similarity join of the terms that someone lacks with the terms that someone has
+    gives the few pairs that are near enough, and only those meet people, rather than all that a person lacks with all that they have. Terms
+    without a vector match nothing. Ties go to the name first in order.
     """
-    lacking = asked.select("resume_id", "norm").distinct().join(owned.select("resume_id", "norm"), ["resume_id", "norm"], "left_anti")
-    meet = lacking.join(owned.select("resume_id", F.col("norm").alias("owned_norm")), "resume_id")
-    pairs = meet.select("norm", "owned_norm").distinct()
+    lacking = staged(asked.select("resume_id", "norm").distinct().join(owned.select("resume_id", "norm"), ["resume_id", "norm"], "left_anti"))
     v = vectors.select("norm", "vector")
-    near = pairs.join(v, "norm").join(v.select(F.col("norm").alias("owned_norm"), F.col("vector").alias("owned_vector")), "owned_norm")
-    near = near.select("norm", "owned_norm", cosine(F.col("vector"), F.col("owned_vector")).alias("sim")).filter(F.col("sim") >= cfg.semantic_min)
+    lacked = lacking.select("norm").distinct().join(v, "norm")
+    had = owned.select("norm").distinct().join(v, "norm").select(F.col("norm").alias("owned_norm"), "vector")
+    near = similar_pairs(lacked, had, cfg.semantic_min, "norm", "owned_norm").withColumnRenamed("score", "sim")
     best = W.partitionBy("resume_id", "norm").orderBy(F.desc("sim"), "owned_norm")
-    found = meet.join(near, ["norm", "owned_norm"]).withColumn("rn", F.row_number().over(best)).filter("rn = 1")
+    known = owned.select("resume_id", F.col("norm").alias("owned_norm")).distinct()
+    found = lacking.join(near, "norm").join(known, ["resume_id", "owned_norm"]).withColumn("rn", F.row_number().over(best)).filter("rn = 1")
     return found.select("resume_id", "norm", S.semantic_score(F.col("sim"), cfg).alias("base"), "owned_norm")
 
 

@@ -231,6 +231,41 @@ def test_pruned_recall_of_odd_vectors(spark):
     assert recall.pruned_top_n(qs.limit(0), ts, 6).collect() == [] == recall.pruned_top_n(qs, ts.limit(0), 6).collect()
 
 
+def test_similarity_join_against_all_pairs(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(7)
+    centres = rng.normal(size=(30, 24)) * 3
+    q, t = (centres[rng.integers(0, 30, n)] + 0.5 * rng.normal(size=(n, 24)) for n in (120, 2000))
+    t[:40] = q[0]
+    t[40] = q[1] = 0
+    qs, ts = vectors(spark, q, t)
+    norm = lambda x: np.divide(x, np.linalg.norm(x, axis=1, keepdims=True), out=np.zeros_like(x), where=np.linalg.norm(x, axis=1, keepdims=True) > 0)
+    score = np.round(norm(q) @ norm(t).T, 6)
+    for least, block in ((0.88, 4096), (0.88, 37), (0.3, 500)):
+        report = {}
+        found = {(r["resume_id"], r["job_id"]): r["score"] for r in recall.similar_pairs(qs, ts, least, "resume_id", "job_id", block=block, report=report).collect()}
+        assert found == pytest.approx({(int(i), int(j)): score[i, j] for i, j in zip(*np.nonzero(score >= least))}, abs=1e-6)
+        assert least < 0.5 or (len(found) > 1000 and report["pairs"] < 0.3 * report["all"]), report
+    assert recall.similar_pairs(qs.limit(0), ts, 0.9, "resume_id", "job_id").collect() == [] == recall.similar_pairs(qs, ts.limit(0), 0.9, "resume_id", "job_id").collect()
+    with pytest.raises(ValueError, match="above 0"):
+        recall.similar_pairs(qs, ts, 0.0, "resume_id", "job_id")
+
+
+def test_similarity_join_multiplies_out_few_pairs(monkeypatch):
+    import numpy as np
+    import pandas as pd
+
+    rng = np.random.default_rng(8)
+    side = lambda n: pd.DataFrame({"id": range(n), "v": list(rng.normal(size=(n, 32)) * np.linspace(4, 0.2, 32))})
+    a, b = side(300), side(400)
+    done, einsum = [], np.einsum
+    monkeypatch.setattr(recall.np, "einsum", lambda how, x, y: done.append(len(x)) or einsum(how, x, y))
+    found = recall.alike(a, b, 0.7, "l", "r")
+    want = np.round(recall.unit(a["v"], 32) @ recall.unit(b["v"], 32).T, 6) >= 0.7
+    assert len(found) == want.sum() > 0 and sum(done) < 0.2 * want.size
+
+
 def test_domain_vectors_count(spark, tables, scored):
     """Where domain terms don't meet, the cosine of the domain vectors decides."""
     one = tables[0].filter("resume_id = 'degree'")
