@@ -10,6 +10,7 @@ from ..functions import facets, parsing
 from ..functions.text import bullet_items, collapse, compact_range, contains_any, dedupe_ci, first_list, none_of, scrub_contacts, section_text, strings, strip
 from . import tags as T
 from .maintain import changed_rows, tag_counts
+from .nested import clean_openings
 
 _ENDS = ("任职要求", "岗位要求", "职位要求", "任职资格", "福利", "职位亮点", "Requirements", "requirements", "Benefits", "benefits")
 #: What opens and what closes the part of a resume that tells of work.
@@ -31,7 +32,7 @@ def normalize_jobs(flat: DataFrame, as_of: Column, model: DataFrame | None = Non
     """Nested openings from the flat ones of ``sources.records.map_boards``.
 
     Required skills are the first three found, bonus ones the next five with weights from 5 down; core experience the first
-    two topics. ``model(id, title, summary, location, skills, min_degree)``, if given, goes before what the rules find.
+    two topics. Lists hold nothing without a name as they come from rules; stored records are cleaned by ``rebuilt_openings``. ``model(id, title, summary, location, skills, min_degree)``, if given, goes before what the rules find.
     """
     c = F.col
     rows = flat
@@ -52,6 +53,10 @@ def normalize_jobs(flat: DataFrame, as_of: Column, model: DataFrame | None = Non
     topics = dedupe_ci(F.concat(F.slice("industry", 1, 2), F.slice("general", 1, 4)))
     when = parsing.posted(as_of, c("posted_at"))
     edu = parsing.education_constraints(F.coalesce(text, F.lit("")))
+    # Columns of their own, as the optimizer doesn't repeat what several fields read: planning takes half the time.
+    made = {"_duty": duty, "_plus": plus, "_roles": roles, "_intern": intern, "_modes": modes, "_cities": cities, "_ai": ai, "_level": level, "_band": band, "_topics": topics, "_when": when, "_edu": edu}
+    rows = rows.withColumns(made)
+    duty, plus, roles, intern, modes, cities, ai, level, band, topics, when, edu = (c(n) for n in made)
     tech = F.transform(F.slice(skills, 1, 8), lambda s: F.struct(s.alias("name"), F.lit("tech").alias("category"), none_of("int").alias("weight"), none_of("string").alias("slug"), F.lit(False).alias("filterable"), none_of("string").alias("facet_key"), none_of("string").alias("facet_value")))
     return rows.select(
         "id", "company",
@@ -193,13 +198,42 @@ def salary_label(low: Column, high: Column, months: Column | None = None) -> Col
     return label if months is None else F.when(months > 12, F.concat(label, F.lit("·"), months.cast("string"), F.lit("薪"))).otherwise(label)
 
 
+def tag_changes(stored: DataFrame, now: DataFrame) -> DataFrame:
+    """Openings of ``now`` whose tags, roles or text aren't those of the stored ones, with the names of what differs in ``changed``."""
+    watched = lambda df: df.select("*", F.transform("tags", lambda t: F.concat_ws(":", t["category"], t["name"])).alias("tag_names"), F.col("filter_facets.role_categories").alias("role_names"), F.col("basic_info.summary").alias("payload"))
+    return changed_rows(watched(stored), watched(now), "id", ["tag_names", "role_names", "payload"]).drop("tag_names", "role_names", "payload")
+
+
 def retag(stored: DataFrame, flat: DataFrame, as_of: Column) -> tuple[DataFrame, DataFrame]:
     """(openings whose tags, roles or text a new normalisation changes, tag counts by category before and after).
 
-    The first carries ``changed``, the names of what differs; writing it, and refreshing its vectors, is up to the caller.
+    All of ``flat`` is normalised; ``retagging.refresh_tags`` does so for stale records only. Writing the first, and refreshing its
+    vectors, is up to the caller.
     """
     now = normalize_jobs(flat, as_of)
-    watched = lambda df: df.select("*", F.transform("tags", lambda t: F.concat_ws(":", t["category"], t["name"])).alias("tag_names"), F.col("filter_facets.role_categories").alias("role_names"), F.col("basic_info.summary").alias("payload"))
-    changed = changed_rows(watched(stored), watched(now), "id", ["tag_names", "role_names", "payload"])
     long = lambda df: df.select(F.explode("tags").alias("t")).select("t.category")
-    return changed.drop("tag_names", "role_names", "payload"), tag_counts(long(stored), long(now))
+    return tag_changes(stored, now), tag_counts(long(stored), long(now))
+
+
+def rebuilt_openings(jobs: DataFrame, as_of: Column) -> DataFrame:
+    """Stored openings (schema ``schemas.JOB``) as they are used: defaults and drops of ``clean_openings``, standard tags made anew, facets where there are none.
+
+    A tag that is no standard one stays. A record without facets, or with an empty set of them, gets those of its fields.
+    """
+    c, info, exp = F.col, F.col("basic_info"), F.col("experience_requirements")
+    none = none_of("string")
+    plain = F.filter(F.coalesce("tags", F.array().cast(f"array<{T.TAG}>")), lambda t: ~F.coalesce(t["filterable"], F.lit(False)))
+    names = F.transform(plain, lambda t: t["name"])
+    title = F.coalesce(F.nullif(info["title"], F.lit("")), F.lit("Untitled Role"))
+    roles, modes = facets.role_categories(title, info["summary"], names), facets.work_modes(title, info["location"], info["summary"])
+    cities, ai = facets.match_city_list(info["location"]), facets.ai_capabilities(title, info["summary"], F.array_join(names, " "))
+    intern = facets.is_internship(title, info["job_type"], info["summary"])
+    level = facets.job_seniority(title, info["summary"], info["job_type"], exp["min_total_years"], exp["max_total_years"])
+    band = facets.salary_band(info["salary_min"], info["salary_max"], info["intern_salary_amount"])
+    stored = c("filter_facets")
+    made = {"role_categories": roles, "work_modes": modes, "city_tokens": cities, "ai_capabilities": ai, "is_internship": intern, "seniority_level": level, "salary_band": band, "posted_at": none, "posted_days_ago": none, "min_experience_years": exp["min_total_years"], "max_experience_years": exp["max_total_years"]}
+    kinds = {f.name: f.dataType for f in jobs.schema["filter_facets"].dataType.fields}
+    empty = stored.isNull() | ~F.greatest(F.lit(False), *[stored[n].isNotNull() for n in kinds])
+    derived = F.struct(*[made[n].cast(kind).alias(n) for n, kind in kinds.items()])
+    record = jobs.withColumns({"tags": F.concat(plain, T.job_tags(roles, modes, cities, ai, intern, level, band)), "filter_facets": F.when(empty, derived).otherwise(stored), "company": F.coalesce(F.nullif(c("company"), F.lit("")), F.lit("Company Pending"))})
+    return clean_openings(record)

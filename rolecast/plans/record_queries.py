@@ -9,11 +9,12 @@ from .. import schemas
 from ..functions import dictionaries as D
 from ..functions import facets, parsing, text
 from ..functions.skills import expand_skill, infer_skills
-from ..operators import evaluate, maintain, nested, normalize, ranking, tags
+from ..operators import evaluate, maintain, nested, normalize, ranking, retagging, tags
 from ..operators import skills as K
 from ..sources import dumps, records
-from ..storage import new_folder
-from .bindings import bind, read, with_ctes
+from ..storage import new_folder, staged
+from . import engine
+from .bindings import bind, read, sql_categories, with_ctes
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -284,3 +285,114 @@ def dump_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = dumps.read_dump_table(spark, f"{path}/people", "people", {"id": "bigint", "note": "string", "amount": "double"}).select(F.lit("people").alias("table"), "id", "note", "amount")
     other = dumps.read_dump_table(spark, f"{path}/numbered", "items", {"id": "bigint", "note": "string", "amount": "double"}).select(F.lit("items").alias("table"), "id", "note", "amount")
     return found.unionByName(other)
+
+
+_JOB_TEXT = "lower(concat_ws(' ', title, summary))"
+
+
+def _postings(spark: SparkSession, sf_dir: str, changed: bool) -> DataFrame:
+    """Flat openings of the standard layout; every tenth has a longer summary if ``changed``, the next of each ten another company."""
+    c, n = F.col, F.col("job_id") % 10
+    kinds = {f.name: f.dataType for f in spark.createDataFrame([], records.RAW).schema.fields}
+    more = F.when((n == 0) & F.lit(changed), F.concat("summary", F.lit(" golang devops"))).otherwise(c("summary"))
+    by = F.when((n == 1) & F.lit(changed), F.concat("company", F.lit(" Ltd"))).otherwise(c("company"))
+    given = {"id": F.concat(F.lit("p"), "job_id"), "title": c("title"), "summary": more, "company": by, "location": c("location")}
+    raw = bind(spark, sf_dir, "fx_text").select(*[given.get(f, F.lit(None)).cast(kind).alias(f) for f, kind in kinds.items()])
+    return records.map_boards(raw)
+
+
+@query(
+    "retag_refresh",
+    with_ctes(["fx_text"], f"""SELECT concat('p', job_id) AS id, job_id % 10 <= 1 OR contains({_JOB_TEXT}, 'kafka') AS stale, CASE WHEN job_id % 10 = 0 THEN roles <> before ELSE false END AS other_roles, job_id % 10 = 0 AS other_text, roles FROM
+ (SELECT *, {sql_categories(_JOB_TEXT, D.ROLE_KEYWORDS)} AS before, {sql_categories(f"CASE WHEN job_id % 10 = 0 THEN concat({_JOB_TEXT}, ' golang devops') ELSE {_JOB_TEXT} END", D.ROLE_KEYWORDS)} AS roles FROM fx_text)"""),
+)
+def retag_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole path: openings normalised and marked, then a tenth changes its text, a tenth its company, and a dictionary learns a word."""
+    as_of, c = F.to_date(F.lit("2024-01-31")), F.col
+    old, now = staged(_postings(spark, sf_dir, False)), staged(_postings(spark, sf_dir, True))
+    entries = retagging.dictionary_entries()
+    nothing = spark.createDataFrame([], normalize.normalize_jobs(old, as_of).schema)
+    first = retagging.refresh_tags(nothing, spark.createDataFrame([], "id string, fingerprint string"), old, as_of, entries)
+    again = retagging.refresh_tags(first.table, first.marks, now, as_of, entries | {"topic/streams": ("kafka",)})
+    rows = again.table.select("id", F.array_join("filter_facets.role_categories", ",").alias("roles"))
+    rows = rows.join(again.stale.withColumn("stale", F.lit(True)), "id", "left").join(again.changed.select("id", "changed"), "id", "left")
+    has = lambda name: F.coalesce(F.array_contains("changed", name), F.lit(False))
+    return rows.select("id", F.coalesce("stale", F.lit(False)).alias("stale"), has("role_names").alias("other_roles"), has("payload").alias("other_text"), "roles")
+
+
+@query(
+    "payloads_rebuilt",
+    with_ctes(["fx_text"], f"""SELECT concat('p', job_id) AS id, CASE WHEN job_id % 5 = 0 THEN 'Company Pending' ELSE company END AS company, CASE WHEN job_id % 7 = 0 THEN 'Untitled Role' ELSE title END AS title,
+ CASE WHEN job_id % 3 = 0 THEN 'stored_role' ELSE found END AS roles, concat_ws(',', CASE WHEN job_id % 2 = 0 THEN 'general:Kept' END, CASE WHEN found <> '' THEN array_to_string(list_transform(string_split(found, ','), lambda x: concat('role:', x)), ',') END) AS tags,
+ CAST(CASE WHEN job_id % 4 = 0 THEN 1 ELSE 2 END AS INT) AS n_required, CASE WHEN job_id % 3 <> 0 THEN CAST(min_years AS DOUBLE) END AS min_years FROM
+ (SELECT *, {sql_categories("lower(concat_ws(' ', CASE WHEN job_id % 7 = 0 THEN 'Untitled Role' ELSE title END, summary, CASE WHEN job_id % 2 = 0 THEN 'Kept' END))", D.ROLE_KEYWORDS)} AS found FROM fx_text)"""),
+)
+def payloads_rebuilt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored JSON of openings as records in use: defaults, drops, standard tags made anew, facets where there are none."""
+    c, n = F.col, F.col("job_id")
+    rows = bind(spark, sf_dir, "fx_text")
+    on = lambda k, value: F.when(n % k != 0, value)
+    tag = lambda name, category, std: F.struct(F.lit(name).alias("name"), F.lit(category).alias("category"), F.lit(std).alias("filterable"))
+    payload = F.to_json(F.struct(
+        F.concat(F.lit("p"), n).alias("id"), on(5, c("company")).alias("company"), F.struct(on(7, c("title")).alias("title"), c("summary")).alias("basic_info"),
+        F.struct(F.array(F.struct(F.lit("Go").alias("name")), F.struct(F.when(n % 4 == 0, " ").otherwise("Vue").alias("name"))).alias("required")).alias("skill_requirements"), F.struct(c("min_years").cast("double").alias("min_total_years")).alias("experience_requirements"),
+        F.when(n % 2 == 0, F.array(tag("Kept", "general", False), tag("old", "role", True))).otherwise(F.array(tag("old", "role", True))).alias("tags"), F.when(n % 3 == 0, F.struct(F.array(F.lit("stored_role")).alias("role_categories"))).alias("filter_facets"),
+    ))
+    typed = records.from_payload(rows.select(payload.alias("payload")), schemas.JOB)
+    out = normalize.rebuilt_openings(typed, F.to_date(F.lit("2024-01-31")))
+    shown = F.array_join(F.transform(F.filter("tags", lambda t: t["category"].isin("general", "role")), lambda t: F.concat_ws(":", t["category"], t["name"])), ",")
+    f = c("filter_facets")
+    return out.select("id", "company", c("basic_info.title").alias("title"), F.array_join(f["role_categories"], ",").alias("roles"), shown.alias("tags"), F.size("skill_requirements.required").alias("n_required"), f["min_experience_years"].alias("min_years"))
+
+
+_W1, _W2 = "split_part(p_name, ' ', 1)", "split_part(p_name, ' ', 2)"
+_NOUNS, _KINDS, _LEVELS = ("ring", "widget", "bolt", "gear", "gizmo"), ("small", "red", "blue", "hot"), ("basic", "intermediate", "advanced", "expert")
+
+
+def _hit(term: str, exact: bool = True) -> str:
+    """DuckDB: how far a person (terms, raw) has a term."""
+    text = f"WHEN contains(raw, {term}) THEN 0.85 " if exact else ""
+    return f"CASE WHEN list_contains(terms, {term}) THEN 1.0 {text}WHEN len(list_filter(terms, lambda x: contains(x, {term}) OR contains({term}, x))) > 0 THEN 0.7 ELSE 0.0 END"
+
+
+_PICK = lambda key, words: f"CASE {key} % {len(words)} " + " ".join(f"WHEN {i} THEN '{w}'" for i, w in enumerate(words)) + " END"
+
+
+@query(
+    "engine_matches",
+    with_ctes(["fx_pairs"], f"""WITH r AS (SELECT c_custkey AS resume_id, CAST(c_custkey % 13 + 1 AS DOUBLE) AS years, concat('notes of gear', CASE WHEN c_custkey % 3 = 0 THEN ' red things' ELSE '' END) AS raw, c_custkey % 5 AS own_level, CAST(c_custkey % 4 AS DOUBLE) AS own_years, {_PICK("c_custkey", _NOUNS)} AS noun,
+ list_distinct(list_filter([{_PICK("c_custkey", _NOUNS)}, CASE WHEN c_custkey % 7 > 0 THEN {_PICK("(c_custkey // 5)", _KINDS)} END, CASE WHEN c_custkey % 6 = 0 THEN 'vue' END], lambda x: x IS NOT NULL)) AS terms FROM customer),
+ j AS (SELECT p_partkey AS job_id, p_size, {_W1} AS w1, {_W2} AS w2 FROM part WHERE p_partkey % 50 <> 0),
+ h AS (SELECT resume_id, p.job_id, j.job_id IS NULL AS missing, p_size, years, raw, terms, w1, w2, own_level, own_years, noun, greatest({_hit("w1")}, {_hit("w2")}) AS c1, greatest({_hit("'unit'")}, {_hit("w1")}) AS c2, greatest({_hit("'vue.js work'")}, CASE WHEN list_contains(terms, 'vue') THEN 0.8 ELSE 0 END) AS c3,
+  greatest({_hit("concat(w2, ' maker')")}, {_hit("w1", False)}) AS b FROM fx_pairs p JOIN r USING (resume_id) LEFT JOIN j ON p.job_id = j.job_id),
+ e AS (SELECT *, CASE WHEN c1 = 0 THEN 0.0 WHEN p_size % 3 = 0 THEN c1 * 0.75 + CASE WHEN p_size % 9 = 0 THEN 1.0 ELSE least(years / (p_size % 9), 1.0) END * 0.25 ELSE c1 END AS s1, CASE WHEN p_size % 4 = 0 THEN c2 END AS s2, CASE WHEN p_size % 7 = 0 THEN c3 END AS s3 FROM h),
+ m AS (SELECT *, (s1 + coalesce(s2, 0) + coalesce(s3, 0)) / (1 + (s2 IS NOT NULL)::INT + (s3 IS NOT NULL)::INT) AS core, CASE WHEN p_size % 2 = 0 THEN b END AS plus, CASE WHEN p_size % 5 <> 0 THEN CASE WHEN p_size % 9 = 0 THEN 1.0 ELSE least(years / (p_size % 9), 1.0) END END AS total,
+  CASE WHEN noun = w2 THEN (1.0 + CASE WHEN p_size % 5 = 0 THEN 0 WHEN own_level = 0 THEN 0.65 ELSE least(own_level / (p_size % 5)::DOUBLE, 1.0) END + CASE WHEN p_size % 4 = 0 THEN least(own_years / 3.0, 1.0) ELSE 0 END) / (1 + (p_size % 5 > 0)::INT + (p_size % 4 = 0)::INT) ELSE 0.0 END AS r1, CASE WHEN list_contains(terms, w1) THEN 1.0 ELSE 0.0 END AS r2 FROM e)
+ SELECT resume_id, job_id, CASE WHEN missing THEN 'job_missing' ELSE 'matched' END AS status, CASE WHEN NOT missing THEN round((core * 0.6E0 + coalesce(plus * 0.15E0, 0) + coalesce(total * 0.25E0, 0)) / (0.6E0 + CASE WHEN plus IS NULL THEN 0 ELSE 0.15E0 END + CASE WHEN total IS NULL THEN 0 ELSE 0.25E0 END), 6) END AS experience,
+  CASE WHEN NOT missing THEN round((r1 + r2) / 2, 6) END AS required FROM m"""),
+)
+def engine_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Openings and people as stored JSON, typed and rebuilt, then matched by the engine: what it decides of a pair, experience and required skills."""
+    c, size = F.col, F.col("p_size")
+    pick = lambda key, words: F.element_at(F.array(*[F.lit(w) for w in words]), (key % len(words) + 1).cast("int"))
+    word = lambda i: F.split_part("p_name", F.lit(" "), F.lit(i))
+    some = lambda *values: F.array_compact(F.array(*values))
+    none = F.lit(None).cast("string")
+    item = lambda kind, name, words, least: F.struct(F.lit(kind).alias("type"), name.alias("name"), F.array(*words).alias("keywords"), least.cast("double").alias("min_years"))
+    no_years = F.lit(None)
+    core = some(item("domain", word(1), [word(2)], F.when(size % 3 == 0, size % 9)), F.when(size % 4 == 0, item("tech", F.lit("unit"), [word(1)], no_years)), F.when(size % 7 == 0, item("domain", F.lit("Vue.js work"), [none], no_years)))
+    bonus = some(F.when(size % 2 == 0, F.struct(F.lit("project").alias("type"), F.concat(word(2), F.lit(" maker")).alias("name"), (size % 4).alias("weight"), word(1).alias("description"))))
+    level = F.when(size % 5 > 0, pick(size % 5 - 1 + 4, _LEVELS))
+    required = F.array(F.struct(word(2).alias("name"), level.alias("level"), F.when(size % 4 == 0, 3.0).alias("min_years")), F.struct(word(1).alias("name"), none.alias("level"), F.lit(None).cast("double").alias("min_years")), F.struct(F.lit(" ").alias("name"), none.alias("level"), F.lit(None).cast("double").alias("min_years")))
+    payload = F.struct(c("p_partkey").cast("string").alias("id"), F.struct(F.lit("Role").alias("title")).alias("basic_info"), F.struct(required.alias("required")).alias("skill_requirements"), F.struct(core.alias("core"), bonus.alias("bonus"), F.when(size % 5 != 0, (size % 9).cast("double")).alias("min_total_years")).alias("experience_requirements"))
+    stored = read(spark, sf_dir, "part").filter("p_partkey % 50 <> 0").select(F.to_json(payload).alias("payload"))
+    jobs = staged(normalize.rebuilt_openings(records.from_payload(stored, schemas.JOB), F.to_date(F.lit("2024-01-31"))))
+    key = c("c_custkey")
+    skill = lambda name, own, years: F.struct(name.alias("name"), own.alias("level"), years.cast("int").alias("years"))
+    skills = some(skill(pick(key, _NOUNS), F.when(key % 5 > 0, pick(key % 5 - 1 + 4, _LEVELS)), key % 4), F.when(key % 7 > 0, skill(pick(F.floor(key / 5), _KINDS), none, no_years)), F.when(key % 6 == 0, skill(F.lit("Vue"), none, no_years)))
+    person = F.struct(key.cast("string").alias("id"), F.struct((key % 13 + 1).cast("int").alias("work_years")).alias("basic_info"), skills.alias("skills"), F.concat(F.lit("Notes of gear"), F.when(key % 3 == 0, " red things").otherwise("")).alias("raw_text"), *[F.array().cast("array<string>").alias(n) for n in ("work_experiences", "projects", "tags")])
+    people = staged(records.from_payload(read(spark, sf_dir, "customer").select(F.to_json(person).alias("payload")), schemas.RESUME))
+    pairs = bind(spark, sf_dir, "fx_pairs").select(c("resume_id").cast("string").alias("resume_id"), c("job_id").cast("string").alias("job_id"), "vector", "recall_rank")
+    scored = engine.score_pairs(pairs, jobs, people, None, F.to_date(F.lit("2024-01-31")))
+    known = c("status") != "job_missing"
+    return scored.select(c("resume_id").cast("long").alias("resume_id"), c("job_id").cast("long").alias("job_id"), "status", F.when(known, F.round("experience", 6)).alias("experience"), F.when(known, F.round("required", 6)).alias("required"))

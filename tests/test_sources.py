@@ -5,10 +5,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from rolecast import schemas
-from rolecast.operators import maintain, normalize, recall
-from rolecast.sources import records
+from rolecast.operators import maintain, normalize, recall, retagging
 from rolecast.operators.snapshots import SnapshotTable
-from rolecast.sources import dumps
+from rolecast.sources import dumps, records
+from rolecast.storage import staged
 from rolecast.streaming import incremental as S
 
 DAY = datetime.date(2026, 1, 31)
@@ -58,6 +58,51 @@ def test_retag_reports_changes_only(spark, tmp_path):
     assert any(r["n_after"] > r["n_before"] for r in counts.collect())
 
 
+def test_refresh_of_stale_records_only(spark, tmp_path):
+    posting = lambda i, summary, company="Acme": {"id": str(i), "title": "Role", "summary": summary, "company": company}
+    read = lambda rows: staged(records.map_boards(records.read_jobs_json(spark, write(tmp_path / f"{len(rows)}-{hash(str(rows))}.json", rows))))
+    old = read([posting(1, "kafka streams"), posting(2, "vue pages"), posting(3, "cooking"), posting(4, "remote")])
+    entries = retagging.dictionary_entries()
+    nothing = spark.createDataFrame([], normalize.normalize_jobs(old, F.lit(DAY)).schema)
+    ids = lambda df: sorted(r["id"] for r in df.select("id").collect())
+
+    first = retagging.refresh_tags(nothing, spark.createDataFrame([], "id string, fingerprint string"), old, F.lit(DAY), entries)
+    assert ids(first.stale) == ids(first.table) == ids(first.marks) == ["1", "2", "3", "4"]
+
+    def stale(dictionary, rules=retagging.RULES):
+        now = old.select("id", retagging.fingerprint(old, dictionary, rules).alias("now"))
+        return ids(now.join(first.marks, "id").filter("now <> fingerprint"))
+
+    assert stale(entries) == []
+    assert stale(entries | {"role/data": ("Kafka",)}) == ["1"]  # only who holds the word, in any case
+    assert stale({k: v for k, v in entries.items() if not k.startswith("mode/")}) == ["4"]
+    assert stale(entries, rules="2") == ["1", "2", "3", "4"]
+
+    new = read([posting(1, "kafka streams"), posting(2, "backend service"), posting(3, "cooking", "Beta"), posting(5, "new one")])
+    out = retagging.refresh_tags(first.table, first.marks, new, F.lit(DAY), entries)
+    assert ids(out.stale) == ["2", "3", "5"] and ids(out.changed) == ["2", "5"] and ids(out.table) == ["1", "2", "3", "4", "5"]
+    roles = {r["id"]: r["filter_facets"]["role_categories"] for r in out.table.collect()}
+    assert roles["2"] == ["backend_engineer"] and roles["4"] == []
+    assert sum(r["n_after"] for r in out.counts.collect()) > 0
+
+
+def test_rebuilt_openings(spark):
+    payloads = [
+        {"id": "1"},
+        {"id": "2", "company": "", "basic_info": {"title": "", "summary": "vue", "salary_max": 15000}, "tags": [{"name": "old", "category": "role", "filterable": True}, {"name": "own", "category": "general"}, {"name": " "}], "filter_facets": {}},
+        {"id": "3", "basic_info": {"title": "Vue"}, "filter_facets": {"role_categories": ["kept"]}, "skill_requirements": {"required": [{"name": "skill pending"}, {"name": " Go "}], "optional_groups": [{"skills": []}, {"group_name": " ", "skills": [{"name": "x"}]}]}},
+    ]
+    df = records.from_payload(spark.createDataFrame([(json.dumps(p),) for p in payloads] + [("broken",), (None,)], "payload string"), schemas.JOB)
+    rows = {r["id"]: r.asDict(recursive=True) for r in normalize.rebuilt_openings(df, F.lit(DAY)).collect() if r["id"]}
+    assert (rows["1"]["company"], rows["1"]["filter_facets"]["role_categories"], rows["1"]["tags"][0]["name"]) == ("Company Pending", [], "fulltime")
+    two = rows["2"]
+    assert two["filter_facets"]["role_categories"] == ["frontend_engineer"] and two["filter_facets"]["salary_band"] == "mid"
+    assert [t["name"] for t in two["tags"]][:2] == ["own", "frontend_engineer"] and "old" not in [t["name"] for t in two["tags"]]
+    three = rows["3"]
+    assert three["filter_facets"]["role_categories"] == ["kept"] and [s["name"] for s in three["skill_requirements"]["required"]] == ["Go"]
+    assert [(g["group_name"], g["min_required"]) for g in three["skill_requirements"]["optional_groups"]] == [("Optional Skills", 1)]
+
+
 def test_import_counts(spark):
     t = lambda *r: spark.createDataFrame(r, "id string, v int, u string").select("id", "v", F.col("u").cast("timestamp").alias("updated_at"))
     store, jobs = t(("a", 1, "2026-01-01"), ("b", 1, "2026-01-01")), t(("b", 2, "2026-01-02"), ("b", 3, "2026-01-03"), ("c", 1, "2026-01-01"))
