@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import facets, parsing
 from ..functions.text import bullet_items, collapse, compact_range, contains_any, dedupe_ci, first_list, none_of, scrub_contacts, section_text, strings, strip
+from ..storage import staged
 from . import tags as T
 from .maintain import changed_rows, tag_counts
 from .nested import clean_openings
@@ -210,7 +211,7 @@ def retag(stored: DataFrame, flat: DataFrame, as_of: Column) -> tuple[DataFrame,
     All of ``flat`` is normalised; ``retagging.refresh_tags`` does so for stale records only. Writing the first, and refreshing its
     vectors, is up to the caller.
     """
-    now = normalize_jobs(flat, as_of)
+    now = staged(normalize_jobs(flat, as_of))  # read three times, and long to plan
     long = lambda df: df.select(F.explode("tags").alias("t")).select("t.category")
     return tag_changes(stored, now), tag_counts(long(stored), long(now))
 

@@ -51,7 +51,7 @@ def test_normalized_jobs_fit_the_schema(spark, tmp_path):
 
 def test_retag_reports_changes_only(spark, tmp_path):
     flat = records.map_boards(records.read_jobs_json(spark, write(tmp_path / "j.json", [STANDARD, BOARD_A])))
-    stored = normalize.normalize_jobs(flat, F.lit(DAY))
+    stored = staged(normalize.normalize_jobs(flat, F.lit(DAY)))
     old = stored.withColumn("tags", F.when(F.col("id") == "7", F.slice("tags", 1, 1)).otherwise(F.col("tags")))
     changed, counts = normalize.retag(old, flat, F.lit(DAY))
     assert [(r["id"], r["changed"]) for r in changed.collect()] == [("7", ["tag_names"])]
@@ -89,7 +89,7 @@ def test_refresh_of_stale_records_only(spark, tmp_path):
 def test_rebuilt_openings(spark):
     payloads = [
         {"id": "1"},
-        {"id": "2", "company": "", "basic_info": {"title": "", "summary": "vue", "salary_max": 15000}, "tags": [{"name": "old", "category": "role", "filterable": True}, {"name": "own", "category": "general"}, {"name": " "}], "filter_facets": {}},
+        {"id": "2", "company": "", "basic_info": {"title": "", "summary": "frontend", "salary_max": 15000}, "tags": [{"name": "old", "category": "role", "filterable": True}, {"name": "own", "category": "general"}, {"name": " "}], "filter_facets": {}},
         {"id": "3", "basic_info": {"title": "Vue"}, "filter_facets": {"role_categories": ["kept"]}, "skill_requirements": {"required": [{"name": "skill pending"}, {"name": " Go "}], "optional_groups": [{"skills": []}, {"group_name": " ", "skills": [{"name": "x"}]}]}},
     ]
     df = records.from_payload(spark.createDataFrame([(json.dumps(p),) for p in payloads] + [("broken",), (None,)], "payload string"), schemas.JOB)
