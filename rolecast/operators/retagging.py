@@ -18,7 +18,7 @@ RULES = "1"
 
 
 def dictionary_entries() -> dict[str, tuple[str, ...]]:
-    """All words that rules look up in texts, by dictionary and category; a pattern counts wherever one of its letters' runs may."""
+    """The words that rules look up in texts, by dictionary and category. Patterns, as those of skills, aren't words: when one changes, raise ``RULES``."""
     named = {"role": D.ROLE_KEYWORDS, "mode": D.MODE_KEYWORDS, "ai": D.AI_KEYWORDS}
     out = {f"{kind}/{category}": tuple(words) for kind, words_of in named.items() for category, words in words_of.items()}
     return out | {"intern": tuple(D.INTERN_KEYWORDS), "entry": tuple(D.JOB_ENTRY_WORDS), "senior": tuple(D.JOB_SENIOR_WORDS), "city": tuple(c for region in D.CITY_REGIONS for c in region)}
