@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .. import schemas
@@ -11,7 +12,7 @@ from ..functions import facets, parsing, text
 from ..functions.skills import expand_skill, infer_skills
 from ..operators import evaluate, maintain, nested, normalize, ranking, retagging, tags
 from ..operators import skills as K
-from ..sources import dumps, records
+from ..sources import dumps, json_arrays, records
 from ..storage import new_folder, staged
 from . import engine
 from .bindings import bind, read, sql_categories, with_ctes
@@ -396,3 +397,20 @@ def engine_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = engine.score_pairs(pairs, jobs, people, None, F.to_date(F.lit("2024-01-31")))
     known = c("status") != "job_missing"
     return scored.select(c("resume_id").cast("long").alias("resume_id"), c("job_id").cast("long").alias("job_id"), "status", F.when(known, F.round("experience", 6)).alias("experience"), F.when(known, F.round("required", 6)).alias("required"))
+
+
+@query("json_lists", """SELECT o_orderkey AS id, concat('Order, "', o_orderpriority, '" [', o_custkey, ']') AS title, o_totalprice AS value FROM orders""")
+def json_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders written as files of one list each, read back in blocks; some 50,000 orders a file."""
+    c = F.col
+    title = F.concat(F.lit('Order, "'), c("o_orderpriority"), F.lit('" ['), c("o_custkey").cast("string"), F.lit("]"))
+    rows = read(spark, sf_dir, "orders").select(F.to_json(F.struct(c("o_orderkey").alias("id"), title.alias("title"), c("o_totalprice").alias("value"))).alias("text"), "o_orderkey")
+    files = max(1, -(-rows.count() // 50_000))
+    number = F.pmod(F.xxhash64("o_orderkey"), F.lit(files).cast("long"))
+    lines = rows.withColumn("file", number).withColumn("first", F.row_number().over(W.partitionBy("file").orderBy("o_orderkey")) == 1)
+    body = lines.select("file", F.lit(0).alias("part"), "o_orderkey", F.concat(F.when(c("first"), "[").otherwise(","), "text").alias("value"))
+    ends = lines.filter("first").select("file", F.lit(1).alias("part"), "o_orderkey", F.lit("]").alias("value"))
+    folder = new_folder(spark, "lists")
+    body.unionByName(ends).repartition(int(files), "file").sortWithinPartitions("file", "part", "o_orderkey").select("file", "value").write.partitionBy("file").text(folder)
+    read_back = json_arrays.read_elements(spark, f"{folder}/*/*.txt")
+    return read_back.select(F.from_json("text", "id long, title string, value double").alias("r")).select("r.*")

@@ -9,21 +9,22 @@ from pyspark.sql import types as T
 
 from ..functions import parsing
 from ..functions.skills import extract_skills
-from ..functions.text import blank_null, dedupe_ci, first_present, json_string_list, split_delims, strip
+from ..functions.text import blank_null, dedupe_ci, first_present, json_string_list, split_delims
+from .json_arrays import read_elements
 
 #: Fields of all layouts, read tolerantly: what isn't a string there is its JSON text.
 RAW = "id string, job_id string, title string, company string, department string, location string, job_type string, summary string, description string, salary string, experience string, education string, posted_at string, url string, skills string, skill_requirements string, education_constraints string, tags string, job_name string, jd string, skill_tags string, work_address string, city string, company_industry string, job_keys string, company_name string, _detail_url string, basic_info struct<title: string, location: string, job_type: string, summary: string, salary_min: string, salary_max: string>"
 
 
 def read_jobs_json(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
-    """Openings of JSON files whose root is a list or {"jobs": [...]}; other roots raise when read. 0 or None: no limit."""
-    files = spark.read.text(path, wholetext=True)
-    root = F.col("value")
-    is_list = strip(root).startswith("[")  # an object would be read as a list of one
-    listed = F.when(is_list, F.from_json(root, f"array<struct<{RAW}>>")).otherwise(F.from_json(root, f"struct<jobs: array<struct<{RAW}>>>")["jobs"])
-    checked = F.when(is_list | F.get_json_object(root, "$.jobs").isNotNull(), listed).otherwise(F.raise_error(F.lit("a list of openings, or an object with one under 'jobs', is expected")))
-    rows = files.select(F.posexplode(checked).alias("pos", "raw")).select("pos", "raw.*")
-    return rows.limit(limit) if limit and limit > 0 else rows
+    """Openings of JSON files whose root is a list or {"jobs": [...]}, a large file in several tasks; other roots raise.
+
+    0 or None: no limit; else the first of the files in order of path and place.
+    """
+    elements = read_elements(spark, path)
+    if limit and limit > 0:
+        elements = elements.orderBy("path", "pos").limit(limit)
+    return elements.select("pos", F.from_json("text", f"struct<{RAW}>").alias("raw")).select("pos", "raw.*")
 
 
 def dialect(row: DataFrame) -> Column:
