@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 
@@ -115,3 +117,22 @@ def import_jobs(store: DataFrame, jobs: DataFrame, replace: bool = False, key: s
     count = lambda df: df.agg(F.count(F.lit(1)).alias("n"))
     counts = part(known, "updated").unionByName(part(count(new.join(old.select(key), key, "left_anti")), "new")).unionByName(part(count(delete_keys(old, new, [key])), "kept"))
     return upsert(old, new, [key], ts), counts
+
+
+def import_observed(store: DataFrame, jobs: DataFrame, write: Callable[[DataFrame], None], replace: bool = False, key: str = "id", ts: str = "updated_at", tie: list | None = None) -> dict[str, int]:
+    """The import of ``import_jobs`` in one pass: ``write`` gets the table, and the counts of new, updated and kept rows are gathered as it is written.
+
+    The counts are metrics of the write's last stage, so ``write`` must run that table once and whole, and not into the files that it is read
+    from. A stage that is run again in part after lost executors counts each partition once.
+    """
+    new = latest(jobs, [key], ts, tie)
+    old = store.limit(0) if replace else store
+    whole = lambda df, name: df.select(key, F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias(name))
+    both = whole(old, "__old").join(whole(new, "__new"), key, "full")
+    is_new, is_old = F.col("__new").isNotNull(), F.col("__old").isNotNull()
+    value = lambda c: F.when(is_new, F.col("__new")[c] if c in new.columns else None).otherwise(F.col("__old")[c] if c in old.columns else None).alias(c)
+    counts = Observation()
+    n = lambda which, name: F.count(F.when(which, True)).alias(name)
+    seen = both.observe(counts, n(is_new & ~is_old, "new"), n(is_new & is_old, "updated"), n(~is_new, "kept"))
+    write(seen.select(*[value(c) for c in dict.fromkeys([*old.columns, *new.columns])]))
+    return counts.get

@@ -8,6 +8,7 @@ are in groups, the fewer these are.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, replace
 
 import numpy as np
@@ -294,6 +295,41 @@ def candidate_pool(ranked: DataFrame, desired: int, k: int, recall: Column, quer
     return seen.withColumn("recall_n", F.least(first, F.col("pool"))).filter(F.col("passed") & (F.col("n_passed") <= desired)).withColumn("pool_rank", F.col("n_passed").cast("int")).drop("n_passed", "pool")
 
 
+def widened_pool(queries: DataFrame, items: DataFrame | Cells, passes: Callable[[DataFrame], DataFrame], desired: int, recall: int, query_id: str = "resume_id", item_id: str = "job_id", vector: str = "vector", block: int = 4096, report: dict | None = None) -> DataFrame:
+    """(query_id, item_id, score, recall_rank, recall_n, pool_rank): the first ``desired`` of each query that pass, without ranking all first.
+
+    A round recalls ``recall`` items, then twice as many, and so on, but only for queries that still lack passing ones and items are left for;
+    ``passes`` takes the pairs of a round, new ones only, and adds ``passed``. The rows are those that ``candidate_pool`` picks from a whole
+    ranking. Each round's pairs and open queries are staged; rounds are no more than doublings from ``recall`` to all items. ``report`` gets
+    rounds, the pairs that ``passes`` saw and the pairs whose scores were computed.
+    """
+    index = items if isinstance(items, Cells) else cells_of(items, item_id, vector)
+    total, n, before = int(index.sizes.sum()), recall, 0
+    open_ = staged(queries.select(query_id, vector, F.lit(0).cast("long").alias("had")))
+    report = {} if report is None else report
+    report |= {"rounds": 0, "judged": 0}
+    rounds: DataFrame | None = None
+    while total > before and not open_.isEmpty():
+        near = pruned_top_n(open_.select(query_id, vector), index, n, query_id, item_id, vector, block=block, report=report)
+        found = staged(passes(near.filter(F.col("recall_rank") > before)))
+        got = found.groupBy(query_id).agg(F.count(F.when(F.col("passed"), True)).alias("got"))
+        open_now = open_.join(got, query_id, "left").withColumn("had", F.col("had") + F.coalesce("got", F.lit(0))).drop("got")
+        done_at = found.filter("passed").withColumn("step", F.lit(min(n, total)).cast("long"))
+        rounds = done_at if rounds is None else rounds.unionByName(done_at)
+        report["rounds"] += 1
+        report["judged"] += found.count()
+        open_ = staged(open_now.filter(F.col("had") < desired))
+        before, n = n, n * 2
+    if rounds is None:  # no queries, or no items
+        empty = pruned_top_n(queries.limit(0), index, 1, query_id, item_id, vector)
+        rounds = passes(empty).filter("passed").withColumn("step", F.lit(0).cast("long"))
+    place = F.row_number().over(W.partitionBy(query_id).orderBy("recall_rank"))
+    first = rounds.withColumn("pool_rank", place).filter(F.col("pool_rank") <= desired).drop("passed")
+    last = F.max("step").over(W.partitionBy(query_id))
+    lacking = F.max("pool_rank").over(W.partitionBy(query_id)) < desired
+    return first.withColumn("recall_n", F.when(lacking, F.lit(total).cast("long")).otherwise(last)).drop("step")
+
+
 def hashing_vectors(df: DataFrame, id_col: str, text_col: str, dim: int = 64) -> DataFrame:
     """(id, vector): unit vectors of hashed word counts, a stand-in where no model's vectors are given."""
     words = df.select(F.col(id_col).alias("id"), F.explode(F.split(F.lower(F.col(text_col)), r"(?U)[^\w]+")).alias("w")).filter("w <> ''")

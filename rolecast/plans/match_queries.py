@@ -479,6 +479,24 @@ def candidate_pools(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recall.candidate_pool(rows, 5, 5, F.lit(6)).select("resume_id", "job_id", "pool_rank", F.col("recall_n").cast("long").alias("recall_n"))
 
 
+#: Which openings pass for the pools by vector: few for some people, fewer than wanted for others.
+POOL_PASSES = "CASE WHEN resume_id % 100 = 1 THEN job_id % 10 = 2 AND job_id < 40 WHEN resume_id % 10 = 0 THEN job_id % 30 = 2 ELSE job_id % 3 = 0 END"
+
+
+@query(
+    "widened_pools",
+    with_ctes(["fx_vec"], f"""WITH s AS (SELECT a.vec_id AS resume_id, b.vec_id AS job_id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS score FROM fx_vec a JOIN fx_vec b ON a.namespace = 'resumes' AND b.namespace = 'jobs'),
+ r AS (SELECT *, row_number() OVER (PARTITION BY resume_id ORDER BY score DESC, job_id) AS recall_rank, count(*) OVER (PARTITION BY resume_id) AS pool, {POOL_PASSES} AS passed FROM s),
+ x AS (SELECT *, sum(CASE WHEN passed THEN 1 ELSE 0 END) OVER (PARTITION BY resume_id ORDER BY recall_rank) AS np FROM r),
+ n AS (SELECT resume_id, coalesce(min(CASE WHEN np >= 5 THEN recall_rank END), max(pool)) AS need, max(pool) AS pool FROM x GROUP BY resume_id)
+ SELECT x.resume_id, x.job_id, CAST(x.np AS INT) AS pool_rank, CAST(least(6 * CAST(pow(2, greatest(0, ceil(log2(n.need / 6.0E0)))) AS BIGINT), n.pool) AS BIGINT) AS recall_n FROM x JOIN n ON x.resume_id = n.resume_id WHERE passed AND np <= 5"""),
+)
+def widened_pools(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pools by vector, recall doubled only for people who still lack openings that pass."""
+    pool = recall.widened_pool(*_vectors(spark, sf_dir), lambda pairs: pairs.withColumn("passed", F.expr(POOL_PASSES)), 5, 6)
+    return pool.select("resume_id", "job_id", "pool_rank", "recall_n")
+
+
 @query(
     "semantic_skills",
     with_ctes(["fx_skill_index", "fx_job_skill", "fx_vec", "fx_pairs"], f"""WITH w AS (SELECT norm, (unicode(norm) * 31 + unicode(substr(norm, 2, 1)) * 7 + length(norm)) % 500 AS vec_id FROM (SELECT DISTINCT skill AS norm FROM fx_job_skill)), v AS (SELECT norm, embedding::DOUBLE[] AS e FROM w JOIN fx_vec USING (vec_id)),

@@ -260,6 +260,22 @@ def imported_openings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return maintain.import_jobs(maintain.seed_if_empty(store, new), new)[1]
 
 
+@query(
+    "observed_import",
+    """WITH s AS (SELECT c_custkey AS id, c_acctbal AS value FROM customer WHERE c_custkey % 2 = 0), u AS (SELECT o_custkey AS id, o_totalprice AS value FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey) AS place FROM orders WHERE o_orderkey % 3 = 0) WHERE place = 1)
+ SELECT coalesce(u.id, s.id) AS id, CASE WHEN u.id IS NULL THEN s.value ELSE u.value END AS value, count(*) FILTER (s.id IS NULL) OVER () AS n_new, count(*) FILTER (s.id IS NOT NULL AND u.id IS NOT NULL) OVER () AS n_updated, count(*) FILTER (u.id IS NULL) OVER () AS n_kept FROM s FULL JOIN u ON s.id = u.id""",
+)
+def observed_import(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table as the import wrote it, with the counts that were gathered on the way."""
+    c = F.col
+    kind = read(spark, sf_dir, "orders").schema["o_orderdate"].dataType
+    store = read(spark, sf_dir, "customer").filter("c_custkey % 2 = 0").select(c("c_custkey").alias("id"), c("c_acctbal").alias("value"), F.lit("1990-01-01").cast(kind).alias("updated_at"))
+    new = read(spark, sf_dir, "orders").filter("o_orderkey % 3 = 0").select(c("o_custkey").alias("id"), c("o_totalprice").alias("value"), c("o_orderdate").alias("updated_at"), "o_orderkey")
+    folder = new_folder(spark, "import")
+    counts = maintain.import_observed(store, new, lambda table: table.write.parquet(folder), tie=["o_orderkey"])
+    return spark.read.parquet(folder).select("id", "value", *[F.lit(counts[n]).cast("long").alias(f"n_{n}") for n in ("new", "updated", "kept")])
+
+
 @query("person_roles", with_ctes(["fx_people"], """SELECT resume_id, CASE WHEN resume_id % 2 = 0 THEN 'stored_role' ELSE 'backend_engineer' END AS role FROM fx_people"""))
 def person_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Typed records of JSON payloads: a role that is stored stays, else it is derived."""
