@@ -118,6 +118,16 @@ LANGUAGE_PATTERNS = {"英语": ("英语", "英文", "cet-4", "cet4", "cet-6", "c
 CERTIFICATIONS = ("PMP", "CPA", "CFA", "软考", "信息系统项目管理师", "教师资格证", "证券从业", "基金从业", "一级建造师", "二级建造师", "注册会计师")
 MIN_DEGREE_PATTERNS = {"doctor": "博士及以上|博士研究生|phd|doctor", "master": "硕士及以上|硕士研究生|研究生及以上|master", "bachelor": "本科及以上|本科或以上|本科学历|学士|bachelor|统招本科", "associate": "大专及以上|专科及以上|associate|college", "high_school": "高中及以上|high school"}
 PREFER_DEGREE_PATTERNS = {"doctor": "博士(?:学历)?优先|phd.+优先|doctor.+优先", "master": "硕士(?:学历)?优先|研究生优先|master.+优先", "bachelor": "本科(?:学历)?优先|学士优先|bachelor.+优先"}
+# What opens the parts of a posting, what ends them, what a headed item may begin with, and words of an item worth showing.
+RESPONSIBILITY_MARKERS = ("岗位职责", "工作职责", "职责描述", "职位职责", "工作内容", "你将参与", "职责")
+HIGHLIGHT_MARKERS = ("福利待遇", "加分项", "优选条件", "优先条件", "优选项", "加分")
+SECTION_ENDS = ("岗位要求", "任职要求", "任职资格", "职位要求", "我们希望你", "岗位核心方向补充", "福利待遇", "加分项", "优选条件", "优先条件", "其他要求")
+ITEM_HEADINGS = ("岗位职责", "工作职责", "职责描述", "职位职责", "工作内容", "岗位要求", "任职要求", "任职资格", "职位要求", "福利待遇", "加分项", "优选条件", "优先条件", "优选项", "其他要求")
+HIGHLIGHT_KEYWORDS = ("优先", "加分", "优选", "福利", "待遇", "可转正", "弹性", "双休", "六险一金", "期权", "奖金", "补贴", "餐补", "房补", "落户", "班车", "商业保险")
+EDUCATION_WORDS = ("本科", "硕士", "博士", "研究生", "学历", "专业")
+# Skills and words that tell what kind of work a piece of experience was.
+STACKS = {"前端": ("vue", "react", "javascript", "typescript", "uniapp", "html", "css"), "后端": ("php", "laravel", "java", "python", "golang", "node.js", "mysql", "postgresql"), "移动端": ("flutter", "android", "ios", "uniapp", "react native")}
+STACK_WORDS = {"前端": ("前端", "h5", "小程序", "web"), "后端": ("后端", "接口", "服务端", "管理后台"), "移动端": ("app", "客户端", "移动端")}
 MAJOR_STOPWORDS = ("相关专业", "专业", "等", "以及", "及", "或", "优先", "者优先", "岗位要求", "任职要求", "任职资格", "职位要求", "我们希望你", "具备", "本科", "硕士", "博士", "学历", "海内外", "统招")
 OTHER_CONSTRAINT_WORDS = ("每周", "到岗", "连续", "出差", "轮班", "驻场", "现场", "实习4", "实习5", "实习6", "个月以上")
 TAG_CATEGORIES = ("tech", "project", "domain", "industry", "education", "language", "general")

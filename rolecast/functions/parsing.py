@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .dictionaries import CERTIFICATIONS, DEGREE_WORDS, LANGUAGE_PATTERNS, MAJOR_STOPWORDS, MIN_DEGREE_PATTERNS, OTHER_CONSTRAINT_WORDS, PREFER_DEGREE_PATTERNS
-from .text import bullet_items, contains_any, dedupe_ci, none_of, strings, strip
+from .dictionaries import CERTIFICATIONS, DEGREE_WORDS, EDUCATION_WORDS, HIGHLIGHT_KEYWORDS, HIGHLIGHT_MARKERS, LANGUAGE_PATTERNS, MAJOR_STOPWORDS, MIN_DEGREE_PATTERNS, OTHER_CONSTRAINT_WORDS, PREFER_DEGREE_PATTERNS, RESPONSIBILITY_MARKERS, SECTION_ENDS
+from .text import bullet_items, contains_any, dedupe_ci, let, none_of, occurrences, section_items, strip
 
 _TO = r"\s*[-~～至到]\s*"
 _NUM = r"(\d+(?:\.\d+)?)"
@@ -150,29 +150,49 @@ def preferred_degrees(text: Column) -> Column:
 def majors(text: Column, preferred: bool) -> Column:
     """Fields of study asked for, or (preferred) welcome."""
     body = r"([一-龥A-Za-z/、，,\s]{2,80}?)(?:等)?"
-    found = F.concat(*[F.regexp_extract_all(text, F.lit(f"(?i)({body}{tail})"), 1) for tail in ("相关专业(?:优先|者优先)?", "专业(?:优先|者优先)")])
-    kind = F.filter(found, lambda m: m.contains("优先") if preferred else ~m.contains("优先"))
-    names = F.transform(kind, lambda m: F.regexp_replace(F.regexp_replace(F.regexp_replace(m, r"(?:等)?(?:相关)?专业(?:优先|者优先)?$", ""), ".*学历", ""), r"\d{4}届|海内外|统招|学历|及以上|或研究生|或以上|以上", ""))
-    parts = F.flatten(F.transform(names, lambda m: F.split(m, r"[、,/，]\s*|\s+")))
+    asked = [F.lit(f"(?iU){body}{tail}") for tail in ("相关专业(?:优先|者优先)?", "专业(?:优先|者优先)")]
+    found = F.concat(*[F.arrays_zip(F.regexp_extract_all(text, p, F.lit(0)).alias("whole"), F.regexp_extract_all(text, p, F.lit(1)).alias("names")) for p in asked])
+    kind = F.filter(found, lambda m: m["whole"].contains("优先") if preferred else ~m["whole"].contains("优先"))
+    names = F.transform(kind, lambda m: F.regexp_replace(F.regexp_replace(m["names"], ".*学历", ""), r"(?U)\d{4}届|海内外|统招|学历|及以上|或研究生|或以上|以上", ""))
+    parts = F.flatten(F.transform(names, lambda m: F.split(m, r"(?U)[、,/，]\s*|\s+")))
     tokens = F.transform(parts, lambda p: strip(F.regexp_replace(F.regexp_replace(strip(p), "(相关专业|相关)$", ""), "(专业|类)$", "")))
     return dedupe_ci(F.filter(tokens, lambda t: (F.length(t) >= 2) & ~t.isin(*MAJOR_STOPWORDS)))
 
 
+def _language_facts(around: Column) -> dict[str, Column]:
+    """Level and whether it is required, by what is said around a mention."""
+    a = F.lower(around)
+    level = F.when(contains_any(a, ("流利", "熟练", "可作为工作语言", "business")), "fluent").when(contains_any(a, ("cet-6", "cet6", "六级", "n1")), "advanced").when(contains_any(a, ("cet-4", "cet4", "四级", "n2")), "intermediate")
+    return {"level": level, "required": ~contains_any(around, ("优先", "加分"))}
+
+
 def languages(text: Column) -> Column:
-    """array of struct(language, level, required); the level comes from 24 characters around the first hit."""
+    """array of struct(language, level, required); the level comes from 24 characters around the first hit of the first word that occurs."""
     low = F.lower(text)
     found = []
     for name, words in LANGUAGE_PATTERNS.items():
         at = F.coalesce(*[F.nullif(F.instr(low, w), F.lit(0)) for w in words])
         size = F.coalesce(*[F.when(F.instr(low, w) > 0, F.lit(len(w))) for w in words])
         left = F.greatest(F.lit(1), at - 24)
-        around = F.substring(text, left, at - left + size + 24)
-        a = F.lower(around)
-        level = F.when(contains_any(a, ("流利", "熟练", "可作为工作语言", "business")), "fluent").when(contains_any(a, ("cet-6", "cet6", "六级", "n1")), "advanced").when(contains_any(a, ("cet-4", "cet4", "四级", "n2")), "intermediate")
-        found.append(F.when(at.isNotNull(), F.struct(F.lit(name).alias("language"), level.alias("level"), (~contains_any(around, ("优先", "加分"))).alias("required"))))
+        facts = _language_facts(F.substring(text, left, at - left + size + 24))
+        found.append(F.when(at.isNotNull(), F.struct(F.lit(name).alias("language"), *[v.alias(k) for k, v in facts.items()])))
     return F.array_compact(F.array(*found))
 
 
+def language_mentions(text: Column) -> Column:
+    """array of struct(language, at, hit, around, level, required): every mention of a language, each with what is said around it."""
+    words = {w: name for name, ws in LANGUAGE_PATTERNS.items() for w in ws}
+    names = F.create_map(*[F.lit(x) for pair in words.items() for x in pair])
+    hits = occurrences(text, "(?i:" + "|".join(words) + ")")
+
+    def mention(x: Column) -> Column:
+        around = F.concat(x["left"], x["hit"], x["right"])
+        facts = _language_facts(around)
+        return F.struct(F.element_at(names, F.lower(x["hit"])).alias("language"), x["at"].alias("at"), x["hit"].alias("hit"), around.alias("around"), *[v.alias(k) for k, v in facts.items()])
+
+    return F.transform(hits, mention)
+
+
 def certifications(text: Column) -> Column:
     return F.array_compact(F.array(*[F.when(F.lower(text).contains(c.lower()), F.lit(c)) for c in CERTIFICATIONS]))
 
@@ -205,5 +225,23 @@ def description_text(raw: Column) -> Column:
     return F.when(s.startswith("{") & (joined != ""), joined).otherwise(s)
 
 
-def responsibilities(section: Column) -> Column:
-    return F.coalesce(F.slice(bullet_items(section), 1, 8), strings())
+def responsibilities(text: Column) -> Column:
+    """Up to eight items of the first part on the work, none without such a part."""
+    return section_items(text, RESPONSIBILITY_MARKERS, SECTION_ENDS, 8)
+
+
+def _highlight(c: Column) -> Column:
+    """An item without heading, number and marks before it; null if nothing stays or all of it is words with strokes between."""
+    s = strip(F.regexp_replace(strip(c), r"(?U)^(?:项|加分项|福利待遇|优选条件|优先条件)[?:\s-]*", ""))
+    s = F.regexp_replace(F.regexp_replace(s, r"(?U)^(?:\d+|\?+)[)?.:]\s*", ""), "^[?: ]+", "")
+    s = F.regexp_replace(F.regexp_replace(s, "^[?,; ]+|[?,; ]+$", ""), "^[^A-Za-z0-9一-龥]+", "")
+    return F.when((s != "") & ~s.rlike("^[A-Za-z一-龥]+(?:/[A-Za-z一-龥]+)+$"), s)
+
+
+def highlights(text: Column) -> Column:
+    """Up to six items: four of each part on benefits or what is welcome; without any, sentences of the text that tell of such."""
+    told = lambda x: ~contains_any(x, RESPONSIBILITY_MARKERS + EDUCATION_WORDS) & contains_any(x, HIGHLIGHT_KEYWORDS)
+    parts = F.flatten(F.array(*[section_items(text, (m,), SECTION_ENDS, 4) for m in HIGHLIGHT_MARKERS]))
+    named = F.array_compact(F.transform(parts, _highlight))
+    spread = F.filter(F.array_compact(F.transform(bullet_items(text), _highlight)), told)
+    return let(named, lambda n: F.slice(dedupe_ci(F.when(F.size(n) > 0, n).otherwise(spread)), 1, 6))

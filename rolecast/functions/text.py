@@ -7,13 +7,14 @@ sums of products that end on a five come out alike in any order of summation.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 from operator import or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .dictionaries import CONTACT_LABELS, PLACEHOLDERS
+from .dictionaries import CONTACT_LABELS, ITEM_HEADINGS, PLACEHOLDERS, RESPONSIBILITY_MARKERS, SECTION_ENDS
 
 EMAIL = r"(?iU)\b[\w.+-]+@[\w-]+(?:\.[\w-]+)+\b"
 URL = r"(?i)https?://\S+|www\.\S+"
@@ -34,6 +35,11 @@ def strings(*values: Column | str) -> Column:
     return F.array(*[v if isinstance(v, Column) else F.lit(v) for v in values]) if values else F.array().cast("array<string>")
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value computed once a row: what a lambda of ``transform`` names otherwise, it computes for each element."""
+    return F.transform(F.array(value), body)[0]
+
+
 def strip(c: Column) -> Column:
     return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
 
@@ -74,8 +80,8 @@ def scrub_contacts(c: Column) -> Column:
 def dedupe_ci(items: Column) -> Column:
     """Blank items dropped, the first spelling of each kept, in order."""
     full = F.filter(F.transform(items, strip), lambda x: x.isNotNull() & (x != ""))
-    keys = F.transform(full, F.lower)
-    return F.filter(full, lambda x, i: F.array_position(keys, F.lower(x)) == i + 1)
+    first = lambda full, keys: F.filter(full, lambda x, i: F.array_position(keys, F.lower(x)) == i + 1)
+    return let(full, lambda f: let(F.transform(f, F.lower), lambda keys: first(f, keys)))
 
 
 def first_present(*columns: Column) -> Column:
@@ -139,20 +145,64 @@ def match_cities(c: Column) -> Column:
     return F.array_distinct(F.transform(parts, lambda x: F.when(F.length(x) > 1, F.regexp_replace(x, "市$", "")).otherwise(x)))
 
 
-def section_text(c: Column, marker: str, ends) -> Column:
-    """What follows the first marker, up to the nearest end marker."""
-    at = F.instr(c, marker)
-    tail = F.regexp_replace(F.substring(c, at + len(marker), F.length(c)), r"^[：:\-\s]+", "")
-    stops = F.array_compact(F.array(*[F.when(F.instr(tail, e) > 0, F.instr(tail, e)) for e in ends]))
-    cut = F.array_min(stops)
-    return F.when(at > 0, strip(F.when(cut.isNotNull(), F.substring(tail, F.lit(1), cut - 1)).otherwise(tail)))
+def section_text(c: Column, marker: str | Column, ends) -> Column:
+    """What follows the first marker, up to the nearest end marker; null without the marker."""
+    mark = F.lit(marker) if isinstance(marker, str) else marker
+    tail = F.regexp_replace(F.substring(c, F.position(mark, c) + F.length(mark), F.length(c)), r"(?U)^[：:\-\s]+", "")
+
+    def cut(t: Column) -> Column:
+        stop = F.array_min(F.filter(F.transform(strings(*ends), lambda e: F.position(e, t)), lambda p: p > 0))
+        return strip(F.when(stop.isNotNull(), F.substring(t, F.lit(1), stop - 1)).otherwise(t))
+
+    return F.when(F.position(mark, c) > 0, let(tail, cut))
 
 
 def bullet_items(c: Column) -> Column:
-    """Items of a list written as text: bullets, numbers, semicolons, sentences of at least six characters."""
-    marked = F.regexp_replace(c, r"[•●▪■◆·]|\s[-—–|]\s|[；;\n]+|(?<=[。！？])|(?:^|\s)\d{1,2}[.、)）]\s*", "\u0001")
-    items = F.transform(F.split(marked, "\u0001"), lambda x: strip(F.regexp_replace(x, r"^\s*(?:\d{1,2}[.、)）]|[（(]\d{1,2}[)）])\s*", "")))
-    return dedupe_ci(F.filter(items, lambda x: F.length(x) >= 6))
+    """Items of a list written as text: lines, bullets, spaced dashes and bars, numbers, semicolons, sentences.
+
+    Numbers and a heading before an item go, and so do stops around it; items under six characters or that hold a marker of a part do, too.
+    """
+    lines = F.regexp_replace(c, r"[\r•●▪■◆◇]|(?U:\s+(?:[-–—]|\|)\s+)", "\n")
+    lines = F.regexp_replace(lines, r"(?U)(?:^|\n)\s*(?:\d+|[一二三四五六七八九十]+)[、.．:：)]\s*", "\n")
+    lines = F.regexp_replace(lines, r"(?U)[；;]|(?<=[。！？])\s*", "\n")
+    bare = lambda x: strip(F.regexp_replace(x, r"(?U)^[\-\d、.．:：()（）\s]+", ""))
+    headless = lambda x: F.regexp_replace(x, "(?U)^(?:" + "|".join(ITEM_HEADINGS) + r")[：:\s-]*", "")
+    items = F.transform(F.split(lines, r"[\n\x0B\f\x1C-\x1E\x85\u2028\u2029]"), lambda x: F.regexp_replace(headless(bare(x)), "^[，,。；; ]+|[，,。；; ]+$", ""))
+    return dedupe_ci(F.filter(items, lambda x: (F.length(x) >= 6) & ~contains_any(x, RESPONSIBILITY_MARKERS + SECTION_ENDS)))
+
+
+def section_items(c: Column, markers, ends, most: int) -> Column:
+    """The first items of the first part, by the order of markers, that has any; else an empty list."""
+    parts = F.transform(F.transform(strings(*markers), lambda m: section_text(c, m, ends)), lambda s: F.slice(bullet_items(F.coalesce(s, F.lit(""))), 1, most))
+    return F.coalesce(F.try_element_at(F.filter(parts, lambda p: F.size(p) > 0), F.lit(1)), strings())
+
+
+def running(lengths: Column, block: int = 256) -> Column:
+    """Sums of an array of whole numbers up to and with each element: within blocks, on top of what the blocks before hold."""
+    total = lambda a: F.aggregate(a, F.lit(0), lambda s, x: s + x)
+    starts = F.when(F.size(lengths) > 0, F.sequence(F.lit(1), F.size(lengths), F.lit(block))).otherwise(F.array().cast("array<int>"))
+    blocks = let(lengths, lambda a: F.transform(starts, lambda s: F.slice(a, s, F.lit(block))))
+
+    def joined(parts: Column) -> Column:
+        before = let(F.transform(parts, total), lambda sums: F.transform(sums, lambda _, i: total(F.slice(sums, F.lit(1), i))))
+        return F.flatten(F.zip_with(parts, before, lambda p, b: F.transform(p, lambda _, i: b + total(F.slice(p, F.lit(1), i + 1)))))
+
+    return let(blocks, joined)
+
+
+def occurrences(c: Column, pattern: str, reach: int = 24) -> Column:
+    """array of struct(at, hit, left, right): all matches of a pattern from the left, none over another.
+
+    ``at`` counts characters from 1; left and right are up to ``reach`` characters on either side. The text is read a few times, however many
+    matches it has: places are sums of what lies between matches, and what surrounds a match is taken by looking around. The pattern has no groups
+    that capture and matches no empty text; null gives null.
+    """
+    one = "[\\x00-\U0010ffff]"  # with the last code point spelled out, looking behind counts code points
+    near = rf"(?s)(?=(?:{pattern}))(?<=(\A{one}{{0,{reach - 1}}}|{one}{{{reach}}}))({pattern})(?=(.{{0,{reach}}}))"
+    left, hits, right = (F.regexp_extract_all(c, F.lit(near), F.lit(i)) for i in (1, 2, 3))
+    gaps = F.transform(F.split(c, rf"(?s)(?:{pattern})", -1), F.length)
+    ends = let(hits, lambda h: running(F.zip_with(F.slice(gaps, F.lit(1), F.size(h)), h, lambda g, x: g + F.length(x))))
+    return F.transform(F.arrays_zip(ends.alias("end"), hits.alias("hit"), left.alias("left"), right.alias("right")), lambda x: F.struct((x["end"] - F.length(x["hit"]) + 1).alias("at"), x["hit"].alias("hit"), x["left"].alias("left"), x["right"].alias("right")))
 
 
 def slug(c: Column) -> Column:
@@ -184,12 +234,24 @@ def text_blob(*columns: Column) -> Column:
     return F.array_join(dedupe_ci(F.array_compact(F.array(*columns))), "\n")
 
 
-def compact_range(a: Column, b: Column, unit: str = "") -> Column:
-    """'3-5', '3+', '≤5' or null."""
+def meaningful(c: Column) -> Column:
+    """Neither null, blank nor a stand-in that records are filled with."""
+    s = F.lower(strip(c))
+    return F.coalesce((s != "") & ~s.isin(*PLACEHOLDERS), F.lit(False))
+
+
+def meaningful_values(items: Column) -> Column:
+    return dedupe_ci(F.filter(items, meaningful))
+
+
+def shortened(c: Column, size: int) -> Column:
+    """At most ``size`` characters, the last of them an ellipsis where the text is longer."""
+    s = collapse(c)
+    return F.when(F.length(s) > size, F.concat(F.substring(s, 1, size - 1), F.lit("…"))).otherwise(s)
+
+
+def compact_range(a: Column, b: Column, unit: str | Column = "") -> Column:
+    """'3-5', '3' if equal or alone, or null; then the unit."""
     show = lambda x: F.regexp_replace(x.cast("string"), r"\.0$", "")
-    return (
-        F.when(a.isNotNull() & b.isNotNull() & (a != b), F.concat(show(a), F.lit("-"), show(b), F.lit(unit)))
-        .when(a.isNotNull() & b.isNotNull(), F.concat(show(a), F.lit(unit)))
-        .when(a.isNotNull(), F.concat(show(a), F.lit("+" + unit)))
-        .when(b.isNotNull(), F.concat(F.lit("≤"), show(b), F.lit(unit)))
-    )
+    tail = F.lit(unit) if isinstance(unit, str) else unit
+    return F.when(a.isNotNull() & b.isNotNull() & (a != b), F.concat(show(a), F.lit("-"), show(b), tail)).when(F.coalesce(a, b).isNotNull(), F.concat(show(F.coalesce(a, b)), tail))

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.text import strip
+
 
 def spearman(ranks: DataFrame, by: str = "resume_id", a: str = "rank_a", b: str = "rank_b", k: int = 5) -> DataFrame:
     """(by, n, rho, distance, normalised_distance, top_overlap) of two complete rankings; one item agrees fully."""
@@ -83,6 +85,59 @@ def fill_report(df: DataFrame, pairs: dict[str, tuple[Column, Column]]) -> DataF
     return rows.groupBy("field").agg(F.count_if(~F.col("before") & F.col("after")).alias("filled"), F.count_if(F.col("before") & F.col("after")).alias("kept"), F.count_if(F.col("before") & ~F.col("after")).alias("lost"))
 
 
+#: Paths of raw openings, any of which may hold a field, and the field's path in the normalised record.
+FILL_PATHS = (
+    (("department", "basic_info.department"), "basic_info.department"),
+    (("location", "basic_info.location"), "basic_info.location"),
+    (("job_type", "basic_info.job_type"), "basic_info.job_type"),
+    (("salary_negotiable", "basic_info.salary_negotiable"), "basic_info.salary_negotiable"),
+    (("salary_min", "basic_info.salary_min", "salary_range.min"), "basic_info.salary_min"),
+    (("salary_max", "basic_info.salary_max", "salary_range.max"), "basic_info.salary_max"),
+    (("salary_months_min", "basic_info.salary_months_min"), "basic_info.salary_months_min"),
+    (("salary_months_max", "basic_info.salary_months_max"), "basic_info.salary_months_max"),
+    (("intern_salary_amount", "basic_info.intern_salary_amount"), "basic_info.intern_salary_amount"),
+    (("intern_salary_unit", "basic_info.intern_salary_unit"), "basic_info.intern_salary_unit"),
+    (("responsibilities", "basic_info.responsibilities"), "basic_info.responsibilities"),
+    (("highlights", "basic_info.highlights"), "basic_info.highlights"),
+    (("skill_requirements.required",), "skill_requirements.required"),
+    (("skill_requirements.bonus",), "skill_requirements.bonus"),
+    (("experience_requirements.core",), "experience_requirements.core"),
+    (("experience_requirements.min_total_years", "experience_years", "min_total_years"), "experience_requirements.min_total_years"),
+    (("experience_requirements.max_total_years", "max_total_years"), "experience_requirements.max_total_years"),
+    (("education_constraints.min_degree", "min_degree"), "education_constraints.min_degree"),
+    (("education_constraints.prefer_degrees",), "education_constraints.prefer_degrees"),
+    (("education_constraints.required_majors",), "education_constraints.required_majors"),
+    (("education_constraints.preferred_majors",), "education_constraints.preferred_majors"),
+    (("education_constraints.languages",), "education_constraints.languages"),
+    (("education_constraints.certifications",), "education_constraints.certifications"),
+    (("education_constraints.age_range",), "education_constraints.age_range"),
+    (("education_constraints.other",), "education_constraints.other"),
+    (("tags",), "tags"),
+)
+
+
+def _paths_schema(paths) -> str:
+    """The DDL of a record whose paths, one or two names deep, are all texts (JSON text where they hold more)."""
+    tree: dict[str, list[str]] = {}
+    for head, _, leaf in (p.partition(".") for p in paths):
+        tree.setdefault(head, []).extend([leaf] if leaf else [])
+    return ", ".join(f"{head} struct<{', '.join(f'{x}: string' for x in leaves)}>" if leaves else f"{head} string" for head, leaves in tree.items())
+
+
+def job_fill_report(raw: DataFrame, jobs: DataFrame, id_col: str = "id", payload_col: str = "payload") -> DataFrame:
+    """``fill_report`` of raw openings (id, JSON payload) and their normalised records over ``FILL_PATHS``.
+
+    Blank texts, empty lists and empty objects are empty. A payload is parsed once; records without the other side are left out.
+    """
+    parsed = F.from_json(F.col(payload_col), _paths_schema([p for paths, _ in FILL_PATHS for p in paths]))
+    source = raw.select(F.col(id_col).alias("__id"), parsed.alias("__raw"))
+    rows = source.join(jobs.withColumnRenamed(id_col, "__id"), "__id")
+    given = lambda c: F.when(~strip(c).isin("", "[]", "{}"), c)
+    lists = lambda c, kind: F.when(F.size(c) > 0, "x") if kind.startswith("array") else strip(c.cast("string"))
+    kind = lambda path: rows.select(path).schema[0].dataType.simpleString()
+    return fill_report(rows, {path: (F.coalesce(*[given(F.col(f"__raw.{p}")) for p in paths]), lists(F.col(path), kind(path))) for paths, path in FILL_PATHS})
+
+
 def prompt_payload(title: Column, summary: Column, skills: Column, keywords: Column, top: int = 12) -> Column:
     """A compact JSON of one record: the head of each list, the summary in brief."""
     return F.to_json(F.struct(title.alias("title"), F.substring(summary, 1, 400).alias("summary"), F.slice(skills, 1, top).alias("skills"), F.slice(keywords, 1, top).alias("keywords")))

@@ -7,13 +7,13 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import facets, parsing
-from ..functions.text import bullet_items, collapse, compact_range, contains_any, dedupe_ci, first_list, none_of, scrub_contacts, section_text, strings, strip
+from ..functions.dictionaries import STACK_WORDS, STACKS
+from ..functions.text import collapse, compact_range, contains_any, dedupe_ci, first_list, meaningful, meaningful_values, none_of, scrub_contacts, section_text, shortened, strings, strip
 from ..storage import staged
 from . import tags as T
 from .maintain import changed_rows, tag_counts
 from .nested import clean_openings
 
-_ENDS = ("任职要求", "岗位要求", "职位要求", "任职资格", "福利", "职位亮点", "Requirements", "requirements", "Benefits", "benefits")
 #: What opens and what closes the part of a resume that tells of work.
 _WORK_STARTS = ("工作经历", "工作经验")
 _WORK_ENDS = ("项目经历", "项目经验", "教育经历", "教育背景", "技能", "自我评价")
@@ -22,13 +22,6 @@ _COMPANY = r"([^\s|,，]*(?:公司|集团|科技|网络|银行|Inc\.?|Ltd\.?|Cor
 _TITLE = r"([^\s|,，]*(?:工程师|开发|经理|架构师|主管|总监|实习生|[Ee]ngineer|[Dd]eveloper|[Mm]anager|[Aa]rchitect|[Ii]ntern))"
 
 
-def sections(text: Column) -> tuple[Column, Column]:
-    """(responsibilities, highlights) of a posting's text: items of the named sections, else of the whole for the former."""
-    duty = F.coalesce(section_text(text, "岗位职责", _ENDS), section_text(text, "工作职责", _ENDS), section_text(text, "Responsibilities", _ENDS), text)
-    plus = F.coalesce(section_text(text, "职位亮点", _ENDS), section_text(text, "福利待遇", _ENDS), section_text(text, "Benefits", _ENDS))
-    return F.slice(bullet_items(F.coalesce(duty, F.lit(""))), 1, 8), F.slice(F.coalesce(bullet_items(plus), strings()), 1, 6)
-
-
 def normalize_jobs(flat: DataFrame, as_of: Column, model: DataFrame | None = None) -> DataFrame:
     """Nested openings from the flat ones of ``sources.records.map_boards``.
 
@@ -44,7 +37,7 @@ def normalize_jobs(flat: DataFrame, as_of: Column, model: DataFrame | None = Non
             rows = rows.withColumn(n, F.coalesce(f"m_{n}", n))
         rows = rows.withColumn("skills", first_list(c("m_skills"), c("skills")))
     text = F.coalesce("text", "summary")
-    duty, plus = sections(text)
+    duty, plus = parsing.responsibilities(F.coalesce(text, F.lit(""))), parsing.highlights(F.coalesce(text, F.lit("")))
     skills, roles = c("skills"), facets.role_categories(c("title"), c("summary"))
     intern = facets.is_internship(c("title"), none_of("string"), c("summary"))
     modes, cities, ai = facets.work_modes(c("title"), c("location"), c("summary")), facets.match_city_list(c("location")), facets.ai_capabilities(c("title"), c("summary"))
@@ -186,17 +179,52 @@ def display_summary(df: DataFrame) -> DataFrame:
     return df.withColumn("display_summary", F.when(dump | (text == ""), made).otherwise(cut))
 
 
+def _items(w: Column) -> Column:
+    return meaningful_values(F.concat(F.coalesce(w["responsibilities"], strings()), F.coalesce(w["achievements"], strings())))
+
+
 def experience_headline(w: Column) -> Column:
-    """Of a piece of work: its title, else company, else a label of its stack, else the head of its first item."""
-    stack = F.array_join(F.slice(F.coalesce(w["tech_stack"], strings()), 1, 2), "/")
-    return F.coalesce(F.nullif(strip(w["title"]), F.lit("")), F.nullif(strip(w["company_name"]), F.lit("")), F.when(stack != "", F.concat(stack, F.lit(" developer"))), F.substring(F.try_element_at(w["responsibilities"], F.lit(1)), 1, 24))
+    """Of a piece of work: its title, else company, else the kind of work by its stack and items, else the head of its first item, else a plain word."""
+    stack, told = F.transform(meaningful_values(F.coalesce(w["tech_stack"], strings())), F.lower), F.lower(F.array_join(_items(w), " "))
+    does = {k: F.arrays_overlap(stack, strings(*STACKS[k])) | contains_any(told, STACK_WORDS[k]) for k in STACKS}
+    several = sum((d.cast("int") for d in does.values()), F.lit(0)) > 1
+    kind = F.when(several, "全栈开发经历")
+    for k, d in does.items():
+        kind = kind.when(d, f"{k}开发经历")
+    first = shortened(F.try_element_at(meaningful_values(F.coalesce(w["responsibilities"], strings())), F.lit(1)), 24)
+    return F.coalesce(*[F.when(meaningful(w[n]), w[n]) for n in ("title", "company_name")], kind, first, F.lit("开发经历"))
+
+
+def experience_meta(w: Column) -> Column:
+    """What stands under the headline: the company (below a title) or industry, else the place, else the level."""
+    first = F.when(meaningful(w["title"]), w["company_name"]).otherwise(w["industry"])
+    return F.coalesce(*[F.when(meaningful(x), x) for x in (first, w["location"], w["level"])])
+
+
+def experience_note(w: Column) -> Column:
+    """The first item in 80 characters, else up to four names of the stack."""
+    stack = F.slice(meaningful_values(F.coalesce(w["tech_stack"], strings())), 1, 4)
+    return F.coalesce(shortened(F.try_element_at(_items(w), F.lit(1)), 80), F.when(F.size(stack) > 0, F.concat(F.lit("技术栈："), F.array_join(stack, " / "))))
+
+
+def salary_label(info: Column) -> Column:
+    """The pay of an opening's basic_info: negotiable, a range with its currency, a rate of interns, months paid; what is missing is left out."""
+    currency = F.when(meaningful(info["currency"]), info["currency"]).otherwise("CNY")
+    unit = F.coalesce(F.concat(F.lit(" "), F.nullif(info["intern_salary_unit"], F.lit(""))), F.lit(""))
+    pay = F.coalesce(compact_range(info["salary_min"], info["salary_max"], F.concat(F.lit(" "), currency)), compact_range(info["intern_salary_amount"], info["intern_salary_amount"], unit))
+    months = compact_range(info["salary_months_min"], info["salary_months_max"], " 薪")
+    label = F.concat_ws(" / ", pay, months)
+    return F.when(F.coalesce(info["salary_negotiable"], F.lit(False)), "薪资面议").when(label != "", label).otherwise("暂无薪资信息")
+
+
+def monthly_label(low: Column, high: Column) -> Column:
+    """A wanted monthly pay: both ends, one of them, or none."""
+    return F.when(low.isNotNull() & high.isNotNull(), compact_range(low, high, " 元/月")).when(low.isNotNull(), compact_range(low, low, " 元/月起")).when(high.isNotNull(), compact_range(high, high, " 元/月以内")).otherwise("未注明")
 
 
-def salary_label(low: Column, high: Column, months: Column | None = None) -> Column:
-    """'15-25K', with the months paid if more than twelve."""
-    k = lambda x: F.bround(x / 1000, 0).cast("int")
-    label = compact_range(k(low), k(high), "K")
-    return label if months is None else F.when(months > 12, F.concat(label, F.lit("·"), months.cast("string"), F.lit("薪"))).otherwise(label)
+def posted_label(at: Column, days: Column) -> Column:
+    """The day of posting, else how many days ago."""
+    return F.coalesce(F.date_format(at, "yyyy-MM-dd"), F.concat(days.cast("string"), F.lit(" 天前")), F.lit("未注明"))
 
 
 def tag_changes(stored: DataFrame, now: DataFrame) -> DataFrame:

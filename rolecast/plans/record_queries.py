@@ -15,7 +15,8 @@ from ..operators import skills as K
 from ..sources import dumps, json_arrays, records
 from ..storage import new_folder, staged
 from . import engine
-from .bindings import bind, read, sql_categories, with_ctes
+from .bindings import bind, case, quoted, read, sql_any, sql_categories, with_ctes
+from .text_queries import _first_case, _pay_sql, _skill_sql, _years_sql
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -80,18 +81,123 @@ def posting_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bind(spark, sf_dir, "fx_text").select("job_id", parsing.job_id(explicit, other, url, c("summary")).alias("id"), parsing.clean_raw(F.concat(F.lit(" "), "summary", "needs"), 12).alias("head"))
 
 
-_SECTION = "concat('公司介绍 岗位职责：1. 负责', title, '的日常开发；2、', summary, ' 以及维护；短 任职要求：', needs, ' 职位亮点：', company, ' 提供免费午餐；', part_name, ' 团队氛围')"
+#: Fixed values of the postings' texts, chosen by remainders of keys.
+_DUTY_MARKS, _NEED_MARKS, _PLUS_MARKS = ("岗位职责", "工作内容", "你将参与", "关于我们", "职位职责"), ("任职要求", "岗位要求", "我们希望你", "其他要求"), ("福利待遇", "加分项", "另外", "优先条件")
+_MAJORS = ("计算机、软件工程等相关专业优先，", "本科学历数学/统计学、电子类相关专业；", "2025届统招本科及以上 自动化专业优先；", "", "计算机，信息安全相关专业者优先，", "相关专业；", "通信工程专业，")
+_TONGUES = ("英语六级，可作为工作语言；德语加分", "日语N2优先，英文文档阅读", "英语CET-4及以上，能够长期稳定地与海外的同事每天用电子邮件往来沟通，另外要求法语流利", "", "韩语或日语熟练；英语不限")
+_BODY = f"""concat(company, '招聘 ', title, chr(10), {case("job_id", _DUTY_MARKS)}, '：1. 负责', title, '的日常开发；2、', summary, ' 以及维护；短；负责', title, '的日常开发。每周到岗四天以上 | 连续实习3个月以上；
+ 三、与', company, '的团队协作 - 定期出差到现场', chr(10), {case("job_id", _NEED_MARKS)}, '：', {case("job_id", _MAJORS)}, needs, '；', {case("job_id", _TONGUES)}, chr(10), {case("job_id", _PLUS_MARKS)}, '：', company, ' 提供免费午餐；前端/后端/测试；', part_name, ' 有餐补和班车；提供弹性工作时间')"""
+
+
+def _sql_list(words) -> str:
+    return "[" + ", ".join(quoted(w) for w in words) + "]"
+
+
+def _once(f: str) -> str:
+    """DuckDB: a list without repeats, whatever their case."""
+    return f"list_filter({f}, lambda x, i: list_position(list_transform({f}, lambda y: lower(y)), lower(x)) = i)"
+
+
+def _items(c: str) -> str:
+    """DuckDB: items of a text, repeats among them."""
+    lines = rf"regexp_replace({c}, '[\r•●▪■◆◇]|\s+(?:[-–—]|\|)\s+', chr(10), 'g')"
+    lines = rf"regexp_replace({lines}, '(?:^|\n)\s*(?:\d+|[一二三四五六七八九十]+)[、.．:：)]\s*', chr(10), 'g')"
+    lines = rf"regexp_replace(regexp_replace({lines}, '[；;]', chr(10), 'g'), '([。！？])\s*', '\1' || chr(10), 'g')"
+    bare = rf"regexp_replace(trim(regexp_replace(x, '^[\-\d、.．:：()（）\s]+', '')), '^(?:{'|'.join(D.ITEM_HEADINGS)})[：:\s-]*', '')"
+    parts = f"list_transform(string_split({lines}, chr(10)), lambda x: trim(regexp_replace({bare}, '^[，,。；; ]+|[，,。；; ]+$', '', 'g')))"
+    return f"list_filter({parts}, lambda x: length(x) >= 6 AND NOT {sql_any('x', D.RESPONSIBILITY_MARKERS + D.SECTION_ENDS)})"
+
+
+def _parts(markers, most: int) -> str:
+    """DuckDB: the items of the parts behind each marker of ``body``, by marker."""
+    tails = rf"list_transform({_sql_list(markers)}, lambda m: CASE WHEN strpos(body, m) > 0 THEN regexp_replace(substr(body, strpos(body, m) + length(m)), '^[：:\-\s]+', '') ELSE '' END)"
+    stop = f"list_min(list_filter(list_transform({_sql_list(D.SECTION_ENDS)}, lambda e: strpos(t, e)), lambda p: p > 0))"
+    cuts = f"list_transform({tails}, lambda t: trim(CASE WHEN {stop} IS NOT NULL THEN substr(t, 1, {stop} - 1) ELSE t END, ' ' || chr(10)))"
+    return f"list_transform(list_transform({cuts}, lambda c: {_items('c')}), lambda f: ({_once('f')})[1:{most}])"
+
+
+def _shine(list_sql: str) -> str:
+    """DuckDB: what of the items may be shown."""
+    s = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(trim(regexp_replace(x, '^(?:项|加分项|福利待遇|优选条件|优先条件)[?:\s-]*', '')), '^(?:\d+|\?+)[)?.:]\s*', ''), '^[?: ]+', ''), '^[?,; ]+|[?,; ]+$', '', 'g'), '^[^A-Za-z0-9一-龥]+', '')"
+    return f"list_filter(list_transform({list_sql}, lambda x: {s}), lambda x: x <> '' AND NOT regexp_full_match(x, '[A-Za-z一-龥]+(?:/[A-Za-z一-龥]+)+'))"
 
 
 @query(
     "posting_sections",
-    with_ctes(["fx_text"], r"""SELECT job_id, concat('1. 负责', title, '的日常开发；2、', summary, ' 以及维护；短') AS section, concat_ws('|', concat('负责', title, '的日常开发'), concat(summary, ' 以及维护')) AS duties, 2 AS n_items, concat_ws('|', concat(company, ' 提供免费午餐'), concat(part_name, ' 团队氛围')) AS highlights FROM fx_text"""),
+    with_ctes(["fx_text"], f"""SELECT job_id, duties, CAST(n AS INT) AS n_items, array_to_string(({_once("h")})[1:6], '|') AS highlights FROM
+ (SELECT job_id, array_to_string(coalesce(d, []), '|') AS duties, len(coalesce(d, [])) AS n, CASE WHEN len(named) > 0 THEN named ELSE spread END AS h FROM
+ (SELECT job_id, list_filter({_parts(D.RESPONSIBILITY_MARKERS, 8)}, lambda x: len(x) > 0)[1] AS d, {_shine(f"flatten({_parts(D.HIGHLIGHT_MARKERS, 4)})")} AS named,
+ list_filter({_shine(_items("body"))}, lambda x: NOT {sql_any("x", D.RESPONSIBILITY_MARKERS + D.EDUCATION_WORDS)} AND {sql_any("x", D.HIGHLIGHT_KEYWORDS)}) AS spread FROM (SELECT job_id, {_BODY} AS body FROM fx_text)))"""),
 )
 def posting_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _sql(spark, sf_dir, "fx_text", f"job_id, {_SECTION} AS body")
-    duty, plus = normalize.sections(F.col("body"))
-    section = text.section_text(F.col("body"), "岗位职责", ("任职要求", "职位亮点"))
-    return rows.select("job_id", section.alias("section"), F.array_join(duty, "|").alias("duties"), F.size(parsing.responsibilities(section)).alias("n_items"), F.array_join(plus, "|").alias("highlights"))
+    """What the work is and what is offered, out of postings whose parts begin and end with differing words."""
+    rows = _sql(spark, sf_dir, "fx_text", f"job_id, {_BODY} AS body").select("job_id", parsing.responsibilities(F.col("body")).alias("duties"), parsing.highlights(F.col("body")).alias("plus"))
+    return rows.select("job_id", F.array_join("duties", "|").alias("duties"), F.size("duties").alias("n_items"), F.array_join("plus", "|").alias("highlights"))
+
+
+def _majors(preferred: bool) -> str:
+    """DuckDB: fields of study before the words that ask for one."""
+    find = [rf"'(?i)([一-龥A-Za-z/、，,\s]{{2,80}}?)(?:等)?{tail}'" for tail in ("相关专业(?:优先|者优先)?", "专业(?:优先|者优先)")]
+    pairs = "list_concat(" + ", ".join(f"list_zip(regexp_extract_all(body, {p}, 0), regexp_extract_all(body, {p}, 1))" for p in find) + ")"
+    kind = f"list_filter({pairs}, lambda p: contains(p[1], '优先') = {preferred})"
+    names = rf"list_transform({kind}, lambda p: regexp_replace(regexp_replace(p[2], '.*学历', '', 'g'), '\d{{4}}届|海内外|统招|学历|及以上|或研究生|或以上|以上', '', 'g'))"
+    tokens = rf"list_transform(flatten(list_transform({names}, lambda n: string_split_regex(n, '[、,/，]\s*|\s+'))), lambda t: trim(regexp_replace(regexp_replace(trim(t), '(相关专业|相关)$', ''), '(专业|类)$', '')))"
+    return f"list_filter({tokens}, lambda t: length(t) >= 2 AND t NOT IN ({', '.join(quoted(w) for w in D.MAJOR_STOPWORDS)}))"
+
+
+def _level(around: str) -> str:
+    sets = (("fluent", ("流利", "熟练", "可作为工作语言", "business")), ("advanced", ("cet-6", "cet6", "六级", "n1")), ("intermediate", ("cet-4", "cet4", "四级", "n2")))
+    return "CASE " + " ".join(f"WHEN {sql_any(f'lower({around})', w)} THEN '{n}'" for n, w in sets) + " END"
+
+
+def _tongues() -> str:
+    """DuckDB: each language by the first of its words that occurs."""
+    each = []
+    for name, words in D.LANGUAGE_PATTERNS.items():
+        places = "[" + ", ".join(f"{{'p': strpos(lower(body), '{w}'), 'n': {len(w)}}}" for w in words) + "]"
+        each.append(f"list_transform(list_filter({places}, lambda x: x.p > 0)[1:1], lambda x: {{'name': '{name}', 'around': substr(body, greatest(1, x.p - 24), x.p - greatest(1, x.p - 24) + x.n + 24)}})")
+    return f"list_transform(list_concat({', '.join(each)}), lambda x: concat_ws(':', x.name, coalesce({_level('x.around')}, '-'), CASE WHEN contains(x.around, '优先') OR contains(x.around, '加分') THEN 'false' ELSE 'true' END))"
+
+
+@query(
+    "education_fields",
+    with_ctes(["fx_text"], f"""SELECT job_id, array_to_string({_once("required")}, ',') AS required_majors, array_to_string({_once("preferred")}, ',') AS preferred_majors, array_to_string(tongues, ',') AS languages, array_to_string(({_once("other")})[1:6], '|') AS other FROM
+ (SELECT job_id, {_majors(False)} AS required, {_majors(True)} AS preferred, {_tongues()} AS tongues, list_filter({_items("body")}, lambda x: {sql_any("x", D.OTHER_CONSTRAINT_WORDS)}) AS other FROM (SELECT job_id, {_BODY} AS body FROM fx_text))"""),
+)
+def education_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fields of study, languages with level and need, and other constraints of whole postings."""
+    rows = _sql(spark, sf_dir, "fx_text", f"job_id, {_BODY} AS body").select("job_id", parsing.education_constraints(F.col("body")).alias("e"))
+    tongues = F.transform("e.languages", lambda x: F.concat_ws(":", x["language"], F.coalesce(x["level"], F.lit("-")), x["required"].cast("string")))
+    return rows.select("job_id", F.array_join("e.required_majors", ",").alias("required_majors"), F.array_join("e.preferred_majors", ",").alias("preferred_majors"), F.array_join(tongues, ",").alias("languages"), F.array_join("e.other", "|").alias("other"))
+
+
+def _places(source: str, key: str, column: str, pattern: str, reach: int) -> str:
+    """DuckDB: matches with their places by sums over rows, and what is around them."""
+    return f"""SELECT {key}, CAST(place AS INT) AS place, hit, substr({column}, greatest(1, place - {reach}), place - greatest(1, place - {reach}) + length(hit) + {reach}) AS around FROM
+ (SELECT *, sum(length(gap) + length(hit)) OVER (PARTITION BY {key} ORDER BY i)::BIGINT - length(hit) + 1 AS place FROM
+ (SELECT {key}, {column}, unnest(string_split_regex({column}, '{pattern}')[1:len(h)]) AS gap, unnest(h) AS hit, unnest(range(1, len(h) + 1)) AS i FROM (SELECT *, regexp_extract_all({column}, '{pattern}') AS h FROM {source})))"""
+
+
+_TONGUE_WORDS = {w: n for n, ws in D.LANGUAGE_PATTERNS.items() for w in ws}
+
+
+@query(
+    "language_mentions",
+    with_ctes(["fx_text"], f"""SELECT job_id, place, hit, around, CASE {" ".join(f"WHEN lower(hit) = '{w}' THEN '{n}'" for w, n in _TONGUE_WORDS.items())} END AS language, {_level("around")} AS level, NOT (contains(around, '优先') OR contains(around, '加分')) AS required FROM
+ ({_places(f"(SELECT job_id, {_BODY} AS body FROM fx_text)", "job_id", "body", "(?i)" + "|".join(_TONGUE_WORDS), 24)})"""),
+)
+def language_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every mention of a language in postings, with its place, level and need."""
+    rows = _sql(spark, sf_dir, "fx_text", f"job_id, {_BODY} AS body").select("job_id", F.explode(parsing.language_mentions(F.col("body"))).alias("m"))
+    return rows.select("job_id", F.col("m.at").alias("place"), "m.hit", "m.around", "m.language", "m.level", "m.required")
+
+
+@query("document_mentions", _places("(SELECT doc_id, text FROM documents)", "doc_id", "text", "(?i)data|model|search|river|copyright", 16))
+def document_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All places of some words in whole documents, with sixteen characters on either side."""
+    hits = text.occurrences(F.col("text"), "(?i:data|model|search|river|copyright)", 16)
+    rows = read(spark, sf_dir, "documents").select("doc_id", F.explode(hits).alias("m"))
+    return rows.select("doc_id", F.col("m.at").alias("place"), "m.hit", F.concat("m.left", "m.hit", "m.right").alias("around"))
 
 
 @query(
@@ -126,18 +232,60 @@ def person_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bind(spark, sf_dir, "fx_people").select("resume_id", F.array_join(F.transform(made, lambda t: F.concat_ws(":", t["category"], t["name"])), ",").alias("tags"), F.array_join(tags.facet_values(stored, "role_categories", text.strings("fallback")), ",").alias("facet"))
 
 
+def _real(c: str) -> str:
+    """DuckDB: the text unless it is blank or a stand-in."""
+    return f"CASE WHEN trim({c}) <> '' AND lower(trim({c})) NOT IN ({_PH}) THEN {c} END"
+
+
+def _short(c: str, n: int) -> str:
+    return f"CASE WHEN length({c}) > {n} THEN concat(substr({c}, 1, {n - 1}), '…') ELSE {c} END"
+
+
+_WORK = """SELECT o_orderkey AS id, CASE o_orderkey % 5 WHEN 0 THEN concat('Engineer ', o_custkey) WHEN 1 THEN 'Role Pending' ELSE ' ' END AS title, CASE o_orderkey % 4 WHEN 0 THEN concat('C', o_custkey) WHEN 1 THEN 'company pending' END AS company_name,
+ CASE o_orderkey % 3 WHEN 0 THEN o_orderpriority END AS industry, CASE o_orderkey % 7 WHEN 0 THEN o_orderstatus END AS location, CASE o_orderkey % 2 WHEN 0 THEN 'L2' END AS level,
+ CASE o_orderkey % 11 WHEN 0 THEN 'Vue' WHEN 1 THEN 'MySQL' WHEN 2 THEN 'flutter' WHEN 3 THEN 'uniapp' WHEN 4 THEN 'C++' END AS tech, CASE o_orderkey % 13 WHEN 0 THEN concat('负责前端页面与 ', o_orderpriority, ' 的小程序交付以及长期维护和文档编写工作') WHEN 1 THEN '编写接口' WHEN 2 THEN concat('审计 ', o_orderpriority, ' 的账目并整理成为每个季度的报告和说明文件') WHEN 3 THEN 'skill pending' END AS item,
+ CASE o_orderkey % 6 WHEN 0 THEN '移动端上线' END AS won FROM {t}"""
+_DOES = {k: "(" + f"coalesce(lower({_real('tech')}) IN ({', '.join(quoted(w) for w in D.STACKS[k])}), false) OR " + sql_any("told", D.STACK_WORDS[k]) + ")" for k in D.STACKS}
+
+
+@query(
+    "work_labels",
+    f"""SELECT id, coalesce({_real("title")}, {_real("company_name")}, CASE WHEN {" + ".join(f"CAST({d} AS INT)" for d in _DOES.values())} > 1 THEN '全栈开发经历' {" ".join(f"WHEN {d} THEN '{k}开发经历'" for k, d in _DOES.items())} END, {_short("first", 24)}, '开发经历') AS headline,
+ coalesce(CASE WHEN ({_real("title")}) IS NOT NULL THEN {_real("company_name")} ELSE {_real("industry")} END, {_real("location")}, {_real("level")}) AS meta, coalesce({_short("coalesce(first, won)", 80)}, CASE WHEN tech IS NOT NULL THEN concat('技术栈：', tech) END) AS note FROM
+ (SELECT *, {_real("item")} AS first, lower(concat_ws(' ', {_real("item")}, won)) AS told FROM ({_WORK.replace("{t}", "orders")}))""",
+)
+def work_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Headline, line below it and note of pieces of work, whose fields are there, missing or stand-ins."""
+    c = F.col
+    rows = spark.sql(_WORK, t=read(spark, sf_dir, "orders"))
+    work = F.struct("title", "company_name", "industry", "location", "level", F.array("tech").alias("tech_stack"), F.array("item").alias("responsibilities"), F.array("won").alias("achievements"))
+    rows = rows.select("id", work.alias("w"))
+    return rows.select("id", normalize.experience_headline(c("w")).alias("headline"), normalize.experience_meta(c("w")).alias("meta"), normalize.experience_note(c("w")).alias("note"))
+
+
+_OFFER = """SELECT p_partkey AS job_id, p_partkey % 7 = 0 AS salary_negotiable, CASE WHEN p_partkey % 3 > 0 THEN 6000 + (p_partkey % 200) * 100 END AS salary_min, CASE p_partkey % 4 WHEN 0 THEN NULL WHEN 1 THEN 6000 + (p_partkey % 200) * 100 ELSE 9000 + (p_partkey % 200) * 130 END AS salary_max,
+ CASE WHEN p_size % 5 = 0 THEN 'USD' WHEN p_size % 5 = 1 THEN ' ' END AS currency, CASE WHEN p_size % 4 = 0 THEN p_size * 10 END AS intern_salary_amount, CASE WHEN p_size % 8 = 0 THEN '元/天' END AS intern_salary_unit, CASE WHEN p_size % 3 = 0 THEN 12 END AS salary_months_min, CASE WHEN p_size % 6 = 0 THEN 14 END AS salary_months_max,
+ CASE WHEN p_size % 2 = 0 THEN CAST('2024-01-05 10:00:00' AS TIMESTAMP) END AS posted_at, CASE WHEN p_size % 3 = 0 THEN p_size END AS days FROM {t}"""
+
+
+def _span(a: str, b: str, unit: str) -> str:
+    return f"CASE WHEN {a} <> {b} THEN concat({a}, '-', {b}, {unit}) ELSE concat(coalesce({a}, {b}), CASE WHEN coalesce({a}, {b}) IS NOT NULL THEN {unit} END) END"
+
+
 @query(
     "labels_shown",
-    with_ctes(["fx_jobs"], """SELECT job_id, concat(CASE WHEN a = b THEN CAST(a AS VARCHAR) ELSE concat(a, '-', b) END, 'K', CASE WHEN job_id % 3 = 0 THEN '·14薪' ELSE '' END) AS pay, CASE WHEN max_years IS NULL THEN concat(min_years, '+') WHEN max_years = min_years THEN CAST(min_years AS VARCHAR) ELSE concat(min_years, '-', max_years) END AS years,
- CASE job_id % 4 WHEN 0 THEN title WHEN 1 THEN company WHEN 2 THEN concat(split_part(title, ' ', 1), '/', split_part(title, ' ', 2), ' developer') ELSE 'wrote all of the code fo' END AS headline FROM (SELECT *, CAST(round_even(salary_min / 1000.0E0, 0) AS INT) AS a, CAST(round_even(salary_max / 1000.0E0, 0) AS INT) AS b FROM fx_jobs)"""),
+    f"""SELECT job_id, CASE WHEN salary_negotiable THEN '薪资面议' ELSE coalesce(nullif(concat_ws(' / ', coalesce(nullif(pay, ''), nullif(intern, '')), nullif(months, '')), ''), '暂无薪资信息') END AS pay,
+ CASE WHEN salary_min IS NOT NULL AND salary_max IS NOT NULL THEN {_span("salary_min", "salary_max", "' 元/月'")} WHEN salary_min IS NOT NULL THEN concat(salary_min, ' 元/月起') WHEN salary_max IS NOT NULL THEN concat(salary_max, ' 元/月以内') ELSE '未注明' END AS wanted,
+ CASE WHEN posted_at IS NOT NULL THEN strftime(posted_at, '%Y-%m-%d') WHEN days IS NOT NULL THEN concat(days, ' 天前') ELSE '未注明' END AS posted FROM
+ (SELECT *, {_span("salary_min", "salary_max", "concat(' ', coalesce(nullif(trim(currency), ''), 'CNY'))")} AS pay, concat(intern_salary_amount, CASE WHEN intern_salary_amount IS NOT NULL AND intern_salary_unit IS NOT NULL THEN concat(' ', intern_salary_unit) END) AS intern, {_span("salary_months_min", "salary_months_max", "' 薪'")} AS months FROM ({_OFFER.replace("{t}", "part")}))""",
 )
 def labels_shown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c, n = F.col, F.col("job_id") % 4
-    work = F.struct(
-        F.when(n == 0, c("title")).otherwise(" ").alias("title"), F.when(n == 1, c("company")).alias("company_name"), F.when(n < 3, F.split("title", " ")).otherwise(text.strings()).alias("tech_stack"), F.array(F.lit("wrote all of the code for it")).alias("responsibilities")
-    )
-    months = F.when(c("job_id") % 3 == 0, 14).otherwise(12)
-    return bind(spark, sf_dir, "fx_jobs").select("job_id", normalize.salary_label(c("salary_min"), c("salary_max"), months).alias("pay"), text.compact_range(c("min_years"), c("max_years")).alias("years"), normalize.experience_headline(work).alias("headline"))
+    """Pay, wanted pay and date of posting as people read them."""
+    c = F.col
+    rows = spark.sql(_OFFER, t=read(spark, sf_dir, "part"))
+    info = F.struct("salary_negotiable", "salary_min", "salary_max", "currency", "intern_salary_amount", "intern_salary_unit", "salary_months_min", "salary_months_max")
+    rows = rows.select("job_id", info.alias("i"), "salary_min", "salary_max", "posted_at", "days")
+    return rows.select("job_id", normalize.salary_label(c("i")).alias("pay"), normalize.monthly_label(c("salary_min"), c("salary_max")).alias("wanted"), normalize.posted_label(c("posted_at"), c("days")).alias("posted"))
 
 
 @query(
@@ -218,6 +366,51 @@ def external_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
 _HISTORY = """concat('工作经历', chr(10), 2010 + resume_id % 9, '.3-', 2012 + resume_id % 9, '.05 星辰科技有限公司 Java工程师', chr(10), CASE WHEN resume_id % 2 = 0 THEN concat(2013 + resume_id % 9, '年06-至今 AcmeInc 架构师') ELSE '教育经历' END)"""
 
 
+#: Raw postings as JSON: some fields are there for some keys only.
+_RAW = f"""SELECT *, {_BODY} AS body, CASE WHEN job_id % 3 > 0 THEN pay END AS salary, CASE WHEN job_id % 2 = 0 THEN location END AS place, CASE WHEN job_id % 4 = 0 THEN '研发部' WHEN job_id % 4 = 1 THEN ' ' END AS department,
+ CASE WHEN job_id % 5 = 0 THEN 9000 END AS floor, CASE WHEN job_id % 6 = 0 THEN 'bachelor' END AS degree, CASE WHEN job_id % 3 = 1 THEN 'retail/ai' END AS trade FROM {{t}}"""
+_RAW_SQL = _RAW.replace("{t}", "fx_text")
+
+
+def _fill_sql() -> str:
+    """DuckDB: which of the 26 paths a raw posting has and which its normalised record has, counted by path."""
+    skills = _skill_sql("t")
+    n_skills = "len(list_filter(string_split(skills, ','), lambda x: x <> ''))"
+    has = lambda f: f"len({f}) > 0"
+    duties, shines = f"len(list_filter({_parts(D.RESPONSIBILITY_MARKERS, 8)}, lambda x: len(x) > 0)) > 0", _shine(f"flatten({_parts(D.HIGHLIGHT_MARKERS, 4)})")
+    spread = f"list_filter({_shine(_items('body'))}, lambda x: NOT {sql_any('x', D.RESPONSIBILITY_MARKERS + D.EDUCATION_WORDS)} AND {sql_any('x', D.HIGHLIGHT_KEYWORDS)})"
+    first = lambda pairs: _first_case("body", pairs, True) + " IS NOT NULL"
+    words = lambda d: " OR ".join(sql_any("lower(body)", [w.lower() for w in ws]) for ws in d)
+    rules = {
+        "department": ("coalesce(trim(department), '') <> ''", "false"), "location": ("place IS NOT NULL", "place IS NOT NULL"), "job_type": ("false", sql_any("lower(concat_ws(' ', title, body))", D.INTERN_KEYWORDS)),
+        "salary_negotiable": ("false", "lo IS NOT NULL OR talk"), "salary_min": ("floor IS NOT NULL", "lo IS NOT NULL"), "salary_max": ("false", "hi IS NOT NULL"), "salary_months_min": ("false", "m1 IS NOT NULL"), "salary_months_max": ("false", "m2 IS NOT NULL"),
+        "intern_salary_amount": ("false", "false"), "intern_salary_unit": ("false", "false"), "responsibilities": ("false", duties), "highlights": ("false", f"{has(shines)} OR {has(spread)}"),
+        "required": ("false", f"{n_skills} > 0"), "bonus": ("false", f"{n_skills} > 3"), "core": ("false", "trade IS NOT NULL"), "min_total_years": ("false", "post_min IS NOT NULL"), "max_total_years": ("false", "post_max IS NOT NULL"),
+        "min_degree": ("degree IS NOT NULL", f"{_first_case('body', D.DEGREE_WORDS, False)} IS NOT NULL OR {first([(p, n) for n, p in D.MIN_DEGREE_PATTERNS.items()])}"), "prefer_degrees": ("false", first([(p, n) for n, p in D.PREFER_DEGREE_PATTERNS.items()])),
+        "required_majors": ("false", has(_majors(False))), "preferred_majors": ("false", has(_majors(True))), "languages": ("false", words(D.LANGUAGE_PATTERNS.values())), "certifications": ("false", words([D.CERTIFICATIONS])),
+        "age_range": ("false", rf"regexp_matches(body, '\d{{2}}\s*[-~～至到]\s*\d{{2}}\s*岁|\d{{2}}\s*岁(以下|以内|以上|及以上)')"), "other": ("false", has(f"list_filter({_items('body')}, lambda x: {sql_any('x', D.OTHER_CONSTRAINT_WORDS)})")), "tags": ("false", "true"),
+    }
+    paths = {p.rsplit(".", 1)[-1]: p for _, p in evaluate.FILL_PATHS}
+    pay = _pay_sql(False).replace("FROM fx_text", f"FROM (SELECT job_id, coalesce(salary, body) AS pay FROM ({_RAW_SQL}))")
+    base = f"""SELECT *, {skills} AS skills FROM (SELECT r.*, concat(r.title, chr(10), r.body) AS t, p.* EXCLUDE (job_id), y.post_min, y.post_max FROM ({_RAW_SQL}) r JOIN ({pay}) p ON r.job_id = p.job_id JOIN ({_years_sql()}) y ON r.job_id = y.job_id)"""
+    each = ", ".join(f"{{'field': '{paths[n]}', 'a': coalesce({a}, false), 'b': coalesce({b}, false)}}" for n, (a, b) in rules.items())
+    return f"SELECT x.field AS field, count(*) FILTER (NOT x.a AND x.b) AS filled, count(*) FILTER (x.a AND x.b) AS kept, count(*) FILTER (x.a AND NOT x.b) AS lost FROM (SELECT unnest([{each}]) AS x FROM ({base})) GROUP BY 1"
+
+
+@query("normalization_fill", with_ctes(["fx_text"], _fill_sql()))
+def normalization_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often normalisation fills each of the 26 paths of a posting that its raw JSON leaves empty, keeps or loses it."""
+    c = F.col
+    rows = spark.sql(_RAW, t=bind(spark, sf_dir, "fx_text"))
+    payload = F.to_json(F.struct(
+        F.concat(F.lit("p"), "job_id").alias("id"), "title", "company", "department", c("place").alias("location"), c("body").alias("description"), "salary", c("needs").alias("experience"), c("trade").alias("company_industry"),
+        F.when(c("floor").isNotNull(), F.struct(c("floor").alias("salary_min"))).alias("basic_info"), F.when(c("degree").isNotNull(), F.struct(c("degree").alias("min_degree"), text.strings().alias("languages"))).alias("education_constraints"), text.strings().alias("tags"),
+    ))
+    raw = rows.select(F.concat(F.lit("p"), "job_id").alias("id"), payload.alias("payload"))
+    typed = raw.select(F.from_json("payload", f"struct<{records.RAW}>").alias("r")).select("r.*")
+    return evaluate.job_fill_report(raw, normalize.normalize_jobs(records.map_boards(typed), F.to_date(F.lit("2024-01-31"))))
+
+
 @query(
     "work_histories",
     with_ctes(["fx_people"], """SELECT resume_id, concat_ws('|', CASE WHEN resume_id % 2 = 0 THEN concat('AcmeInc/架构师/', 2013 + resume_id % 9, '.06/至今') END, concat('星辰科技有限公司/Java工程师/', 2010 + resume_id % 9, '.03/', 2012 + resume_id % 9, '.05'), CASE WHEN resume_id % 3 = 0 THEN concat('旧公司/测试/2001.01/2002.01') END) AS history,

@@ -15,7 +15,7 @@ def test_lists_and_strings(spark):
     assert sorted(one(spark, text.match_cities(F.col("a")), a="上海市·浦东 (北京)")) == ["上海", "北京", "浦东"]
     assert one(spark, text.json_string_list(F.col("a")), a='["x", "y"]') == ["x", "y"]
     assert one(spark, text.json_string_list(F.col("a")), a="plain") == ["plain"]
-    assert one(spark, text.bullet_items(F.col("a")), a="1. build the service；2. keep it running\n• 第三项工作内容在此。第四项工作内容") == ["build the service", "keep it running", "第三项工作内容在此。", "第四项工作内容"]
+    assert one(spark, text.bullet_items(F.col("a")), a="1. build the service；2. keep it running\n• 第三项事情写在这里。第四项事情写在这里") == ["build the service", "keep it running", "第三项事情写在这里", "第四项事情写在这里"]
     assert one(spark, text.section_text(F.col("a"), "岗位职责", ("任职要求",)), a="x 岗位职责：做事\n任职要求：会") == "做事"
     assert one(spark, text.scrub_contacts(F.col("a")), a="电话：13812345678, mail a.b@c.org 微信 x12345678 hello") == "hello"
 
@@ -53,3 +53,44 @@ def test_bands(spark):
     band = one(spark, facets.experience_band(F.lit(None).cast("boolean"), F.lit("senior x"), F.lit(4.0), F.lit(None).cast("double")))
     assert tuple(band) == (4.0, 10.0, "senior")
     assert one(spark, facets.inferred_salary(F.lit(9), F.lit("lead"), text.strings("backend_engineer"), F.lit("上海"), F.lit("LLM"))).asDict() == {"min": 42000, "max": 61000}
+
+
+def test_items_and_sections(spark):
+    items = lambda t: one(spark, text.bullet_items(F.col("a")), a=t)
+    assert items("三、与团队　-　一起把事做好\r任职要求：会写代码的人；Shorter; shorter; 短") == ["一起把事做好", "会写代码的人", "Shorter"]
+    assert items("这里讲岗位职责是什么；这里讲其他的事情") == ["这里讲其他的事情"] and items("") == []  # an item that holds a marker of a part goes
+    body = "介绍。工作内容：短；岗位职责：1、负责服务的开发；2、负责服务的维护 任职要求：本科学历优先考虑 加分项：熟悉开源项目；前端/后端/测试；提供餐补和班车"
+    assert one(spark, parsing.responsibilities(F.col("a")), a=body) == ["负责服务的开发", "负责服务的维护"]
+    assert one(spark, parsing.highlights(F.col("a")), a=body) == ["熟悉开源项目", "提供餐补和班车"]
+    assert one(spark, parsing.responsibilities(F.col("a")), a="没有任何部分的文字") == []
+    assert one(spark, parsing.highlights(F.col("a")), a="我们有弹性工作时间；硕士优先的岗位；写代码的工作") == ["我们有弹性工作时间"]
+    assert one(spark, parsing.education_constraints(F.col("a")), a="计算机　数学相关专业")["required_majors"] == ["计算机", "数学"]
+
+
+def test_occurrences(spark):
+    """Against a plain loop: places, neighbours, matches at both ends, beside each other, beyond the plane of 16 bits, and thousands of them."""
+    import re
+
+    pattern, reach = "(?i:ab|b1)", 5
+    texts = ["", "none", "ab", "xAB", "abab b1", "😀ab😀b1 and\nab\n", "abb1" * 700 + "tail", "x" * 5000 + "ab" + "y" * 5000]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate([*texts, None])], "i int, t string").select("i", text.occurrences(F.col("t"), pattern, reach).alias("m"))
+    got = {r["i"]: r["m"] and [tuple(x) for x in r["m"]] for r in rows.collect()}
+    for i, t in enumerate(texts):
+        want = [(m.start() + 1, m.group(), t[max(0, m.start() - reach) : m.start()], t[m.end() : m.end() + reach]) for m in re.finditer("ab|b1", t, re.IGNORECASE)]
+        assert (got[i] or []) == want
+    assert got[len(texts)] is None
+    found = one(spark, parsing.language_mentions(F.col("a")), a="英语CET-6流利" + "。" * 40 + "英文优先")
+    assert [(x["language"], x["at"], x["hit"], x["level"], x["required"]) for x in found] == [("英语", 1, "英语", "fluent", True), ("英语", 3, "CET-6", "fluent", True), ("英语", 50, "英文", None, False)]
+
+
+def test_labels(spark):
+    from rolecast.operators import normalize
+
+    work = lambda **k: F.struct(*[F.lit(k.get(n)).cast("string").alias(n) for n in ("title", "company_name", "industry", "location", "level")], *[text.strings(*k.get(n, ())).alias(n) for n in ("tech_stack", "responsibilities", "achievements")])
+    head = lambda **k: one(spark, normalize.experience_headline(work(**k)))
+    assert head(title="Role pending", company_name="某公司") == "某公司" and head() == "开发经历"
+    assert head(tech_stack=("Vue",)) == "前端开发经历" and head(tech_stack=("uniapp",)) == "全栈开发经历" and head(achievements=("完成服务端",)) == "后端开发经历"
+    assert head(responsibilities=("写" * 30,)) == "写" * 23 + "…"
+    assert one(spark, normalize.experience_meta(work(title="x", company_name=" ", location="上海"))) == "上海"
+    assert one(spark, normalize.experience_note(work(tech_stack=("a", "A", "b", "c", "d", "e")))) == "技术栈：a / b / c / d"
+    assert one(spark, text.compact_range(F.lit(3.0), F.lit(None).cast("double"), " 年")) == "3 年"
