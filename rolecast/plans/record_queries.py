@@ -16,6 +16,7 @@ from ..sources import dumps, json_arrays, records
 from ..storage import new_folder, staged
 from . import engine
 from .bindings import bind, case, quoted, read, sql_any, sql_categories, with_ctes
+from .text_queries import ORACLES as TEXT_SQL
 from .text_queries import _first_case, _pay_sql, _skill_sql, _years_sql
 
 QUERIES: dict = {}
@@ -50,10 +51,13 @@ def first_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bind(spark, sf_dir, "fx_messy").select("id", text.first_present(F.col("raw"), F.col("num")).alias("value"))
 
 
-@query("truth_values", with_ctes(["fx_messy"], "SELECT id, CASE WHEN v IN ('true', 'yes', '1', 'y', '是') THEN true WHEN v IN ('false', 'no', '0', 'n', '否') THEN false END AS value FROM (SELECT id, CASE id % 7 WHEN 0 THEN 'true' WHEN 1 THEN 'no' WHEN 2 THEN '1' WHEN 3 THEN '否' WHEN 4 THEN 'maybe' ELSE lower(trim(num)) END AS v FROM fx_messy)"))
+_FLAGS = "SELECT o_orderkey AS id, CASE o_orderkey % 5 WHEN 0 THEN CAST(o_totalprice > 1500 AS VARCHAR(9)) WHEN 1 THEN CAST(o_custkey % 3 AS VARCHAR(9)) WHEN 2 THEN concat(' ', o_orderstatus, ' ') WHEN 3 THEN CASE WHEN o_custkey % 4 = 0 THEN ' YES ' WHEN o_custkey % 4 = 1 THEN '否' WHEN o_custkey % 4 = 2 THEN 'n' END ELSE o_orderpriority END AS v FROM {t}"
+
+
+@query("truth_values", f"SELECT id, CASE WHEN lower(trim(v)) IN ('true', 'yes', '1', 'y', '是') THEN true WHEN lower(trim(v)) IN ('false', 'no', '0', 'n', '否') THEN false END AS value FROM ({_FLAGS.replace('{t}', 'orders')})")
 def truth_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _sql(spark, sf_dir, "fx_messy", "id, CASE id % 7 WHEN 0 THEN ' TRUE' WHEN 1 THEN 'No ' WHEN 2 THEN '1' WHEN 3 THEN '否' WHEN 4 THEN 'maybe' ELSE num END AS v")
-    return rows.select("id", text.truth(F.col("v")).alias("value"))
+    """Flags of orders as they may be written: booleans, numbers, words in either case, what is neither."""
+    return spark.sql(_FLAGS, t=read(spark, sf_dir, "orders")).select("id", text.truth(F.col("v")).alias("value"))
 
 
 @query(
@@ -214,22 +218,38 @@ def skill_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("inferred_skills", with_ctes(["fx_text"], """SELECT job_id, concat_ws(',', part_name, CASE WHEN contains(s, 'redis') THEN 'Spring Boot,MySQL,Redis,Kafka' END) AS skills FROM (SELECT *, CASE WHEN job_id % 2 = 0 THEN 'springboot mysql redis kafka' ELSE 'nothing known here' END AS s FROM fx_text)"""))
+@query(
+    "inferred_skills",
+    with_ctes(["fx_text"], f"""SELECT job_id, array_to_string({_once("every")}, ',') AS skills FROM (SELECT job_id, list_filter(list_transform(list_concat([part_name], string_split_regex(needs, '[、，,/ ]+'), string_split(found, ',')), lambda x: trim(x)), lambda x: x <> '') AS every FROM
+ (SELECT *, {_skill_sql("t")} AS found FROM (SELECT *, concat(summary, chr(10), needs) AS t FROM fx_text)))"""),
+)
 def inferred_skills(spark: SparkSession, sf_dir: str) -> DataFrame:
-    body = F.when(F.col("job_id") % 2 == 0, "springboot mysql redis kafka").otherwise("nothing known here")
-    return bind(spark, sf_dir, "fx_text").select("job_id", F.array_join(infer_skills([F.array("part_name"), F.array(F.upper("part_name"))], body), ",").alias("skills"))
+    """Named parts first, then words of the requirements, then the skills that texts hold, some of them named before."""
+    named = [F.array("part_name"), F.split("needs", "[、，,/ ]+")]
+    return bind(spark, sf_dir, "fx_text").select("job_id", F.array_join(infer_skills(named, F.concat_ws("\n", "summary", "needs")), ",").alias("skills"))
+
+
+def _tagged(kind: str, values: str) -> str:
+    return f"list_transform(list_filter(string_split({values}, ','), lambda x: x <> ''), lambda x: concat('{kind}:', x))"
+
+
+_PERSON = "lower(concat_ws(' ', title, summary))"
 
 
 @query(
     "person_tags",
-    with_ctes(["fx_people"], """SELECT resume_id, concat_ws(',', concat('role:', CASE WHEN resume_id % 2 = 0 THEN 'backend_engineer' ELSE 'data_engineer' END), CASE WHEN city <> '' THEN concat('city:', city) END, 'work_mode:remote', 'seniority:senior', 'salary_band:salary:1000-2000') AS tags, CASE WHEN resume_id % 3 = 0 THEN 'stored' ELSE 'fallback' END AS facet FROM fx_people"""),
+    with_ctes(["fx_people"], f"""SELECT p.resume_id, array_to_string(list_concat({_tagged("role", "f.roles")}, {_tagged("city", "c.cities")}, {_tagged("work_mode", "f.modes")}, {_tagged("ai_capability", "p.ai")}, {_tagged("seniority", "f.seniority")},
+ CASE WHEN f.salary_min IS NOT NULL THEN [concat('salary_band:salary:', f.salary_min, '-', f.salary_max)] ELSE [] END), ',') AS tags, CASE WHEN p.resume_id % 3 = 0 THEN p.title ELSE f.roles END AS facet FROM
+ (SELECT *, {sql_categories(_PERSON, D.AI_KEYWORDS)} AS ai FROM fx_people) p JOIN ({TEXT_SQL["people_facets"]}) f ON p.resume_id = f.resume_id JOIN ({TEXT_SQL["people_cities"]}) c ON p.resume_id = c.resume_id"""),
 )
 def person_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Standard tags of people by what their records say; of every third the roles stand in stored tags."""
     c = F.col
-    role = F.array(F.when(c("resume_id") % 2 == 0, "backend_engineer").otherwise("data_engineer"))
-    made = tags.resume_tags(role, F.array("city"), text.strings("remote"), text.strings(), F.lit("senior"), F.struct(F.lit(1000).alias("min"), F.lit(2000).alias("max")))
-    stored = F.when(c("resume_id") % 3 == 0, tags.facet_tags(text.strings("stored"), "role", "role_categories"))
-    return bind(spark, sf_dir, "fx_people").select("resume_id", F.array_join(F.transform(made, lambda t: F.concat_ws(":", t["category"], t["name"])), ",").alias("tags"), F.array_join(tags.facet_values(stored, "role_categories", text.strings("fallback")), ",").alias("facet"))
+    rows = bind(spark, sf_dir, "fx_people").withColumns({"roles": facets.role_categories(c("title"), c("summary")), "level": facets.resume_seniority(c("title"), c("summary"), c("years"))})
+    pay = facets.inferred_salary(c("years"), c("level"), c("roles"), c("city"), c("raw_text"))
+    made = tags.resume_tags(c("roles"), facets.target_cities(c("city"), c("raw_text")), facets.resume_work_modes(c("raw_text")), facets.ai_capabilities(c("title"), c("summary")), c("level"), pay)
+    stored = F.when(c("resume_id") % 3 == 0, tags.facet_tags(F.array("title"), "role", "role_categories"))
+    return rows.select("resume_id", F.array_join(F.transform(made, lambda t: F.concat_ws(":", t["category"], t["name"])), ",").alias("tags"), F.array_join(tags.facet_values(stored, "role_categories", c("roles")), ",").alias("facet"))
 
 
 def _real(c: str) -> str:
@@ -469,13 +489,14 @@ def observed_import(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(folder).select("id", "value", *[F.lit(counts[n]).cast("long").alias(f"n_{n}") for n in ("new", "updated", "kept")])
 
 
-@query("person_roles", with_ctes(["fx_people"], """SELECT resume_id, CASE WHEN resume_id % 2 = 0 THEN 'stored_role' ELSE 'backend_engineer' END AS role FROM fx_people"""))
+@query("person_roles", with_ctes(["fx_people"], f"""SELECT resume_id, CASE WHEN resume_id % 4 = 0 THEN concat('stored ', city) ELSE nullif(split_part({sql_categories(_PERSON, D.ROLE_KEYWORDS)}, ',', 1), '') END AS role FROM fx_people"""))
 def person_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Typed records of JSON payloads: a role that is stored stays, else it is derived."""
     c = F.col
-    payload = F.to_json(F.struct(F.struct(F.lit("Java后端开发").alias("current_title")).alias("basic_info"), F.when(c("resume_id") % 2 == 0, F.struct(F.array(F.lit("stored_role")).alias("role_categories"))).alias("filter_facets")))
+    stored = F.when(c("resume_id") % 4 == 0, F.struct(F.array(F.concat(F.lit("stored "), "city")).alias("role_categories")))
+    payload = F.to_json(F.struct(F.struct(c("title").alias("current_title"), "summary").alias("basic_info"), stored.alias("filter_facets")))
     rows = records.from_payload(bind(spark, sf_dir, "fx_people").select("resume_id", payload.alias("payload")), schemas.RESUME)
-    return rows.select("resume_id", F.coalesce(F.try_element_at(text.first_list(c("filter_facets.role_categories"), facets.role_categories(c("basic_info.current_title"), c("basic_info.summary"))), F.lit(1))).alias("role"))
+    return rows.select("resume_id", F.try_element_at(text.first_list(c("filter_facets.role_categories"), facets.role_categories(c("basic_info.current_title"), c("basic_info.summary"))), F.lit(1)).alias("role"))
 
 
 #: Notes with all that a dump escapes, and a row that looks like a header; the octal and hex escapes are put in by hand on the way.
