@@ -202,7 +202,9 @@ def occurrences(c: Column, pattern: str, reach: int = 24) -> Column:
     left, hits, right = (F.regexp_extract_all(c, F.lit(near), F.lit(i)) for i in (1, 2, 3))
     gaps = F.transform(F.split(c, rf"(?s)(?:{pattern})", -1), F.length)
     ends = let(hits, lambda h: running(F.zip_with(F.slice(gaps, F.lit(1), F.size(h)), h, lambda g, x: g + F.length(x))))
-    return F.transform(F.arrays_zip(ends.alias("end"), hits.alias("hit"), left.alias("left"), right.alias("right")), lambda x: F.struct((x["end"] - F.length(x["hit"]) + 1).alias("at"), x["hit"].alias("hit"), x["left"].alias("left"), x["right"].alias("right")))
+    found = F.transform(F.arrays_zip(ends.alias("end"), hits.alias("hit"), left.alias("left"), right.alias("right")), lambda x: F.struct((x["end"] - F.length(x["hit"]) + 1).alias("at"), x["hit"].alias("hit"), x["left"].alias("left"), x["right"].alias("right")))
+    none = F.array().cast("array<struct<at:int, hit:string, left:string, right:string>>")
+    return F.when(c.rlike(rf"(?s){pattern}"), found).when(c.isNotNull(), none)  # most texts are read once only
 
 
 def slug(c: Column) -> Column:
