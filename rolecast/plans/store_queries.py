@@ -126,7 +126,9 @@ def repaired_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("score_payloads", """SELECT o_orderkey AS id, CASE WHEN o_totalprice / 3000 BETWEEN 0 AND 100 THEN round(CAST(CAST(round(o_totalprice / 3000, 3) AS VARCHAR) AS DOUBLE), 1) END AS score, CASE WHEN o_orderkey % 3 = 0 THEN NULL WHEN o_orderkey % 150 <= 100 THEN (o_orderkey % 150)::DOUBLE END AS skill FROM orders""")
 def score_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    score = F.round(F.col("o_totalprice") / 3000, 3).cast("string")
+    """Scores as JSON texts, three digits where they are valid: one just over 100 must not be rounded into the range."""
+    ratio = F.col("o_totalprice") / 3000
+    score = F.when(ratio.between(0, 100), F.round(ratio * 1000) / 1000).otherwise(ratio).cast("string")
     payload = F.to_json(F.create_map(F.lit("score"), score, F.lit("skill"), F.when(F.col("o_orderkey") % 3 == 0, "n/a").otherwise((F.col("o_orderkey") % 150).cast("string"))))
     return evaluate.validate_scores(read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), payload.alias("payload"))).select("id", "score", "skill")
 

@@ -22,3 +22,9 @@ def test_digests_that_hold_a_mobile_number(spark, tmp_path):
     texts = ['token = "18945874088f67dc02ebee7da32856e8cab6c30f" end', "call 13812345678 or a.b@c.org", "x13812345678", "电话：13812345678", None]
     duckdb.connect().execute(f"copy (select unnest(range({len(texts)})) as doc_id, unnest(?) as text) to '{tmp_path}/documents.parquet'", [texts])
     same_as_sql(spark, tmp_path, "contacts_scrubbed", ["documents"])
+
+
+def test_scores_at_the_edges(spark, tmp_path):
+    prices = [0.0, 48148.5, 96748.5, 195148.5, 300000.0, 300000.01, 300001.49, 300002.0, -0.01, -3000.0, None]
+    duckdb.connect().execute(f"copy (select unnest(range({len(prices)})) as o_orderkey, unnest(?::double[]) as o_totalprice) to '{tmp_path}/orders.parquet'", [prices])
+    same_as_sql(spark, tmp_path, "score_payloads", ["orders"])
