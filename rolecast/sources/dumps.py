@@ -103,18 +103,23 @@ def read_dump_table(spark: SparkSession, path: str, table: str, schema: dict[str
     return rows.select(*[value(n).try_cast(kind).alias(n) for n, kind in schema.items()])
 
 
-def write_dump(tables: dict[str, DataFrame], path: str) -> None:
-    """Each table as a folder of dumps in ``path``, a file a task with its own header and end; streamed, whatever the size."""
-    for name, df in tables.items():
-        head = f"COPY {name} ({', '.join(df.columns)}) FROM stdin;"
+def write_fields(df: DataFrame, table: str, path: str) -> None:
+    """A table of fields that are escaped already as a folder of dumps, a file a task with its own header and end; streamed, whatever the size."""
+    head = f"COPY {table} ({', '.join(df.columns)}) FROM stdin;"
+
+    def framed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield pa.RecordBatch.from_arrays([pa.array([head])], ["value"])
+        yield from (pa.RecordBatch.from_arrays([b.column(0)], ["value"]) for b in batches)
+        yield pa.RecordBatch.from_arrays([pa.array([END, ""])], ["value"])
 
-        def framed(batches: Iterator[pa.RecordBatch], head: str = head) -> Iterator[pa.RecordBatch]:
-            yield pa.RecordBatch.from_arrays([pa.array([head])], ["value"])
-            yield from (pa.RecordBatch.from_arrays([b.column(0)], ["value"]) for b in batches)
-            yield pa.RecordBatch.from_arrays([pa.array([END, ""])], ["value"])
+    rows = df.select(F.concat_ws("\t", *[F.col(f"`{c}`") for c in df.columns]).alias("value"))
+    rows.mapInArrow(framed, "value string").write.mode("overwrite").text(path)
 
-        rows = df.select(F.concat_ws("\t", *[escape(F.col(f"`{c}`").cast("string")) for c in df.columns]).alias("value"))
-        rows.mapInArrow(framed, "value string").write.mode("overwrite").text(f"{path}/{name}")
+
+def write_dump(tables: dict[str, DataFrame], path: str) -> None:
+    """Each table as a folder of dumps in ``path``."""
+    for name, df in tables.items():
+        write_fields(df.select(*[escape(F.col(f"`{c}`").cast("string")).alias(c) for c in df.columns]), name, f"{path}/{name}")
 
 
 def read_jobs_dump(spark: SparkSession, path: str, table: str | None = None, types: tuple[str, ...] = JOB_TYPES, least: int = 20) -> DataFrame:

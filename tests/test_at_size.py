@@ -28,3 +28,17 @@ def test_scores_at_the_edges(spark, tmp_path):
     prices = [0.0, 48148.5, 96748.5, 195148.5, 300000.0, 300000.01, 300001.49, 300002.0, -0.01, -3000.0, None]
     duckdb.connect().execute(f"copy (select unnest(range({len(prices)})) as o_orderkey, unnest(?::double[]) as o_totalprice) to '{tmp_path}/orders.parquet'", [prices])
     same_as_sql(spark, tmp_path, "score_payloads", ["orders"])
+
+
+def test_dumps_in_several_splits(spark):
+    """As large files are read: by splits, of which only the first has a header."""
+    from .test_queries import DATA
+
+    given = {"spark.sql.files.maxPartitionBytes": "2k", "spark.sql.files.openCostInBytes": "0", "spark.sql.files.minPartitionNum": "1"}
+    for k, v in given.items():
+        spark.conf.set(k, v)
+    try:
+        same_as_sql(spark, DATA, "dump_tables", ["customer", "part"])
+    finally:
+        for k in given:
+            spark.conf.unset(k)
