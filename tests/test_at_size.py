@@ -1,8 +1,11 @@
 """Queries against their SQL on rows that the smallest tables lack."""
 
 import duckdb
+from pyspark.sql import functions as F
 
 from rolecast import plans
+from rolecast.functions import dictionaries as D
+from rolecast.functions import parsing
 
 from .test_queries import rows
 
@@ -42,3 +45,34 @@ def test_dumps_in_several_splits(spark):
     finally:
         for k in given:
             spark.conf.unset(k)
+
+
+def test_slow_rows_are_dealt_to_many_tasks(spark, tmp_path):
+    """A small file is read in one task; texts and people of it are not worked on in one."""
+    from rolecast.plans.bindings import bind
+
+    c = duckdb.connect()
+    c.execute(f"copy (select i as p_partkey, 'a b' as p_name, 'B' as p_brand, 'T' as p_type, (i % 50)::int as p_size, 1.0 as p_retailprice from range(4000) r(i)) to '{tmp_path}/part.parquet'")
+    c.execute(f"copy (select i as c_custkey, 'n' as c_name, 1 as c_nationkey, 1.0 as c_acctbal, 's' as c_mktsegment from range(4000) r(i)) to '{tmp_path}/customer.parquet'")
+    for name in ("fx_text", "fx_people"):
+        sizes = [r["n"] for r in bind(spark, str(tmp_path), name).groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+        assert sum(sizes) == 4000 and max(sizes) <= 500
+
+
+def test_fields_of_study_against_a_plain_search(spark):
+    """Runs cut at the last 专业 hold the same matches as the whole text."""
+    import re
+
+    letters = r"[一-龥A-Za-z/、，,\s]"
+    texts = ["计算机、软件工程等相关专业优先", "a" * 100 + "数学专业者优先，统计专业", "专业", "x专业优先\n计算机 相关专业。土木：相关专业优先者优先专业优先", "无", "", "，" * 300 + "专业优先" + "字" * 300, "1专业2计算机专业3软件/网络相关专业者优先4", None]
+    texts += [("软件、" * n + "相关专业" + "优先" * (n % 2) + "。" * (n % 3) + "Math专业者优先") * 2 for n in range(1, 40, 7)]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    got = {r["i"]: (r["a"], r["b"]) for r in df.select("i", parsing.majors(F.col("t"), False).alias("a"), parsing.majors(F.col("t"), True).alias("b")).collect()}
+    assert got[len(texts[:8])] == (None, None)
+    for i, t in enumerate(texts):
+        for preferred in (False, True) if t is not None else ():
+            found = [m for p in ("相关专业(?:优先|者优先)?", "专业(?:优先|者优先)") for m in re.finditer(f"({letters}{{2,80}}?)(?:等)?{p}", t)]
+            names = [re.sub(r"\d{4}届|海内外|统招|学历|及以上|或研究生|或以上|以上", "", re.sub(".*学历", "", m[1])) for m in found if ("优先" in m[0]) == preferred]
+            tokens = [re.sub("(专业|类)$", "", re.sub("(相关专业|相关)$", "", x.strip())).strip() for n in names for x in re.split(r"[、,/，]\s*|\s+", n)]
+            want = list(dict.fromkeys(x.lower() for x in tokens if len(x) >= 2 and x not in D.MAJOR_STOPWORDS))
+            assert [x.lower() for x in got[i][preferred]] == want, (i, preferred)
