@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .dictionaries import CERTIFICATIONS, DEGREE_WORDS, EDUCATION_WORDS, HIGHLIGHT_KEYWORDS, HIGHLIGHT_MARKERS, LANGUAGE_PATTERNS, MAJOR_STOPWORDS, MIN_DEGREE_PATTERNS, OTHER_CONSTRAINT_WORDS, PREFER_DEGREE_PATTERNS, RESPONSIBILITY_MARKERS, SECTION_ENDS
-from .text import bullet_items, contains_any, dedupe_ci, let, none_of, occurrences, section_items, strip
+from .text import bullet_items, contains_any, dedupe_ci, let, none_of, occurrences, section_items, strings, strip
 
 _TO = r"\s*[-~～至到]\s*"
 _NUM = r"(\d+(?:\.\d+)?)"
@@ -148,10 +150,19 @@ def preferred_degrees(text: Column) -> Column:
 
 
 def majors(text: Column, preferred: bool) -> Column:
-    """Fields of study asked for, or (preferred) welcome."""
-    body = r"([一-龥A-Za-z/、，,\s]{2,80}?)(?:等)?"
-    asked = [F.lit(f"(?iU){body}{tail}") for tail in ("相关专业(?:优先|者优先)?", "专业(?:优先|者优先)")]
-    found = F.concat(*[F.arrays_zip(F.regexp_extract_all(text, p, F.lit(0)).alias("whole"), F.regexp_extract_all(text, p, F.lit(1)).alias("names")) for p in asked])
+    """Fields of study asked for, or (preferred) welcome.
+
+    Only what leads up to the last 专业 of a run of letters and commas is searched: a match lies within a run, and the search takes some 80 steps a letter.
+    """
+    letters = r"[一-龥A-Za-z/、，,\s]"
+    asked = [f"(?iU)({letters}{{2,80}}?)(?:等)?{tail}" for tail in ("相关专业(?:优先|者优先)?", "专业(?:优先|者优先)")]
+    runs = F.when(text.contains("专业"), F.regexp_extract_all(text, F.lit(rf"(?iU)(?<!{letters}){letters}*专业(?:优先|者优先)?"), F.lit(0))).when(text.isNotNull(), strings())
+
+    def matches(runs: Column, pattern: str) -> Column:
+        wholes = F.flatten(F.transform(runs, lambda r: F.regexp_extract_all(r, F.lit(pattern), F.lit(0))))
+        return F.transform(wholes, lambda w: F.struct(w.alias("whole"), F.regexp_extract(w, pattern, 1).alias("names")))
+
+    found = let(runs, lambda rs: F.concat(*[matches(rs, p) for p in asked]))
     kind = F.filter(found, lambda m: m["whole"].contains("优先") if preferred else ~m["whole"].contains("优先"))
     names = F.transform(kind, lambda m: F.regexp_replace(F.regexp_replace(m["names"], ".*学历", ""), r"(?U)\d{4}届|海内外|统招|学历|及以上|或研究生|或以上|以上", ""))
     parts = F.flatten(F.transform(names, lambda m: F.split(m, r"(?U)[、,/，]\s*|\s+")))
@@ -161,22 +172,23 @@ def majors(text: Column, preferred: bool) -> Column:
 
 def _language_facts(around: Column) -> dict[str, Column]:
     """Level and whether it is required, by what is said around a mention."""
-    a = F.lower(around)
-    level = F.when(contains_any(a, ("流利", "熟练", "可作为工作语言", "business")), "fluent").when(contains_any(a, ("cet-6", "cet6", "六级", "n1")), "advanced").when(contains_any(a, ("cet-4", "cet4", "四级", "n2")), "intermediate")
-    return {"level": level, "required": ~contains_any(around, ("优先", "加分"))}
+    level = lambda a: F.when(contains_any(a, ("流利", "熟练", "可作为工作语言", "business")), "fluent").when(contains_any(a, ("cet-6", "cet6", "六级", "n1")), "advanced").when(contains_any(a, ("cet-4", "cet4", "四级", "n2")), "intermediate")
+    return {"level": let(F.lower(around), level), "required": ~contains_any(around, ("优先", "加分"))}
 
 
 def languages(text: Column) -> Column:
     """array of struct(language, level, required); the level comes from 24 characters around the first hit of the first word that occurs."""
-    low = F.lower(text)
-    found = []
-    for name, words in LANGUAGE_PATTERNS.items():
-        at = F.coalesce(*[F.nullif(F.instr(low, w), F.lit(0)) for w in words])
-        size = F.coalesce(*[F.when(F.instr(low, w) > 0, F.lit(len(w))) for w in words])
-        left = F.greatest(F.lit(1), at - 24)
-        facts = _language_facts(F.substring(text, left, at - left + size + 24))
-        found.append(F.when(at.isNotNull(), F.struct(F.lit(name).alias("language"), *[v.alias(k) for k, v in facts.items()])))
-    return F.array_compact(F.array(*found))
+
+    def shown(text: Column, name: str, hit: Column) -> Column:
+        left = F.greatest(F.lit(1), hit["at"] - 24)
+        around = F.substring(text, left, hit["at"] - left + hit["size"] + 24)
+        return F.when(hit.isNotNull(), let(around, lambda a: F.struct(F.lit(name).alias("language"), *[v.alias(k) for k, v in _language_facts(a).items()])))
+
+    def each(text: Column, low: Column) -> Column:
+        first = lambda words: F.coalesce(*[F.when(low.contains(w), F.struct(F.instr(low, w).alias("at"), F.lit(len(w)).alias("size"))) for w in words])
+        return F.array_compact(F.array(*[let(first(words), partial(shown, text, name)) for name, words in LANGUAGE_PATTERNS.items()]))
+
+    return let(text, lambda t: let(F.lower(t), lambda low: each(t, low)))
 
 
 def language_mentions(text: Column) -> Column:
