@@ -134,7 +134,14 @@ def job_fill_report(raw: DataFrame, jobs: DataFrame, id_col: str = "id", payload
     rows = source.join(jobs.withColumnRenamed(id_col, "__id"), "__id")
     given = lambda c: F.when(~strip(c).isin("", "[]", "{}"), c)
     lists = lambda c, kind: F.when(F.size(c) > 0, "x") if kind.startswith("array") else strip(c.cast("string"))
-    kind = lambda path: rows.select(path).schema[0].dataType.simpleString()
+    schema = rows.schema  # once: each look at a frame's schema plans all it is made of
+
+    def kind(path: str) -> str:
+        at = schema
+        for name in path.split("."):
+            at = at[name].dataType
+        return at.simpleString()
+
     return fill_report(rows, {path: (F.coalesce(*[given(F.col(f"__raw.{p}")) for p in paths]), lists(F.col(path), kind(path))) for paths, path in FILL_PATHS})
 
 

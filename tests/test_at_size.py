@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from rolecast import plans
 from rolecast.functions import dictionaries as D
-from rolecast.functions import parsing
+from rolecast.functions import facets, parsing
 
 from .test_queries import rows
 
@@ -76,3 +76,9 @@ def test_fields_of_study_against_a_plain_search(spark):
             tokens = [re.sub("(专业|类)$", "", re.sub("(相关专业|相关)$", "", x.strip())).strip() for n in names for x in re.split(r"[、,/，]\s*|\s+", n)]
             want = list(dict.fromkeys(x.lower() for x in tokens if len(x) >= 2 and x not in D.MAJOR_STOPWORDS))
             assert [x.lower() for x in got[i][preferred]] == want, (i, preferred)
+
+
+def test_category_words_meet_one_copy_of_the_text(spark):
+    """The lowered text is made once a row, not once a word."""
+    plan = spark.createDataFrame([("Java", "b")], "a string, b string").select(facets.role_categories(F.col("a"), F.col("b")).alias("r"))
+    assert plan._jdf.queryExecution().optimizedPlan().toString().count("lower(concat_ws") == 1
