@@ -22,6 +22,13 @@ def _direction(tags: Column) -> Column:
     return F.array_distinct(F.transform(keep, lambda t: skills.normalize_skill(t["name"])))
 
 
+def asked_experience(x: Column, number: str) -> Column:
+    """What scoring reads of an experience item: its words, the skills in its text and the canonical forms of its words, made once an opening."""
+    words = F.concat(F.array(x["name"]), F.coalesce(x["keywords"], text.strings()))
+    hints = F.transform(skills.extract_skills(F.concat_ws(" ", x["name"], x["description"], F.array_join(F.coalesce(x["keywords"], text.strings()), " "))), skills.normalize_skill)
+    return F.struct(words.alias("words"), x["description"].alias("description"), (F.lower(x["type"]) == "tech").alias("tech"), F.slice(hints, 1, 8).alias("hints"), F.transform(words, skills.normalize_skill).alias("norms"), x[number].alias(number))
+
+
 def prepare_jobs(jobs: DataFrame) -> DataFrame:
     """One row an opening with all that scoring reads of it."""
     c, f = F.col, F.col("filter_facets")
@@ -32,6 +39,8 @@ def prepare_jobs(jobs: DataFrame) -> DataFrame:
     low = F.coalesce(info["salary_min"], info["salary_max"])
     high = F.coalesce(info["salary_max"], info["salary_min"])
     listed = F.flatten(F.transform(F.coalesce(exp["core"], F.array()), lambda x: F.concat(F.array(x["name"]), F.coalesce(x["keywords"], text.strings()))))
+    core = F.transform(F.coalesce(exp["core"], F.array()), lambda x: asked_experience(x, "min_years"))
+    bonus = F.transform(F.coalesce(exp["bonus"], F.array()), lambda x: asked_experience(x, "weight"))
     tag_names = F.transform(F.filter(F.coalesce("tags", F.array()), lambda t: F.lower(t["category"]).isin("domain", "industry", "project")), lambda t: t["name"])
     return jobs.select(
         c("id").alias("job_id"), info["title"].alias("title"), c("company"), info["summary"].alias("job_summary"), searched.alias("searched"), facets.joined(info["title"], info["summary"]).alias("job_text"),
@@ -41,7 +50,7 @@ def prepare_jobs(jobs: DataFrame) -> DataFrame:
         S.degree_rank(F.coalesce(edu["min_degree"], F.lit(""))).alias("job_degree"), (F.coalesce(edu["min_degree"], F.lit("")) != "").alias("has_degree"), F.transform(F.coalesce(edu["prefer_degrees"], text.strings()), S.degree_rank).alias("prefer_ranks"),
         F.coalesce(edu["required_majors"], text.strings()).alias("required_majors"), F.coalesce(edu["preferred_majors"], text.strings()).alias("preferred_majors"), text.match_cities(F.coalesce(info["location"], F.lit(""))).alias("places"),
         targets.alias("targets"), F.size(skills.title_skills(info["title"])).alias("title_needed"), skills.title_skills(info["title"]).alias("title_skills"), _direction(c("tags")).alias("job_tags"),
-        skills.directional_signals(F.concat(F.array(info["title"]), F.slice(required, 1, 12))).alias("job_signals"), exp["core"].alias("core"), exp["bonus"].alias("bonus_experience"), exp["min_total_years"].alias("min_total_years"),
+        skills.directional_signals(F.concat(F.array(info["title"]), F.slice(required, 1, 12))).alias("job_signals"), core.alias("core"), bonus.alias("bonus_experience"), exp["min_total_years"].alias("min_total_years"),
         K.terms(F.concat(listed, tag_names, F.array(info["title"], c("company")))).alias("job_terms"),
     )
 
@@ -85,21 +94,20 @@ def experience_match(cfg: MatchConfig) -> Column:
     c = F.col
 
     def content(x: Column) -> Column:
-        words = F.concat(F.array(x["name"]), F.coalesce(x["keywords"], text.strings()))
-        hits = F.array_max(F.transform(words, lambda t: S.term_hit(t, c("terms"), c("raw"))))
-        hints = F.transform(skills.extract_skills(F.concat_ws(" ", x["name"], x["description"], F.array_join(F.coalesce(x["keywords"], text.strings()), " "))), skills.normalize_skill)
-        bridge = F.when(F.arrays_overlap(F.slice(hints, 1, 8), c("owned")), F.when(F.lower(x["type"]) == "tech", 1.0).otherwise(0.8)).otherwise(0.0)
-        tech = F.when((F.lower(x["type"]) == "tech") & F.arrays_overlap(F.transform(words, skills.normalize_skill), c("owned")), 1.0).otherwise(0.0)
+        hits = F.array_max(F.transform(x["words"], lambda t: S.term_hit(t, c("terms"), c("raw"))))
+        bridge = F.when(F.arrays_overlap(x["hints"], c("owned")), F.when(x["tech"], 1.0).otherwise(0.8)).otherwise(0.0)
+        tech = F.when(x["tech"] & F.arrays_overlap(x["norms"], c("owned")), 1.0).otherwise(0.0)
         return F.greatest(hits, F.coalesce(S.term_hit(x["description"], c("terms"), c("raw"), exact=False), F.lit(0.0)), bridge, tech)
 
     years = c("years").cast("double")
-    core = F.transform(F.coalesce("core", F.array()), lambda x: S.experience_score(content(x), years, x["min_years"]))
-    bonus = F.transform(F.coalesce("bonus_experience", F.array()), lambda x: F.struct(content(x).alias("s"), F.when(F.coalesce(x["weight"], F.lit(0)) == 0, 1).otherwise(x["weight"]).cast("double").alias("w")))
-    mean = F.try_divide(F.aggregate(core, F.lit(0.0), lambda a, x: a + x), F.size(core))
+    contents = lambda name: F.transform(F.coalesce(name, F.array()), lambda x: F.struct(content(x).alias("s"), x.alias("x")))  # noqa: E731 - once an item, however often it is read
+    core = F.transform(contents("core"), lambda y: S.experience_score(y["s"], years, y["x"]["min_years"]))
+    bonus = F.transform(contents("bonus_experience"), lambda y: F.struct(y["s"].alias("s"), F.when(F.coalesce(y["x"]["weight"], F.lit(0)) == 0, 1).otherwise(y["x"]["weight"]).cast("double").alias("w")))
+    mean = F.try_divide(F.aggregate(core, F.lit(0.0), lambda a, x: a + x), F.size("core"))
     plus = F.try_divide(F.aggregate(bonus, F.lit(0.0), lambda a, x: a + x["s"] * x["w"]), F.aggregate(bonus, F.lit(0.0), lambda a, x: a + x["w"]))
     on = lambda cond, w: F.when(cond, w).otherwise(0.0)
     return S.weighted(
-        [(F.coalesce(mean, F.lit(0.0)), on(F.size(core) > 0, cfg.experience_core)), (F.coalesce(plus, F.lit(0.0)), on(F.size(bonus) > 0, cfg.experience_bonus)), (S.ratio(years, F.coalesce("min_total_years", F.lit(0.0)), 0.7), on(c("min_total_years").isNotNull(), cfg.experience_total))], 0.5
+        [(F.coalesce(mean, F.lit(0.0)), on(F.size("core") > 0, cfg.experience_core)), (F.coalesce(plus, F.lit(0.0)), on(F.size("bonus_experience") > 0, cfg.experience_bonus)), (S.ratio(years, F.coalesce("min_total_years", F.lit(0.0)), 0.7), on(c("min_total_years").isNotNull(), cfg.experience_total))], 0.5
     )
 
 

@@ -82,3 +82,12 @@ def test_category_words_meet_one_copy_of_the_text(spark):
     """The lowered text is made once a row, not once a word."""
     plan = spark.createDataFrame([("Java", "b")], "a string, b string").select(facets.role_categories(F.col("a"), F.col("b")).alias("r"))
     assert plan._jdf.queryExecution().optimizedPlan().toString().count("lower(concat_ws") == 1
+
+
+def test_texts_of_experience_items_are_read_once_an_opening(spark):
+    """Patterns of skills meet the items of an opening, not those of each of its pairs."""
+    from rolecast.config import DEFAULT
+    from rolecast.plans import engine
+
+    said = str(engine.experience_match(DEFAULT)).lower()
+    assert "regexp_instr" not in said and "rlike" not in said and "from_json" not in said
