@@ -10,7 +10,7 @@ from ..config import DEFAULT, MatchConfig
 from ..functions import scores as S
 from ..functions.dictionaries import FRONTEND_FRAMEWORKS, FRONTEND_SIGNALS, GIT_PLATFORMS
 from ..functions.skills import expand_skill, extract_skills, normalize_skill
-from ..functions.text import clean_text, dedupe_ci, is_placeholder, strip
+from ..functions.text import clean_text, dedupe_ci, is_placeholder, let, strip
 from ..storage import staged
 from .recall import similar_pairs
 
@@ -138,6 +138,55 @@ def skill_scores(rows: DataFrame) -> DataFrame:
     return out.withColumn("optional", F.when(F.size("asked") > 0, F.try_divide(total(groups), F.size(groups)))).drop("asked")
 
 
+def asked_arrays(job_skills: DataFrame) -> DataFrame:
+    """(job_id, ask_required, ask_optional, ask_bonus): all that an opening asks for in one row, columns as for ``pair_skills``."""
+    of = lambda kind, *fields: F.array_sort(F.collect_list(F.when(F.col("kind") == kind, F.struct(*fields)))).alias(f"ask_{kind}")
+    return job_skills.groupBy("job_id").agg(of("required", "pos", "skill", "norm", "level_rank", "min_years"), of("optional", "group_pos", "pos", "norm", "level_rank", "min_required"), of("bonus", "pos", "norm", "weight"))
+
+
+def owned_maps(index: DataFrame) -> DataFrame:
+    """(resume_id, own): all that a person can do in one row, level, years and confidence by canonical name."""
+    value = F.struct(F.col("level_rank").alias("level"), F.col("years").cast("double").alias("years"), "confidence")
+    return index.filter(F.col("norm").isNotNull()).groupBy("resume_id").agg(F.map_from_entries(F.collect_list(F.struct(F.col("norm"), value))).alias("own"))
+
+
+def with_skill_scores(rows: DataFrame) -> DataFrame:
+    """rows of pairs, with ``asked_arrays`` and ``owned_maps`` of their sides, and the columns of ``skill_scores`` in place of those.
+
+    A pair stays one row: its asked skills are looked up in the person's map, so none of them is shuffled. Exact names only.
+    """
+    c, none = F.col, F.lit(None).cast("double")
+    exact = lambda o: F.when(o.isNotNull(), F.lit(1.0))
+    each = lambda name, body: F.transform(F.transform(name, lambda x: F.struct(x.alias("x"), F.try_element_at(c("own"), x["norm"]).alias("o"))), lambda y: body(y["x"], y["o"]))
+    score = lambda x, o, own, least: S.skill_score(exact(o), o["confidence"], o["level"], x["level_rank"], own, least).alias("score")
+    n = lambda x: F.greatest(F.coalesce(x["min_required"], F.lit(1)), F.lit(1)).alias("n")
+    required = each("ask_required", lambda x, o: F.struct(x["pos"].alias("pos"), x["skill"].alias("skill"), o.isNotNull().alias("hit"), score(x, o, o["years"], x["min_years"].cast("double"))))
+    optional = each("ask_optional", lambda x, o: F.struct(x["group_pos"].alias("group_pos"), x["pos"].alias("pos"), score(x, o, none, none), n(x)))
+    weight = lambda x: F.when(F.coalesce(x["weight"], F.lit(0)) == 0, 1.0).otherwise(x["weight"].cast("double"))
+    bonus = each("ask_bonus", lambda x, o: F.struct(F.coalesce(F.least(exact(o), o["confidence"]), F.lit(0.0)).alias("score"), weight(x).alias("weight")))
+    total = lambda items, f: F.aggregate(items, F.lit(0.0), lambda a, x: a + f(x))
+    mean = lambda items: F.when(F.size(items) > 0, F.try_divide(total(items, lambda x: x["score"]), F.size(items)))
+    names = lambda items, hit: F.transform(F.filter(items, lambda x: x["hit"] == hit), lambda x: x["skill"])
+
+    def of_required(a):
+        return F.struct(mean(a).alias("required"), mean(F.filter(a, lambda x: x["pos"] <= 2)).alias("primary"), F.size(a).cast("long").alias("n_required"), names(a, True).alias("matched"), names(a, False).alias("missing"))
+
+    def of_optional(a):
+        ordered = F.array_sort(F.transform(a, lambda x: F.struct(x["group_pos"].alias("group_pos"), (-x["score"]).alias("order"), x["pos"].alias("pos"), x["n"].alias("n"))))
+
+        def group(items, g):
+            best = F.filter(F.filter(items, lambda x: x["group_pos"] == g), lambda x, i: i < x["n"])
+            return let(best, lambda b: F.try_divide(total(b, lambda x: -x["order"]), F.array_max(F.transform(b, lambda x: x["n"]))))
+
+        groups = let(ordered, lambda items: F.transform(F.array_distinct(F.transform(items, lambda x: x["group_pos"])), lambda g: group(items, g)))
+        return F.when(F.size(a) > 0, let(groups, lambda v: F.try_divide(F.aggregate(v, F.lit(0.0), lambda s, x: s + x), F.size(v))))
+
+    of_bonus = lambda a: F.when(F.size(a) > 0, total(a, lambda x: x["score"] * x["weight"]) / total(a, lambda x: x["weight"]))
+    parts = rows.withColumns({"of_required": let(required, of_required), "optional": let(optional, of_optional), "bonus": let(bonus, of_bonus)})
+    out = ("required", "primary", "n_required", "matched", "missing")
+    return parts.withColumns({name: c("of_required")[name] for name in out}).drop("of_required", "ask_required", "ask_optional", "ask_bonus", "own")
+
+
 def skill_match(required, optional, bonus, cfg: MatchConfig = DEFAULT):
     """Mean by weight of the parts that an opening has; .5 if it asks for nothing."""
     on = lambda c, w: F.when(c.isNotNull(), w).otherwise(0.0)

@@ -91,3 +91,29 @@ def test_texts_of_experience_items_are_read_once_an_opening(spark):
 
     said = str(engine.experience_match(DEFAULT)).lower()
     assert "regexp_instr" not in said and "rlike" not in said and "from_json" not in said
+
+
+def test_skills_of_pairs_without_a_row_for_each(spark):
+    """The row of a pair gives what its exploded skills give, and no row of an asked skill is dealt by person and skill."""
+    import re
+
+    from rolecast.operators import skills as K
+
+    from .test_queries import DATA
+
+    pairs = spark.createDataFrame([(1, 1), (1, 2), (2, 1), (3, 1), (1, 3)], "resume_id long, job_id long")
+    asked = [(1, "required", 0, 1, "Go", "go", 2, 3.0, None, None), (1, "required", 0, 3, "Vue", "vue", 0, None, None, None), (1, "optional", 1, 1, "x", "x", 3, None, None, 2), (1, "optional", 1, 2, "go", "go", 0, None, None, 1), (1, "optional", 0, 3, "vue", "vue", 1, None, None, None),
+             (1, "bonus", 0, 1, "go", "go", 0, None, 3, None), (1, "bonus", 0, 2, "x", "x", 0, None, 0, None), (2, "bonus", 0, 1, "no", None, 0, None, None, None), (3, "optional", 0, 1, "go", "go", 1, None, None, 3)]
+    asked = spark.createDataFrame(asked, "job_id long, kind string, group_pos int, pos int, skill string, norm string, level_rank int, min_years double, weight int, min_required int")
+    index = spark.createDataFrame([(1, "go", 1.0, None, 0.92), (1, None, 1.0, 1.0, 1.0), (2, "vue", 0.0, 2.0, 1.0), (2, "go", 4.0, 2.0, 1.0), (2, "x", None, 9.0, 0.8)], "resume_id long, norm string, level_rank double, years double, confidence double")
+    names = ("resume_id", "job_id", "required", "primary", "optional", "bonus", "n_required", "matched", "missing")
+    want = K.skill_scores(K.pair_skills(pairs, asked, index)).select(*names).orderBy("resume_id", "job_id").collect()
+    got = K.with_skill_scores(pairs.join(K.asked_arrays(asked), "job_id").join(K.owned_maps(index), "resume_id", "left")).select(*names).orderBy("resume_id", "job_id").collect()
+    tidy = lambda rows: [[round(v, 12) if isinstance(v, float) else v for v in r] for r in rows]
+    assert len(got) == 5 and tidy(got) == tidy(want)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = plans.QUERIES["recommend"](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert not re.search(r"hashpartitioning\(resume_id#\w+, (norm|job_id)#", plan) and "vec_id" not in " ".join(re.findall(r"hashpartitioning\([^)]*\)", plan))
