@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .dictionaries import BACKEND_SIGNALS, FRONTEND_SIGNALS, MOBILE_SIGNALS, SKILL_ALIASES, SKILL_PATTERNS, TITLE_SKILL_PATTERNS
-from .text import contains_any, dedupe_ci, is_placeholder, strings, strip
+from .text import contains_any, dedupe_ci, is_placeholder, let, strings, strip
 
 FLAGS = "(?iU)"
 
@@ -25,29 +25,47 @@ def alias_map() -> Column:
     return F.from_json(F.lit(json.dumps(alias_pairs(), ensure_ascii=False)), "map<string, string>")
 
 
-def pattern_list() -> Column:
-    each = [{"name": n, "ps": [FLAGS + p for p in ps]} for n, ps in SKILL_PATTERNS]
-    return F.from_json(F.lit(json.dumps(each, ensure_ascii=False)), "array<struct<name: string, ps: array<string>>>")
-
-
 def normalize_skill(c: Column) -> Column:
     key = F.lower(strip(c))
     return F.coalesce(F.try_element_at(alias_map(), key), key)
 
 
-def extract_skills(text: Column) -> Column:
+def _any_of(entries: list) -> str:
+    """One pattern for all of some skills; what begins at an edge of a word looks for the edge once."""
+    patterns = [p for _, ps in entries for p in ps]
+    edged = [p[2:] for p in patterns if p.startswith(r"\b") and "|" not in p]
+    return FLAGS + "|".join([p for p in patterns if not p.startswith(r"\b") or "|" in p] + ([rf"\b(?:{'|'.join(edged)})"] if edged else []))
+
+
+def names_skill(text: Column) -> Column:
+    """Whether a text holds a known skill, by one scan; null holds none."""
+    return F.coalesce(text.rlike(_any_of(SKILL_PATTERNS)), F.lit(False))
+
+
+def extract_skills(text: Column, group: int = 8) -> Column:
     """Known skill names in a text, in order of where they first stand (of equals, dictionary order).
 
-    Of a skill with several patterns the first that matches counts. One scan rejects most texts.
+    Of a skill with several patterns the first that matches counts. One scan rejects most texts, another each ``group`` of skills. The text is made once
+    a row, and each pattern is a constant of its own: one that comes out of an array is compiled again for every row.
     """
-    anything = FLAGS + "|".join(p for _, ps in SKILL_PATTERNS for p in ps)
 
-    def place(entry: Column, i: Column) -> Column:
-        hits = F.filter(F.transform(entry["ps"], lambda p: F.regexp_instr(text, p)), lambda at: at > 0)
-        return F.struct(F.try_element_at(hits, F.lit(1)).alias("at"), i.alias("i"), entry["name"].alias("name"))
+    def place(t: Column, patterns: tuple) -> Column:
+        *others, last = [FLAGS + p for p in patterns]
+        at = F.regexp_instr(t, F.lit(last))
+        for p in reversed(others):
+            at = F.when(t.rlike(p), F.regexp_instr(t, F.lit(p))).otherwise(at)
+        return at
+
+    def some(t: Column, first: int) -> Column:
+        entries = SKILL_PATTERNS[first : first + group]
+        places = F.array(*[F.struct(place(t, ps).alias("at"), F.lit(first + i).alias("i"), F.lit(n).alias("name")) for i, (n, ps) in enumerate(entries)])
+        return F.when(t.rlike(_any_of(entries)), places).otherwise(F.array().cast("array<struct<at: int, i: int, name: string>>"))
+
+    def found(t: Column) -> Column:
+        places = F.concat(*[some(t, i) for i in range(0, len(SKILL_PATTERNS), group)])
+        return F.transform(F.array_sort(F.filter(places, lambda x: x["at"] > 0)), lambda x: x["name"])
 
-    found = F.filter(F.transform(pattern_list(), place), lambda x: x["at"].isNotNull())
-    return F.when(text.rlike(anything), F.transform(F.array_sort(found), lambda x: x["name"])).otherwise(strings())
+    return let(text, lambda t: F.when(names_skill(t), found(t)).otherwise(strings()))
 
 
 def expand_skill(value: Column, strip_plus: bool = True) -> Column:

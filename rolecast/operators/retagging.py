@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import dictionaries as D
+from ..functions.text import let
 from ..storage import staged
 from .maintain import tag_counts
 from .normalize import normalize_jobs, tag_changes
@@ -31,7 +32,7 @@ def fingerprint(flat: DataFrame, dictionary: Mapping[str, tuple[str, ...]], rule
     """
     text = F.lower(F.concat_ws("\n", *[F.col(n) for n in ("title", "summary", "text", "location") if n in flat.columns]))
     entries = F.array(*[F.struct(F.lit(w.lower()).alias("w"), F.lit(f"{k}:{w}").alias("e")) for k, words in sorted(dictionary.items()) for w in words])
-    held = F.transform(F.filter(entries, lambda x: F.contains(text, x["w"])), lambda x: x["e"])
+    held = let(text, lambda t: F.transform(F.filter(entries, lambda x: F.contains(t, x["w"])), lambda x: x["e"]))  # the text is lowered once a row
     record = F.to_json(F.struct(*[F.col(f"`{c}`") for c in sorted(flat.columns)]), {"ignoreNullFields": "false"})
     return F.sha2(F.concat_ws("\u0001", F.lit(rules), record, F.array_join(held, "\u0002")), 256)
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import parsing
-from ..functions.skills import extract_skills
+from ..functions.skills import extract_skills, names_skill
 from ..functions.text import blank_null, dedupe_ci, first_present, json_string_list, split_delims
 from .json_arrays import read_elements
 
@@ -49,13 +49,13 @@ def map_boards(raw: DataFrame) -> DataFrame:
     title = first_present(F.when(board, c("job_name")), c("title"), c("basic_info.title"))
     place = first_present(c("work_address"), c("location"), c("city"), c("basic_info.location"))
     tags = F.concat(json_string_list(c("skill_tags")), split_delims(F.coalesce("job_keys", F.lit(""))), json_string_list(c("skills")))
-    skills = dedupe_ci(F.concat(extract_skills(F.concat_ws("\n", title, text)), F.filter(tags, lambda t: F.size(extract_skills(t)) > 0)))
+    skills = dedupe_ci(F.concat(extract_skills(F.concat_ws("\n", title, text)), F.filter(tags, names_skill)))
     pay = parsing.parse_salary(F.coalesce(c("salary"), text))
     years = parsing.parse_years(F.coalesce(c("experience"), text))
     return rows.select(
         parsing.job_id(c("id"), c("job_id"), F.coalesce(c("url"), c("_detail_url")), F.concat_ws("\n", title, text)).alias("id"), "dialect", title.alias("title"), first_present(c("company"), c("company_name")).alias("company"), place.alias("location"),
         parsing.compose_summary(c("summary"), text, title).alias("summary"), text.alias("text"), pay.alias("pay"), years.alias("years"), F.coalesce(parsing.norm_degree(c("education")), parsing.degree_in_text(text)).alias("min_degree"),
-        skills.alias("skills"), F.filter(tags, lambda t: F.size(extract_skills(t)) == 0).alias("general"), split_delims(F.coalesce("company_industry", F.lit(""))).alias("industry"), c("posted_at"),
+        skills.alias("skills"), F.filter(tags, lambda t: ~names_skill(t)).alias("general"), split_delims(F.coalesce("company_industry", F.lit(""))).alias("industry"), c("posted_at"),
     )
 
 

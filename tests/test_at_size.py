@@ -132,3 +132,24 @@ def test_vectors_go_once_to_a_part_of_cells(spark, monkeypatch):
     got = recall.pruned_top_n(people, jobs, 5)
     assert sorted(map(tuple, got.select("resume_id", "job_id", "recall_rank").collect())) == sorted(map(tuple, recall.top_n(people, jobs, 5).select("resume_id", "job_id", "recall_rank").collect()))
     assert max(df.count() for df in written if "angle" not in df.columns and "score" not in df.columns) <= 40
+
+
+def test_skills_by_constant_patterns_over_one_copy_of_the_text(spark):
+    """A pattern out of an array is compiled again for every row, and a text within its look-up is made again for every pattern."""
+    from rolecast.functions import skills
+
+    texts = ["Spring Boot, spring; c#7 then Java then CSharp", "csharp java c#7", "自动化测试开发 PostgresQL", "K8S kubernetes", "javascript2 mysqlx", "", None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").withColumn("s", skills.extract_skills(F.concat("t", F.lit(" LLM大模型"))))
+    got = [r["s"] for r in df.orderBy("i").collect()]
+    assert got == [["Spring", "Spring Boot", "C#", "Java", "LLM"], ["Java", "C#", "LLM"], ["自动化测试", "测试开发", "PostgreSQL", "LLM"], ["Kubernetes", "LLM"], ["LLM"], ["LLM"], []]
+    plan = df.select("s")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("concat(t") == 1 and "regexp_instr(lambda" in plan and ", lambda p" not in plan
+
+
+def test_words_of_dictionaries_meet_one_copy_of_the_record(spark):
+    """The fingerprint lowers a record's text once, not once a word."""
+    from rolecast.operators import retagging
+
+    df = spark.createDataFrame([("a", "Senior KAFKA", "Go"), ("b", None, "kafka")], "id string, title string, summary string")
+    plan = df.select(retagging.fingerprint(df, {"x": ("kafka", "go")}).alias("f"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "contains(lower(" not in plan.lower()
