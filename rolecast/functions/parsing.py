@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .dictionaries import CERTIFICATIONS, DEGREE_WORDS, EDUCATION_WORDS, HIGHLIGHT_KEYWORDS, HIGHLIGHT_MARKERS, LANGUAGE_PATTERNS, MAJOR_STOPWORDS, MIN_DEGREE_PATTERNS, OTHER_CONSTRAINT_WORDS, PREFER_DEGREE_PATTERNS, RESPONSIBILITY_MARKERS, SECTION_ENDS
-from .text import bullet_items, contains_any, dedupe_ci, let, none_of, occurrences, section_items, strings, strip
+from .text import bullet_items, contains_any, dedupe_ci, let, marked_items, none_of, occurrences, section_items, strings, strip
 
 _TO = r"\s*[-~～至到]\s*"
 _NUM = r"(\d+(?:\.\d+)?)"
@@ -247,13 +247,13 @@ def _highlight(c: Column) -> Column:
     s = strip(F.regexp_replace(strip(c), r"(?U)^(?:项|加分项|福利待遇|优选条件|优先条件)[?:\s-]*", ""))
     s = F.regexp_replace(F.regexp_replace(s, r"(?U)^(?:\d+|\?+)[)?.:]\s*", ""), "^[?: ]+", "")
     s = F.regexp_replace(F.regexp_replace(s, "^[?,; ]+|[?,; ]+$", ""), "^[^A-Za-z0-9一-龥]+", "")
-    return F.when((s != "") & ~s.rlike("^[A-Za-z一-龥]+(?:/[A-Za-z一-龥]+)+$"), s)
+    return let(s, lambda x: F.when((x != "") & ~x.rlike("^[A-Za-z一-龥]+(?:/[A-Za-z一-龥]+)+$"), x))
 
 
 def highlights(text: Column) -> Column:
     """Up to six items: four of each part on benefits or what is welcome; without any, sentences of the text that tell of such."""
     told = lambda x: ~contains_any(x, RESPONSIBILITY_MARKERS + EDUCATION_WORDS) & contains_any(x, HIGHLIGHT_KEYWORDS)
-    parts = F.flatten(F.array(*[section_items(text, (m,), SECTION_ENDS, 4) for m in HIGHLIGHT_MARKERS]))
+    parts = F.coalesce(F.flatten(marked_items(text, HIGHLIGHT_MARKERS, SECTION_ENDS, 4)), strings())
     named = F.array_compact(F.transform(parts, _highlight))
     spread = F.filter(F.array_compact(F.transform(bullet_items(text), _highlight)), told)
     return let(named, lambda n: F.slice(dedupe_ci(F.when(F.size(n) > 0, n).otherwise(spread)), 1, 6))

@@ -153,3 +153,12 @@ def test_words_of_dictionaries_meet_one_copy_of_the_record(spark):
     df = spark.createDataFrame([("a", "Senior KAFKA", "Go"), ("b", None, "kafka")], "id string, title string, summary string")
     plan = df.select(retagging.fingerprint(df, {"x": ("kafka", "go")}).alias("f"))._jdf.queryExecution().optimizedPlan().toString()
     assert "contains(lower(" not in plan.lower()
+
+
+def test_parts_of_markers_that_a_posting_lacks_are_not_read(spark):
+    """Rules of items stand once for all markers, and only markers that the text holds go through them."""
+    assert str(parsing.highlights(F.col("t"))).count("一二三四五六七八九十") == 2
+    texts = ["工作内容：负责日常开发。参与系统维护\n任职要求：x\n加分项：有弹性工作时间；项目有奖金", "岗位职责：职责要求：负责日常开发工作", "加分项：另有班车和餐补福利", "职责(x) a.b 任职要求", "", None]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", parsing.responsibilities(F.col("t")).alias("d"), parsing.highlights(F.col("t")).alias("h")).orderBy("i").collect()
+    assert [r["d"] for r in rows] == [["负责日常开发", "参与系统维护"], [], [], ["x) a.b"], [], []]
+    assert [r["h"] for r in rows] == [["有弹性工作时间"], [], ["另有班车和餐补福利"], [], [], None]
