@@ -162,3 +162,21 @@ def test_parts_of_markers_that_a_posting_lacks_are_not_read(spark):
     rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", parsing.responsibilities(F.col("t")).alias("d"), parsing.highlights(F.col("t")).alias("h")).orderBy("i").collect()
     assert [r["d"] for r in rows] == [["负责日常开发", "参与系统维护"], [], [], ["x) a.b"], [], []]
     assert [r["h"] for r in rows] == [["有弹性工作时间"], [], ["另有班车和餐补福利"], [], [], None]
+
+
+def test_white_space_at_the_ends_without_a_pattern(spark):
+    """Texts are stripped of what a pattern for Unicode's white space finds, with no pattern run on them."""
+    from rolecast.functions import text
+
+    texts = [f"{chr(c)}x{chr(c)}y{chr(c)}{chr(c)}" for c in range(0x10000) if not 0xD800 <= c < 0xE000] + ["", " \r\n", "a\r\n", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert df.filter(~text.strip(F.col("t")).eqNullSafe(F.regexp_replace("t", r"(?U)^\s+|\s+$", ""))).count() == 0
+    assert "regexp" not in str(text.strip(F.col("t")))
+
+
+def test_names_of_tags_are_made_once(spark):
+    from rolecast.functions import text
+
+    assert str(text.slug(F.col("a"))).count("regexp_replace") == 2
+    rows = spark.createDataFrame([("　Big Data\u2003",), ("--",), (None,)], "a string")
+    assert [r["s"] for r in rows.select(text.slug(F.col("a")).alias("s")).collect()] == ["big_data", None, None]
