@@ -23,10 +23,10 @@ def _direction(tags: Column) -> Column:
 
 
 def asked_experience(x: Column, number: str) -> Column:
-    """What scoring reads of an experience item: its words, the skills in its text and the canonical forms of its words, made once an opening."""
+    """What scoring reads of an experience item: its words and description as terms, the skills in its text and the canonical forms of its words, made once an opening."""
     words = F.concat(F.array(x["name"]), F.coalesce(x["keywords"], text.strings()))
     hints = F.transform(skills.extract_skills(F.concat_ws(" ", x["name"], x["description"], F.array_join(F.coalesce(x["keywords"], text.strings()), " "))), skills.normalize_skill)
-    return F.struct(words.alias("words"), x["description"].alias("description"), (F.lower(x["type"]) == "tech").alias("tech"), F.slice(hints, 1, 8).alias("hints"), F.transform(words, skills.normalize_skill).alias("norms"), x[number].alias(number))
+    return F.struct(F.transform(words, S.clean_term).alias("words"), S.clean_term(x["description"]).alias("description"), (F.lower(x["type"]) == "tech").alias("tech"), F.slice(hints, 1, 8).alias("hints"), F.transform(words, skills.normalize_skill).alias("norms"), x[number].alias(number))
 
 
 def prepare_jobs(jobs: DataFrame) -> DataFrame:
@@ -68,7 +68,7 @@ def job_skill_rows(jobs: DataFrame) -> DataFrame:
 
 
 def prepare_resumes(resumes: DataFrame, as_of: Column, index: DataFrame | None = None) -> DataFrame:
-    """One row a person with all that scoring reads of them; ``owned`` are the canonical skills (of ``index``, if there)."""
+    """One row a person with all that scoring reads of them; ``own`` is the map of canonical skills (of ``index``, if there)."""
     c, f = F.col, F.col("filter_facets")
     rows = normalize.resume_years(resumes, as_of)
     info, work, projects = c("basic_info"), F.coalesce("work_experiences", F.array()), F.coalesce("projects", F.array())
@@ -85,8 +85,7 @@ def prepare_resumes(resumes: DataFrame, as_of: Column, index: DataFrame | None =
         facets.resume_roles(f["role_categories"], info["current_title"], info["summary"], c("raw_text"), F.array_join(F.slice(names, 1, 16), " ")).alias("resume_roles"), _direction(c("tags")).alias("resume_tags"),
         skills.directional_signals(F.concat(F.array(F.coalesce(info["current_title"], F.lit(""))), F.slice(names, 1, 24))).alias("resume_signals"),
     )
-    owned = (K.candidate_skill_index(resumes) if index is None else index).groupBy("resume_id").agg(F.collect_set("norm").alias("owned"))
-    return out.join(owned, "resume_id", "left").withColumn("owned", F.coalesce("owned", text.strings()))
+    return out.join(K.owned_maps(K.candidate_skill_index(resumes) if index is None else index), "resume_id", "left")
 
 
 def experience_match(cfg: MatchConfig) -> Column:
@@ -94,10 +93,10 @@ def experience_match(cfg: MatchConfig) -> Column:
     c = F.col
 
     def content(x: Column) -> Column:
-        hits = F.array_max(F.transform(x["words"], lambda t: S.term_hit(t, c("terms"), c("raw"))))
+        hits = F.array_max(F.transform(x["words"], lambda t: S.clean_term_hit(t, c("terms"), c("raw"))))
         bridge = F.when(F.arrays_overlap(x["hints"], c("owned")), F.when(x["tech"], 1.0).otherwise(0.8)).otherwise(0.0)
         tech = F.when(x["tech"] & F.arrays_overlap(x["norms"], c("owned")), 1.0).otherwise(0.0)
-        return F.greatest(hits, F.coalesce(S.term_hit(x["description"], c("terms"), c("raw"), exact=False), F.lit(0.0)), bridge, tech)
+        return F.greatest(hits, S.clean_term_hit(x["description"], c("terms"), c("raw"), exact=False), bridge, tech)
 
     years = c("years").cast("double")
     contents = lambda name: F.transform(F.coalesce(name, F.array()), lambda x: F.struct(content(x).alias("s"), x.alias("x")))  # noqa: E731 - once an item, however often it is read
@@ -119,22 +118,25 @@ def score_pairs(pairs: DataFrame, jobs: DataFrame, resumes: DataFrame, wishes: D
     """
     c = F.col
     index, asked = K.candidate_skill_index(resumes), job_skill_rows(jobs)
-    semantic = K.semantic_hits(pairs.select("resume_id", "job_id").join(asked, "job_id"), index, skill_vectors, cfg) if skill_vectors is not None else None
-    skill = K.skill_scores(K.pair_skills(pairs, asked, index, semantic))
-    rows = pairs.join(prepare_jobs(jobs).withColumn("known", F.lit(True)), "job_id", "left").join(prepare_resumes(resumes, as_of, index), "resume_id").join(skill, ["resume_id", "job_id"], "left")
+    people, openings = prepare_resumes(resumes, as_of, index), prepare_jobs(jobs).join(K.asked_arrays(asked), "job_id", "left").withColumn("known", F.lit(True))
     if domain_vectors is not None:
-        for space, key in (("jobs", "job_id"), ("resumes", "resume_id")):
-            side = domain_vectors.filter(c("namespace") == space).select(c("item_id").alias(key), recall.unit_vector(c("vector")).alias(f"{space}_vector"))
-            rows = rows.join(side, key, "left")
+        side = lambda space, key: domain_vectors.filter(c("namespace") == space).select(c("item_id").alias(key), recall.unit_vector(c("vector")).alias(f"{space}_vector"))
+        people, openings = people.join(side("resumes", "resume_id"), "resume_id", "left"), openings.join(side("jobs", "job_id"), "job_id", "left")
         similarity = F.round(recall.dot(c("jobs_vector"), c("resumes_vector")), 6)
     else:
         similarity = F.lit(None).cast("double")
     none, no_int = text.strings(), F.lit(None)
     if wishes is not None:
         w = filters.normalize_filters(wishes)
-        rows = rows.join(w.select("resume_id", c("role_categories").alias("want_roles"), c("work_modes").alias("want_modes"), c("internship_preference").alias("want_internship"), c("posted_within_days").alias("want_days"), c("min_experience_years").alias("want_min_years"), c("max_experience_years").alias("want_max_years")), "resume_id", "left")
+        people = people.join(w.select("resume_id", c("role_categories").alias("want_roles"), c("work_modes").alias("want_modes"), c("internship_preference").alias("want_internship"), c("posted_within_days").alias("want_days"), c("min_experience_years").alias("want_min_years"), c("max_experience_years").alias("want_max_years")), "resume_id", "left")
     else:
-        rows = rows.withColumns({"want_roles": none, "want_modes": none, "want_internship": F.lit("all"), "want_days": no_int.cast("int"), "want_min_years": no_int.cast("double"), "want_max_years": no_int.cast("double")})
+        people = people.withColumns({"want_roles": none, "want_modes": none, "want_internship": F.lit("all"), "want_days": no_int.cast("int"), "want_min_years": no_int.cast("double"), "want_max_years": no_int.cast("double")})
+    rows = pairs.join(people, "resume_id").join(openings, "job_id", "left").withColumn("owned", F.coalesce(F.map_keys("own"), none))  # a pair moves to the opening with the person's columns, as these are the fewer
+    if skill_vectors is None:
+        rows = K.with_skill_scores(rows)
+    else:
+        semantic = K.semantic_hits(pairs.select("resume_id", "job_id").join(asked, "job_id"), index, skill_vectors, cfg)
+        rows = rows.drop("ask_required", "ask_optional", "ask_bonus", "own").join(K.skill_scores(K.pair_skills(pairs, asked, index, semantic)), ["resume_id", "job_id"], "left")
     gate = F.when(c("has_degree"), S.degree_gate(c("degree"), c("job_degree"))).otherwise(1.0)
     rows = filters.with_filter_reason(rows.withColumns({"gate": gate, "aligned": filters.directional_alignment(c("resume_roles"), c("roles"), c("resume_signals"), c("job_signals"))}), cfg)
     rows = rows.withColumn("status", F.when(c("known").isNull(), "job_missing").when(c("filter_reason") == "passed", "matched").otherwise("filtered"))

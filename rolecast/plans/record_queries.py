@@ -617,16 +617,16 @@ def engine_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     required = F.array(F.struct(word(2).alias("name"), level.alias("level"), F.when(size % 4 == 0, 3.0).alias("min_years")), F.struct(word(1).alias("name"), none.alias("level"), F.lit(None).cast("double").alias("min_years")), F.struct(F.lit(" ").alias("name"), none.alias("level"), F.lit(None).cast("double").alias("min_years")))
     payload = F.struct(c("p_partkey").cast("string").alias("id"), F.struct(F.lit("Role").alias("title")).alias("basic_info"), F.struct(required.alias("required")).alias("skill_requirements"), F.struct(core.alias("core"), bonus.alias("bonus"), F.when(size % 5 != 0, (size % 9).cast("double")).alias("min_total_years")).alias("experience_requirements"))
     stored = spread(read(spark, sf_dir, "part"), "p_partkey").filter("p_partkey % 50 <> 0").select(F.to_json(payload).alias("payload"))
-    jobs = staged(normalize.rebuilt_openings(records.from_payload(stored, schemas.JOB), F.to_date(F.lit("2024-01-31"))))
+    by_key = lambda df: staged(df.withColumn("id", c("id").cast("long")))  # noqa: E731 - pairs have keys of this type and are dealt by them
+    jobs = by_key(normalize.rebuilt_openings(records.from_payload(stored, schemas.JOB), F.to_date(F.lit("2024-01-31"))))
     key = c("c_custkey")
     skill = lambda name, own, years: F.struct(name.alias("name"), own.alias("level"), years.cast("int").alias("years"))
     skills = some(skill(pick(key, _NOUNS), F.when(key % 5 > 0, pick(key % 5 - 1 + 4, _LEVELS)), key % 4), F.when(key % 7 > 0, skill(pick(F.floor(key / 5), _KINDS), none, no_years)), F.when(key % 6 == 0, skill(F.lit("Vue"), none, no_years)))
     person = F.struct(key.cast("string").alias("id"), F.struct((key % 13 + 1).cast("int").alias("work_years")).alias("basic_info"), skills.alias("skills"), F.concat(F.lit("Notes of gear"), F.when(key % 3 == 0, " red things").otherwise("")).alias("raw_text"), *[F.array().cast("array<string>").alias(n) for n in ("work_experiences", "projects", "tags")])
-    people = staged(records.from_payload(spread(read(spark, sf_dir, "customer"), "c_custkey").select(F.to_json(person).alias("payload")), schemas.RESUME))
-    pairs = bind(spark, sf_dir, "fx_pairs").select(c("resume_id").cast("string").alias("resume_id"), c("job_id").cast("string").alias("job_id"), "vector", "recall_rank")
-    scored = engine.score_pairs(pairs, jobs, people, None, F.to_date(F.lit("2024-01-31")))
+    people = by_key(records.from_payload(spread(read(spark, sf_dir, "customer"), "c_custkey").select(F.to_json(person).alias("payload")), schemas.RESUME))
+    scored = engine.score_pairs(bind(spark, sf_dir, "fx_pairs"), jobs, people, None, F.to_date(F.lit("2024-01-31")))
     known = c("status") != "job_missing"
-    return scored.select(c("resume_id").cast("long").alias("resume_id"), c("job_id").cast("long").alias("job_id"), "status", F.when(known, F.round("experience", 6)).alias("experience"), F.when(known, F.round("required", 6)).alias("required"))
+    return scored.select("resume_id", "job_id", "status", F.when(known, F.round("experience", 6)).alias("experience"), F.when(known, F.round("required", 6)).alias("required"))
 
 
 @query("json_lists", """SELECT o_orderkey AS id, concat('Order, "', o_orderpriority, '" [', o_custkey, ']') AS title, o_totalprice AS value FROM orders""")

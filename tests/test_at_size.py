@@ -222,3 +222,21 @@ def test_a_sample_that_misleads_costs_no_row(spark):
         got = recall.listed_top_n(people, jobs, 3, 3000, n, "p", "j", block=1024)
         want = recall.top_n(people.toDF("p", "vector"), jobs.toDF("j", "vector"), n, "p", "j")
         assert sorted(map(tuple, got.select("p", "j", "score", "recall_rank").collect())) == sorted(map(tuple, want.select("p", "j", "score", "recall_rank").collect()))
+
+
+def test_pairs_of_the_engine_meet_each_side_once(spark):
+    """Pairs are made once, move to their opening once, and no asked skill of a pair is shuffled; terms of openings are made once an opening."""
+    import re
+
+    from rolecast.config import DEFAULT
+    from rolecast.plans import engine
+
+    from .test_queries import DATA
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = plans.QUERIES["engine_matches"](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert not re.search(r"hashpartitioning\(resume_id#\w+, (norm|job_id)#", plan) and plan.count("ReadSchema: struct<l_orderkey") == 1
+    assert "btrim" not in str(engine.experience_match(DEFAULT)) and "trim(" not in str(engine.experience_match(DEFAULT))
