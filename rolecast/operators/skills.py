@@ -31,12 +31,13 @@ def skill_index(rows: DataFrame) -> DataFrame:
         F.min(pos)["name"].alias("name"), F.coalesce(F.max("level_rank"), F.lit(0)).cast("double").alias("level_rank"), F.max("years").alias("years"), F.coalesce(F.max("confidence"), F.lit(1.0)).alias("confidence")
     )
     has = lambda names: F.max(F.col("norm").isin(*names))
-    per = base.groupBy("resume_id").agg(has(FRONTEND_FRAMEWORKS).alias("framework"), F.count_if(F.col("norm").isin(*FRONTEND_SIGNALS)).alias("signals"), has(["git"]).alias("git"), has(GIT_PLATFORMS).alias("host"))
-    front = F.when(F.col("framework") | (F.col("signals") >= 2), F.array(*[F.struct(F.lit(n).alias("norm"), F.lit(0.78).alias("confidence")) for n in ("html", "css", "javascript")]))
-    git = F.when(F.col("host") & ~F.col("git"), F.array(F.struct(F.lit("git").alias("norm"), F.lit(0.84).alias("confidence"))))
-    implied = per.select("resume_id", F.explode(F.flatten(F.array_compact(F.array(front, git)))).alias("x")).select("resume_id", F.col("x.norm").alias("norm"), F.col("x.confidence").alias("confidence"))
-    extra = implied.select("resume_id", "norm", F.col("norm").alias("name"), F.lit(0.0).alias("level_rank"), F.lit(None).cast(base.schema["years"].dataType).alias("years"), "confidence")
-    both = base.withColumn("given", F.lit(0)).unionByName(extra.withColumn("given", F.lit(1)))
+    own = F.struct(F.lit(0).alias("given"), "norm", "name", "level_rank", "years", "confidence")
+    per = base.groupBy("resume_id").agg(F.collect_list(own).alias("own"), has(FRONTEND_FRAMEWORKS).alias("framework"), F.count_if(F.col("norm").isin(*FRONTEND_SIGNALS)).alias("signals"), has(["git"]).alias("git"), has(GIT_PLATFORMS).alias("host"))
+    no_years = F.lit(None).cast(base.schema["years"].dataType)
+    added = lambda n, confidence: F.struct(F.lit(1).alias("given"), F.lit(n).alias("norm"), F.lit(n).alias("name"), F.lit(0.0).alias("level_rank"), no_years.alias("years"), F.lit(confidence).alias("confidence"))
+    front = F.when(F.col("framework") | (F.col("signals") >= 2), F.array(*[added(n, 0.78) for n in ("html", "css", "javascript")]))
+    git = F.when(F.col("host") & ~F.col("git"), F.array(added("git", 0.84)))
+    both = per.select("resume_id", F.explode(F.flatten(F.array_compact(F.array("own", front, git)))).alias("x")).select("resume_id", "x.*")  # so rows are read once, and stay dealt by person
     return both.groupBy("resume_id", "norm").agg(F.min(F.struct("given", "name"))["name"].alias("name"), F.max("level_rank").alias("level_rank"), F.max("years").alias("years"), F.max("confidence").alias("confidence"))
 
 
